@@ -1 +1,34 @@
-"""tidemark: period-over-period web and commerce analytics on Spark DataFrames."""
+"""tidemark: period-over-period web and commerce analytics on Spark DataFrames.
+
+Every public operator takes a GA4-style nested events DataFrame (see
+``tidemark.sources.events.EVENTS_SCHEMA``) plus plain Python parameters and
+returns a lazy DataFrame built only from built-in Spark expressions, so
+Catalyst and AQE plan the whole thing.
+"""
+
+from tidemark.plans.periods import Period
+from tidemark.sources.events import EVENTS_SCHEMA, read_events, scan, write_events
+from tidemark.operators.kpi import kpi_summary, trend, trend_conversion, kpi_derived
+from tidemark.operators.sessions import session_first_source, filter_sessions, session_channels
+from tidemark.operators.orders import repair_only_orders, RepairPatterns
+from tidemark.operators.breakdowns import (
+    product_performance,
+    product_post,
+    channel_performance,
+    geo_performance,
+    device_performance,
+    demographic_performance,
+    normalize_demographics,
+)
+from tidemark.operators.bulk import bulk_order_items
+from tidemark.operators.alerts import revenue_share, change_alerts, AlertThresholds
+
+__all__ = [
+    "Period", "EVENTS_SCHEMA", "read_events", "scan", "write_events",
+    "kpi_summary", "trend", "trend_conversion", "kpi_derived",
+    "session_first_source", "filter_sessions", "session_channels",
+    "repair_only_orders", "RepairPatterns",
+    "product_performance", "product_post", "channel_performance", "geo_performance",
+    "device_performance", "demographic_performance", "normalize_demographics",
+    "bulk_order_items", "revenue_share", "change_alerts", "AlertThresholds",
+]
