@@ -27,8 +27,10 @@ def ratio(num: Column, den: Column, scale_by: int = 1, digits: int = 1,
     ``zero_when_den_not_positive`` the result is 0.0 when ``den <= 0``.
     """
     n = num.cast(_WIDE) * F.lit(scale_by)
-    d = F.nullif(den.cast(_WIDE), F.lit(0).cast(_WIDE))
-    out = F.round(F.try_divide(n, d), digits).cast("double")
+    d = den.cast(_WIDE)
+    # A plain CASE guard (not NULLIF, which Spark rewrites into a common-expression
+    # projection that keeps a later top-k from planning as TakeOrderedAndProject).
+    out = F.when(d != 0, F.round(F.try_divide(n, d), digits).cast("double"))
     if zero_when_den_not_positive:
         out = F.when(den > 0, out).otherwise(F.lit(0.0))
     return out

@@ -1,11 +1,13 @@
 """Key/value parameter lookup on repeated ``ARRAY<STRUCT<key, value STRUCT<…>>>`` fields.
 
 The lookup returns the *first entry in array order* whose key matches (one key
-or any key of a list), then one typed field of its value.  It is a
-higher-order ``filter`` plus ``get``: evaluated inline per row, no explode and
-no join.  ``get`` (not ``[0]``/``element_at``) returns NULL for a miss under
-ANSI mode, and the array need not have unique keys (``map_from_entries`` would
-fail on repeated keys).
+or any key of a list), then one typed field of its value.  It is built from
+``array_position`` over the projected key array (``params.key``) and ``get``
+on the projected value array (``params.value.<field>``): both are plain
+codegen'd expressions, no lambda, no explode, no join, and the Parquet scan
+reads only the ``key`` and ``value.<field>`` leaves of the struct.  ``get``
+returns NULL for a miss (also under ANSI mode), and keys need not be unique
+(``map_from_entries`` would fail on repeated keys).
 """
 
 from __future__ import annotations
@@ -16,23 +18,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def first_key_position(array: str, keys: str | Iterable[str]) -> Column:
+    """1-based position of the first entry whose key is in ``keys``; NULL when none (or NULL array)."""
+    key_arr = F.col(f"{array}.key")
+    key_list = [keys] if isinstance(keys, str) else list(keys)
+    positions = [F.array_position(key_arr, F.lit(k)) for k in key_list]
+    found = [F.when(p > 0, p) for p in positions]
+    return found[0] if len(found) == 1 else F.least(*found)
 
 
-def param_value(array: str | Column, keys: str | Iterable[str], field: str) -> Column:
-    """``value.<field>`` of the first entry whose key equals ``keys`` (or is in it)."""
-    key_list = [keys] if isinstance(keys, str) else list(keys)
-    if len(key_list) == 1:
-        pred = lambda p: p["key"] == F.lit(key_list[0])
-    else:
-        pred = lambda p: p["key"].isin(*key_list)
-    return F.get(F.filter(_col(array), pred), 0)["value"][field]
+def param_value(array: str, keys: str | Iterable[str], field: str) -> Column:
+    """``value.<field>`` of the first entry whose key equals ``keys`` (or is one of them)."""
+    return F.get(F.col(f"{array}.value.{field}"), first_key_position(array, keys) - 1)
 
 
-def param_int(array: str | Column, keys: str | Iterable[str]) -> Column:
+def param_int(array: str, keys: str | Iterable[str]) -> Column:
     return param_value(array, keys, "int_value")
 
 
-def param_str(array: str | Column, keys: str | Iterable[str]) -> Column:
+def param_str(array: str, keys: str | Iterable[str]) -> Column:
     return param_value(array, keys, "string_value")

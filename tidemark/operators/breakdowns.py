@@ -87,7 +87,7 @@ def product_performance(events: DataFrame, cur: Period, prev: Period, k: int = 2
     qty = F.coalesce(F.col("quantity"), F.lit(0))
     skey = session_key(F.col("user_pseudo_id"), F.col("sid"))
     agg = items.groupBy("item_id").agg(
-        F.max(F.struct("event_date", "item_name"))["item_name"].alias("product_name"),
+        F.max_by("item_name", F.struct("event_date", "item_name")).alias("product_name"),
         F.sum(F.when(in_c & p, line).otherwise(0)).alias("c_rev"),
         F.sum(F.when(in_p & p, line).otherwise(0)).alias("p_rev"),
         F.count_distinct(F.when(in_c, skey)).alias("c_ses"),
@@ -95,6 +95,7 @@ def product_performance(events: DataFrame, cur: Period, prev: Period, k: int = 2
         F.sum(F.when(in_c & p, qty).otherwise(0)).alias("c_qty"),
         F.sum(F.when(in_p & p, qty).otherwise(0)).alias("p_qty"),
     ).where((F.col("c_rev") > 0) | (F.col("p_rev") > 0))
+    # One sort key for the cut and the display order: planned as a single TakeOrderedAndProject.
     top = agg.orderBy(F.col("c_rev").desc(), F.col("item_id")).limit(k)
     return top.select(
         "product_name",
@@ -106,8 +107,7 @@ def product_performance(events: DataFrame, cur: Period, prev: Period, k: int = 2
         F.col("p_ses").alias("previous_sessions"),
         F.col("c_qty").alias("current_quantity"),
         F.col("p_qty").alias("previous_quantity"),
-        F.col("item_id"),
-    ).orderBy(F.col("current_revenue").desc(), F.col("item_id")).drop("item_id")
+    )
 
 
 def product_post(products: DataFrame) -> DataFrame:

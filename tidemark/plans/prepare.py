@@ -20,35 +20,39 @@ GENDER_KEYS = ("u_gender", "gender", "sex", "user_gender")
 AGE_KEYS = ("u_age", "age", "age_group", "user_age")
 
 
-def flat_columns() -> dict[str, Column]:
-    return {
-        "event_date": F.col("event_date"),
-        "event_timestamp": F.col("event_timestamp"),
-        "user_pseudo_id": F.col("user_pseudo_id"),
-        "event_name": F.col("event_name"),
-        "purchase_revenue": F.col("ecommerce.purchase_revenue"),
-        "transaction_id": F.col("ecommerce.transaction_id"),
-        "sid": param_int("event_params", SESSION_ID_KEY),
-        "s_num": param_int("event_params", SESSION_NUMBER_KEY),
-        "param_source": param_str("event_params", SOURCE_KEY),
-        "ts_source": F.col("traffic_source.source"),
-        "ts_medium": F.col("traffic_source.medium"),
-        "country": F.col("geo.country"),
-        "city": F.col("geo.city"),
-        "device": F.col("device.category"),
-        "ep_gender": param_str("event_params", GENDER_KEYS),
-        "up_gender": param_str("user_properties", GENDER_KEYS),
-        "ep_age": param_str("event_params", AGE_KEYS),
-        "up_age": param_str("user_properties", AGE_KEYS),
-        "items": F.col("items"),
-    }
+_FLAT = {
+    "event_date": lambda: F.col("event_date"),
+    "event_timestamp": lambda: F.col("event_timestamp"),
+    "user_pseudo_id": lambda: F.col("user_pseudo_id"),
+    "event_name": lambda: F.col("event_name"),
+    "purchase_revenue": lambda: F.col("ecommerce.purchase_revenue"),
+    "transaction_id": lambda: F.col("ecommerce.transaction_id"),
+    "sid": lambda: param_int("event_params", SESSION_ID_KEY),
+    "s_num": lambda: param_int("event_params", SESSION_NUMBER_KEY),
+    "param_source": lambda: param_str("event_params", SOURCE_KEY),
+    "ts_source": lambda: F.col("traffic_source.source"),
+    "ts_medium": lambda: F.col("traffic_source.medium"),
+    "country": lambda: F.col("geo.country"),
+    "city": lambda: F.col("geo.city"),
+    "device": lambda: F.col("device.category"),
+    "ep_gender": lambda: param_str("event_params", GENDER_KEYS),
+    "up_gender": lambda: param_str("user_properties", GENDER_KEYS),
+    "ep_age": lambda: param_str("event_params", AGE_KEYS),
+    "up_age": lambda: param_str("user_properties", AGE_KEYS),
+    "items": lambda: F.col("items"),
+}
+FLAT_NAMES = tuple(_FLAT)
+
+
+def flat_column(name: str) -> Column:
+    """The expression of one flat column over the nested events table."""
+    try:
+        return _FLAT[name]()
+    except KeyError:
+        raise KeyError(f"unknown flat column {name!r}; known: {sorted(_FLAT)}") from None
 
 
 def prepare(events: DataFrame, *names: str, **extra: Column) -> DataFrame:
     """Project ``events`` to the named flat columns plus ``extra`` expressions."""
-    cols = flat_columns()
-    unknown = [n for n in names if n not in cols]
-    if unknown:
-        raise KeyError(f"unknown flat column(s) {unknown}; known: {sorted(cols)}")
-    return events.select(*[cols[n].alias(n) for n in names],
+    return events.select(*[flat_column(n).alias(n) for n in names],
                          *[c.alias(k) for k, c in extra.items()])
