@@ -18,7 +18,7 @@ from tidemark.operators.kpi import session_key
 from tidemark.operators.orders import PURCHASE
 from tidemark.operators.sessions import SESSION_KEY, channel_label, channel_medium, channel_source, earliest
 from tidemark.plans.periods import Period, covering
-from tidemark.plans.prepare import prepare
+from tidemark.plans.prepare import item_fields, prepare
 from tidemark.sources.events import scan
 
 UNKNOWN = "Unknown"
@@ -77,7 +77,8 @@ def product_performance(events: DataFrame, cur: Period, prev: Period, k: int = 2
     """
     rng = covering(cur, prev)
     flat = prepare(scan(events, rng), "event_date", "user_pseudo_id", "sid", "event_name", "items")
-    items = (flat.select("event_date", "user_pseudo_id", "sid", "event_name", F.explode("items").alias("it"))
+    narrow = item_fields("item_id", "item_name", "price", "quantity")
+    items = (flat.select("event_date", "user_pseudo_id", "sid", "event_name", F.explode(narrow).alias("it"))
              .select("event_date", "user_pseudo_id", "sid", "event_name", "it.item_id", "it.item_name",
                      "it.price", "it.quantity")
              .where(F.col("item_id").isNotNull()))

@@ -9,7 +9,7 @@ from tidemark.functions.arith import money
 from tidemark.operators.kpi import BULK_MIN_REVENUE
 from tidemark.operators.orders import PURCHASE
 from tidemark.plans.periods import Period
-from tidemark.plans.prepare import prepare
+from tidemark.plans.prepare import item_fields, prepare
 from tidemark.sources.events import scan
 
 
@@ -24,8 +24,8 @@ def bulk_order_items(events: DataFrame, cur: Period, min_revenue: float = BULK_M
     """
     rev = F.col("ecommerce.purchase_revenue")
     src = scan(events, cur).where((F.col("event_name") == PURCHASE) & (rev >= F.lit(min_revenue)))
-    items = (prepare(src, "transaction_id", "items")
-             .select("transaction_id", F.explode("items").alias("it")))
+    items = (prepare(src, "transaction_id", it=item_fields("item_name", "price", "quantity"))
+             .select("transaction_id", F.explode("it").alias("it")))
     agg = items.groupBy(F.col("it.item_name").alias("product_name")).agg(
         F.count_distinct("transaction_id").alias("order_count"),
         F.sum("it.quantity").alias("total_quantity"),

@@ -1,17 +1,21 @@
 """KPI summary, trend, trend conversion and derived KPIs.
 
-Plan shape (both KPI summary and trend):
-
-1. one pruned scan of the date range, flattened;
-2. pre-aggregation to the ``(bucket, user, sid, transaction)`` grain — hash
-   aggregation with map-side combine, so hot users, sessions or transactions
-   collapse before the shuffle;
-3. in a source mode, a left-semi join of that (much smaller) grain with the
-   selected sessions;
-4. the per-bucket metrics (distinct counts via Catalyst's Expand rewrite) and,
-   for the KPI summary, a per-transaction aggregate for repair-only orders
-   whose global one-row result gives NOT IN semantics without any existence
-   join.  Steps 4a/4b read the same step-3 exchange (exchange reuse).
+Plan shape (KPI summary and trend).  The date range is read as two nearly
+disjoint column groups, each pre-aggregated at its own grain with map-side
+combine (hot users, sessions or transactions collapse before any shuffle):
+
+* session grain ``(bucket, user, sid)`` from ``user_pseudo_id`` and
+  ``event_params`` -> users, new users, sessions;
+* commerce grain ``(bucket, transaction)`` from ``event_name``,
+  ``ecommerce`` and two item fields -> signups, revenue, orders, bulk and
+  repair flags.  Per transaction, one more aggregation gives the repair-only
+  flag and per-period figures; a global one-row aggregate then carries "set
+  empty" and "set has NULL", which yields SQL ``NOT IN`` semantics without any
+  join to the set.
+
+Parquet reads each column once, so the two scans cost about one.  In a
+source mode both grains keep ``(user, sid)`` and are left-semi joined with
+the selected sessions; the join sees pre-aggregated rows only.
 """
 
 from __future__ import annotations
@@ -41,32 +45,41 @@ def session_key(user: Column, sid: Column, sep: str = "") -> Column:
     return F.concat(*parts)
 
 
-def _grain(events: DataFrame, period: Period, bucket: Column, bulk_min: float,
-           patterns: RepairPatterns) -> DataFrame:
-    flat = prepare(scan(events, period), "event_date", "user_pseudo_id", "sid", "s_num", "event_name",
-                   "purchase_revenue", "transaction_id", "items")
+def _restrict(grain: DataFrame, sessions: DataFrame | None) -> DataFrame:
+    # Inner-join semantics on (user, sid): NULL user or sid never matches.
+    return grain if sessions is None else grain.join(sessions, SESSION_KEY, "left_semi")
+
+
+def _session_grain(events: DataFrame, period: Period, bucket: Column, sessions: DataFrame | None) -> DataFrame:
+    flat = prepare(scan(events, period), "event_date", "user_pseudo_id", "sid", "s_num")
+    g = (flat.withColumn("bucket", bucket)
+         .groupBy("bucket", *SESSION_KEY)
+         .agg(F.bool_or(F.col("s_num") == 1).alias("is_new")))
+    return _restrict(g, sessions)
+
+
+def _commerce_grain(events: DataFrame, period: Period, bucket: Column, sessions: DataFrame | None,
+                    bulk_min: float, patterns: RepairPatterns) -> DataFrame:
+    keys = ["bucket", "transaction_id"] if sessions is None else ["bucket", *SESSION_KEY, "transaction_id"]
+    cols = ["event_date", "event_name", "purchase_revenue", "transaction_id", "items"]
+    flat = prepare(scan(events, period), *cols, *([] if sessions is None else SESSION_KEY))
     is_purchase = F.col("event_name") == PURCHASE
     rev = F.col("purchase_revenue")
     is_bulk = is_purchase & (rev >= F.lit(bulk_min))
     no_false, any_true = purchase_item_flags(patterns)
-    return (flat.withColumn("bucket", bucket)
-            .groupBy("bucket", "user_pseudo_id", "sid", "transaction_id")
-            .agg(F.count(F.lit(1)).alias("n_events"),
-                 F.bool_or(F.col("s_num") == 1).alias("is_new"),
-                 F.count_if(F.col("event_name") == SIGN_UP).alias("signups"),
-                 F.sum(F.coalesce(rev, F.lit(0))).alias("revenue"),
-                 F.bool_or(is_purchase).alias("p_any"),
-                 F.sum(F.when(is_purchase, rev)).alias("p_rev"),
-                 F.count_if(is_purchase & rev.isNull()).alias("p_null_rev"),
-                 F.bool_or(is_bulk).alias("b_any"),
-                 F.sum(F.when(is_bulk, rev).otherwise(F.lit(0))).alias("b_rev"),
-                 F.bool_and(no_false).alias("no_false"),
-                 F.bool_or(any_true).alias("any_true")))
-
-
-def _restrict(grain: DataFrame, sessions: DataFrame | None) -> DataFrame:
-    # Inner-join semantics on (user, sid): NULL user or sid never matches.
-    return grain if sessions is None else grain.join(sessions, SESSION_KEY, "left_semi")
+    g = (flat.withColumn("bucket", bucket)
+         .groupBy(*keys)
+         .agg(F.count(F.lit(1)).alias("n_events"),
+              F.count_if(F.col("event_name") == SIGN_UP).alias("signups"),
+              F.sum(F.coalesce(rev, F.lit(0))).alias("revenue"),
+              F.bool_or(is_purchase).alias("p_any"),
+              F.sum(F.when(is_purchase, rev)).alias("p_rev"),
+              F.count_if(is_purchase & rev.isNull()).alias("p_null_rev"),
+              F.bool_or(is_bulk).alias("b_any"),
+              F.sum(F.when(is_bulk, rev).otherwise(F.lit(0))).alias("b_rev"),
+              F.bool_and(no_false).alias("no_false"),
+              F.bool_or(any_true).alias("any_true")))
+    return _restrict(g, sessions)
 
 
 def kpi_summary(events: DataFrame, cur: Period, prev: Period, source: str = "all",
@@ -78,24 +91,17 @@ def kpi_summary(events: DataFrame, cur: Period, prev: Period, source: str = "all
     ``store`` or ``online`` (sessions by first source over the same range).
     """
     rng = covering(cur, prev)
-    grain = _restrict(_grain(events, rng, period_type(cur), bulk_min, patterns),
-                      source_sessions(events, rng, source))
-    user, tx = F.col("user_pseudo_id"), F.col("transaction_id")
-    per_type = grain.groupBy(F.col("bucket").alias("type")).agg(
-        F.count_distinct(user).alias("users"),
-        F.count_distinct(F.when(F.col("is_new"), user)).alias("new_users"),
-        F.count_distinct(session_key(user, F.col("sid"))).alias("sessions"),
-        F.sum("signups").alias("signups"),
-        F.count_distinct(F.when(F.col("p_any"), tx)).alias("orders"),
-        money(F.sum("revenue")).alias("revenue"),
-        F.count_distinct(F.when(F.col("b_any"), tx)).alias("bulk_orders"),
-        money(F.sum("b_rev")).alias("bulk_revenue"),
-        F.sum("n_events").alias("_n_events"),
-    )
-    filtered = _filtered_metrics(grain)
-    out = per_type.join(filtered, "type", "left")
+    bucket = period_type(cur)
+    sessions = source_sessions(events, rng, source)
+    user = F.col("user_pseudo_id")
+    per_type = (_session_grain(events, rng, bucket, sessions)
+                .groupBy(F.col("bucket").alias("type"))
+                .agg(F.count_distinct(user).alias("users"),
+                     F.count_distinct(F.when(F.col("is_new"), user)).alias("new_users"),
+                     F.count_distinct(session_key(user, F.col("sid"))).alias("sessions")))
+    commerce = _commerce_metrics(_commerce_grain(events, rng, bucket, sessions, bulk_min, patterns))
     all_null = F.col("_n_events") == F.col("_f_null_rev")
-    return out.select(
+    return per_type.join(commerce, "type", "left").select(
         *KPI_COLUMNS[:-2],
         F.col("_f_orders").alias("filtered_orders"),
         F.when(all_null, F.lit(None)).otherwise(money(F.coalesce(F.col("_f_rev"), F.lit(0))))
@@ -103,29 +109,39 @@ def kpi_summary(events: DataFrame, cur: Period, prev: Period, source: str = "all
     )
 
 
-def _filtered_metrics(grain: DataFrame) -> DataFrame:
-    """Orders / revenue of purchases whose transaction is NOT IN the repair-only set.
+def _commerce_metrics(grain: DataFrame) -> DataFrame:
+    """Per period type: signups, orders, revenue, bulk and NOT-IN-repair-only figures.
 
-    Per transaction: the repair-only flag and per-type purchase figures; then
-    one global aggregate carrying both "set empty" and "set has NULL" facts, so
-    the SQL NOT IN result is picked per type without a join to the set.
+    Per transaction: the repair-only flag and per-type figures; then one
+    global aggregate (one row) with per-type totals plus "set empty" and "set
+    has NULL", from which the SQL ``NOT IN`` result is picked per type.
     """
     tx = F.col("transaction_id")
-    is_cur = F.col("bucket") == CURRENT
+    periods = (("c", F.col("bucket") == CURRENT), ("p", F.col("bucket") != CURRENT))
     per_tx = grain.groupBy("transaction_id").agg(
         repair_only_flag(F.col("no_false"), F.col("any_true")).alias("repair"),
-        *[F.bool_or(F.col("p_any") & cond).alias(f"{k}_p") for k, cond in (("c", is_cur), ("p", ~is_cur))],
-        *[F.sum(F.when(cond, F.col("p_rev"))).alias(f"{k}_rev") for k, cond in (("c", is_cur), ("p", ~is_cur))],
-        *[F.sum(F.when(cond, F.col("p_null_rev"))).alias(f"{k}_null")
-          for k, cond in (("c", is_cur), ("p", ~is_cur))],
+        *[a for k, cond in periods for a in (
+            F.bool_or(F.col("p_any") & cond).alias(f"{k}_p"),
+            F.bool_or(F.col("b_any") & cond).alias(f"{k}_b"),
+            F.sum(F.when(cond, F.col("n_events"))).alias(f"{k}_n"),
+            F.sum(F.when(cond, F.col("signups"))).alias(f"{k}_signups"),
+            F.sum(F.when(cond, F.col("revenue"))).alias(f"{k}_revenue"),
+            F.sum(F.when(cond, F.col("b_rev"))).alias(f"{k}_b_rev"),
+            F.sum(F.when(cond, F.col("p_rev"))).alias(f"{k}_rev"),
+            F.sum(F.when(cond, F.col("p_null_rev"))).alias(f"{k}_null"))],
     )
     repair = F.coalesce(F.col("repair"), F.lit(False))
     kept = tx.isNotNull() & ~repair
     aggs = [F.count_if(repair).alias("n_repair"),
             F.coalesce(F.bool_or(tx.isNull() & repair), F.lit(False)).alias("null_in_set")]
-    for k in ("c", "p"):
+    for k, _ in periods:
         has = F.coalesce(F.col(f"{k}_p"), F.lit(False))
         aggs += [F.count_if(tx.isNotNull() & has).alias(f"{k}_all_orders"),
+                 F.count_if(tx.isNotNull() & F.coalesce(F.col(f"{k}_b"), F.lit(False))).alias(f"{k}_bulk_orders"),
+                 F.sum(f"{k}_n").alias(f"{k}_events"),
+                 F.sum(f"{k}_signups").alias(f"{k}_signups"),
+                 F.sum(f"{k}_revenue").alias(f"{k}_revenue"),
+                 F.sum(f"{k}_b_rev").alias(f"{k}_bulk_revenue"),
                  F.sum(f"{k}_rev").alias(f"{k}_all_rev"),
                  F.sum(f"{k}_null").alias(f"{k}_all_null"),
                  F.count_if(kept & has).alias(f"{k}_kept_orders"),
@@ -139,6 +155,12 @@ def _filtered_metrics(grain: DataFrame) -> DataFrame:
                 .otherwise(F.col(f"{k}_kept_{what}")))
 
     rows = [F.struct(F.lit(label).alias("type"),
+                     F.col(f"{k}_signups").cast("bigint").alias("signups"),
+                     F.col(f"{k}_all_orders").alias("orders"),
+                     money(F.col(f"{k}_revenue")).alias("revenue"),
+                     F.col(f"{k}_bulk_orders").alias("bulk_orders"),
+                     money(F.col(f"{k}_bulk_revenue")).alias("bulk_revenue"),
+                     F.col(f"{k}_events").cast("bigint").alias("_n_events"),
                      pick(k, "orders", F.lit(0)).cast("bigint").alias("_f_orders"),
                      pick(k, "rev", F.lit(None)).alias("_f_rev"),
                      F.coalesce(pick(k, "null", F.lit(0)), F.lit(0)).cast("bigint").alias("_f_null_rev"))
@@ -152,14 +174,16 @@ def trend(events: DataFrame, cur: Period, grain: str = "daily", source: str = "a
     In a source mode the sessions are attributed over the current period only.
     """
     bucket = grain_start(parse_yyyymmdd(F.col("event_date")), grain).cast("string")
-    g = _restrict(_grain(events, cur, bucket, BULK_MIN_REVENUE, RepairPatterns()),
-                  source_sessions(events, cur, source))
+    sessions = source_sessions(events, cur, source)
     user, tx = F.col("user_pseudo_id"), F.col("transaction_id")
-    return (g.groupBy(F.col("bucket").alias("period_label"))
-            .agg(F.count_distinct(session_key(user, F.col("sid"))).alias("sessions"),
-                 money(F.sum("revenue")).alias("revenue"),
-                 F.count_distinct(F.when(F.col("p_any"), tx)).alias("orders"))
-            .orderBy("period_label"))
+    s = (_session_grain(events, cur, bucket, sessions)
+         .groupBy(F.col("bucket").alias("period_label"))
+         .agg(F.count_distinct(session_key(user, F.col("sid"))).alias("sessions")))
+    c = (_commerce_grain(events, cur, bucket, sessions, BULK_MIN_REVENUE, RepairPatterns())
+         .groupBy(F.col("bucket").alias("period_label"))
+         .agg(money(F.sum("revenue")).alias("revenue"),
+              F.count_distinct(F.when(F.col("p_any"), tx)).alias("orders")))
+    return s.join(c, "period_label", "left").orderBy("period_label")
 
 
 def trend_conversion(trend_df: DataFrame, digits: int = 2) -> DataFrame:

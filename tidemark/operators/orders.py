@@ -41,8 +41,10 @@ def purchase_item_flags(patterns: RepairPatterns, items: str = "items",
     predicate over all its items with NULL predicates ignored (NULL when no
     item decides), without exploding the arrays.
     """
-    arr = F.col(items)
-    relevant = (F.col(event_name) == PURCHASE) & F.coalesce(F.size(arr) > 0, F.lit(False))
+    # Zip only the two fields the predicate reads, so the scan prunes the others.
+    arr = F.arrays_zip(F.col(f"{items}.item_name").alias("item_name"),
+                       F.col(f"{items}.item_category").alias("item_category"))
+    relevant = (F.col(event_name) == PURCHASE) & F.coalesce(F.size(F.col(f"{items}.item_name")) > 0, F.lit(False))
     no_false = F.forall(arr, lambda x: F.coalesce(item_is_repair(x, patterns), F.lit(True)))
     any_true = F.exists(arr, lambda x: F.coalesce(item_is_repair(x, patterns), F.lit(False)))
     return F.when(relevant, no_false), F.when(relevant, any_true)

@@ -52,6 +52,12 @@ def flat_column(name: str) -> Column:
         raise KeyError(f"unknown flat column {name!r}; known: {sorted(_FLAT)}") from None
 
 
+def item_fields(*fields: str, items: str = "items") -> Column:
+    """``items`` narrowed to the named struct fields (``arrays_zip`` of the projected
+    field arrays), so the Parquet scan reads only those leaves of the item struct."""
+    return F.arrays_zip(*[F.col(f"{items}.{f}").alias(f) for f in fields])
+
+
 def prepare(events: DataFrame, *names: str, **extra: Column) -> DataFrame:
     """Project ``events`` to the named flat columns plus ``extra`` expressions."""
     return events.select(*[flat_column(n).alias(n) for n in names],

@@ -72,11 +72,11 @@ def write_events(events: DataFrame, path: str, mode: str = "overwrite",
                  partitions: int | None = None) -> None:
     """Write events as Parquet partitioned by ``event_date``.
 
-    Rows are range-partitioned on (event_date, user_pseudo_id) first: every
-    writer task gets a contiguous slice of a few dates, so a large day is
-    spread over many tasks instead of landing in one, and files per date stay
-    few.
+    Rows are range-partitioned on (event_date, user_pseudo_id,
+    event_timestamp) first: every writer task gets a contiguous slice of a few
+    dates, a large day is spread over many tasks, and even a single user with
+    a huge share of a day is split by time, while files per date stay few.
     """
     n = partitions or events.sparkSession.sparkContext.defaultParallelism
-    (events.repartitionByRange(n, "event_date", "user_pseudo_id")
+    (events.repartitionByRange(n, "event_date", "user_pseudo_id", "event_timestamp")
      .write.mode(mode).partitionBy("event_date").parquet(path))
