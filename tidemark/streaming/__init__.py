@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The analytics being rebuilt have no streaming operator (no watermark, event
+time window, state or trigger); every operator is a batch DataFrame function.
+Applied to a micro-batch inside ``writeStream.foreachBatch`` they work
+unchanged, so nothing streaming-specific is needed here.
+"""
