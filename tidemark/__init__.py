@@ -19,6 +19,7 @@ from tidemark.operators.breakdowns import (
     device_performance,
     demographic_performance,
     normalize_demographics,
+    latest_item_names,
 )
 from tidemark.operators.bulk import bulk_order_items
 from tidemark.operators.alerts import revenue_share, change_alerts, AlertThresholds
@@ -29,6 +30,6 @@ __all__ = [
     "session_first_source", "filter_sessions", "session_channels",
     "repair_only_orders", "RepairPatterns",
     "product_performance", "product_post", "channel_performance", "geo_performance",
-    "device_performance", "demographic_performance", "normalize_demographics",
+    "device_performance", "demographic_performance", "normalize_demographics", "latest_item_names",
     "bulk_order_items", "revenue_share", "change_alerts", "AlertThresholds",
 ]

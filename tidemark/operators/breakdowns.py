@@ -111,6 +111,20 @@ def product_performance(events: DataFrame, cur: Period, prev: Period, k: int = 2
     )
 
 
+def latest_item_names(events: DataFrame, period: Period | None = None) -> DataFrame:
+    """``(item_id, product_name)``: each item's name at its greatest event date (ties: greatest name).
+
+    One ``groupBy(item_id)`` with ``max_by`` (combined map-side); items without an id form no row.
+    """
+    src = scan(events, period) if period else events
+    items = (prepare(src, "event_date", it=item_fields("item_id", "item_name"))
+             .select("event_date", F.explode("it").alias("it"))
+             .select("event_date", "it.item_id", "it.item_name")
+             .where(F.col("item_id").isNotNull()))
+    return items.groupBy("item_id").agg(
+        F.max_by("item_name", F.struct("event_date", "item_name")).alias("product_name"))
+
+
 def product_post(products: DataFrame) -> DataFrame:
     """Zero-fill, add session / quantity changes and revenue share of the kept rows, re-sort.
 

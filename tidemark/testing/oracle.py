@@ -467,6 +467,15 @@ def oracle_sql() -> dict[str, str]:
         "r1_not_in_null_aware": with_flat(base, base_items, repair)
         + f"\nSELECT event_timestamp, transaction_id, COALESCE(transaction_id NOT IN "
           f"(SELECT transaction_id FROM repair), false) AS kept FROM base WHERE {PURCHASE}",
+        "s1_events_per_day": with_flat(base) + "\nSELECT event_date, COUNT(*) AS events FROM base GROUP BY 1",
+        "f1_f4_date_buckets": with_flat(base, "days AS (SELECT DISTINCT event_date, "
+                                        "CAST(strptime(event_date, '%Y%m%d') AS DATE) AS d FROM base)")
+        + "\nSELECT event_date, " + ", ".join(f"CAST({GRAIN_SQL[g]} AS VARCHAR) AS {g}_label"
+                                               for g in ("daily", "weekly", "monthly")) + " FROM days",
+        "a11_latest_item_names": with_flat(PRODUCT_BODY.split(",\nm AS (")[0]) + "\nSELECT * FROM names",
+        "j5_purchase_items": with_flat() .rstrip(",")
+        + f"\nSELECT event_timestamp, transaction_id, item_id, item_name, price, quantity FROM ev_items "
+          f"WHERE {IN_C} AND {PURCHASE}",
         "w2_session_channels": with_flat(CHANNEL_BODY)
         + "\nSELECT DISTINCT user_pseudo_id, sid, final_source || ' / ' || final_medium AS channel FROM s",
     }

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import alerts, breakdowns, bulk, kpi, orders, sessions
 from tidemark.plans.periods import covering
-from tidemark.plans.prepare import prepare
+from tidemark.functions.dates import GRAINS, grain_start, parse_yyyymmdd
+from tidemark.plans.prepare import item_fields, prepare
 from tidemark.sources.events import scan
 from tidemark.sources.fixtures import build_events
 from tidemark.testing.params import BULK_MIN, CUR, PATTERNS, PREV, THRESHOLDS
@@ -49,6 +50,25 @@ def _q_not_in(spark: SparkSession, d: str) -> DataFrame:
     return orders.not_in_null_aware(purchases, "transaction_id", repair, "transaction_id", "kept")
 
 
+def _q_events_per_day(spark: SparkSession, d: str) -> DataFrame:
+    return (scan(_ev(spark, d), covering(CUR, PREV)).groupBy("event_date")
+            .agg(F.count(F.lit(1)).alias("events")))
+
+
+def _q_date_buckets(spark: SparkSession, d: str) -> DataFrame:
+    days = scan(_ev(spark, d), covering(CUR, PREV)).select("event_date").distinct()
+    day = parse_yyyymmdd(F.col("event_date"))
+    return days.select("event_date", *[grain_start(day, g).cast("string").alias(f"{g}_label") for g in GRAINS])
+
+
+def _q_purchase_items(spark: SparkSession, d: str) -> DataFrame:
+    src = scan(_ev(spark, d), CUR).where(F.col("event_name") == orders.PURCHASE)
+    return (prepare(src, "event_timestamp", "transaction_id",
+                    it=item_fields("item_id", "item_name", "price", "quantity"))
+            .select("event_timestamp", "transaction_id", F.explode("it").alias("it"))
+            .select("event_timestamp", "transaction_id", "it.item_id", "it.item_name", "it.price", "it.quantity"))
+
+
 def registry() -> dict[str, Query]:
     return {
         "q1_kpi_summary": lambda s, d: _summary(_ev(s, d)),
@@ -85,5 +105,9 @@ def registry() -> dict[str, Query]:
         "p3_multi_key_lookup": lambda s, d: prepare(_ev(s, d), "event_timestamp", "user_pseudo_id", "ep_gender",
                                                     "up_gender", "ep_age", "up_age"),
         "r1_not_in_null_aware": _q_not_in,
+        "s1_events_per_day": _q_events_per_day,
+        "f1_f4_date_buckets": _q_date_buckets,
+        "a11_latest_item_names": lambda s, d: breakdowns.latest_item_names(_ev(s, d), covering(CUR, PREV)),
+        "j5_purchase_items": _q_purchase_items,
         "w2_session_channels": lambda s, d: sessions.session_channels(_ev(s, d), covering(CUR, PREV)),
     }
