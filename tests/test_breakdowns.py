@@ -91,3 +91,13 @@ def test_demographic_and_channel_breakdowns(spark):
     dm = {r.demographic: r for r in demographic_performance(ev, CUR, PREV).collect()}
     assert dm["Male / Unknown"].current_revenue == Decimal("100.00")
     assert dm["Unknown / Unknown"].previous_revenue == Decimal("40.00")
+
+
+def test_fill_zero_option(spark):
+    rows = [event("20240110", 1, name="purchase", rev=10, device="mobile", country="KR", city="Seoul")]
+    ev = events_frame(spark, rows)
+    assert geo_performance(ev, CUR, PREV).first().revenue_change_pct is None
+    assert geo_performance(ev, CUR, PREV, fill_zero=True).first().revenue_change_pct == 0.0
+    assert device_performance(ev, CUR, PREV, fill_zero=True).first().revenue_change_pct == 0.0
+    got = geo_performance(ev, CUR, PREV, strategy="outer_join").first()
+    assert (got.location, got.current_revenue, got.revenue_change_pct) == ("KR / Seoul", Decimal("10.00"), None)

@@ -42,8 +42,14 @@ def _fill_zero(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.na.fill(0, subset=cols)
 
 
-def _top_then_resort(df: DataFrame, label: str, k: int | None, change: str = "revenue_change") -> DataFrame:
-    """Keep the ``k`` largest ``|change|`` rows, then order them by current revenue."""
+def _top_then_resort(df: DataFrame, label: str, k: int | None, change: str = "revenue_change",
+                     fill_zero: bool = False) -> DataFrame:
+    """Keep the ``k`` largest ``|change|`` rows, then order them by current revenue.
+
+    ``fill_zero`` turns NULL percentages (previous value 0) into 0.
+    """
+    if fill_zero:
+        df = _fill_zero(df, [c for c in df.columns if c.endswith("_pct")])
     if k is not None:
         df = df.orderBy(F.abs(F.col(change)).desc_nulls_last(), F.col(label).asc_nulls_first()).limit(k)
     return df.orderBy(F.col("current_revenue").desc_nulls_last(), F.col(label).asc_nulls_first())
@@ -67,7 +73,8 @@ def _with_session_changes(agg: DataFrame, label: str) -> DataFrame:
 
 # ---------------------------------------------------------------- product (Q9, Q10)
 
-def product_performance(events: DataFrame, cur: Period, prev: Period, k: int = 20) -> DataFrame:
+def product_performance(events: DataFrame, cur: Period, prev: Period, k: int = 20,
+                        fill_zero: bool = False) -> DataFrame:
     """Per item: revenue, sessions and quantity in both periods, named by its latest name.
 
     Items of every event in the covering range are exploded (events without
@@ -98,7 +105,7 @@ def product_performance(events: DataFrame, cur: Period, prev: Period, k: int = 2
     ).where((F.col("c_rev") > 0) | (F.col("p_rev") > 0))
     # One sort key for the cut and the display order: planned as a single TakeOrderedAndProject.
     top = agg.orderBy(F.col("c_rev").desc(), F.col("item_id")).limit(k)
-    return top.select(
+    out = top.select(
         "product_name",
         money(F.col("c_rev")).alias("current_revenue"),
         money(F.col("p_rev")).alias("previous_revenue"),
@@ -109,6 +116,7 @@ def product_performance(events: DataFrame, cur: Period, prev: Period, k: int = 2
         F.col("c_qty").alias("current_quantity"),
         F.col("p_qty").alias("previous_quantity"),
     )
+    return _fill_zero(out, ["revenue_change_pct"]) if fill_zero else out
 
 
 def latest_item_names(events: DataFrame, period: Period | None = None) -> DataFrame:
@@ -142,7 +150,8 @@ def product_post(products: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- channel (Q11)
 
-def channel_performance(events: DataFrame, cur: Period, prev: Period, k: int = 10) -> DataFrame:
+def channel_performance(events: DataFrame, cur: Period, prev: Period, k: int = 10,
+                        fill_zero: bool = False) -> DataFrame:
     """Per ``source / medium`` channel of the session's first non-blank values.
 
     Two aggregations and no join: per session (channel inputs, per-period
@@ -169,7 +178,7 @@ def channel_performance(events: DataFrame, cur: Period, prev: Period, k: int = 1
                 F.count_distinct(F.when(F.col("c_any"), skey)).alias("c_ses"),
                 F.count_distinct(F.when(F.col("p_any"), skey)).alias("p_ses"))
            .where((F.col("c_rev") > 0) | (F.col("p_rev") > 0) | (F.col("c_ses") > 0) | (F.col("p_ses") > 0)))
-    return _top_then_resort(_with_session_changes(agg, "channel"), "channel", k)
+    return _top_then_resort(_with_session_changes(agg, "channel"), "channel", k, fill_zero=fill_zero)
 
 
 # ---------------------------------------------------------------- geo / device (Q12, Q13)
@@ -184,6 +193,23 @@ def _purchase_revenue_by(events: DataFrame, cur: Period, prev: Period, key: Colu
         F.count_if(in_c).alias("c_n"), F.count_if(in_p).alias("p_n"))
 
 
+def _purchase_revenue_outer_join(events: DataFrame, cur: Period, prev: Period, key: Column, label: str,
+                                 null_safe: bool) -> DataFrame:
+    """Two one-period aggregates full-outer-joined on the key (plain ``=`` unless ``null_safe``).
+
+    Each side scans only its own period's partitions and is aggregated
+    (map-side combined) before the join, so the join sees one row per key.
+    """
+    def side(period: Period, name: str) -> DataFrame:
+        flat = prepare(scan(events, period), "event_name", "purchase_revenue", "country", "city",
+                       "device").where(_is_purchase())
+        return flat.groupBy(key.alias(f"{name}_k")).agg(F.sum("purchase_revenue").alias(f"{name}_rev"))
+
+    c, p = side(cur, "c"), side(prev, "p")
+    cond = c["c_k"].eqNullSafe(p["p_k"]) if null_safe else c["c_k"] == p["p_k"]
+    return c.join(p, cond, "full_outer").select(F.coalesce("c_k", "p_k").alias(label), "c_rev", "p_rev")
+
+
 def _revenue_changes(agg: DataFrame, label: str) -> DataFrame:
     c = F.coalesce(F.col("c_rev"), F.lit(0))
     p = F.coalesce(F.col("p_rev"), F.lit(0))
@@ -191,24 +217,45 @@ def _revenue_changes(agg: DataFrame, label: str) -> DataFrame:
                       money(c - p).alias("revenue_change"), pct_change(c, p).alias("revenue_change_pct"))
 
 
-def geo_performance(events: DataFrame, cur: Period, prev: Period, k: int = 10) -> DataFrame:
+STRATEGIES = ("conditional", "outer_join")
+
+
+def _check_strategy(strategy: str) -> None:
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}; expected one of {STRATEGIES}")
+
+
+def geo_performance(events: DataFrame, cur: Period, prev: Period, k: int = 10,
+                    strategy: str = "conditional", fill_zero: bool = False) -> DataFrame:
     """Purchase revenue per ``country / city`` ('Unknown' for missing parts), top ``k`` by |change|.
 
-    Scans only the two periods' partitions (gap days skipped).
+    Scans only the two periods' partitions (gap days skipped).  ``strategy``:
+    ``conditional`` (one scan, conditional sums) or ``outer_join`` (one
+    aggregate per period, full outer join on the location); same result.
     """
+    _check_strategy(strategy)
     loc = F.concat(F.coalesce(F.col("country"), F.lit(UNKNOWN)), F.lit(" / "),
                    F.coalesce(F.col("city"), F.lit(UNKNOWN)))
-    agg = _purchase_revenue_by(events, cur, prev, loc, "location").where((F.col("c_n") > 0) | (F.col("p_n") > 0))
-    return _top_then_resort(_revenue_changes(agg, "location"), "location", k)
+    if strategy == "outer_join":
+        agg = _purchase_revenue_outer_join(events, cur, prev, loc, "location", null_safe=False)
+    else:
+        agg = _purchase_revenue_by(events, cur, prev, loc, "location").where((F.col("c_n") > 0) | (F.col("p_n") > 0))
+    return _top_then_resort(_revenue_changes(agg, "location"), "location", k, fill_zero=fill_zero)
 
 
-def device_performance(events: DataFrame, cur: Period, prev: Period, null_safe: bool = False) -> DataFrame:
+def device_performance(events: DataFrame, cur: Period, prev: Period, null_safe: bool = False,
+                       strategy: str = "conditional", fill_zero: bool = False) -> DataFrame:
     """Purchase revenue per device category, all categories.
 
     A NULL category never equals itself in the two-period outer match, so by
     default NULL yields separate current-only and previous-only rows;
-    ``null_safe=True`` merges them into one row.
+    ``null_safe=True`` merges them into one row.  ``strategy`` as for
+    ``geo_performance``.
     """
+    _check_strategy(strategy)
+    if strategy == "outer_join":
+        agg = _purchase_revenue_outer_join(events, cur, prev, F.col("device"), "device", null_safe)
+        return _top_then_resort(_revenue_changes(agg, "device"), "device", None, fill_zero=fill_zero)
     agg = _purchase_revenue_by(events, cur, prev, F.col("device"), "device")
     if not null_safe:
         split = F.when(F.col("device").isNull(), F.array(F.lit("c"), F.lit("p"))).otherwise(F.array(F.lit("b")))
@@ -217,7 +264,7 @@ def device_performance(events: DataFrame, cur: Period, prev: Period, null_safe:
                .where((side == "b") | ((side == "c") & (F.col("c_n") > 0)) | ((side == "p") & (F.col("p_n") > 0)))
                .withColumn("c_rev", F.when(side != "p", F.col("c_rev")))
                .withColumn("p_rev", F.when(side != "c", F.col("p_rev"))))
-    return _top_then_resort(_revenue_changes(agg, "device"), "device", None)
+    return _top_then_resort(_revenue_changes(agg, "device"), "device", None, fill_zero=fill_zero)
 
 
 # ---------------------------------------------------------------- demographics (Q14, Q15)
@@ -252,7 +299,8 @@ def normalize_demographics(events: DataFrame, period: Period | None = None) -> D
                        d["gender"].alias("gender"), d["age"].alias("age"), d["demographic"].alias("demographic"))
 
 
-def demographic_performance(events: DataFrame, cur: Period, prev: Period, k: int = 10) -> DataFrame:
+def demographic_performance(events: DataFrame, cur: Period, prev: Period, k: int = 10,
+                            fill_zero: bool = False) -> DataFrame:
     """Per ``gender / age`` label: purchase revenue and sessions in both periods, top ``k`` by |change|."""
     rng = covering(cur, prev)
     flat = prepare(scan(events, rng), "event_date", "user_pseudo_id", "sid", "event_name", "purchase_revenue",
@@ -267,4 +315,4 @@ def demographic_performance(events: DataFrame, cur: Period, prev: Period, k: int
         F.count_distinct(F.when(in_c, skey)).alias("c_ses"),
         F.count_distinct(F.when(in_p, skey)).alias("p_ses"),
     )
-    return _top_then_resort(_with_session_changes(agg, "demographic"), "demographic", k)
+    return _top_then_resort(_with_session_changes(agg, "demographic"), "demographic", k, fill_zero=fill_zero)

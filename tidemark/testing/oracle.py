@@ -451,6 +451,11 @@ def oracle_sql() -> dict[str, str]:
         "q13_device_performance_null_safe": with_flat(DEVICE_BODY.replace("ON c.k = p.k",
                                                                           "ON c.k IS NOT DISTINCT FROM p.k"))
         + "\nSELECT * FROM dev",
+        "j3_geo_outer_join": with_flat(GEO_BODY) + "\nSELECT * FROM geo",
+        "j3_device_outer_join": with_flat(DEVICE_BODY) + "\nSELECT * FROM dev",
+        "j3_device_outer_join_null_safe": with_flat(DEVICE_BODY.replace("ON c.k = p.k",
+                                                                        "ON c.k IS NOT DISTINCT FROM p.k"))
+        + "\nSELECT * FROM dev",
         "q14_demographic_performance": with_flat(DEMO_BODY) + "\nSELECT * FROM demo",
         "q15_normalize_demographics": with_flat(DEMO_BASE)
         + f"\nSELECT event_date, user_pseudo_id, sid, event_name, {demo_cols} AS gender, "

@@ -91,6 +91,11 @@ def registry() -> dict[str, Query]:
         "q13_device_performance": lambda s, d: breakdowns.device_performance(_ev(s, d), CUR, PREV),
         "q13_device_performance_null_safe": lambda s, d: breakdowns.device_performance(
             _ev(s, d), CUR, PREV, null_safe=True),
+        "j3_geo_outer_join": lambda s, d: breakdowns.geo_performance(_ev(s, d), CUR, PREV, strategy="outer_join"),
+        "j3_device_outer_join": lambda s, d: breakdowns.device_performance(
+            _ev(s, d), CUR, PREV, strategy="outer_join"),
+        "j3_device_outer_join_null_safe": lambda s, d: breakdowns.device_performance(
+            _ev(s, d), CUR, PREV, null_safe=True, strategy="outer_join"),
         "q14_demographic_performance": lambda s, d: breakdowns.demographic_performance(_ev(s, d), CUR, PREV),
         "q15_normalize_demographics": lambda s, d: breakdowns.normalize_demographics(_ev(s, d), covering(CUR, PREV)),
         "q16_bulk_order_items": lambda s, d: bulk.bulk_order_items(_ev(s, d), CUR, BULK_MIN),
