@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.arith import money, pct_change, share_pct
 from tidemark.operators.kpi import session_key
 from tidemark.operators.orders import PURCHASE
-from tidemark.operators.sessions import SESSION_KEY, channel_label, channel_medium, channel_source, earliest
+from tidemark.operators.sessions import SESSION_KEY, channel_grain, channel_label, earliest
 from tidemark.plans.periods import Period, covering
 from tidemark.plans.prepare import item_fields, prepare
 from tidemark.sources.events import scan
@@ -94,8 +94,7 @@ def product_performance(events: DataFrame, cur: Period, prev: Period, k: int = 2
     line = F.coalesce(F.col("price"), F.lit(0)) * F.coalesce(F.col("quantity"), F.lit(0))
     qty = F.coalesce(F.col("quantity"), F.lit(0))
     skey = session_key(F.col("user_pseudo_id"), F.col("sid"))
-    agg = items.groupBy("item_id").agg(
-        F.max_by("item_name", F.struct("event_date", "item_name")).alias("product_name"),
+    metrics = items.groupBy("item_id").agg(
         F.sum(F.when(in_c & p, line).otherwise(0)).alias("c_rev"),
         F.sum(F.when(in_p & p, line).otherwise(0)).alias("p_rev"),
         F.count_distinct(F.when(in_c, skey)).alias("c_ses"),
@@ -103,6 +102,8 @@ def product_performance(events: DataFrame, cur: Period, prev: Period, k: int = 2
         F.sum(F.when(in_c & p, qty).otherwise(0)).alias("c_qty"),
         F.sum(F.when(in_p & p, qty).otherwise(0)).alias("p_qty"),
     ).where((F.col("c_rev") > 0) | (F.col("p_rev") > 0))
+    # Hash metrics ⋈ latest names, both one row per item id (the join drops the NULL id).
+    agg = metrics.join(latest_item_names(events, rng), "item_id")
     # One sort key for the cut and the display order: planned as a single TakeOrderedAndProject.
     top = agg.orderBy(F.col("c_rev").desc(), F.col("item_id")).limit(k)
     out = top.select(
@@ -129,8 +130,12 @@ def latest_item_names(events: DataFrame, period: Period | None = None) -> DataFr
              .select("event_date", F.explode("it").alias("it"))
              .select("event_date", "it.item_id", "it.item_name")
              .where(F.col("item_id").isNotNull()))
-    return items.groupBy("item_id").agg(
-        F.max_by("item_name", F.struct("event_date", "item_name")).alias("product_name"))
+    # Hash pre-aggregation to distinct (item, name) with the name's last date
+    # (as an int, so the buffer stays fixed-width), then the string-valued
+    # max_by runs on those few rows per item.
+    last = items.groupBy("item_id", "item_name").agg(F.max(F.col("event_date").cast("int")).alias("_d"))
+    return last.groupBy("item_id").agg(
+        F.max_by("item_name", F.struct("_d", "item_name")).alias("product_name"))
 
 
 def product_post(products: DataFrame) -> DataFrame:
@@ -164,13 +169,17 @@ def channel_performance(events: DataFrame, cur: Period, prev: Period, k: int = 1
     in_c, in_p = cur.contains("event_date"), prev.contains("event_date")
     rev0 = F.coalesce(F.col("purchase_revenue"), F.lit(0))
     p = _is_purchase()
-    per_session = flat.groupBy(*SESSION_KEY).agg(
-        earliest(channel_source()).alias("_s"),
-        earliest(channel_medium()).alias("_m"),
-        F.sum(F.when(in_c & p, rev0).otherwise(0)).alias("c_rev"),
-        F.sum(F.when(in_p & p, rev0).otherwise(0)).alias("p_rev"),
-        F.bool_or(in_c).alias("c_any"),
-        F.bool_or(in_p).alias("p_any"),
+    grain = channel_grain(flat,
+                          c_rev=F.sum(F.when(in_c & p, rev0).otherwise(0)),
+                          p_rev=F.sum(F.when(in_p & p, rev0).otherwise(0)),
+                          c_any=F.bool_or(in_c), p_any=F.bool_or(in_p))
+    per_session = grain.groupBy(*SESSION_KEY).agg(
+        earliest(F.col("_s"), "_t").alias("_s"),
+        earliest(F.col("_m"), "_t").alias("_m"),
+        F.sum("c_rev").alias("c_rev"),
+        F.sum("p_rev").alias("p_rev"),
+        F.bool_or("c_any").alias("c_any"),
+        F.bool_or("p_any").alias("p_any"),
     )
     skey = session_key(F.col("user_pseudo_id"), F.col("sid"), "-")
     agg = (per_session.groupBy(channel_label(F.col("_s"), F.col("_m")).alias("channel"))

@@ -43,12 +43,19 @@ def source_of_event() -> Column:
 
 
 def session_first_source(events: DataFrame, period: Period | None = None) -> DataFrame:
-    """``(user_pseudo_id, sid, first_source)``: source of each session's first event."""
+    """``(user_pseudo_id, sid, first_source)``: source of each session's first event.
+
+    Two aggregation levels: a hash aggregate on ``(user, sid, source)`` keeps
+    each distinct source's earliest time (string keys hash fine, only string
+    *buffers* force sort-based aggregation), then the sort-based "earliest
+    value" aggregate runs on those few rows per session.
+    """
     src = scan(events, period) if period else events
     flat = prepare(src, "user_pseudo_id", "sid", "event_timestamp", "param_source", "ts_source")
-    return (flat.withColumn("_src", source_of_event())
+    return (flat.groupBy(*SESSION_KEY, source_of_event().alias("_src"))
+            .agg(F.min("event_timestamp").alias("_t"))
             .groupBy(*SESSION_KEY)
-            .agg(earliest(F.col("_src")).alias("first_source")))
+            .agg(earliest(F.col("_src"), "_t").alias("first_source")))
 
 
 def filter_sessions(first_source: DataFrame, sources: Iterable[str] = STORE_SOURCES,
@@ -79,10 +86,22 @@ def session_channels(events: DataFrame, period: Period | None = None) -> DataFra
     """``(user_pseudo_id, sid, channel)``: first non-blank source / medium of each session."""
     src = scan(events, period) if period else events
     flat = prepare(src, "user_pseudo_id", "sid", "event_timestamp", "ts_source", "ts_medium")
-    return (flat.groupBy(*SESSION_KEY)
-            .agg(earliest(channel_source()).alias("_s"), earliest(channel_medium()).alias("_m"))
+    return (channel_grain(flat)
+            .groupBy(*SESSION_KEY)
+            .agg(earliest(F.col("_s"), "_t").alias("_s"), earliest(F.col("_m"), "_t").alias("_m"))
             .select(*SESSION_KEY, channel_label(F.col("_s"), F.col("_m")).alias("channel")))
 
 
+def channel_grain(flat: DataFrame, **sums: Column) -> DataFrame:
+    """Hash pre-aggregation on ``(user, sid, clean source, clean medium)``: earliest time plus ``sums``.
+
+    The per-session "first non-blank value" aggregate that follows is sort-based
+    (string buffers); it then sees one row per distinct (source, medium) of a
+    session instead of one row per event.
+    """
+    return (flat.groupBy(*SESSION_KEY, channel_source().alias("_s"), channel_medium().alias("_m"))
+            .agg(F.min("event_timestamp").alias("_t"), *[c.alias(k) for k, c in sums.items()]))
+
+
 def channel_label(first_src: Column, first_medium: Column) -> Column:
     return F.concat(F.coalesce(first_src, F.lit(DIRECT)), F.lit(" / "), F.coalesce(first_medium, F.lit(NO_MEDIUM)))

@@ -20,7 +20,8 @@ RECOMMENDED_CONF = {
 }
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tidemark") -> SparkSession:
+def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tidemark",
+                  extra_conf: dict[str, str] | None = None) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -30,7 +31,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tid
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
     )
-    for k, v in RECOMMENDED_CONF.items():
+    for k, v in {**RECOMMENDED_CONF, **(extra_conf or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
