@@ -14,8 +14,3 @@ def trim_ws(c: Column) -> Column:
 def blank_to_null(c: Column) -> Column:
     """``NULLIF(TRIM(COALESCE(c, '')), '')``."""
     return F.nullif(trim_ws(F.coalesce(c, F.lit(""))), F.lit(""))
-
-
-def contains_pattern(c: Column, pattern: str) -> Column:
-    """Unanchored regular-expression match; NULL in gives NULL out."""
-    return c.rlike(pattern)

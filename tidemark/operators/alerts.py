@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.arith import ratio, share_pct
+from tidemark.functions.arith import share_pct
 from tidemark.plans.periods import CURRENT, PREVIOUS
 
 ALERT_COLUMNS = ["rule", "rank", "subject", "direction", "change", "change_pct"]

@@ -26,13 +26,6 @@ UNKNOWN = "Unknown"
 MALE_CODES = ("male", "m", "male_ko", "1")
 FEMALE_CODES = ("female", "f", "female_ko", "2")
 
-PRODUCT_COLUMNS = ["product_name", "current_revenue", "previous_revenue", "revenue_change",
-                   "revenue_change_pct", "current_sessions", "previous_sessions",
-                   "current_quantity", "previous_quantity"]
-SESSION_BREAKDOWN_TAIL = ["current_revenue", "previous_revenue", "revenue_change", "revenue_change_pct",
-                          "current_sessions", "previous_sessions", "sessions_change", "sessions_change_pct"]
-REVENUE_BREAKDOWN_TAIL = ["current_revenue", "previous_revenue", "revenue_change", "revenue_change_pct"]
-
 
 def _is_purchase() -> Column:
     return F.col("event_name") == PURCHASE
@@ -123,7 +116,7 @@ def product_performance(events: DataFrame, cur: Period, prev: Period, k: int = 2
 def latest_item_names(events: DataFrame, period: Period | None = None) -> DataFrame:
     """``(item_id, product_name)``: each item's name at its greatest event date (ties: greatest name).
 
-    One ``groupBy(item_id)`` with ``max_by`` (combined map-side); items without an id form no row.
+    Items without an id form no row.
     """
     src = scan(events, period) if period else events
     items = (prepare(src, "event_date", it=item_fields("item_id", "item_name"))

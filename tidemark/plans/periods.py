@@ -44,9 +44,3 @@ def covering(cur: Period, prev: Period) -> Period:
 def period_type(cur: Period, date_col: str | Column = "event_date") -> Column:
     """'Current' inside the current period, else 'Previous' (gap days included)."""
     return F.when(cur.contains(date_col), F.lit(CURRENT)).otherwise(F.lit(PREVIOUS))
-
-
-def period_type_strict(cur: Period, prev: Period, date_col: str | Column = "event_date") -> Column:
-    """'Current' / 'Previous' by explicit membership; NULL outside both (current wins on overlap)."""
-    return (F.when(cur.contains(date_col), F.lit(CURRENT))
-            .when(prev.contains(date_col), F.lit(PREVIOUS)))

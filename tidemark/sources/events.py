@@ -8,7 +8,6 @@ range filters on it prune partitions.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.plans.periods import Period

@@ -63,8 +63,8 @@ ev_items AS (
 )"""
 
 
-def with_flat(*ctes: str) -> str:
-    return "WITH " + ",\n".join((FLAT,) + ctes)
+def with_flat(*ctes: str, flat: str = FLAT) -> str:
+    return "WITH " + ",\n".join((flat,) + ctes)
 
 
 def cents(x: str) -> str:
@@ -128,7 +128,7 @@ SELECT CASE WHEN {IN_C} THEN 'Current' ELSE 'Previous' END AS type,
 FROM {base} GROUP BY 1"""
 
 
-def kpi_sql(source: str = "all") -> str:
+def kpi_sql(source: str = "all", flat: str = FLAT) -> str:
     ctes = [f"base AS (SELECT * FROM ev WHERE event_date BETWEEN '{LO}' AND '{HI}')"]
     name = "base"
     if source != "all":
@@ -141,7 +141,7 @@ def kpi_sql(source: str = "all") -> str:
     ctes.append(f"""{name}_items AS (
   SELECT b.*, i.item_id, i.item_name, i.item_category FROM {name} b
   JOIN items_x i ON i.order_key = b.event_id WHERE b.has_items)""")
-    return with_flat(*ctes, _kpi_body(name))
+    return with_flat(*ctes, _kpi_body(name), flat=flat)
 
 
 GRAIN_SQL = {
