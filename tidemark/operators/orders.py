@@ -77,18 +77,15 @@ def not_in_null_aware(left: DataFrame, left_col: str, right: DataFrame, right_co
 
     SQL semantics: an empty set keeps every row (NULL keys too); otherwise a
     NULL key, a key in the set, or any NULL in the set gives not-kept.  Planned
-    as an equi left join on distinct non-NULL set keys (shuffle or broadcast by
-    size, never a nested-loop existence join) plus one global one-row
-    aggregate joined on a constant key.
+    as an equi left join on the distinct non-NULL set keys (shuffle or
+    broadcast by measured size, never a nested-loop existence join) plus two
+    uncorrelated scalar subqueries (set size, set has NULL) that Catalyst
+    merges into one global aggregate evaluated once.
     """
     keys = right.select(F.col(right_col).alias("_nin_key"))
-    stats = keys.agg(F.count(F.lit(1)).alias("_nin_n"),
-                     F.coalesce(F.bool_or(F.col("_nin_key").isNull()), F.lit(False)).alias("_nin_has_null"),
-                     F.lit(1).alias("_nin_one"))
+    n = keys.select(F.count(F.lit(1))).scalar()
+    has_null = keys.select(F.coalesce(F.bool_or(F.col("_nin_key").isNull()), F.lit(False))).scalar()
     hits = keys.where(F.col("_nin_key").isNotNull()).distinct().withColumn("_nin_hit", F.lit(True))
-    joined = (left.join(hits, left[left_col] == hits["_nin_key"], "left")
-              .withColumn("_nin_one", F.lit(1))
-              .join(F.broadcast(stats), "_nin_one"))
-    keep = ((F.col("_nin_n") == 0)
-            | (F.col(left_col).isNotNull() & ~F.col("_nin_has_null") & F.col("_nin_hit").isNull()))
-    return joined.withColumn(out, keep).drop("_nin_key", "_nin_hit", "_nin_n", "_nin_has_null", "_nin_one")
+    joined = left.join(hits, left[left_col] == hits["_nin_key"], "left")
+    keep = (n == 0) | (F.col(left_col).isNotNull() & ~has_null & F.col("_nin_hit").isNull())
+    return joined.withColumn(out, keep).drop("_nin_key", "_nin_hit")
