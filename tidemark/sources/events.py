@@ -71,11 +71,18 @@ def write_events(events: DataFrame, path: str, mode: str = "overwrite",
                  partitions: int | None = None) -> None:
     """Write events as Parquet partitioned by ``event_date``.
 
-    Rows are range-partitioned on (event_date, user_pseudo_id,
-    event_timestamp) first: every writer task gets a contiguous slice of a few
-    dates, a large day is spread over many tasks, and even a single user with
-    a huge share of a day is split by time, while files per date stay few.
+    Without ``partitions`` the rows are redistributed with the REBALANCE hint on
+    ``event_date``: AQE sizes the write partitions from the real data (splitting
+    a large day over many tasks, merging small ones) at its advisory partition
+    size.  With ``partitions`` they are range-partitioned on (event_date,
+    user_pseudo_id, event_timestamp) into that many tasks, so even one user
+    with a huge share of a day is split by time.  Either way rows are sorted
+    within each task by (event_date, user_pseudo_id, event_timestamp), which
+    clusters each file by user for Parquet min/max statistics.
     """
-    n = partitions or events.sparkSession.sparkContext.defaultParallelism
-    (events.repartitionByRange(n, "event_date", "user_pseudo_id", "event_timestamp")
-     .write.mode(mode).partitionBy("event_date").parquet(path))
+    order = ["event_date", "user_pseudo_id", "event_timestamp"]
+    if partitions is None:
+        spread = events.hint("rebalance", "event_date")
+    else:
+        spread = events.repartitionByRange(partitions, *order)
+    spread.sortWithinPartitions(*order).write.mode(mode).partitionBy("event_date").parquet(path)
