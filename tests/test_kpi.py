@@ -144,3 +144,28 @@ def test_session_key_without_separator_collides(spark):
     # N13: 'u1'+'23' and 'u12'+'3' give one distinct concatenated key
     rows = [event("20240110", 1, "u1", sid=23), event("20240110", 2, "u12", sid=3)]
     assert _kpi(spark, rows)["Current"].sessions == 1
+
+
+def test_overlapping_periods_count_once_in_summary_twice_in_breakdowns(spark):
+    # N3: an event inside both periods is Current in the summary but counts in both breakdown periods
+    from tidemark import channel_performance
+    cur, prev = Period("20240110", "20240112"), Period("20240111", "20240113")
+    rows = [event("20240111", 1, "u1", "purchase", tx="T1", rev=10, sid=1, items=[CHAIR_ITEM])]
+    ev = events_frame(spark, rows)
+    k = {r.type: r for r in kpi_summary(ev, cur, prev, "all", 1000, PATS).collect()}
+    assert set(k) == {"Current"} and k["Current"].revenue == Decimal("10.00")
+    ch = channel_performance(ev, cur, prev).first()
+    assert (ch.current_revenue, ch.previous_revenue, ch.current_sessions, ch.previous_sessions) == \
+        (Decimal("10.00"), Decimal("10.00"), 1, 1)
+
+
+def test_source_trend_attributes_over_current_period_only(spark):
+    # N12: the session started from a store source in the comparison range, then continued online;
+    # the summary (covering range) calls it a store session, the trend (current only) an online one
+    rows = [event("20240103", 1, "u1", "page_view", sid=5, source="QR_Store_247486"),
+            event("20240110", 2, "u1", "page_view", sid=5, source="google")]
+    ev = events_frame(spark, rows)
+    store_kpi = {r.type: r for r in kpi_summary(ev, CUR, PREV, "store", 1000, PATS).collect()}
+    assert store_kpi["Current"].sessions == 1
+    assert trend(ev, CUR, "daily", "store").collect() == []
+    assert [r.sessions for r in trend(ev, CUR, "daily", "online").collect()] == [1]
