@@ -38,3 +38,18 @@ def test_daily_trend_sums_to_current_revenue(ev):
 def test_product_share_sums_to_100(ev):
     shares = [r.revenue_share for r in product_post(product_performance(ev, CUR, PREV)).collect()]
     assert abs(sum(shares) - 100.0) <= 0.05 * len(shares)
+
+
+def test_dashboard_render_matches_individual_queries(spark, ev):
+    from tidemark import change_alerts, channel_performance, dashboard, demographic_performance, geo_performance
+    from tidemark.testing.params import THRESHOLDS
+    d = dashboard(ev, CUR, PREV, "all", "weekly", BULK_MIN, PATTERNS, THRESHOLDS)
+    direct = change_alerts(kpi_summary(ev, CUR, PREV, "all", BULK_MIN, PATTERNS),
+                           product_post(product_performance(ev, CUR, PREV)), channel_performance(ev, CUR, PREV),
+                           demographic_performance(ev, CUR, PREV), geo_performance(ev, CUR, PREV), THRESHOLDS)
+    assert sorted(map(tuple, d.alerts.collect()), key=str) == sorted(map(tuple, direct.collect()), key=str)
+    assert d.alerts.count() > 0
+    assert [r.period_label for r in d.trend.collect()] == ["2024-01-14", "2024-01-21", "2024-01-28"]
+    assert {r.kpi for r in d.derived.collect()} >= {"revenue", "aov", "conversion_rate"}
+    assert set(d.frames()) == {"summary", "derived", "trend", "products", "channels", "regions", "devices",
+                               "demographics", "bulk_items", "alerts"}

@@ -23,6 +23,7 @@ from tidemark.operators.breakdowns import (
 )
 from tidemark.operators.bulk import bulk_order_items
 from tidemark.operators.alerts import revenue_share, change_alerts, AlertThresholds
+from tidemark.operators.dashboard import Dashboard, dashboard
 
 __all__ = [
     "Period", "EVENTS_SCHEMA", "read_events", "scan", "write_events",
@@ -31,5 +32,5 @@ __all__ = [
     "repair_only_orders", "RepairPatterns",
     "product_performance", "product_post", "channel_performance", "geo_performance",
     "device_performance", "demographic_performance", "normalize_demographics", "latest_item_names",
-    "bulk_order_items", "revenue_share", "change_alerts", "AlertThresholds",
+    "bulk_order_items", "revenue_share", "change_alerts", "AlertThresholds", "Dashboard", "dashboard",
 ]
