@@ -12,6 +12,7 @@ uncached frame would compute it twice: once to count, once to write.)
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
@@ -46,40 +47,44 @@ class Dashboard:
 
 def dashboard(events: DataFrame, cur: Period, prev: Period, source: str = "all", grain: str = "daily",
               bulk_min: float = BULK_MIN_REVENUE, patterns: RepairPatterns = RepairPatterns(),
-              thresholds: AlertThresholds = AlertThresholds(), materialize: bool = True) -> Dashboard:
+              thresholds: AlertThresholds = AlertThresholds(), materialize: bool = True,
+              parallelism: int = 4) -> Dashboard:
     """All results of one render.
 
     ``source`` applies to the summary and the trend; breakdowns and bulk items
     cover all sources.  With ``materialize`` (default) the base results are
-    written at once (this runs their jobs) and everything derived reads them;
+    written at once (this runs their jobs, up to ``parallelism`` of them
+    concurrently on the shared session) and everything derived reads them;
     without it every frame stays lazy.
     """
-    folder = f"{ensure_checkpoint_dir(events.sparkSession)}/tidemark-render-{uuid.uuid4().hex}" if materialize else ""
+    by_revenue = lambda label: (F.col("current_revenue").desc_nulls_last(), F.col(label).asc_nulls_first())
+    base: dict[str, tuple[DataFrame, tuple[Column, ...]]] = {
+        "summary": (kpi_summary(events, cur, prev, source, bulk_min, patterns), (F.col("type"),)),
+        "trend": (trend_conversion(trend(events, cur, grain, source)), (F.col("period_label"),)),
+        "products": (product_post(product_performance(events, cur, prev)), by_revenue("product_name")),
+        "channels": (channel_performance(events, cur, prev), by_revenue("channel")),
+        "regions": (geo_performance(events, cur, prev), by_revenue("location")),
+        "devices": (device_performance(events, cur, prev), by_revenue("device")),
+        "demographics": (demographic_performance(events, cur, prev), by_revenue("demographic")),
+        "bulk_items": (bulk_order_items(events, cur, bulk_min),
+                       (F.col("item_revenue").desc_nulls_last(), F.col("product_name").asc_nulls_first())),
+    }
+    if materialize:
+        spark = events.sparkSession
+        folder = f"{ensure_checkpoint_dir(spark)}/tidemark-render-{uuid.uuid4().hex}"
 
-    def keep(df: DataFrame, name: str, *order: Column) -> DataFrame:
-        if not materialize:
-            return df
-        path = f"{folder}/{name}"
-        df.write.parquet(path)
-        back = events.sparkSession.read.parquet(path)
-        return back.orderBy(*order) if order else back
+        def write(name: str) -> str:
+            base[name][0].write.parquet(f"{folder}/{name}")
+            return name
 
-    by_revenue = lambda label: (F.col("current_revenue").desc_nulls_last(), F.col(label).asc_nulls_first())
-    summary = keep(kpi_summary(events, cur, prev, source, bulk_min, patterns), "summary", F.col("type"))
-    products = keep(product_post(product_performance(events, cur, prev)), "products", *by_revenue("product_name"))
-    channels = keep(channel_performance(events, cur, prev), "channels", *by_revenue("channel"))
-    regions = keep(geo_performance(events, cur, prev), "regions", *by_revenue("location"))
-    demographics = keep(demographic_performance(events, cur, prev), "demographics", *by_revenue("demographic"))
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            list(pool.map(write, base))
+        frames = {name: spark.read.parquet(f"{folder}/{name}").orderBy(*order) for name, (_, order) in base.items()}
+    else:
+        frames = {name: df for name, (df, _) in base.items()}
     return Dashboard(
-        summary=summary,
-        derived=kpi_derived(summary),
-        trend=keep(trend_conversion(trend(events, cur, grain, source)), "trend", F.col("period_label")),
-        products=products,
-        channels=channels,
-        regions=regions,
-        devices=keep(device_performance(events, cur, prev), "devices", *by_revenue("device")),
-        demographics=demographics,
-        bulk_items=keep(bulk_order_items(events, cur, bulk_min), "bulk_items",
-                        F.col("item_revenue").desc_nulls_last(), F.col("product_name").asc_nulls_first()),
-        alerts=change_alerts(summary, products, channels, demographics, regions, thresholds),
+        derived=kpi_derived(frames["summary"]),
+        alerts=change_alerts(frames["summary"], frames["products"], frames["channels"], frames["demographics"],
+                             frames["regions"], thresholds),
+        **frames,
     )
