@@ -1,5 +1,3 @@
-from decimal import Decimal
-
 from tidemark import (Period, bulk_order_items, channel_performance, demographic_performance, device_performance,
                       geo_performance, normalize_demographics, product_performance, product_post, revenue_share)
 from tidemark.testing.frames import event, events_frame
@@ -13,9 +11,9 @@ def test_device_null_rows_split_or_merged(spark):
             event("20240110", 3, name="purchase", rev=5, device="mobile")]
     ev = events_frame(spark, rows)
     split = [(r.device, r.current_revenue, r.previous_revenue) for r in device_performance(ev, CUR, PREV).collect()]
-    assert sorted(split, key=str) == sorted([(None, Decimal("10.00"), Decimal("0.00")),
-                                             (None, Decimal("0.00"), Decimal("4.00")),
-                                             ("mobile", Decimal("5.00"), Decimal("0.00"))], key=str)
+    assert sorted(split, key=str) == sorted([(None, 10.0, 0.0),
+                                             (None, 0.0, 4.0),
+                                             ("mobile", 5.0, 0.0)], key=str)
     merged = device_performance(ev, CUR, PREV, null_safe=True).collect()
     assert len(merged) == 2
 
@@ -25,7 +23,7 @@ def test_geo_unknown_default_and_pct_null_on_zero(spark):
             event("20240101", 2, name="purchase", rev=None, country="KR", city="Busan")]
     got = {r.location: r for r in geo_performance(events_frame(spark, rows), CUR, PREV).collect()}
     assert got["Unknown / Seoul"].revenue_change_pct is None
-    assert got["KR / Busan"].previous_revenue == Decimal("0.00")  # all-NULL revenue still yields a row
+    assert got["KR / Busan"].previous_revenue == 0.0  # all-NULL revenue still yields a row
 
 
 def test_product_latest_name_and_null_rules(spark):
@@ -40,7 +38,7 @@ def test_product_latest_name_and_null_rules(spark):
     r = got[0]
     assert r.product_name == "New name"
     assert (r.current_revenue, r.previous_revenue, r.current_quantity, r.previous_quantity) == \
-        (Decimal("0.00"), Decimal("20.00"), 3, 2)  # N9: NULL price counts as 0 revenue
+        (0.0, 20.0, 3, 2)  # N9: NULL price counts as 0 revenue
     assert (r.current_sessions, r.previous_sessions) == (1, 1)
 
 
@@ -59,7 +57,7 @@ def test_bulk_items_ignore_null_factor(spark):
             event("20240110", 2, name="purchase", tx="T2", rev=10, items=[("p1", "A", "C", 10, 1)])]
     got = bulk_order_items(events_frame(spark, rows), CUR, 1000).collect()
     assert [(r.product_name, r.order_count, r.total_quantity, r.item_revenue) for r in got] == \
-        [("A", 1, 5, Decimal("30.00"))]
+        [("A", 1, 5, 30.0)]
     shared = revenue_share(bulk_order_items(events_frame(spark, rows), CUR, 1000), "product_name",
                            "item_revenue").collect()
     assert (shared[0].rank, shared[0].revenue_share) == (1, 100.0)
@@ -86,11 +84,11 @@ def test_demographic_and_channel_breakdowns(spark):
     ev = events_frame(spark, rows)
     ch = {r.channel: r for r in channel_performance(ev, CUR, PREV).collect()}
     assert set(ch) == {"naver / cpc", "google / organic"}  # first non-blank value per session, trimmed
-    assert (ch["naver / cpc"].current_revenue, ch["naver / cpc"].current_sessions) == (Decimal("100.00"), 1)
+    assert (ch["naver / cpc"].current_revenue, ch["naver / cpc"].current_sessions) == (100.0, 1)
     assert ch["google / organic"].sessions_change_pct == -100.0
     dm = {r.demographic: r for r in demographic_performance(ev, CUR, PREV).collect()}
-    assert dm["Male / Unknown"].current_revenue == Decimal("100.00")
-    assert dm["Unknown / Unknown"].previous_revenue == Decimal("40.00")
+    assert dm["Male / Unknown"].current_revenue == 100.0
+    assert dm["Unknown / Unknown"].previous_revenue == 40.0
 
 
 def test_fill_zero_option(spark):
@@ -100,4 +98,4 @@ def test_fill_zero_option(spark):
     assert geo_performance(ev, CUR, PREV, fill_zero=True).first().revenue_change_pct == 0.0
     assert device_performance(ev, CUR, PREV, fill_zero=True).first().revenue_change_pct == 0.0
     got = geo_performance(ev, CUR, PREV, strategy="outer_join").first()
-    assert (got.location, got.current_revenue, got.revenue_change_pct) == ("KR / Seoul", Decimal("10.00"), None)
+    assert (got.location, got.current_revenue, got.revenue_change_pct) == ("KR / Seoul", 10.0, None)

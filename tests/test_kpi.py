@@ -1,5 +1,3 @@
-from decimal import Decimal
-
 import pytest
 
 from tidemark import (Period, RepairPatterns, kpi_derived, kpi_summary, session_first_source, filter_sessions,
@@ -29,16 +27,16 @@ def test_basic_counts_and_gap_day(spark):
     k = _kpi(spark, rows)
     c, p = k["Current"], k["Previous"]
     assert (c.users, c.new_users, c.sessions, c.signups, c.orders) == (2, 1, 1, 1, 1)
-    assert c.revenue == Decimal("100.00")  # repeated purchase counted twice in revenue
-    assert (p.users, p.sessions, p.orders, p.revenue) == (1, 1, 0, Decimal("0.00"))
-    assert (c.filtered_orders, c.filtered_revenue) == (1, Decimal("100.00"))
+    assert c.revenue == 100.0  # repeated purchase counted twice in revenue
+    assert (p.users, p.sessions, p.orders, p.revenue) == (1, 1, 0, 0.0)
+    assert (c.filtered_orders, c.filtered_revenue) == (1, 100.0)
 
 
 def test_bulk_orders(spark):
     rows = [event("20240110", 1, "u1", "purchase", tx="T1", rev=2000, items=[CHAIR_ITEM]),
             event("20240110", 2, "u1", "purchase", tx="T2", rev=999, items=[CHAIR_ITEM])]
     c = _kpi(spark, rows)["Current"]
-    assert (c.bulk_orders, c.bulk_revenue) == (1, Decimal("2000.00"))
+    assert (c.bulk_orders, c.bulk_revenue) == (1, 2000.0)
 
 
 def test_not_in_with_null_in_repair_set_zeroes_filtered(spark):
@@ -46,21 +44,21 @@ def test_not_in_with_null_in_repair_set_zeroes_filtered(spark):
     rows = [event("20240110", 1, "u1", "purchase", tx=None, rev=10, items=[REPAIR_ITEM]),
             event("20240110", 2, "u1", "purchase", tx="T2", rev=100, items=[CHAIR_ITEM])]
     c = _kpi(spark, rows)["Current"]
-    assert (c.orders, c.filtered_orders, c.filtered_revenue) == (1, 0, Decimal("0.00"))
+    assert (c.orders, c.filtered_orders, c.filtered_revenue) == (1, 0, 0.0)
 
 
 def test_not_in_with_empty_repair_set_keeps_null_tx_revenue(spark):
     rows = [event("20240110", 1, "u1", "purchase", tx=None, rev=10, items=[CHAIR_ITEM]),
             event("20240110", 2, "u1", "purchase", tx="T2", rev=100, items=[CHAIR_ITEM])]
     c = _kpi(spark, rows)["Current"]
-    assert (c.filtered_orders, c.filtered_revenue) == (1, Decimal("110.00"))
+    assert (c.filtered_orders, c.filtered_revenue) == (1, 110.0)
 
 
 def test_repair_only_excludes_order(spark):
     rows = [event("20240110", 1, "u1", "purchase", tx="T1", rev=10, items=[REPAIR_ITEM, ("i3", None, "X", 1, 1)]),
             event("20240110", 2, "u1", "purchase", tx="T2", rev=100, items=[CHAIR_ITEM, REPAIR_ITEM])]
     c = _kpi(spark, rows)["Current"]
-    assert (c.filtered_orders, c.filtered_revenue) == (1, Decimal("100.00"))
+    assert (c.filtered_orders, c.filtered_revenue) == (1, 100.0)
     got = {r.transaction_id for r in repair_only_orders(events_frame(spark, rows), None, PATS).collect()}
     assert got == {"T1"}  # NULL-name item is ignored (N10); T2 has a non-repair item
 
@@ -92,9 +90,9 @@ def test_source_modes_split_sessions(spark):
         event("20240110", 4, "u3", "purchase", tx="T3", rev=40, sid=None, items=[CHAIR_ITEM]),
     ]
     store, online, allm = (_kpi(spark, rows, s)["Current"] for s in ("store", "online", "all"))
-    assert (store.sessions, store.revenue) == (1, Decimal("10.00"))
-    assert (online.sessions, online.revenue) == (1, Decimal("20.00"))
-    assert allm.revenue == Decimal("70.00")  # N6: the NULL-sid event only counts in "all"
+    assert (store.sessions, store.revenue) == (1, 10.0)
+    assert (online.sessions, online.revenue) == (1, 20.0)
+    assert allm.revenue == 70.0  # N6: the NULL-sid event only counts in "all"
 
 
 def test_first_source_rules(spark):
@@ -153,10 +151,10 @@ def test_overlapping_periods_count_once_in_summary_twice_in_breakdowns(spark):
     rows = [event("20240111", 1, "u1", "purchase", tx="T1", rev=10, sid=1, items=[CHAIR_ITEM])]
     ev = events_frame(spark, rows)
     k = {r.type: r for r in kpi_summary(ev, cur, prev, "all", 1000, PATS).collect()}
-    assert set(k) == {"Current"} and k["Current"].revenue == Decimal("10.00")
+    assert set(k) == {"Current"} and k["Current"].revenue == 10.0
     ch = channel_performance(ev, cur, prev).first()
     assert (ch.current_revenue, ch.previous_revenue, ch.current_sessions, ch.previous_sessions) == \
-        (Decimal("10.00"), Decimal("10.00"), 1, 1)
+        (10.0, 10.0, 1, 1)
 
 
 def test_source_trend_attributes_over_current_period_only(spark):

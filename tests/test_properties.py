@@ -24,14 +24,15 @@ def test_store_plus_online_equals_sessionised_all(ev):
     with_session = prepare(ev, "event_date", "user_pseudo_id", "sid", "purchase_revenue") \
         .where(F.col("sid").isNotNull() & F.col("user_pseudo_id").isNotNull() & CUR.contains("event_date"))
     expect = with_session.agg(F.sum(F.coalesce("purchase_revenue", F.lit(0)))).first()[0]
-    assert k["store"]["Current"].revenue + k["online"]["Current"].revenue == expect
+    assert Decimal(str(k["store"]["Current"].revenue)) + Decimal(str(k["online"]["Current"].revenue)) == expect
 
 
 def test_daily_trend_sums_to_current_revenue(ev):
     cur = {r.type: r for r in kpi_summary(ev, CUR, PREV, "all", BULK_MIN, PATTERNS).collect()}["Current"]
     daily = trend(ev, CUR, "daily").collect()
     monthly = trend(ev, CUR, "monthly").collect()
-    assert sum((r.revenue for r in daily), Decimal(0)) == cur.revenue == sum((r.revenue for r in monthly), Decimal(0))
+    exact = lambda rows: sum((Decimal(str(r.revenue)) for r in rows), Decimal(0))
+    assert exact(daily) == Decimal(str(cur.revenue)) == exact(monthly)
     assert len(daily) == 15
 
 

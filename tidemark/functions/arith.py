@@ -1,8 +1,12 @@
-"""Exact ratio and percentage helpers.
-
-Money is DECIMAL and counts are BIGINT; ratios are computed in DECIMAL with a
-wide scale (>= 12 digits), rounded half away from zero, and only then cast to
-DOUBLE, so the rounded value is exact and engine-independent.
+"""Exact money, ratio and percentage helpers.
+
+Money is summed in DECIMAL (exact, independent of summation order) and cast to
+DOUBLE only when it leaves an operator (``money``), the representation the
+analytics' results have always had; any later arithmetic on such a value first
+returns to DECIMAL (``exact``), which recovers the cents exactly.  Ratios are
+computed in DECIMAL with a wide scale (>= 12 digits), rounded half away from
+zero, and only then cast to DOUBLE, so rounded values are exact and
+engine-independent.
 """
 
 from __future__ import annotations
@@ -11,12 +15,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-MONEY = DecimalType(38, 2)
 _WIDE = DecimalType(20, 2)
 
 
 def money(c: Column) -> Column:
-    return c.cast(MONEY)
+    """Output form of an exact DECIMAL money value: DOUBLE (nearest to the exact cents)."""
+    return c.cast("double")
+
+
+def exact(c: Column) -> Column:
+    """Money back to DECIMAL(20,2) — exact cents, also from a ``money`` DOUBLE — before arithmetic."""
+    return c.cast(_WIDE)
 
 
 def ratio(num: Column, den: Column, scale_by: int = 1, digits: int = 1,

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.arith import share_pct
+from tidemark.functions.arith import exact, share_pct
 from tidemark.plans.periods import CURRENT, PREVIOUS
 
 ALERT_COLUMNS = ["rule", "rank", "subject", "direction", "change", "change_pct"]
@@ -43,7 +43,7 @@ def revenue_share(frame: DataFrame, label: str, revenue: str = "current_revenue"
     (already limited) frame, 0 when the total is not positive.
     """
     order = Window.orderBy(F.col(revenue).desc_nulls_last(), F.col(label).asc_nulls_first())
-    total = F.sum(revenue).over(Window.partitionBy())
+    total = F.sum(exact(F.col(revenue))).over(Window.partitionBy())
     return (frame.withColumn("rank", F.row_number().over(order))
             .withColumn("revenue_share", share_pct(F.col(revenue), total))
             .orderBy("rank"))
@@ -72,8 +72,7 @@ def _period_values(summary: DataFrame, cols: list[str]) -> DataFrame:
 
 def _rel_change(c: Column, p: Column) -> Column:
     # change / previous * 100, 0 when previous <= 0 (unrounded decimal).
-    return F.when(p > 0, F.try_divide((c - p).cast("decimal(20,2)") * 100, p.cast("decimal(20,2)"))) \
-        .otherwise(F.lit(0))
+    return F.when(p > 0, F.try_divide((exact(c) - exact(p)) * 100, exact(p))).otherwise(F.lit(0))
 
 
 def _top_by_abs(frame: DataFrame, label: str, col: str, n: int) -> DataFrame:
@@ -101,12 +100,12 @@ def change_alerts(summary: DataFrame, products: DataFrame | None = None, channel
     parts: list[DataFrame] = []
     pv = _period_values(summary, ["revenue", "bulk_revenue", "orders", "sessions"])
 
-    chg = F.col("c_revenue") - F.col("p_revenue")
+    chg = exact(F.col("c_revenue")) - exact(F.col("p_revenue"))
     rel = _rel_change(F.col("c_revenue"), F.col("p_revenue"))
     parts.append(_alert(pv.where(F.abs(rel) > t.total_revenue_pct), "total_revenue", F.lit(None), F.lit("revenue"),
                         chg, F.round(rel, 1)))
 
-    bchg = F.col("c_bulk_revenue") - F.col("p_bulk_revenue")
+    bchg = exact(F.col("c_bulk_revenue")) - exact(F.col("p_bulk_revenue"))
     brel = _rel_change(F.col("c_bulk_revenue"), F.col("p_bulk_revenue"))
     parts.append(_alert(pv.where((F.abs(brel) > t.bulk_revenue_pct) | (F.abs(bchg) > t.bulk_revenue_abs)),
                         "bulk_revenue", F.lit(None), F.lit("bulk_revenue"), bchg, F.round(brel, 1)))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.arith import money, pct_change, share_pct
+from tidemark.functions.arith import exact, money, pct_change, share_pct
 from tidemark.operators.kpi import session_key
 from tidemark.operators.orders import PURCHASE
 from tidemark.operators.sessions import SESSION_KEY, channel_grain, channel_label, earliest
@@ -138,7 +138,7 @@ def product_post(products: DataFrame) -> DataFrame:
     share's total is a window over that small frame.
     """
     filled = _fill_zero(products, ["revenue_change_pct"])
-    total = F.sum("current_revenue").over(Window.partitionBy())
+    total = F.sum(exact(F.col("current_revenue"))).over(Window.partitionBy())
     return (filled
             .withColumn("sessions_change", F.col("current_sessions") - F.col("previous_sessions"))
             .withColumn("quantity_change", F.col("current_quantity") - F.col("previous_quantity"))

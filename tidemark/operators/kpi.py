@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.arith import money, ratio
+from tidemark.functions.arith import exact, money, ratio
 from tidemark.functions.dates import grain_start, parse_yyyymmdd
 from tidemark.operators.orders import PURCHASE, RepairPatterns, purchase_item_flags, repair_only_flag
 from tidemark.operators.sessions import SESSION_KEY, source_sessions
@@ -105,7 +105,7 @@ def kpi_summary(events: DataFrame, cur: Period, prev: Period, source: str = "all
         *KPI_COLUMNS[:-2],
         F.col("_f_orders").alias("filtered_orders"),
         F.when(all_null, F.lit(None)).otherwise(money(F.coalesce(F.col("_f_rev"), F.lit(0))))
-        .cast("decimal(38,2)").alias("filtered_revenue"),
+        .cast("double").alias("filtered_revenue"),
     )
 
 
@@ -194,8 +194,8 @@ def trend_conversion(trend_df: DataFrame, digits: int = 2) -> DataFrame:
 
 
 def _delta_pct(c: Column, p: Column) -> Column:
-    # Relative change in percent, 0 when the previous value is 0.
-    return F.when(p == 0, F.lit(0.0)).otherwise(ratio(c - p, p, 100, 1))
+    # Relative change in percent, 0 when the previous value is 0 (difference taken exactly).
+    return F.when(p == 0, F.lit(0.0)).otherwise(ratio(exact(c) - exact(p), p, 100, 1))
 
 
 def kpi_derived(summary: DataFrame) -> DataFrame:

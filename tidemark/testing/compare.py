@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as _dt
 import decimal
 import math
+import os
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -19,6 +20,9 @@ def duckdb_connection(sf_dir: str):
     return con
 
 
+STRICT = os.environ.get("COMPARE_STRICT") == "1"  # exact float bits instead of 6 decimals
+
+
 def _norm(v):
     if v is None:
         return None
@@ -28,7 +32,7 @@ def _norm(v):
         f = float(v)
         if math.isnan(f):
             return "nan"
-        return round(f, 6)
+        return repr(f) if STRICT else round(f, 6)
     if isinstance(v, int):
         return float(v)
     if isinstance(v, (_dt.date, _dt.datetime)):

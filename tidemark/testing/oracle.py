@@ -68,7 +68,12 @@ def with_flat(*ctes: str, flat: str = FLAT) -> str:
 
 
 def cents(x: str) -> str:
-    return f"CAST(({x}) * 100 AS HUGEINT)"
+    """Integer cents of a money value (exact for DECIMAL and for DOUBLE outputs alike)."""
+    return f"CAST(round(({x}) * 100) AS HUGEINT)"
+
+
+def dec(x: str) -> str:
+    return f"CAST(({x}) AS DECIMAL(38,2))"
 
 
 def rnd(n: str, d: str, mult: int = 1, digits: int = 1, zero_when_nonpos: bool = False) -> str:
@@ -120,11 +125,11 @@ SELECT CASE WHEN {IN_C} THEN 'Current' ELSE 'Previous' END AS type,
        COUNT(DISTINCT user_pseudo_id || CAST(sid AS VARCHAR)) AS sessions,
        COUNT(*) FILTER (WHERE event_name = 'sign_up') AS signups,
        COUNT(DISTINCT CASE WHEN {PURCHASE} THEN transaction_id END) AS orders,
-       CAST(SUM(COALESCE(purchase_revenue, 0)) AS DECIMAL(38,2)) AS revenue,
+       CAST(SUM(COALESCE(purchase_revenue, 0)) AS DOUBLE) AS revenue,
        COUNT(DISTINCT CASE WHEN {bulk} THEN transaction_id END) AS bulk_orders,
-       CAST(SUM(CASE WHEN {bulk} THEN purchase_revenue ELSE 0 END) AS DECIMAL(38,2)) AS bulk_revenue,
+       CAST(SUM(CASE WHEN {bulk} THEN purchase_revenue ELSE 0 END) AS DOUBLE) AS bulk_revenue,
        COUNT(DISTINCT CASE WHEN {notin} THEN transaction_id END) AS filtered_orders,
-       CAST(SUM(CASE WHEN {notin} THEN purchase_revenue ELSE 0 END) AS DECIMAL(38,2)) AS filtered_revenue
+       CAST(SUM(CASE WHEN {notin} THEN purchase_revenue ELSE 0 END) AS DOUBLE) AS filtered_revenue
 FROM {base} GROUP BY 1"""
 
 
@@ -165,7 +170,7 @@ def trend_sql(grain: str, source: str = "all", conversion: bool = False) -> str:
     body = f"""t AS (
   SELECT CAST({GRAIN_SQL[grain]} AS VARCHAR) AS period_label,
          COUNT(DISTINCT user_pseudo_id || CAST(sid AS VARCHAR)) AS sessions,
-         CAST(SUM(COALESCE(purchase_revenue, 0)) AS DECIMAL(38,2)) AS revenue,
+         CAST(SUM(COALESCE(purchase_revenue, 0)) AS DOUBLE) AS revenue,
          COUNT(DISTINCT CASE WHEN {PURCHASE} THEN transaction_id END) AS orders
   FROM {name} GROUP BY 1)"""
     conv = f", {rnd('orders', 'sessions', 100, 2, True)} AS conversion_rate" if conversion else ""
@@ -190,9 +195,9 @@ m AS (
   FROM pi GROUP BY item_id),
 prod AS (
   SELECT n.product_name,
-         CAST(m.c_rev AS DECIMAL(38,2)) AS current_revenue,
-         CAST(m.p_rev AS DECIMAL(38,2)) AS previous_revenue,
-         CAST(m.c_rev - m.p_rev AS DECIMAL(38,2)) AS revenue_change,
+         CAST(m.c_rev AS DOUBLE) AS current_revenue,
+         CAST(m.p_rev AS DOUBLE) AS previous_revenue,
+         CAST(m.c_rev - m.p_rev AS DOUBLE) AS revenue_change,
          {pct_money('m.c_rev', 'm.p_rev')} AS revenue_change_pct,
          m.c_ses AS current_sessions, m.p_ses AS previous_sessions,
          CAST(m.c_qty AS BIGINT) AS current_quantity, CAST(m.p_qty AS BIGINT) AS previous_quantity
@@ -206,15 +211,15 @@ PRODUCT_POST_SELECT = f"""SELECT product_name, current_revenue, previous_revenue
        current_quantity, previous_quantity,
        current_sessions - previous_sessions AS sessions_change,
        current_quantity - previous_quantity AS quantity_change,
-       {rnd(cents('current_revenue'), cents('SUM(current_revenue) OVER ()'), 100, 1, True)} AS revenue_share
+       {rnd(cents('current_revenue'), f"SUM({cents('current_revenue')}) OVER ()", 100, 1, True)} AS revenue_share
 FROM prod"""
 
 
 def _session_breakdown_select(agg: str, label: str, where: str, k: int) -> str:
     return f"""SELECT {label},
-       CAST(COALESCE(c_rev, 0) AS DECIMAL(38,2)) AS current_revenue,
-       CAST(COALESCE(p_rev, 0) AS DECIMAL(38,2)) AS previous_revenue,
-       CAST(COALESCE(c_rev - p_rev, 0) AS DECIMAL(38,2)) AS revenue_change,
+       CAST(COALESCE(c_rev, 0) AS DOUBLE) AS current_revenue,
+       CAST(COALESCE(p_rev, 0) AS DOUBLE) AS previous_revenue,
+       CAST(COALESCE(c_rev - p_rev, 0) AS DOUBLE) AS revenue_change,
        {pct_money('c_rev', 'p_rev')} AS revenue_change_pct,
        COALESCE(c_ses, 0) AS current_sessions,
        COALESCE(p_ses, 0) AS previous_sessions,
@@ -277,9 +282,9 @@ def _two_scan_body(name: str, key: str, label: str, limit: str) -> str:
   SELECT {key} AS k, SUM(purchase_revenue) AS revenue FROM ev WHERE {IN_P} AND {PURCHASE} GROUP BY 1),
 {name} AS (
   SELECT COALESCE(c.k, p.k) AS {label},
-         CAST(COALESCE(c.revenue, 0) AS DECIMAL(38,2)) AS current_revenue,
-         CAST(COALESCE(p.revenue, 0) AS DECIMAL(38,2)) AS previous_revenue,
-         CAST(COALESCE(c.revenue, 0) - COALESCE(p.revenue, 0) AS DECIMAL(38,2)) AS revenue_change,
+         CAST(COALESCE(c.revenue, 0) AS DOUBLE) AS current_revenue,
+         CAST(COALESCE(p.revenue, 0) AS DOUBLE) AS previous_revenue,
+         CAST(COALESCE(c.revenue, 0) - COALESCE(p.revenue, 0) AS DOUBLE) AS revenue_change,
          {pct_money('COALESCE(c.revenue, 0)', 'COALESCE(p.revenue, 0)')} AS revenue_change_pct
   FROM {name}_c c FULL OUTER JOIN {name}_p p ON c.k = p.k
   ORDER BY abs(COALESCE(c.revenue, 0) - COALESCE(p.revenue, 0)) DESC, 1 NULLS FIRST {limit})"""
@@ -292,7 +297,7 @@ DEVICE_BODY = _two_scan_body("dev", "device", "device", "")
 BULK_BODY = f"""bulk AS (
   SELECT item_name AS product_name, COUNT(DISTINCT transaction_id) AS order_count,
          CAST(SUM(quantity) AS BIGINT) AS total_quantity,
-         CAST(SUM(price * quantity) AS DECIMAL(38,2)) AS item_revenue
+         CAST(SUM(price * quantity) AS DOUBLE) AS item_revenue
   FROM ev_items WHERE {IN_C} AND {PURCHASE} AND purchase_revenue >= {BULK_MIN}
   GROUP BY 1 ORDER BY item_revenue DESC NULLS LAST, product_name NULLS FIRST LIMIT 20)"""
 
@@ -300,7 +305,7 @@ BULK_BODY = f"""bulk AS (
 def share_select(src: str, label: str, revenue: str) -> str:
     return f"""SELECT *,
        CAST(row_number() OVER (ORDER BY {revenue} DESC NULLS LAST, {label} NULLS FIRST) AS INTEGER) AS rank,
-       {rnd(cents(revenue), cents(f'SUM({revenue}) OVER ()'), 100, 1, True)} AS revenue_share
+       {rnd(cents(revenue), f"SUM({cents(revenue)}) OVER ()", 100, 1, True)} AS revenue_share
 FROM {src}"""
 
 
@@ -387,19 +392,20 @@ def alerts_sql() -> str:
         f"gr AS (SELECT *, COALESCE(revenue_change_pct, 0) AS rpct, {rank_by_rev('location')} AS r FROM geo)",
     ]
     rel = lambda c, p: f"CASE WHEN {p} > 0 THEN {rnd(cents(f'{c} - {p}'), cents(p), 100, 1)} ELSE 0.0 END"
-    exceeds = lambda c, p, thr: f"(CASE WHEN {p} > 0 THEN abs({c} - {p}) * 100 > {thr} * {p} ELSE false END)"
+    exceeds = lambda c, p, thr: f"(CASE WHEN {p} > 0 THEN abs({dec(c)} - {dec(p)}) * 100 > {thr} * {dec(p)} ELSE false END)"
     conv_exceeds = (f"(CASE WHEN c_sessions > 0 AND p_sessions > 0 THEN "
                     f"abs(CAST(c_orders AS HUGEINT) * p_sessions - CAST(p_orders AS HUGEINT) * c_sessions) * 100 "
                     f"> {t.conversion_pp} * c_sessions * p_sessions "
                     f"WHEN c_sessions > 0 THEN c_orders * 100 > {t.conversion_pp} * c_sessions "
                     f"WHEN p_sessions > 0 THEN p_orders * 100 > {t.conversion_pp} * p_sessions ELSE false END)")
     parts = [
-        _alert("pv", "total_revenue", "NULL", "'revenue'", "c_revenue - p_revenue", rel("c_revenue", "p_revenue"),
+        _alert("pv", "total_revenue", "NULL", "'revenue'", f"({dec('c_revenue')} - {dec('p_revenue')})",
+               rel("c_revenue", "p_revenue"),
                exceeds("c_revenue", "p_revenue", t.total_revenue_pct)),
-        _alert("pv", "bulk_revenue", "NULL", "'bulk_revenue'", "c_bulk_revenue - p_bulk_revenue",
+        _alert("pv", "bulk_revenue", "NULL", "'bulk_revenue'", f"({dec('c_bulk_revenue')} - {dec('p_bulk_revenue')})",
                rel("c_bulk_revenue", "p_bulk_revenue"),
                f"({exceeds('c_bulk_revenue', 'p_bulk_revenue', t.bulk_revenue_pct)} OR "
-               f"abs(c_bulk_revenue - p_bulk_revenue) > {t.bulk_revenue_abs})"),
+               f"abs({dec('c_bulk_revenue')} - {dec('p_bulk_revenue')}) > {t.bulk_revenue_abs})"),
         _alert("pv", "conversion_rate", "NULL", "'conversion_rate'",
                _pp("c_orders", "c_sessions", "p_orders", "p_sessions"), "NULL", conv_exceeds),
         _alert("pr", "product_revenue", "r", "product_name", "revenue_change", "revenue_change_pct",
@@ -479,7 +485,8 @@ def oracle_sql() -> dict[str, str]:
                                                for g in ("daily", "weekly", "monthly")) + " FROM days",
         "a11_latest_item_names": with_flat(PRODUCT_BODY.split(",\nm AS (")[0]) + "\nSELECT * FROM names",
         "j5_purchase_items": with_flat() .rstrip(",")
-        + f"\nSELECT event_timestamp, transaction_id, item_id, item_name, price, quantity FROM ev_items "
+        + f"\nSELECT event_timestamp, transaction_id, item_id, item_name, CAST(price AS DOUBLE) AS price, quantity "
+          f"FROM ev_items "
           f"WHERE {IN_C} AND {PURCHASE}",
         "w2_session_channels": with_flat(CHANNEL_BODY)
         + "\nSELECT DISTINCT user_pseudo_id, sid, final_source || ' / ' || final_medium AS channel FROM s",

@@ -66,7 +66,8 @@ def _q_purchase_items(spark: SparkSession, d: str) -> DataFrame:
     return (prepare(src, "event_timestamp", "transaction_id",
                     it=item_fields("item_id", "item_name", "price", "quantity"))
             .select("event_timestamp", "transaction_id", F.explode("it").alias("it"))
-            .select("event_timestamp", "transaction_id", "it.item_id", "it.item_name", "it.price", "it.quantity"))
+            .select("event_timestamp", "transaction_id", "it.item_id", "it.item_name",
+                    F.col("it.price").cast("double").alias("price"), "it.quantity"))
 
 
 def registry() -> dict[str, Query]:
