@@ -10,7 +10,7 @@ from tidemark.plans.periods import Period
 from tidemark.sources.events import EVENTS_SCHEMA, read_events, scan, write_events
 from tidemark.operators.kpi import kpi_summary, trend, trend_conversion, kpi_derived
 from tidemark.operators.sessions import session_first_source, filter_sessions, session_channels
-from tidemark.operators.orders import repair_only_orders, RepairPatterns
+from tidemark.operators.orders import not_in_null_aware, repair_only_orders, RepairPatterns
 from tidemark.operators.breakdowns import (
     product_performance,
     product_post,
@@ -29,7 +29,7 @@ __all__ = [
     "Period", "EVENTS_SCHEMA", "read_events", "scan", "write_events",
     "kpi_summary", "trend", "trend_conversion", "kpi_derived",
     "session_first_source", "filter_sessions", "session_channels",
-    "repair_only_orders", "RepairPatterns",
+    "repair_only_orders", "RepairPatterns", "not_in_null_aware",
     "product_performance", "product_post", "channel_performance", "geo_performance",
     "device_performance", "demographic_performance", "normalize_demographics", "latest_item_names",
     "bulk_order_items", "revenue_share", "change_alerts", "AlertThresholds", "Dashboard", "dashboard",
