@@ -54,3 +54,14 @@ def test_dashboard_render_matches_individual_queries(spark, ev):
     assert {r.kpi for r in d.derived.collect()} >= {"revenue", "aov", "conversion_rate"}
     assert set(d.frames()) == {"summary", "derived", "trend", "products", "channels", "regions", "devices",
                                "demographics", "bulk_items", "alerts"}
+
+
+def test_lazy_dashboard_equals_materialised(spark, ev):
+    from tidemark import dashboard
+    from tidemark.testing.params import THRESHOLDS
+    lazy = dashboard(ev, CUR, PREV, "store", "monthly", BULK_MIN, PATTERNS, THRESHOLDS, materialize=False)
+    done = dashboard(ev, CUR, PREV, "store", "monthly", BULK_MIN, PATTERNS, THRESHOLDS, parallelism=2)
+    for name in ("summary", "trend", "alerts", "derived"):
+        a = sorted(map(tuple, getattr(lazy, name).collect()), key=str)
+        b = sorted(map(tuple, getattr(done, name).collect()), key=str)
+        assert a == b, name
