@@ -12,6 +12,7 @@ uncached frame would compute it twice: once to count, once to write.)
 from __future__ import annotations
 
 import uuid
+import warnings
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields
 
@@ -25,7 +26,7 @@ from tidemark.operators.bulk import bulk_order_items
 from tidemark.operators.kpi import BULK_MIN_REVENUE, kpi_derived, kpi_summary, trend, trend_conversion
 from tidemark.operators.orders import RepairPatterns
 from tidemark.plans.periods import Period
-from tidemark.session import ensure_checkpoint_dir
+from tidemark.session import checkpoint_dir
 
 
 @dataclass
@@ -53,9 +54,10 @@ def dashboard(events: DataFrame, cur: Period, prev: Period, source: str = "all",
 
     ``source`` applies to the summary and the trend; breakdowns and bulk items
     cover all sources.  With ``materialize`` (default) the base results are
-    written at once (this runs their jobs, up to ``parallelism`` of them
-    concurrently on the shared session) and everything derived reads them;
-    without it every frame stays lazy.
+    written at once under ``spark.checkpoint.dir`` (this runs their jobs, up to
+    ``parallelism`` of them concurrently on the shared session) and everything
+    derived reads them; without it, or when no shared checkpoint folder is
+    configured, every frame stays lazy.
     """
     by_revenue = lambda label: (F.col("current_revenue").desc_nulls_last(), F.col(label).asc_nulls_first())
     base: dict[str, tuple[DataFrame, tuple[Column, ...]]] = {
@@ -69,9 +71,12 @@ def dashboard(events: DataFrame, cur: Period, prev: Period, source: str = "all",
         "bulk_items": (bulk_order_items(events, cur, bulk_min),
                        (F.col("item_revenue").desc_nulls_last(), F.col("product_name").asc_nulls_first())),
     }
-    if materialize:
+    shared = checkpoint_dir(events.sparkSession) if materialize else None
+    if materialize and not shared:
+        warnings.warn("spark.checkpoint.dir is not set: dashboard results stay lazy (recomputed per use)")
+    if shared:
         spark = events.sparkSession
-        folder = f"{ensure_checkpoint_dir(spark)}/tidemark-render-{uuid.uuid4().hex}"
+        folder = f"{shared}/tidemark-render-{uuid.uuid4().hex}"
 
         def write(name: str) -> str:
             base[name][0].write.parquet(f"{folder}/{name}")

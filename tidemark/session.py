@@ -39,8 +39,19 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tid
     return spark
 
 
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    """The shared folder named by ``spark.checkpoint.dir`` (or set on the context); None if unset.
+
+    Library code only reads this setting; it never invents a folder.
+    """
+    sc = spark.sparkContext
+    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared folder named by ``spark.checkpoint.dir``.
+    """For tests, the bench and scripts: the checkpoint folder, made only when unset.
+
+    Return the shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster that setting names a shared (distributed) folder and is used
     as is.  Only when it is unset (local tests) a fresh scratch folder is made
