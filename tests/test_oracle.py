@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from tidemark.testing import oracle, queries
 from tidemark.testing.compare import compare, duckdb_connection
 
 from conftest import SF_SMALL
 
-NAMES = sorted(entry.queries())
+NAMES = sorted(queries.registry())
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +17,8 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(queries.registry()) == set(oracle.oracle_sql())
+    assert set(NAMES) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)
