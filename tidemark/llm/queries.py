@@ -6,19 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import quality_rules, sql
+from tidemark.llm import exact_dedup, packing, quality_rules, sql
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
 def registry() -> dict[str, Query]:
-    return {"op10_quality_rules": op10_quality_rules}
+    return {f.__name__: f for f in (op5_packing, op7_exact_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": sql.QUALITY_RULES}
+    return {"op7_exact_dedup": sql.EXACT_DEDUP, "op10_quality_rules": sql.QUALITY_RULES}

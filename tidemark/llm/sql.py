@@ -7,6 +7,13 @@ from tidemark.llm import quality_rules as _q
 _PHRASES = " OR ".join(f"contains(lower(line), '{p}')" for p in _q.BOILERPLATE)
 _CLOSED = _q.CLOSED.replace("'", "''")
 
+EXACT_DEDUP = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = max(doc_id) OVER same AS kept, sha256(body) AS text_sha256
+FROM t WINDOW same AS (PARTITION BY body)
+"""
+
 QUALITY_RULES = rf"""
 WITH docs AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body FROM documents),
