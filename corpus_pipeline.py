@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import quality_rules
+from tidemark.llm import exact_dedup, packing, quality_rules
 from tidemark.llm.common import save, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -17,7 +17,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules.clean(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_stage)]
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest id stays."""
+    return exact_dedup.keep_one(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_stage),
+    ("exact_dedup", exact_stage),
+    ("packing", packing_stage),
+]
 
 #: Language identification learns a model, which SQL does not express.
 ORACLE_SQL = None
