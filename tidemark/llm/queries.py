@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, packing, quality_rules, sql
+from tidemark.llm import bpe_trie, exact_dedup, packing, quality_rules, sql
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,12 +20,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_trie.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
 def registry() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_packing, op7_exact_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op5_packing, op7_exact_dedup, op8_bpe, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,7 +2,9 @@
 
 ``coder(path)`` reads the tokenizers JSON and encodes with its vocabulary as
 ranks; the two agree when the merges are listed in the order of their ids,
-which is checked on loading.
+which is checked on loading.  Libraries follow different Unicode versions when
+they split a text into words, so a text with characters outside long-settled
+blocks is split by the tokenizers library itself.
 """
 
 from __future__ import annotations
@@ -12,7 +14,9 @@ from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import regex
 import tiktoken
+from tokenizers import Tokenizer
 
 #: Default vocabulary file; a parameter everywhere.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,6 +59,42 @@ def coder(path: str = TOKENIZER) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=v.ids, special_tokens=v.special)
 
 
+@lru_cache(2)
+def library(path: str = TOKENIZER) -> Tokenizer:
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+#: Anything but Latin, Greek, Cyrillic, kana, the basic CJK block and Hangul, whose classes all versions share.
+_UNSETTLED = regex.compile("[^\x00-\u0557\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
+_SPLIT = regex.compile(public_tokenizers.PATTERN)
+
+
+def settled(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return not _UNSETTLED.search(text)
+
+
+def pretokens(text: str, path: str = TOKENIZER) -> list[str]:
+    """The words of a text without special tokens, as the tokenizer splits it before its merges."""
+    if settled(text):
+        return _SPLIT.findall(text)
+    return [text[a:b] for _, (a, b) in library(path).pre_tokenizer.pre_tokenize_str(text)]
+
+
+def sections(text: str, path: str = TOKENIZER) -> list[str]:
+    """A text cut at its special tokens: ordinary text and special tokens by turns, ordinary text first."""
+    special = [s for s in vocabulary(path).special if s in text]
+    return regex.split(f"({'|'.join(map(regex.escape, special))})", text) if special else [text]
+
+
 def encode(text: str, path: str = TOKENIZER) -> np.ndarray:
     """Ids of a text (uint32); strings of special tokens in it give their ids, as in the tokenizers library."""
-    return coder(path).encode_to_numpy(text, allowed_special="all")
+    if settled(text):
+        return coder(path).encode_to_numpy(text, allowed_special="all")
+    return np.array(library(path).encode(text, add_special_tokens=False).ids, np.uint32)
