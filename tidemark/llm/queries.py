@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe_trie, exact_dedup, packing, quality_rules, sql
+from tidemark.llm import bpe_trie, exact_dedup, packing, quality_rules, simhash, sql
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -29,7 +33,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_packing, op7_exact_dedup, op8_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_simhash, op5_packing, op7_exact_dedup, op8_bpe, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
