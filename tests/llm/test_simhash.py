@@ -104,14 +104,14 @@ def test_gray_index_finds_every_component(fps):
     assert grouping(index.fps.tolist(), got) == grouping(fps, all_components(fps))
 
 
-@pytest.mark.parametrize("max_group", [1 << 16, 400])
+@pytest.mark.parametrize("max_group", [1 << 16, 256])
 def test_divided_top_nodes_lose_no_link(spark, max_group):
     """Hot top nodes are divided again; the components stay those of all pairs."""
     fps = sorted(set(cluster(900, 6) + cluster(200, 9) + list(range(100))))
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
     tables = sh.top_nodes(df, max_group=max_group)
-    assert len(tables) == 1 if max_group > 400 else len(tables) > 1
+    assert len(tables) == 1 if max_group > 256 else len(tables) > 1
     for t in tables:
         assert t.groupBy("mask", "value").count().where(f"count > {max_group}").isEmpty()
     links = None

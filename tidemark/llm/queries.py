@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe_trie, exact_dedup, packing, quality_rules, simhash, sql
-from tidemark.llm.common import table
+from tidemark.llm import bpe_trie, exact_dedup, packing, quality_rules, simhash, sql, warc
+from tidemark.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,13 +28,18 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = warc.write_archives(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+    return warc.read_pages(segments)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
 def registry() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash, op5_packing, op7_exact_dedup, op8_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_simhash, op5_packing, op7_exact_dedup, op8_bpe, op9_warc, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": sql.EXACT_DEDUP, "op10_quality_rules": sql.QUALITY_RULES}
+    return {"op7_exact_dedup": sql.EXACT_DEDUP, "op9_warc": sql.WARC, "op10_quality_rules": sql.QUALITY_RULES}

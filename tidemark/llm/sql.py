@@ -14,6 +14,19 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM t WINDOW same AS (PARTITION BY body)
 """
 
+#: Base32 of a SHA-1: every five hex digits are four letters.
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+same AS (SELECT body, min(page_id) AS first FROM p GROUP BY body)
+SELECT page_id, strlen(body) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::INT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), 'string_agg', '')
+    AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN same USING (body)
+"""
+
 QUALITY_RULES = rf"""
 WITH docs AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body FROM documents),
