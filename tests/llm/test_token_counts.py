@@ -1,0 +1,76 @@
+import random
+
+import pytest
+from tokenizers import Tokenizer
+
+from tidemark.llm import queries, token_counts as tc, tokens
+
+SF = "/root/testdata/sf0.001"
+TOK = Tokenizer.from_file(tokens.TOKENIZER)
+rnd = random.Random(4)
+BITS = ["word ", "don't", "'", "'re", "  ", "\n\n", "12", "<|endof", "<|endoftext|>", "text|>", "!?", "é", "日本", "s ", "   x",
+        "\t", "a" * 40, "ll ", "\U000323b0", "-", "\x1c"]
+
+
+def count(text):
+    return len(TOK.encode(text, add_special_tokens=False).ids)
+
+
+def apply(text, edits):
+    for pos, cut, ins in edits:
+        pos = min(max(pos, 0), len(text))
+        text = text[:pos] + ins + text[pos + max(cut, 0):]
+    return text
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_edits_equal_a_new_count(seed):
+    r = random.Random(seed)
+    text = "".join(r.choices(BITS, k=r.choice([0, 1, 5, 60, 900])))
+    tree = tc.CountTree.of(text)
+    for _ in range(25):
+        e = (r.randrange(-2, len(text) + 5), r.choice([0, 0, 1, 2, 7, 60, 10_000 if r.random() < .05 else 3]),
+             "".join(r.choices(BITS, k=r.choice([0, 1, 2, 20]))))
+        tree.edit(*e)
+        text = apply(text, [e])
+        assert tree.text() == text and tree.n_tokens == count(text)
+        assert tree.items()[0] == tc.split(text, tokens.TOKENIZER)
+
+
+def test_sums_of_every_node():
+    tree = tc.CountTree.of("some words, and more. " * 500)
+    for _ in range(50):
+        tree.edit(rnd.randrange(9000), rnd.randrange(200), "new words " * rnd.randrange(40))
+        for i in range(1, tree.width):
+            assert tree.chars[i] == tree.chars[2 * i] + tree.chars[2 * i + 1]
+            assert tree.tokens[i] == tree.tokens[2 * i] + tree.tokens[2 * i + 1]
+
+
+def test_only_the_region_is_encoded_again():
+    tree = tc.CountTree.of("plain words in a long text. " * 4000)
+    assert 0 < tree.edit(50_000, 3, "xyz") < 200
+    assert tree.edit(10, 0, "") == 0
+
+
+def test_whole_table(spark):
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    edits = {r.doc_id: [tuple(e) for e in r.e] for r in docs.select("doc_id", tc.revision().alias("e")).collect()}
+    rows = queries.op6_token_counts(spark, SF).collect()
+    assert {r.doc_id for r in rows} == set(text)
+    for r in rows:
+        t = text[r.doc_id]
+        assert (r.n_tokens, r.n_tokens_edited, r.n_edits) == (count(t), count(apply(t, edits[r.doc_id])), 5)
+
+
+def test_kept_state(spark):
+    rows = [(1, "some text here", [(5, 4, "word")]), (2, None, [(0, 0, "new")]), (None, "", None), (3, "x " * 5000, [(None, None, None)]),
+            (3, "x " * 5000, [None]), (4, "abc", [(1, 99, None)])]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, edits {tc.EDITS}").selectExpr("*", "1 AS counts").repartition(3)
+    state = tc.build(df)
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in state.collect()) == sorted((i or 0, count(t or "")) for i, t, _ in rows)
+    new = tc.update(state.join(df.select("doc_id", "edits").dropDuplicates(["doc_id"]), "doc_id", "left"))
+    want = {1: "some word here", 2: "new", None: "", 3: "x " * 5000, 4: "a"}
+    got = new.collect()
+    assert len(got) == 6 and all(r.text == want[r.doc_id] and r.n_tokens == count(r.text) for r in got)
+    assert tc.count_edited(df.limit(0), df["edits"]).count() == 0 == tc.build(df.limit(0)).count()

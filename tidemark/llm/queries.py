@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe_trie, exact_dedup, packing, quality_rules, simhash, sql, warc
+from tidemark.llm import bpe_trie, exact_dedup, packing, quality_rules, simhash, sql, token_counts, warc
 from tidemark.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_edited(table(spark, sf_dir, "documents"), token_counts.revision())
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash, op5_packing, op7_exact_dedup, op8_bpe, op9_warc, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_simhash, op5_packing, op6_token_counts, op7_exact_dedup, op8_bpe, op9_warc, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
