@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import tokens
+from tidemark.llm.common import shipped
 
 #: Entries of a task's caches of words and token pairs; a full cache starts anew.
 MAX_WORDS, MAX_PAIRS = 1_000_000, 1_000_000
@@ -144,7 +145,7 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return shipped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -169,7 +170,7 @@ def decode(encoded: DataFrame, tokenizer: str = tokens.TOKENIZER) -> DataFrame:
             texts = [trie_coder(tokenizer).decode(i or []) for i in batch.column("ids").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return shipped(encoded.select("doc_id", "ids")).mapInArrow(run, "doc_id long, text string")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

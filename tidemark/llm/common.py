@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +30,27 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path
 
 
+_shipped: set[str] = set()
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """``df``, once the tasks of its application can import this package (sent as a Python file from the shared folder)."""
+    spark = df.sparkSession
+    sc, root = spark.sparkContext, Path(__file__).parents[1]
+    if sc.applicationId not in _shipped and root.is_dir():
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark, 'package')}/tidemark.zip")
+        out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+        out.write(bytearray(data.getvalue()))
+        out.close()
+        sc.addPyFile(path.toString())
+        _shipped.add(sc.applicationId)
+    return df
+
+
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read it back: lineage ends here."""
     spark = df.sparkSession

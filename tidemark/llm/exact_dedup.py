@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import save
+from tidemark.llm.common import save, shipped
 
 MIN_CHUNK, AVG_CHUNK, MAX_CHUNK = 512, 2048, 8192
 WINDOW = 32
@@ -107,7 +107,7 @@ def distinct_chunks(docs: DataFrame, digest_bytes: int = DIGEST_BYTES) -> DataFr
         if found:
             yield pa.record_batch([list(found.values()), list(found)], schema=schema)
 
-    rows = docs.select("text").mapInArrow(cut, "digest binary, content binary")
+    rows = shipped(docs.select("text")).mapInArrow(cut, "digest binary, content binary")
     return rows.groupBy("digest", "content").agg(F.count(F.lit(1)).alias("uses"))
 
 
@@ -146,7 +146,7 @@ def recipes(docs: DataFrame, variants: dict[bytes, dict[bytes, int]] | None = No
                 lists.append(b"".join(ids))
             yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), sha, lists], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(read, "doc_id long, text_sha256 string, recipe binary")
+    return shipped(docs.select("doc_id", "text")).mapInArrow(read, "doc_id long, text_sha256 string, recipe binary")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import tokens
-from tidemark.llm.common import save
+from tidemark.llm.common import save, shipped
 
 WINDOW = 1024
 END_ID = 0
@@ -54,7 +54,7 @@ def encoded(docs: DataFrame, tokenizer: str = tokens.TOKENIZER, end_id: int = EN
         if rows[0]:
             yield pa.record_batch([rows[0], rows[1], [part] * len(rows[0]), rows[2]], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, ids binary, part int, before long")
+    return shipped(docs).mapInArrow(run, "doc_id long, ids binary, part int, before long")
 
 
 def offsets(ids: DataFrame) -> dict[int, int]:
@@ -87,7 +87,7 @@ def cut(ids: DataFrame, starts: dict[int, int], window: int = WINDOW) -> DataFra
                     start += length
             yield pa.record_batch([list(c) for c in zip(*out)] if out else [[]] * len(names), schema=schema)
 
-    return ids.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return shipped(ids).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,

@@ -6,16 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe_trie, exact_dedup, packing, quality_rules, simhash, sql, token_counts, warc
+from tidemark.llm import (
+    bpe_trie, exact_dedup, langid, packing, quality_knn, quality_rules, simhash, sql, token_counts, url_filter, warc)
 from tidemark.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -42,7 +55,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash, op5_packing, op6_token_counts, op7_exact_dedup, op8_bpe, op9_warc, op10_quality_rules)}
+    return {f.__name__: f for f in (
+        op1_url_filter, op2_simhash, op3_quality_knn, op4_language_id, op5_packing, op6_token_counts, op7_exact_dedup,
+        op8_bpe, op9_warc, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import save
+from tidemark.llm.common import save, shipped
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch([batch.column("doc_id"), fp.view(np.int64)], names=["doc_id", "fp"])
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(run, "doc_id long, fp long")
+    return shipped(d).mapInArrow(run, "doc_id long, fp long")
 
 
 # ---------------------------------------------------------------- the index under one top node
@@ -253,8 +253,8 @@ def forest(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             yield settle(m, val, fp.view(np.uint64))
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (rows.repartition(n, "mask", "value").sortWithinPartitions("mask", "value")
-            .mapInArrow(run, "u long, v long"))
+    rows = rows.repartition(n, "mask", "value").sortWithinPartitions("mask", "value")
+    return shipped(rows).mapInArrow(run, "u long, v long")
 
 
 # ---------------------------------------------------------------- components

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import tokens
+from tidemark.llm.common import shipped
 
 #: Pre-tokens in a new leaf; a leaf that grows to ``REBUILD`` times this has the tree built anew from its counts.
 LEAF, REBUILD = 32, 8
@@ -188,7 +189,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield _state(rows)
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(run, _STATE)
+    return shipped(d).mapInArrow(run, _STATE)
 
 
 def _state(rows) -> pa.RecordBatch:
@@ -213,7 +214,7 @@ def update(state: DataFrame, edits_col: str = "edits", tokenizer: str = tokens.T
             yield _state(rows)
 
     cols = [F.col(c) for c in ("doc_id", "text", "sizes", "counts")]
-    return state.select(*cols, F.col(edits_col).cast(EDITS).alias("edits")).mapInArrow(run, _STATE)
+    return shipped(state.select(*cols, F.col(edits_col).cast(EDITS).alias("edits"))).mapInArrow(run, _STATE)
 
 
 def count_edited(docs: DataFrame, edits: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -233,7 +234,7 @@ def count_edited(docs: DataFrame, edits: Column, id_col: str = "doc_id", text_co
             yield pa.record_batch([list(c) for c in zip(*rows)] if rows else [[]] * 5, schema=schema)
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), edits.cast(EDITS).alias("edits"))
-    return d.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return shipped(d).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def revision(id_col: str = "doc_id", text_col: str = "text") -> Column:

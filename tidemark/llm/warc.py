@@ -36,7 +36,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import save
+from tidemark.llm.common import save, shipped
 
 DATE = "2025-01-01T00:00:00Z"
 #: Compressed bytes after which a segment of a file, and a file, is closed.
@@ -148,7 +148,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         done += archive.close() if archive else []
         yield pa.record_batch([list(c) for c in zip(*done)] if done else [[], [], []], schema=schema)
 
-    return save(rows.mapInArrow(write, "path string, start long, end long"), "warc-manifest")
+    return save(shipped(rows).mapInArrow(write, "path string, start long, end long"), "warc-manifest")
 
 
 def whole_files(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -352,7 +352,7 @@ def read_archives(segments: DataFrame, with_payload: bool = True) -> DataFrame:
 
     n = max(1, min(segments.count(), 100_000))
     types = {pa.string(): "string", pa.int64(): "long", pa.binary(): "binary"}
-    return segments.repartition(n).mapInArrow(read, ", ".join(f"{c} {types[t]}" for c, t in _READ))
+    return shipped(segments.repartition(n)).mapInArrow(read, ", ".join(f"{c} {types[t]}" for c, t in _READ))
 
 
 def read_pages(segments: DataFrame) -> DataFrame:
