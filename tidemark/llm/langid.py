@@ -36,9 +36,10 @@ UNKNOWN = "und"
 BUCKETS, DIM = 1 << 15, 16
 #: Most labelled documents that are learned from, and the share of them that calibrates.
 SAMPLE, CALIBRATION = 3000, 0.2
-EPOCHS, RATE = 6, 0.5
+#: Passes over the training part, more of them until there are ``STEPS`` steps.
+EPOCHS, STEPS, RATE = 6, 15_000, 0.5
 #: Share of rightly labelled calibration texts that may fall under the rejection score, and that score's upper limit.
-REJECT_SHARE, REJECT_MOST = 0.001, 0.5
+REJECT_SHARE, REJECT_MOST = 0.001, 0.4
 _SIZES = (2, 3, 4)
 _LETTER = regex.compile(r"\p{L}")
 #: ASCII letters and bytes of other characters stay, the rest separates words.
@@ -98,8 +99,9 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 1) -> Mo
     target = np.array([langs.index(lang) for *_, lang in examples])
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
-    steps, done = EPOCHS * len(train), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // len(train)))
+    steps, done = epochs * len(train), 0
+    for _ in range(epochs):
         for i in rng.permutation(train):
             idx, counts, _ = examples[i]
             share = (counts / counts.sum()).astype(np.float32)

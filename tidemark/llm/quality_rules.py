@@ -126,7 +126,9 @@ def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     An ``n_chars`` column, if there is one, is brought up to date.
     """
-    q = with_features(docs, text_col).where(F.col("__q.kept"))
+    # The row number keeps the filter above the features: pushed below, it would compute every array many times over.
+    q = with_features(docs, text_col).select("*", F.monotonically_increasing_id().alias("__row"))
+    q = q.where(F.col("__q.kept") & (F.col("__row") >= 0))
     out = []
     for f in docs.schema.fields:
         if f.name == text_col:
