@@ -1,4 +1,10 @@
-"""Corpus pipeline: quality rules, then the later stages, each written as Parquet and read again."""
+"""Corpus pipeline over ``documents``: quality rules, language identification, exact and near deduplication, packing.
+
+Every stage calls one operator of ``tidemark.llm`` on all that the stage before
+it kept; its result is written as Parquet and read again as the next one's
+input.  Nulls, empty and long texts, ties, repeated rows, empty tables and
+extra columns are handled as the operators say.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, packing, quality_rules
+from tidemark.llm import exact_dedup, langid, packing, quality_rules, simhash
 from tidemark.llm.common import save, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -17,11 +23,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules.clean(docs)
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go whose language the identifier, trained on these documents' own labels, cannot tell."""
+    return langid.accepted(docs)
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest id stays."""
     return exact_dedup.keep_one(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates the document with the smallest id stays."""
+    return simhash.keep_one(docs)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 1024 tokens."""
     return packing.pack(docs)
@@ -29,7 +45,9 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_stage),
+    ("language_id", language_stage),
     ("exact_dedup", exact_stage),
+    ("simhash_near_dedup", near_stage),
     ("packing", packing_stage),
 ]
 
