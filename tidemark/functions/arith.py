@@ -3,7 +3,7 @@
 Money is summed in DECIMAL (exact, independent of summation order) and cast to
 DOUBLE only when it leaves an operator (``money``), the representation the
 analytics' results have always had; any later arithmetic on such a value first
-returns to DECIMAL (``exact``), which recovers the cents exactly.  Ratios are
+returns to DECIMAL (``exact``) with six decimals.  Ratios are
 computed in DECIMAL with a wide scale (>= 12 digits), rounded half away from
 zero, and only then cast to DOUBLE, so rounded values are exact and
 engine-independent.
@@ -11,11 +11,15 @@ engine-independent.
 
 from __future__ import annotations
 
+from decimal import ROUND_CEILING, Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
+from pyspark.sql.types import DataType, DecimalType
 
-_WIDE = DecimalType(20, 2)
+#: Money inside operators: six decimals, for three-decimal currencies and fractional unit prices.  Sixteen
+#: digits before the point leave quotients twelve decimals.
+MONEY = DecimalType(22, 6)
 
 
 def money(c: Column) -> Column:
@@ -24,8 +28,8 @@ def money(c: Column) -> Column:
 
 
 def exact(c: Column) -> Column:
-    """Money back to DECIMAL(20,2) — exact cents, also from a ``money`` DOUBLE — before arithmetic."""
-    return c.cast(_WIDE)
+    """Money as DECIMAL(22,6) before arithmetic: a ``money`` DOUBLE gives back its six decimals up to about 10^9."""
+    return c.cast(MONEY)
 
 
 def ratio(num: Column, den: Column, scale_by: int = 1, digits: int = 1,
@@ -35,8 +39,8 @@ def ratio(num: Column, den: Column, scale_by: int = 1, digits: int = 1,
     NULL when ``den`` is 0 or NULL (SAFE_DIVIDE/NULLIF semantics); with
     ``zero_when_den_not_positive`` the result is 0.0 when ``den <= 0``.
     """
-    n = num.cast(_WIDE) * F.lit(scale_by)
-    d = den.cast(_WIDE)
+    n = num.cast(MONEY) * F.lit(scale_by)
+    d = den.cast(MONEY)
     # A plain CASE guard (not NULLIF, which Spark rewrites into a common-expression
     # projection that keeps a later top-k from planning as TakeOrderedAndProject).
     out = F.when(d != 0, F.round(F.try_divide(n, d), digits).cast("double"))
@@ -53,3 +57,14 @@ def pct_change(cur: Column, prev: Column) -> Column:
 def share_pct(part: Column, total: Column) -> Column:
     """``round(part / total * 100, 1)``, 0 when the total is not positive."""
     return ratio(part, total, scale_by=100, digits=1, zero_when_den_not_positive=True)
+
+
+def threshold(value: float | int | Decimal, of: DataType) -> Column:
+    """A lower bound as a literal of the column's own type, so that ``column >= bound`` is pushed to the scan.
+
+    For DECIMAL columns it is rounded up to their scale, which keeps the same rows.
+    """
+    if not isinstance(of, DecimalType):
+        return F.lit(float(value))
+    exact_value = Decimal(str(value)).quantize(Decimal(1).scaleb(-of.scale), rounding=ROUND_CEILING)
+    return F.lit(exact_value).cast(of)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.arith import exact, money, pct_change, share_pct
+from tidemark.functions.arith import MONEY, exact, money, pct_change, share_pct
 from tidemark.operators.kpi import session_key
 from tidemark.operators.orders import PURCHASE
 from tidemark.operators.sessions import SESSION_KEY, channel_grain, channel_label, earliest
@@ -53,53 +53,58 @@ def _with_session_changes(agg: DataFrame, label: str) -> DataFrame:
     c_ses, p_ses = F.col("c_ses"), F.col("p_ses")
     return agg.select(
         F.col(label),
-        money(F.coalesce(c_rev, F.lit(0))).alias("current_revenue"),
-        money(F.coalesce(p_rev, F.lit(0))).alias("previous_revenue"),
-        money(F.coalesce(c_rev - p_rev, F.lit(0))).alias("revenue_change"),
+        money(c_rev).alias("current_revenue"),
+        money(p_rev).alias("previous_revenue"),
+        money(c_rev - p_rev).alias("revenue_change"),
         pct_change(c_rev, p_rev).alias("revenue_change_pct"),
-        F.coalesce(c_ses, F.lit(0)).alias("current_sessions"),
-        F.coalesce(p_ses, F.lit(0)).alias("previous_sessions"),
-        F.coalesce(c_ses - p_ses, F.lit(0)).alias("sessions_change"),
+        c_ses.alias("current_sessions"),
+        p_ses.alias("previous_sessions"),
+        (c_ses - p_ses).alias("sessions_change"),
         pct_change(c_ses, p_ses).alias("sessions_change_pct"),
     )
 
 
 # ---------------------------------------------------------------- product (Q9, Q10)
 
-def product_performance(events: DataFrame, cur: Period, prev: Period, k: int = 20,
+def product_performance(events: DataFrame, cur: Period, prev: Period, k: int | None = 20,
                         fill_zero: bool = False) -> DataFrame:
     """Per item: revenue, sessions and quantity in both periods, named by its latest name.
 
-    Items of every event in the covering range are exploded (events without
-    items drop out).  The latest name is the name at the greatest event date
-    (ties: greatest name; NULL names lose ties).  Items without an id are
-    dropped.  Top ``k`` by current revenue (ties by item id).
+    The cut depends on purchases alone, so purchases are summed and cut to the
+    top ``k`` by current revenue first (ties by item id; ``k=None`` keeps all);
+    the items of all other events are read only for the kept ids (semi-join
+    with at most ``k`` rows) to count sessions and find the latest name: the
+    one at the greatest event date (ties: greatest name; NULL names lose
+    ties).  Items without an id are dropped.
     """
     rng = covering(cur, prev)
-    flat = prepare(scan(events, rng), "event_date", "user_pseudo_id", "sid", "event_name", "items")
-    narrow = item_fields("item_id", "item_name", "price", "quantity")
-    items = (flat.select("event_date", "user_pseudo_id", "sid", "event_name", F.explode(narrow).alias("it"))
-             .select("event_date", "user_pseudo_id", "sid", "event_name", "it.item_id", "it.item_name",
-                     "it.price", "it.quantity")
-             .where(F.col("item_id").isNotNull()))
     in_c, in_p = cur.contains("event_date"), prev.contains("event_date")
-    p = _is_purchase()
-    line = F.coalesce(F.col("price"), F.lit(0)) * F.coalesce(F.col("quantity"), F.lit(0))
-    qty = F.coalesce(F.col("quantity"), F.lit(0))
-    skey = session_key(F.col("user_pseudo_id"), F.col("sid"))
-    metrics = items.groupBy("item_id").agg(
-        F.sum(F.when(in_c & p, line).otherwise(0)).alias("c_rev"),
-        F.sum(F.when(in_p & p, line).otherwise(0)).alias("p_rev"),
-        F.count_distinct(F.when(in_c, skey)).alias("c_ses"),
-        F.count_distinct(F.when(in_p, skey)).alias("p_ses"),
-        F.sum(F.when(in_c & p, qty).otherwise(0)).alias("c_qty"),
-        F.sum(F.when(in_p & p, qty).otherwise(0)).alias("p_qty"),
+    sold = (prepare(scan(events, cur, prev), "event_date", "event_name", it=item_fields("item_id", "price", "quantity"))
+            .where(_is_purchase()).select("event_date", F.explode("it").alias("it")).where(F.col("it.item_id").isNotNull()))
+    line = F.coalesce(F.col("it.price").cast(MONEY), F.lit(0)) * F.coalesce(F.col("it.quantity"), F.lit(0))
+    qty = F.coalesce(F.col("it.quantity"), F.lit(0))
+    top = sold.groupBy(F.col("it.item_id").alias("item_id")).agg(
+        F.sum(F.when(in_c, line).otherwise(0)).alias("c_rev"),
+        F.sum(F.when(in_p, line).otherwise(0)).alias("p_rev"),
+        F.sum(F.when(in_c, qty).otherwise(0)).alias("c_qty"),
+        F.sum(F.when(in_p, qty).otherwise(0)).alias("p_qty"),
     ).where((F.col("c_rev") > 0) | (F.col("p_rev") > 0))
-    # Hash metrics ⋈ latest names, both one row per item id (the join drops the NULL id).
-    agg = metrics.join(latest_item_names(events, rng), "item_id")
-    # One sort key for the cut and the display order: planned as a single TakeOrderedAndProject.
-    top = agg.orderBy(F.col("c_rev").desc(), F.col("item_id")).limit(k)
-    out = top.select(
+    by_revenue = (F.col("c_rev").desc(), F.col("item_id"))
+    if k is not None:
+        top = top.orderBy(*by_revenue).limit(k)
+    seen = (prepare(scan(events, rng), "event_date", "user_pseudo_id", "sid", it=item_fields("item_id", "item_name"))
+            .select("event_date", session_key(F.col("user_pseudo_id"), F.col("sid")).alias("skey"), F.explode("it").alias("it"))
+            .select("event_date", "skey", "it.item_id", "it.item_name")
+            .join(top.select("item_id"), "item_id", "left_semi"))
+    # One row per item, name and session before anything is counted.
+    grain = seen.groupBy("item_id", "item_name", "skey").agg(
+        F.max(F.col("event_date").cast("int")).alias("_d"), F.bool_or(in_c).alias("c_any"), F.bool_or(in_p).alias("p_any"))
+    details = grain.groupBy("item_id").agg(
+        F.count_distinct(F.when(F.col("c_any"), F.col("skey"))).alias("c_ses"),
+        F.count_distinct(F.when(F.col("p_any"), F.col("skey"))).alias("p_ses"),
+        F.max_by("item_name", F.struct("_d", "item_name")).alias("product_name"))
+    kept = top.join(details, "item_id").orderBy(*by_revenue)
+    out = kept.select(
         "product_name",
         money(F.col("c_rev")).alias("current_revenue"),
         money(F.col("p_rev")).alias("previous_revenue"),
@@ -148,10 +153,13 @@ def product_post(products: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- channel (Q11)
 
-def channel_performance(events: DataFrame, cur: Period, prev: Period, k: int = 10,
+def channel_performance(events: DataFrame, cur: Period, prev: Period, k: int | None = 10,
                         fill_zero: bool = False) -> DataFrame:
     """Per ``source / medium`` channel of the session's first non-blank values.
 
+    A session is a (user, id) pair: ids are told apart even where user and id
+    joined by "-" would read alike (negative ids).
+
     Two aggregations and no join: per session (channel inputs, per-period
     purchase revenue, presence), then per channel.  Each session has one
     channel, so session revenue and presence roll up exactly.
@@ -174,11 +182,12 @@ def channel_performance(events: DataFrame, cur: Period, prev: Period, k: int = 1
         F.bool_or("c_any").alias("c_any"),
         F.bool_or("p_any").alias("p_any"),
     )
-    skey = session_key(F.col("user_pseudo_id"), F.col("sid"), "-")
+    # Each row is one session, so sessions are counted as rows; without user or id it is none.
+    known = F.col("user_pseudo_id").isNotNull() & F.col("sid").isNotNull()
     agg = (per_session.groupBy(channel_label(F.col("_s"), F.col("_m")).alias("channel"))
            .agg(F.sum("c_rev").alias("c_rev"), F.sum("p_rev").alias("p_rev"),
-                F.count_distinct(F.when(F.col("c_any"), skey)).alias("c_ses"),
-                F.count_distinct(F.when(F.col("p_any"), skey)).alias("p_ses"))
+                F.count_if(F.col("c_any") & known).alias("c_ses"),
+                F.count_if(F.col("p_any") & known).alias("p_ses"))
            .where((F.col("c_rev") > 0) | (F.col("p_rev") > 0) | (F.col("c_ses") > 0) | (F.col("p_ses") > 0)))
     return _top_then_resort(_with_session_changes(agg, "channel"), "channel", k, fill_zero=fill_zero)
 
@@ -288,7 +297,7 @@ def demographic_columns() -> dict[str, Column]:
     gender = gender_label(gender_raw)
     age = F.coalesce(F.nullif(age_raw, F.lit("")), F.lit(UNKNOWN))
     return {"gender": gender, "age": age,
-            "demographic": F.concat(F.coalesce(gender, F.lit(UNKNOWN)), F.lit(" / "), F.coalesce(age, F.lit(UNKNOWN)))}
+            "demographic": F.concat(gender, F.lit(" / "), age)}
 
 
 def normalize_demographics(events: DataFrame, period: Period | None = None) -> DataFrame:
@@ -310,11 +319,14 @@ def demographic_performance(events: DataFrame, cur: Period, prev: Period, k: int
     in_c, in_p = cur.contains("event_date"), prev.contains("event_date")
     rev0 = F.coalesce(F.col("purchase_revenue"), F.lit(0))
     p = _is_purchase()
-    skey = session_key(F.col("user_pseudo_id"), F.col("sid"), "-")
-    agg = flat.groupBy(demographic_columns()["demographic"].alias("demographic")).agg(
+    # One row per label and session first: sessions are then counted as rows.
+    grain = flat.groupBy(demographic_columns()["demographic"].alias("demographic"), *SESSION_KEY).agg(
         F.sum(F.when(in_c & p, rev0).otherwise(0)).alias("c_rev"),
         F.sum(F.when(in_p & p, rev0).otherwise(0)).alias("p_rev"),
-        F.count_distinct(F.when(in_c, skey)).alias("c_ses"),
-        F.count_distinct(F.when(in_p, skey)).alias("p_ses"),
-    )
+        F.bool_or(in_c).alias("c_any"), F.bool_or(in_p).alias("p_any"))
+    known = F.col("user_pseudo_id").isNotNull() & F.col("sid").isNotNull()
+    agg = grain.groupBy("demographic").agg(
+        F.sum("c_rev").alias("c_rev"), F.sum("p_rev").alias("p_rev"),
+        F.count_if(F.col("c_any") & known).alias("c_ses"),
+        F.count_if(F.col("p_any") & known).alias("p_ses"))
     return _top_then_resort(_with_session_changes(agg, "demographic"), "demographic", k, fill_zero=fill_zero)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.arith import exact, money, ratio
+from tidemark.functions.arith import MONEY, exact, money, ratio, threshold
 from tidemark.functions.dates import grain_start, parse_yyyymmdd
 from tidemark.operators.orders import PURCHASE, RepairPatterns, purchase_item_flags, repair_only_flag
 from tidemark.operators.sessions import SESSION_KEY, source_sessions
@@ -65,7 +65,7 @@ def _commerce_grain(events: DataFrame, period: Period, bucket: Column, sessions:
     flat = prepare(scan(events, period), *cols, *([] if sessions is None else SESSION_KEY))
     is_purchase = F.col("event_name") == PURCHASE
     rev = F.col("purchase_revenue")
-    is_bulk = is_purchase & (rev >= F.lit(bulk_min))
+    is_bulk = is_purchase & (rev >= threshold(bulk_min, MONEY))
     no_false, any_true = purchase_item_flags(patterns)
     g = (flat.withColumn("bucket", bucket)
          .groupBy(*keys)
@@ -236,14 +236,24 @@ def kpi_derived(summary: DataFrame) -> DataFrame:
     aov_c, aov_p = rate(cv("revenue"), cv("orders"), 1), rate(pv("revenue"), pv("orders"), 1)
     faov_c = rate(cv("filtered_revenue"), cv("filtered_orders"), 1)
     faov_p = rate(pv("filtered_revenue"), pv("filtered_orders"), 1)
-    rows += [row("aov", aov_c, aov_p, _delta_pct(aov_c, aov_p), "pct"),
-             row("filtered_aov", faov_c, faov_p, _delta_pct(faov_c, faov_p), "pct"),
+    rows += [row("aov", aov_c, aov_p, _delta_of_quotients(cv, pv, "revenue", "orders"), "pct"),
+             row("filtered_aov", faov_c, faov_p, _delta_of_quotients(cv, pv, "filtered_revenue", "filtered_orders"), "pct"),
              row("bulk_orders", cv("bulk_orders"), pv("bulk_orders"), cv("bulk_orders") - pv("bulk_orders"), "diff"),
              row("bulk_share", rate(cv("bulk_revenue"), cv("revenue"), 100),
                  rate(pv("bulk_revenue"), pv("revenue"), 100), F.lit(None), None)]
     return piv.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def _delta_of_quotients(cv, pv, num: str, den: str) -> Column:
+    """Relative change in percent of ``num / den``, from the unrounded quotients; a quotient without ``den`` is 0."""
+    cn = F.when(cv(den) > 0, exact(cv(num))).otherwise(F.lit(0))
+    cd = F.when(cv(den) > 0, cv(den)).otherwise(F.lit(1)).cast("decimal(10,0)")
+    pn, pd = exact(pv(num)), pv(den).cast("decimal(10,0)")
+    none = (pv(den) <= 0) | (pv(num) == 0)
+    change = F.try_divide((cn * pd - pn * cd) * 100, pn * cd)
+    return F.when(none, F.lit(0.0)).otherwise(F.round(change, 1).cast("double"))
+
+
 def _pp(cn: Column, cd: Column, pn: Column, pd: Column) -> Column:
     """``round(cn/cd*100 - pn/pd*100, 2)`` with a 0 rate when a denominator is not positive."""
     dec = "decimal(20,2)"

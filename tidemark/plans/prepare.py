@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.arith import MONEY
 from tidemark.functions.params import param_int, param_str
 
 # Parameter and user-property keys read by the analytics.
@@ -25,7 +26,7 @@ _FLAT = {
     "event_timestamp": lambda: F.col("event_timestamp"),
     "user_pseudo_id": lambda: F.col("user_pseudo_id"),
     "event_name": lambda: F.col("event_name"),
-    "purchase_revenue": lambda: F.col("ecommerce.purchase_revenue"),
+    "purchase_revenue": lambda: F.col("ecommerce.purchase_revenue").cast(MONEY),
     "transaction_id": lambda: F.col("ecommerce.transaction_id"),
     "sid": lambda: param_int("event_params", SESSION_ID_KEY),
     "s_num": lambda: param_int("event_params", SESSION_NUMBER_KEY),

@@ -52,9 +52,46 @@ EVENTS_SCHEMA = T.StructType([
 ])
 
 
+_AMOUNT = (T.DecimalType, T.DoubleType, T.FloatType, T.LongType, T.IntegerType)
+
+
+def _as_found(want: T.DataType, found: T.DataType, path: str, missing: list[str]) -> T.DataType:
+    """``want``, narrowed to its own fields, with amounts of the type that the table has."""
+    if isinstance(want, T.ArrayType):
+        if not isinstance(found, T.ArrayType):
+            raise ValueError(f"{path}: {found.simpleString()} instead of an array")
+        return T.ArrayType(_as_found(want.elementType, found.elementType, path, missing))
+    if isinstance(want, T.StructType):
+        if not isinstance(found, T.StructType):
+            raise ValueError(f"{path}: {found.simpleString()} instead of a struct")
+        fields, there = [], {f.name: f.dataType for f in found.fields}
+        for f in want.fields:
+            name = f"{path}.{f.name}".lstrip(".")
+            if f.name in there:
+                fields.append(T.StructField(f.name, _as_found(f.dataType, there[f.name], name, missing)))
+            else:
+                missing.append(name)
+        return T.StructType(fields)
+    return found if isinstance(want, T.DecimalType) and isinstance(found, _AMOUNT) else want
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Read a Parquet events table partitioned by ``event_date``."""
-    return spark.read.schema(EVENTS_SCHEMA).parquet(path)
+    """Read a Parquet events table partitioned by ``event_date``.
+
+    Money may be DECIMAL of any scale or DOUBLE; operators turn it into
+    DECIMAL(22,6).  A table that lacks a column is an error.
+    """
+    found = spark.read.parquet(path).schema
+    missing: list[str] = []
+    schema = _as_found(EVENTS_SCHEMA, found, "", missing)
+    if missing:
+        raise ValueError(f"{path} lacks {', '.join(missing)}")
+    return spark.read.schema(schema).parquet(path)
+
+
+def revenue_type(events: DataFrame) -> T.DataType:
+    """The stored type of an event's purchase revenue."""
+    return events.schema["ecommerce"].dataType["purchase_revenue"].dataType
 
 
 def scan(events: DataFrame, *periods: Period) -> DataFrame:
@@ -67,10 +104,14 @@ def scan(events: DataFrame, *periods: Period) -> DataFrame:
     return events.where(cond)
 
 
-def write_events(events: DataFrame, path: str, mode: str = "overwrite",
+def write_events(events: DataFrame, path: str, mode: str = "errorifexists",
                  partitions: int | None = None) -> None:
     """Write events as Parquet partitioned by ``event_date``.
 
+    An existing table is an error by default; ``append`` adds to it, and
+    ``overwrite`` reloads the dates that ``events`` has (dynamic partition
+    overwrite) and leaves every other date alone.
+
     Without ``partitions`` the rows are redistributed with the REBALANCE hint on
     ``event_date``: AQE sizes the write partitions from the real data (splitting
     a large day over many tasks, merging small ones) at its advisory partition
@@ -85,4 +126,5 @@ def write_events(events: DataFrame, path: str, mode: str = "overwrite",
         spread = events.hint("rebalance", "event_date")
     else:
         spread = events.repartitionByRange(partitions, *order)
-    spread.sortWithinPartitions(*order).write.mode(mode).partitionBy("event_date").parquet(path)
+    (spread.sortWithinPartitions(*order).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+     .partitionBy("event_date").parquet(path))

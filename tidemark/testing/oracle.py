@@ -358,10 +358,14 @@ def kpi_derived_sql() -> str:
                     rnd("p_orders", "p_sessions", 100, 2, True),
                     _pp("c_orders", "c_sessions", "p_orders", "p_sessions"), "pp"))
     for name, rev, cnt in (("aov", "revenue", "orders"), ("filtered_aov", "filtered_revenue", "filtered_orders")):
-        c_a = f"(CASE WHEN c_{cnt} > 0 THEN {qround(cents(f'c_{rev}'), f'c_{cnt}')} ELSE 0 END)"
-        p_a = f"(CASE WHEN p_{cnt} > 0 THEN {qround(cents(f'p_{rev}'), f'p_{cnt}')} ELSE 0 END)"
-        rows.append(row(name, f"CAST({c_a} AS DOUBLE) / 100", f"CAST({p_a} AS DOUBLE) / 100",
-                        f"CASE WHEN {p_a} = 0 THEN 0.0 ELSE {rnd(f'{c_a} - {p_a}', p_a, 100, 1)} END", "pct"))
+        value = lambda side: (f"CAST(CASE WHEN {side}_{cnt} > 0 THEN {qround(cents(f'{side}_{rev}'), f'{side}_{cnt}')} "
+                              f"ELSE 0 END AS DOUBLE) / 100")
+        c_n = f"CASE WHEN c_{cnt} > 0 THEN {cents(f'c_{rev}')} ELSE 0 END"
+        c_d = f"CASE WHEN c_{cnt} > 0 THEN c_{cnt} ELSE 1 END"
+        p_n = cents(f"p_{rev}")
+        delta = rnd(f"({c_n}) * p_{cnt} - {p_n} * ({c_d})", f"{p_n} * ({c_d})", 100, 1)
+        rows.append(row(name, value("c"), value("p"),
+                        f"CASE WHEN p_{cnt} <= 0 OR {p_n} = 0 THEN 0.0 ELSE {delta} END", "pct"))
     rows.append(row("bulk_orders", "c_bulk_orders", "p_bulk_orders", "c_bulk_orders - p_bulk_orders", "diff"))
     rows.append(row("bulk_share", rnd(cents("c_bulk_revenue"), cents("c_revenue"), 100, 2, True),
                     rnd(cents("p_bulk_revenue"), cents("p_revenue"), 100, 2, True), "NULL", None))
