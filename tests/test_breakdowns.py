@@ -99,3 +99,29 @@ def test_fill_zero_option(spark):
     assert device_performance(ev, CUR, PREV, fill_zero=True).first().revenue_change_pct == 0.0
     got = geo_performance(ev, CUR, PREV, strategy="outer_join").first()
     assert (got.location, got.current_revenue, got.revenue_change_pct) == ("KR / Seoul", 10.0, None)
+
+
+def test_sessions_with_negative_ids_are_told_apart(spark):
+    """User 'a-' with id 5 and user 'a' with id -5 are two sessions, though joined by '-' they read alike."""
+    rows = [event("20240110", 1, user="a-", sid=5), event("20240110", 2, user="a", sid=-5),
+            event("20240110", 3, user="a", sid=-5), event("20240110", 4, user=None, sid=1), event("20240110", 5, user="a", sid=None)]
+    ev = events_frame(spark, rows)
+    assert [r.current_sessions for r in channel_performance(ev, CUR, PREV).collect()] == [2]
+    assert [r.current_sessions for r in demographic_performance(ev, CUR, PREV).collect()] == [2]
+
+
+def test_uncut_products_and_bulk_items(spark):
+    rows = [event("20240110", i, name="purchase", tx=f"t{i}", rev=100, items=[(f"p{i}", f"n{i}", "C", 10 + i, 1)]) for i in range(30)]
+    ev = events_frame(spark, rows)
+    assert len(product_performance(ev, CUR, PREV).collect()) == 20
+    assert len(product_performance(ev, CUR, PREV, k=None).collect()) == 30
+    assert len(bulk_order_items(ev, CUR, 100, k=None).collect()) == 30
+    top = revenue_share(product_performance(ev, CUR, PREV, k=None), "product_name", k=3).collect()
+    whole = revenue_share(product_performance(ev, CUR, PREV, k=None), "product_name").collect()
+    assert top == whole[:3] and [r.rank for r in top] == [1, 2, 3]
+
+
+def test_rows_come_in_display_order(spark):
+    rows = [event("20240110", i, name="purchase", rev=r, device=d) for i, (d, r) in enumerate([("a", 1), ("b", 9), (None, 5), ("c", 9)])]
+    got = [r.device for r in device_performance(events_frame(spark, rows), CUR, PREV, null_safe=True).collect()]
+    assert got == ["b", "c", None, "a"]

@@ -1,16 +1,19 @@
 """Plan-shape checks: partition pruning, nested pruning, no nested-loop existence joins, no Python UDFs."""
 
+import collections
 import contextlib
 import io
+import re
 import uuid
+from decimal import Decimal
 
 import pytest
 
-from tidemark import (channel_performance, geo_performance, kpi_summary, product_performance, read_events,
-                      write_events)
+from tidemark import (change_alerts, channel_performance, demographic_performance, geo_performance, kpi_summary, product_performance, product_post,
+                      read_events, revenue_share, trend, write_events)
 from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources.fixtures import build_events
-from tidemark.testing.params import BULK_MIN, CUR, PATTERNS, PREV
+from tidemark.testing.params import BULK_MIN, CUR, PATTERNS, PREV, THRESHOLDS
 
 from conftest import SF_SMALL
 
@@ -66,7 +69,59 @@ def test_top_k_is_take_ordered(events):
         assert "rangepartitioning" not in p, p  # no global sort of the whole aggregate
 
 
-def test_revenue_filter_pushed_down(events):
+@pytest.mark.parametrize("bound", [400_000, 400_000.0, Decimal("400000.001")])
+def test_revenue_filter_pushed_down(events, bound):
     from tidemark import bulk_order_items
-    p = plan(bulk_order_items(events, CUR, BULK_MIN))
-    assert "PushedFilters" in p and "ecommerce.purchase_revenue" in p
+    p = plan(bulk_order_items(events, CUR, bound))
+    pushed = [line for line in p.splitlines() if "PushedFilters" in line]
+    assert any("GreaterThanOrEqual(ecommerce.purchase_revenue" in line for line in pushed), pushed
+
+
+def final_nodes(df) -> collections.Counter:
+    """Operators of the plan that ran; a reused exchange is not counted again."""
+    df.collect()
+    tree = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return collections.Counter(re.findall(r"^[\s:+\-*()0-9]*([A-Z]\w+)", tree, re.M))
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.parametrize("mode", ["store", "online"])
+def test_source_modes_read_the_events_twice(events, mode, no_broadcast):
+    n = final_nodes(kpi_summary(events, CUR, PREV, mode, BULK_MIN, PATTERNS))
+    assert n["FileScan"] <= 2 and n["Exchange"] < 11, n
+    assert final_nodes(trend(events, CUR, "weekly", mode))["FileScan"] <= 2
+
+
+def test_products_are_cut_before_sessions_are_counted(events):
+    df = product_performance(events, CUR, PREV)
+    tree = df._jdf.queryExecution().optimizedPlan().toString()
+    join = tree.index("Join Inner")
+    assert "GlobalLimit 20" in tree[join:], tree
+    assert final_nodes(df)["FileScan"] <= 2
+
+
+def test_sessions_are_counted_as_rows(events):
+    n = final_nodes(channel_performance(events, CUR, PREV))
+    assert not n["Expand"] and n["Exchange"] <= 3, n
+    assert not final_nodes(demographic_performance(events, CUR, PREV))["Expand"]
+
+
+def test_alerts_read_each_input_once(events):
+    df = change_alerts(kpi_summary(events, CUR, PREV, "all", BULK_MIN, PATTERNS),
+                       product_post(product_performance(events, CUR, PREV)), channel_performance(events, CUR, PREV),
+                       demographic_performance(events, CUR, PREV), geo_performance(events, CUR, PREV), THRESHOLDS)
+    assert final_nodes(df)["FileScan"] <= 7
+
+
+def test_rank_of_an_uncut_frame_sorts_only_the_top(events):
+    frame = channel_performance(events, CUR, PREV, k=None)
+    tree = plan(revenue_share(frame, "channel", k=5)).split("== Initial Plan ==")[0].split("\n\n")[0]
+    window = tree.index("Window")
+    assert "TakeOrdered" in tree[window:] or "GlobalLimit" in tree[window:], tree

@@ -1,8 +1,13 @@
 import uuid
 
-from tidemark import EVENTS_SCHEMA, read_events, write_events
+import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
+
+from tidemark import EVENTS_SCHEMA, Period, bulk_order_items, kpi_summary, read_events, write_events
 from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources.fixtures import build_events
+from tidemark.testing.frames import event, events_frame
 
 from conftest import SF_SMALL
 
@@ -22,3 +27,49 @@ def test_write_read_roundtrip_keeps_string_partition(spark):
         assert dict(back.dtypes)["event_date"] == "string"
         assert back.count() == ev.count()
         assert sorted(r.event_date for r in back.select("event_date").distinct().collect())[0] == "20240101"
+
+
+def _written(spark, df, **kw):
+    path = f"{ensure_checkpoint_dir(spark)}/test-money-{uuid.uuid4().hex[:8]}"
+    write_events(df, path, partitions=2, **kw)
+    return path
+
+
+def _with_money(df, kind):
+    return (df.withColumn("ecommerce", F.col("ecommerce").withField(
+                "purchase_revenue", F.col("ecommerce.purchase_revenue").cast(kind)))
+            .withColumn("items", F.transform("items", lambda x: x.withField("price", x["price"].cast(kind)))))
+
+
+@pytest.mark.parametrize("kind,rev", [("double", 1.125), ("decimal(20,3)", 1.125), ("decimal(18,2)", 1.13)])
+def test_money_types_and_decimals(spark, kind, rev):
+    rows = [event("20240110", i, name="purchase", tx=f"t{i}", rev=0, items=[("p", "n", "c", 0, 3)]) for i in range(3)]
+    wide = _with_money(events_frame(spark, rows), "decimal(20,3)")
+    full = wide.withColumn("ecommerce", F.col("ecommerce").withField("purchase_revenue", F.lit(1.125).cast("decimal(20,3)")))
+    full = full.withColumn("items", F.transform("items", lambda x: x.withField("price", F.lit(0.005).cast("decimal(20,3)"))))
+    ev = read_events(spark, _written(spark, _with_money(full, kind)))
+    cur, prev = Period("20240110", "20240110"), Period("20240101", "20240101")
+    got = {r.type: r for r in kpi_summary(ev, cur, prev).collect()}["Current"]
+    assert got.revenue == pytest.approx(3 * rev, abs=1e-9)
+    items = bulk_order_items(ev, cur, 1.12).collect()
+    assert items[0].item_revenue == pytest.approx(9 * (0.005 if kind != "decimal(18,2)" else 0.01), abs=1e-9)
+
+
+def test_missing_columns_are_named(spark):
+    path = _written(spark, build_events(spark, SF_SMALL).drop("geo").withColumn(
+        "ecommerce", F.col("ecommerce").dropFields("transaction_id")))
+    with pytest.raises(ValueError, match="ecommerce.transaction_id, geo"):
+        read_events(spark, path)
+
+
+def test_writing_one_day_keeps_the_others(spark):
+    ev = build_events(spark, SF_SMALL)
+    path = _written(spark, ev)
+    day = ev.where("event_date = '20240103'")
+    with pytest.raises(AnalysisException):
+        write_events(day, path)
+    write_events(day.limit(1), path, mode="overwrite")
+    back = read_events(spark, path)
+    assert back.select("event_date").distinct().count() == ev.select("event_date").distinct().count()
+    assert back.where("event_date = '20240103'").count() == 1
+    assert back.where("event_date <> '20240103'").count() == ev.where("event_date <> '20240103'").count()

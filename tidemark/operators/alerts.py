@@ -1,8 +1,7 @@
 """Revenue shares, ranks and threshold-based change alerts.
 
-All inputs here are already-reduced frames: the two-row KPI summary and
-top-k breakdowns (at most k rows each).  Windows without a partition key run
-on those small frames only.
+Inputs are reduced frames: the two-row KPI summary and breakdowns.  Each is
+read once.
 """
 
 from __future__ import annotations
@@ -36,15 +35,22 @@ class AlertThresholds:
     top_n: int = 3
 
 
-def revenue_share(frame: DataFrame, label: str, revenue: str = "current_revenue") -> DataFrame:
+def revenue_share(frame: DataFrame, label: str, revenue: str = "current_revenue", k: int | None = None) -> DataFrame:
     """Add ``rank`` (1.. by revenue desc, ties by label) and ``revenue_share`` of the frame's total.
 
-    The share is ``round(revenue / total * 100, 1)`` over the rows of this
-    (already limited) frame, 0 when the total is not positive.
+    The share is ``round(revenue / total * 100, 1)`` over the rows of the
+    frame, 0 when the total is not positive.  Without ``k`` the frame must be
+    a display frame (already cut): ranks and total are windows over it.  With
+    ``k`` it may have any size: the total is a one-row aggregate of all its
+    rows, and only the top ``k`` are ranked and returned.
     """
-    order = Window.orderBy(F.col(revenue).desc_nulls_last(), F.col(label).asc_nulls_first())
-    total = F.sum(exact(F.col(revenue))).over(Window.partitionBy())
-    return (frame.withColumn("rank", F.row_number().over(order))
+    by_revenue = (F.col(revenue).desc_nulls_last(), F.col(label).asc_nulls_first())
+    if k is None:
+        total = F.sum(exact(F.col(revenue))).over(Window.partitionBy())
+    else:
+        total = frame.select(F.sum(exact(F.col(revenue)))).scalar()
+        frame = frame.orderBy(*by_revenue).limit(k)
+    return (frame.withColumn("rank", F.row_number().over(Window.orderBy(*by_revenue)))
             .withColumn("revenue_share", share_pct(F.col(revenue), total))
             .orderBy("rank"))
 
@@ -53,10 +59,16 @@ def _direction(change: Column) -> Column:
     return F.when(change > 0, F.lit("up")).otherwise(F.lit("down"))
 
 
-def _alert(df: DataFrame, rule: str, rank: Column, subject: Column, change: Column, pct: Column) -> DataFrame:
-    return df.select(F.lit(rule).alias("rule"), rank.cast("int").alias("rank"),
-                     subject.cast("string").alias("subject"), _direction(change).alias("direction"),
-                     change.cast("double").alias("change"), pct.cast("double").alias("change_pct"))
+def _alert(rule: str, rank: Column, subject: Column, change: Column, pct: Column, fires: Column) -> Column:
+    """One possible alert row, with ``fires``: whether the rule fires for it."""
+    change = change.cast("double")
+    return F.struct(F.lit(rule).alias("rule"), rank.cast("int").alias("rank"), subject.cast("string").alias("subject"),
+                    _direction(change).alias("direction"), change.alias("change"),
+                    pct.cast("double").alias("change_pct"), fires.alias("fires"))
+
+
+def _fired(df: DataFrame, *rows: Column) -> DataFrame:
+    return df.select(F.explode(F.array(*rows)).alias("a")).where("a.fires").select(*[f"a.{c}" for c in ALERT_COLUMNS])
 
 
 def _period_values(summary: DataFrame, cols: list[str]) -> DataFrame:
@@ -75,14 +87,42 @@ def _rel_change(c: Column, p: Column) -> Column:
     return F.when(p > 0, F.try_divide((exact(c) - exact(p)) * 100, exact(p))).otherwise(F.lit(0))
 
 
-def _top_by_abs(frame: DataFrame, label: str, col: str, n: int) -> DataFrame:
-    order = Window.orderBy(F.abs(F.col(col)).desc(), F.col("current_revenue").desc(), F.col(label).asc_nulls_first())
-    return frame.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n)
+def _is_unknown(label: str) -> Column:
+    return F.coalesce(F.col(label).contains("Unknown"), F.lit(False))
+
 
+def _frame_alerts(frame: DataFrame, label: str, n: int, revenue: tuple[str, float],
+                  sessions: tuple[str, float] | None = None, drop_unknown: bool = False) -> DataFrame:
+    """The alerts of one breakdown, which is read once.
 
-def _frame_rank(frame: DataFrame, label: str) -> DataFrame:
-    order = Window.orderBy(F.col("current_revenue").desc_nulls_last(), F.col(label).asc_nulls_first())
-    return frame.withColumn("_r", F.row_number().over(order))
+    Every row stands once for each rule; the rules then number their rows in
+    one window keyed by the rule, which keeps at most ``n`` rows of a task
+    before the shuffle.  Where 'Unknown' labels are dropped, the revenue rule
+    needs positions from before that, so that window sees the display frame.
+    """
+    rev = F.col("current_revenue")
+    rules = [F.struct(F.lit(revenue[0]).alias("rule"), rev.cast("double").alias("k1"), F.lit(0.0).alias("k2"),
+                      F.col("revenue_change").cast("double").alias("change"),
+                      F.coalesce("revenue_change_pct", F.lit(0)).cast("double").alias("pct"),
+                      F.lit(float(revenue[1])).alias("limit"))]
+    if sessions:
+        rules.append(F.struct(F.lit(sessions[0]).alias("rule"), F.abs("sessions_change").cast("double").alias("k1"),
+                              rev.cast("double").alias("k2"), F.col("sessions_change").cast("double").alias("change"),
+                              F.coalesce("sessions_change_pct", F.lit(0)).cast("double").alias("pct"),
+                              F.lit(float(sessions[1])).alias("limit")))
+    rows = frame.select(F.col(label).alias("subject"), _is_unknown(label).alias("unknown"), F.explode(F.array(*rules)).alias("r"))
+    order = Window.partitionBy("r.rule").orderBy(F.col("r.k1").desc_nulls_last(), F.col("r.k2").desc_nulls_last(),
+                                                 F.col("subject").asc_nulls_first())
+    if drop_unknown:
+        rows = rows.where(~F.col("unknown") | (F.col("r.rule") == revenue[0]))
+        rows = rows.withColumn("rank", F.row_number().over(order)).where(~F.col("unknown"))
+        known = Window.partitionBy("r.rule").orderBy("rank")
+        rows = rows.withColumn("nth", F.row_number().over(known)).where(F.col("nth") <= n)
+    else:
+        rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return rows.where(F.abs("r.change") > F.col("r.limit")).select(
+        F.col("r.rule").alias("rule"), F.col("rank").cast("int").alias("rank"), "subject",
+        _direction(F.col("r.change")).alias("direction"), F.col("r.change").alias("change"), F.col("r.pct").alias("change_pct"))
 
 
 def change_alerts(summary: DataFrame, products: DataFrame | None = None, channels: DataFrame | None = None,
@@ -96,62 +136,29 @@ def change_alerts(summary: DataFrame, products: DataFrame | None = None, channel
     dropped, the two session rules number their own top rows.
     """
     t = thresholds
-    n = t.top_n
-    parts: list[DataFrame] = []
     pv = _period_values(summary, ["revenue", "bulk_revenue", "orders", "sessions"])
-
     chg = exact(F.col("c_revenue")) - exact(F.col("p_revenue"))
     rel = _rel_change(F.col("c_revenue"), F.col("p_revenue"))
-    parts.append(_alert(pv.where(F.abs(rel) > t.total_revenue_pct), "total_revenue", F.lit(None), F.lit("revenue"),
-                        chg, F.round(rel, 1)))
-
     bchg = exact(F.col("c_bulk_revenue")) - exact(F.col("p_bulk_revenue"))
     brel = _rel_change(F.col("c_bulk_revenue"), F.col("p_bulk_revenue"))
-    parts.append(_alert(pv.where((F.abs(brel) > t.bulk_revenue_pct) | (F.abs(bchg) > t.bulk_revenue_abs)),
-                        "bulk_revenue", F.lit(None), F.lit("bulk_revenue"), bchg, F.round(brel, 1)))
-
     dec = "decimal(20,2)"
     cr = lambda o, s: F.when(F.col(s) > 0, F.try_divide(F.col(o).cast(dec) * 100, F.col(s).cast(dec))).otherwise(0)
     cr_chg = cr("c_orders", "c_sessions") - cr("p_orders", "p_sessions")
-    parts.append(_alert(pv.where(F.abs(cr_chg) > t.conversion_pp), "conversion_rate", F.lit(None),
-                        F.lit("conversion_rate"), F.round(cr_chg, 2), F.lit(None)))
-
-    def revenue_rule(frame: DataFrame, label: str, rule: str, limit: float, pct_col: str,
-                     drop_unknown: bool = False) -> DataFrame:
-        ranked = _frame_rank(frame.na.fill(0, subset=[pct_col]), label)
-        if drop_unknown:
-            ranked = ranked.where(~F.coalesce(F.col(label).contains("Unknown"), F.lit(False)))
-            ranked = ranked.withColumn("_k", F.row_number().over(Window.orderBy("_r"))).where(F.col("_k") <= n)
-        else:
-            ranked = ranked.where(F.col("_r") <= n)
-        return _alert(ranked.where(F.abs(F.col("revenue_change")) > limit), rule, F.col("_r"), F.col(label),
-                      F.col("revenue_change"), F.col(pct_col))
-
-    def session_rule(frame: DataFrame, label: str, rule: str, limit: float, drop_unknown: bool = False) -> DataFrame:
-        f = frame.na.fill(0, subset=["sessions_change_pct"])
-        if drop_unknown:
-            f = f.where(~F.coalesce(F.col(label).contains("Unknown"), F.lit(False)))
-        top = _top_by_abs(f, label, "sessions_change", n)
-        return _alert(top.where(F.abs(F.col("sessions_change")) > limit), rule, F.col("_r"), F.col(label),
-                      F.col("sessions_change"), F.col("sessions_change_pct"))
-
+    none = F.lit(None)
+    out = _fired(pv, _alert("total_revenue", none, F.lit("revenue"), chg, F.round(rel, 1), F.abs(rel) > t.total_revenue_pct),
+                 _alert("bulk_revenue", none, F.lit("bulk_revenue"), bchg, F.round(brel, 1),
+                        (F.abs(brel) > t.bulk_revenue_pct) | (F.abs(bchg) > t.bulk_revenue_abs)),
+                 _alert("conversion_rate", none, F.lit("conversion_rate"), F.round(cr_chg, 2), none,
+                        F.abs(cr_chg) > t.conversion_pp))
+    n = t.top_n
     if products is not None:
-        parts.append(revenue_rule(products, "product_name", "product_revenue", t.product_revenue,
-                                  "revenue_change_pct"))
+        out = out.unionByName(_frame_alerts(products, "product_name", n, ("product_revenue", t.product_revenue)))
     if channels is not None:
-        parts.append(revenue_rule(channels, "channel", "channel_revenue", t.channel_revenue, "revenue_change_pct"))
-        parts.append(session_rule(channels, "channel", "channel_sessions", t.channel_sessions))
+        out = out.unionByName(_frame_alerts(channels, "channel", n, ("channel_revenue", t.channel_revenue),
+                                            ("channel_sessions", t.channel_sessions)))
     if demographics is not None:
-        parts.append(revenue_rule(demographics, "demographic", "demographic_revenue", t.demographic_revenue,
-                                  "revenue_change_pct", drop_unknown=True))
-        parts.append(session_rule(demographics, "demographic", "demographic_sessions", t.demographic_sessions,
-                                  drop_unknown=True))
+        out = out.unionByName(_frame_alerts(demographics, "demographic", n, ("demographic_revenue", t.demographic_revenue),
+                                            ("demographic_sessions", t.demographic_sessions), drop_unknown=True))
     if regions is not None:
-        top = _frame_rank(regions.na.fill(0, subset=["revenue_change_pct"]), "location").where(F.col("_r") == 1)
-        parts.append(_alert(top.where(F.abs(F.col("revenue_change")) > t.region_revenue), "top_region",
-                            F.col("_r"), F.col("location"), F.col("revenue_change"), F.col("revenue_change_pct")))
-
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(_frame_alerts(regions, "location", 1, ("top_region", t.region_revenue)))
     return out

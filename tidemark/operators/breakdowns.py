@@ -72,8 +72,8 @@ def product_performance(events: DataFrame, cur: Period, prev: Period, k: int | N
 
     The cut depends on purchases alone, so purchases are summed and cut to the
     top ``k`` by current revenue first (ties by item id; ``k=None`` keeps all);
-    the items of all other events are read only for the kept ids (semi-join
-    with at most ``k`` rows) to count sessions and find the latest name: the
+    the items of all other events are read only for the kept ids (join with
+    at most ``k`` rows) to count sessions and find the latest name: the
     one at the greatest event date (ties: greatest name; NULL names lose
     ties).  Items without an id are dropped.
     """
@@ -92,18 +92,20 @@ def product_performance(events: DataFrame, cur: Period, prev: Period, k: int | N
     by_revenue = (F.col("c_rev").desc(), F.col("item_id"))
     if k is not None:
         top = top.orderBy(*by_revenue).limit(k)
+    # The join carries the figures along (one value per item), so that purchases are summed once.
+    figures = ["item_id", "c_rev", "p_rev", "c_qty", "p_qty"]
     seen = (prepare(scan(events, rng), "event_date", "user_pseudo_id", "sid", it=item_fields("item_id", "item_name"))
             .select("event_date", session_key(F.col("user_pseudo_id"), F.col("sid")).alias("skey"), F.explode("it").alias("it"))
             .select("event_date", "skey", "it.item_id", "it.item_name")
-            .join(top.select("item_id"), "item_id", "left_semi"))
+            .join(top, "item_id"))
     # One row per item, name and session before anything is counted.
-    grain = seen.groupBy("item_id", "item_name", "skey").agg(
+    grain = seen.groupBy(*figures, "item_name", "skey").agg(
         F.max(F.col("event_date").cast("int")).alias("_d"), F.bool_or(in_c).alias("c_any"), F.bool_or(in_p).alias("p_any"))
-    details = grain.groupBy("item_id").agg(
+    kept = grain.groupBy(*figures).agg(
         F.count_distinct(F.when(F.col("c_any"), F.col("skey"))).alias("c_ses"),
         F.count_distinct(F.when(F.col("p_any"), F.col("skey"))).alias("p_ses"),
-        F.max_by("item_name", F.struct("_d", "item_name")).alias("product_name"))
-    kept = top.join(details, "item_id").orderBy(*by_revenue)
+        F.max_by("item_name", F.struct("_d", "item_name")).alias("product_name")).orderBy(*by_revenue)
+    kept = kept if k is None else kept.limit(k)  # planned as one top-k, not as a range sort
     out = kept.select(
         "product_name",
         money(F.col("c_rev")).alias("current_revenue"),

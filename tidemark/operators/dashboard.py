@@ -12,19 +12,21 @@ uncached frame would compute it twice: once to count, once to write.)
 from __future__ import annotations
 
 import uuid
-import warnings
+from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field, fields
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.alerts import AlertThresholds, change_alerts
+from tidemark.operators.alerts import AlertThresholds, change_alerts, revenue_share
 from tidemark.operators.breakdowns import (channel_performance, demographic_performance, device_performance,
                                            geo_performance, product_performance, product_post)
 from tidemark.operators.bulk import bulk_order_items
 from tidemark.operators.kpi import BULK_MIN_REVENUE, kpi_derived, kpi_summary, trend, trend_conversion
 from tidemark.operators.orders import RepairPatterns
+from tidemark.operators.sessions import STORE_SOURCES
 from tidemark.plans.periods import Period
 from tidemark.session import checkpoint_dir
 
@@ -41,49 +43,66 @@ class Dashboard:
     demographics: DataFrame
     bulk_items: DataFrame
     alerts: DataFrame
+    folder: str | None = field(default=None, repr=False)
 
     def frames(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {f.name: getattr(self, f.name) for f in fields(self) if f.name != "folder"}
+
+    def close(self) -> None:
+        """Delete the render's folder; its frames cannot be read afterwards."""
+        if self.folder:
+            sc = self.summary.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(self.folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            self.folder = None
 
 
 def dashboard(events: DataFrame, cur: Period, prev: Period, source: str = "all", grain: str = "daily",
               bulk_min: float = BULK_MIN_REVENUE, patterns: RepairPatterns = RepairPatterns(),
               thresholds: AlertThresholds = AlertThresholds(), materialize: bool = True,
-              parallelism: int = 4) -> Dashboard:
-    """All results of one render.
+              parallelism: int = 4, product_k: int = 20, breakdown_k: int = 10, bulk_k: int = 20,
+              store_sources: Iterable[str] = STORE_SOURCES) -> Dashboard:
+    """All results of one render: ranks and revenue shares on every breakdown, percentages without a base as 0.
 
-    ``source`` applies to the summary and the trend; breakdowns and bulk items
-    cover all sources.  With ``materialize`` (default) the base results are
-    written at once under ``spark.checkpoint.dir`` (this runs their jobs, up to
-    ``parallelism`` of them concurrently on the shared session) and everything
-    derived reads them; without it, or when no shared checkpoint folder is
-    configured, every frame stays lazy.
+    ``source`` applies to the summary and the trend (``store_sources`` are the
+    in-store ones); breakdowns and bulk items cover all sources, cut to
+    ``product_k``, ``breakdown_k`` and ``bulk_k`` rows (devices are all shown).
+    With ``materialize`` (default) the base results are written at once under
+    ``spark.checkpoint.dir``, which must be set (this runs their jobs, up to
+    ``parallelism`` of them concurrently on the shared session), and everything
+    derived reads them until ``close()``; without it every frame stays lazy.
     """
     by_revenue = lambda label: (F.col("current_revenue").desc_nulls_last(), F.col(label).asc_nulls_first())
+    shown = lambda frame, label, revenue="current_revenue": revenue_share(frame, label, revenue)
     base: dict[str, tuple[DataFrame, tuple[Column, ...]]] = {
-        "summary": (kpi_summary(events, cur, prev, source, bulk_min, patterns), (F.col("type"),)),
-        "trend": (trend_conversion(trend(events, cur, grain, source)), (F.col("period_label"),)),
-        "products": (product_post(product_performance(events, cur, prev)), by_revenue("product_name")),
-        "channels": (channel_performance(events, cur, prev), by_revenue("channel")),
-        "regions": (geo_performance(events, cur, prev), by_revenue("location")),
-        "devices": (device_performance(events, cur, prev), by_revenue("device")),
-        "demographics": (demographic_performance(events, cur, prev), by_revenue("demographic")),
-        "bulk_items": (bulk_order_items(events, cur, bulk_min),
+        "summary": (kpi_summary(events, cur, prev, source, bulk_min, patterns, store_sources), (F.col("type"),)),
+        "trend": (trend_conversion(trend(events, cur, grain, source, store_sources)), (F.col("period_label"),)),
+        "products": (shown(product_post(product_performance(events, cur, prev, product_k)), "product_name"),
+                     by_revenue("product_name")),
+        "channels": (shown(channel_performance(events, cur, prev, breakdown_k, fill_zero=True), "channel"),
+                     by_revenue("channel")),
+        "regions": (shown(geo_performance(events, cur, prev, breakdown_k, fill_zero=True), "location"),
+                    by_revenue("location")),
+        "devices": (shown(device_performance(events, cur, prev, fill_zero=True), "device"), by_revenue("device")),
+        "demographics": (shown(demographic_performance(events, cur, prev, breakdown_k, fill_zero=True), "demographic"),
+                         by_revenue("demographic")),
+        "bulk_items": (shown(bulk_order_items(events, cur, bulk_min, bulk_k), "product_name", "item_revenue"),
                        (F.col("item_revenue").desc_nulls_last(), F.col("product_name").asc_nulls_first())),
     }
-    shared = checkpoint_dir(events.sparkSession) if materialize else None
-    if materialize and not shared:
-        warnings.warn("spark.checkpoint.dir is not set: dashboard results stay lazy (recomputed per use)")
-    if shared:
+    folder = None
+    if materialize:
+        shared = checkpoint_dir(events.sparkSession)
+        if not shared:
+            raise RuntimeError("spark.checkpoint.dir is not set; use materialize=False for lazy frames")
         spark = events.sparkSession
         folder = f"{shared}/tidemark-render-{uuid.uuid4().hex}"
 
-        def write(name: str) -> str:
+        def write(name: str) -> None:
             base[name][0].write.parquet(f"{folder}/{name}")
-            return name
 
+        # Threads that take over the caller's job group, so that a render can be cancelled as one.
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            list(pool.map(write, base))
+            list(pool.map(inheritable_thread_target(write), base))
         frames = {name: spark.read.parquet(f"{folder}/{name}").orderBy(*order) for name, (_, order) in base.items()}
     else:
         frames = {name: df for name, (df, _) in base.items()}
@@ -91,5 +110,6 @@ def dashboard(events: DataFrame, cur: Period, prev: Period, source: str = "all",
         derived=kpi_derived(frames["summary"]),
         alerts=change_alerts(frames["summary"], frames["products"], frames["channels"], frames["demographics"],
                              frames["regions"], thresholds),
+        folder=folder,
         **frames,
     )

@@ -14,21 +14,25 @@ combine (hot users, sessions or transactions collapse before any shuffle):
   join to the set.
 
 Parquet reads each column once, so the two scans cost about one.  In a
-source mode both grains keep ``(user, sid)`` and are left-semi joined with
-the selected sessions; the join sees pre-aggregated rows only.
+source mode each grain also keeps ``(user, sid, source)`` with the earliest
+time; a window over the pre-aggregated rows of a session gives its first
+source, and only the rows of selected sessions go on: no third scan and no
+join with the set of sessions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.arith import MONEY, exact, money, ratio, threshold
 from tidemark.functions.dates import grain_start, parse_yyyymmdd
 from tidemark.operators.orders import PURCHASE, RepairPatterns, purchase_item_flags, repair_only_flag
-from tidemark.operators.sessions import SESSION_KEY, source_sessions
+from tidemark.operators.sessions import SESSION_KEY, STORE_SOURCES, source_of_event
 from tidemark.plans.periods import CURRENT, PREVIOUS, Period, covering, period_type
-from tidemark.plans.prepare import prepare
+from tidemark.plans.prepare import item_fields, prepare
 from tidemark.sources.events import scan
 
 SIGN_UP = "sign_up"
@@ -45,30 +49,62 @@ def session_key(user: Column, sid: Column, sep: str = "") -> Column:
     return F.concat(*parts)
 
 
-def _restrict(grain: DataFrame, sessions: DataFrame | None) -> DataFrame:
-    # Inner-join semantics on (user, sid): NULL user or sid never matches.
-    return grain if sessions is None else grain.join(sessions, SESSION_KEY, "left_semi")
+def _with_source(flat: DataFrame, mode: str) -> DataFrame:
+    """For a source mode, the rows that belong to a session at all (inner-join semantics), with their source."""
+    if mode == "all":
+        return flat
+    known = F.col("user_pseudo_id").isNotNull() & F.col("sid").isNotNull()
+    return flat.where(known).withColumn("_src", source_of_event())
+
+
+def _selected(grain: DataFrame, mode: str, store_sources: Iterable[str]) -> DataFrame:
+    """The grain's rows of sessions whose first source the mode selects.
+
+    The grain holds each source of a session with its earliest time, so the
+    window sees the few pre-aggregated rows of a session, not its events.
+    """
+    if mode == "all":
+        return grain
+    if mode not in ("store", "online"):
+        raise ValueError(f"unknown source mode {mode!r}; expected all, store or online")
+    first = F.min(F.struct("_t", "_src")).over(Window.partitionBy(*SESSION_KEY))
+    member = F.col("_first._src").isin(*list(store_sources))
+    return grain.withColumn("_first", first).where(member if mode == "store" else ~member)
+
+
+def _grain_keys(mode: str, *keys: str) -> list[str]:
+    return ["bucket", *dict.fromkeys([*keys, *([] if mode == "all" else [*SESSION_KEY, "_src"])])]
+
+
+def _source_columns(mode: str) -> list[str]:
+    return [] if mode == "all" else [*SESSION_KEY, "event_timestamp", "param_source", "ts_source"]
+
+
+def _earliest_time(mode: str) -> list[Column]:
+    return [] if mode == "all" else [F.min("event_timestamp").alias("_t")]
 
 
-def _session_grain(events: DataFrame, period: Period, bucket: Column, sessions: DataFrame | None) -> DataFrame:
-    flat = prepare(scan(events, period), "event_date", "user_pseudo_id", "sid", "s_num")
+def _session_grain(events: DataFrame, period: Period, bucket: Column, mode: str,
+                   store_sources: Iterable[str]) -> DataFrame:
+    cols = dict.fromkeys(["event_date", "user_pseudo_id", "sid", "s_num", *_source_columns(mode)])
+    flat = _with_source(prepare(scan(events, period), *cols), mode)
     g = (flat.withColumn("bucket", bucket)
-         .groupBy("bucket", *SESSION_KEY)
-         .agg(F.bool_or(F.col("s_num") == 1).alias("is_new")))
-    return _restrict(g, sessions)
+         .groupBy(*_grain_keys(mode, *SESSION_KEY))
+         .agg(F.bool_or(F.col("s_num") == 1).alias("is_new"), *_earliest_time(mode)))
+    return _selected(g, mode, store_sources)
 
 
-def _commerce_grain(events: DataFrame, period: Period, bucket: Column, sessions: DataFrame | None,
+def _commerce_grain(events: DataFrame, period: Period, bucket: Column, mode: str, store_sources: Iterable[str],
                     bulk_min: float, patterns: RepairPatterns) -> DataFrame:
-    keys = ["bucket", "transaction_id"] if sessions is None else ["bucket", *SESSION_KEY, "transaction_id"]
-    cols = ["event_date", "event_name", "purchase_revenue", "transaction_id", "items"]
-    flat = prepare(scan(events, period), *cols, *([] if sessions is None else SESSION_KEY))
+    cols = dict.fromkeys(["event_date", "event_name", "purchase_revenue", "transaction_id", *_source_columns(mode)])
+    named = item_fields("item_name", "item_category")
+    flat = _with_source(prepare(scan(events, period), *cols, items=named), mode)
     is_purchase = F.col("event_name") == PURCHASE
     rev = F.col("purchase_revenue")
     is_bulk = is_purchase & (rev >= threshold(bulk_min, MONEY))
     no_false, any_true = purchase_item_flags(patterns)
     g = (flat.withColumn("bucket", bucket)
-         .groupBy(*keys)
+         .groupBy(*_grain_keys(mode, "transaction_id"))
          .agg(F.count(F.lit(1)).alias("n_events"),
               F.count_if(F.col("event_name") == SIGN_UP).alias("signups"),
               F.sum(F.coalesce(rev, F.lit(0))).alias("revenue"),
@@ -78,28 +114,32 @@ def _commerce_grain(events: DataFrame, period: Period, bucket: Column, sessions:
               F.bool_or(is_bulk).alias("b_any"),
               F.sum(F.when(is_bulk, rev).otherwise(F.lit(0))).alias("b_rev"),
               F.bool_and(no_false).alias("no_false"),
-              F.bool_or(any_true).alias("any_true")))
-    return _restrict(g, sessions)
+              F.bool_or(any_true).alias("any_true"), *_earliest_time(mode)))
+    return _selected(g, mode, store_sources)
 
 
 def kpi_summary(events: DataFrame, cur: Period, prev: Period, source: str = "all",
-                bulk_min: float = BULK_MIN_REVENUE, patterns: RepairPatterns = RepairPatterns()) -> DataFrame:
+                bulk_min: float = BULK_MIN_REVENUE, patterns: RepairPatterns = RepairPatterns(),
+                store_sources: Iterable[str] = STORE_SOURCES, gap_as_previous: bool = True) -> DataFrame:
     """One row per period type (Current / Previous) with the eleven KPI columns.
 
     The scan covers ``min(starts)..max(ends)``; every date outside the current
-    period, gap days included, counts as Previous.  ``source`` is ``all``,
-    ``store`` or ``online`` (sessions by first source over the same range).
+    period, gap days included, counts as Previous; without ``gap_as_previous``
+    only the dates of the two periods count.  ``source`` is ``all``, ``store``
+    or ``online`` (sessions whose first source over the same range is, or is
+    not, one of ``store_sources``).
     """
     rng = covering(cur, prev)
     bucket = period_type(cur)
-    sessions = source_sessions(events, rng, source)
+    if not gap_as_previous:
+        events = scan(events, cur, prev)
     user = F.col("user_pseudo_id")
-    per_type = (_session_grain(events, rng, bucket, sessions)
+    per_type = (_session_grain(events, rng, bucket, source, store_sources)
                 .groupBy(F.col("bucket").alias("type"))
                 .agg(F.count_distinct(user).alias("users"),
                      F.count_distinct(F.when(F.col("is_new"), user)).alias("new_users"),
                      F.count_distinct(session_key(user, F.col("sid"))).alias("sessions")))
-    commerce = _commerce_metrics(_commerce_grain(events, rng, bucket, sessions, bulk_min, patterns))
+    commerce = _commerce_metrics(_commerce_grain(events, rng, bucket, source, store_sources, bulk_min, patterns))
     all_null = F.col("_n_events") == F.col("_f_null_rev")
     return per_type.join(commerce, "type", "left").select(
         *KPI_COLUMNS[:-2],
@@ -168,18 +208,18 @@ def _commerce_metrics(grain: DataFrame) -> DataFrame:
     return g.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def trend(events: DataFrame, cur: Period, grain: str = "daily", source: str = "all") -> DataFrame:
+def trend(events: DataFrame, cur: Period, grain: str = "daily", source: str = "all",
+          store_sources: Iterable[str] = STORE_SOURCES) -> DataFrame:
     """``(period_label, sessions, revenue, orders)`` per day / week (Sunday start) / month of ``cur``.
 
     In a source mode the sessions are attributed over the current period only.
     """
     bucket = grain_start(parse_yyyymmdd(F.col("event_date")), grain).cast("string")
-    sessions = source_sessions(events, cur, source)
     user, tx = F.col("user_pseudo_id"), F.col("transaction_id")
-    s = (_session_grain(events, cur, bucket, sessions)
+    s = (_session_grain(events, cur, bucket, source, store_sources)
          .groupBy(F.col("bucket").alias("period_label"))
          .agg(F.count_distinct(session_key(user, F.col("sid"))).alias("sessions")))
-    c = (_commerce_grain(events, cur, bucket, sessions, BULK_MIN_REVENUE, RepairPatterns())
+    c = (_commerce_grain(events, cur, bucket, source, store_sources, BULK_MIN_REVENUE, RepairPatterns())
          .groupBy(F.col("bucket").alias("period_label"))
          .agg(money(F.sum("revenue")).alias("revenue"),
               F.count_distinct(F.when(F.col("p_any"), tx)).alias("orders")))

@@ -77,15 +77,18 @@ def not_in_null_aware(left: DataFrame, left_col: str, right: DataFrame, right_co
 
     SQL semantics: an empty set keeps every row (NULL keys too); otherwise a
     NULL key, a key in the set, or any NULL in the set gives not-kept.  Planned
-    as an equi left join on the distinct non-NULL set keys (shuffle or
-    broadcast by measured size, never a nested-loop existence join) plus two
-    uncorrelated scalar subqueries (set size, set has NULL) that Catalyst
-    merges into one global aggregate evaluated once.
+    as an equi left join on the distinct set keys (shuffle or broadcast by
+    measured size, never a nested-loop existence join) plus one scalar
+    subquery over the same distinct keys (set size, set has NULL).  NULL keys
+    of ``left`` match nothing; a salt spreads them over all partitions.
     """
-    keys = right.select(F.col(right_col).alias("_nin_key"))
-    n = keys.select(F.count(F.lit(1))).scalar()
-    has_null = keys.select(F.coalesce(F.bool_or(F.col("_nin_key").isNull()), F.lit(False))).scalar()
-    hits = keys.where(F.col("_nin_key").isNotNull()).distinct().withColumn("_nin_hit", F.lit(True))
-    joined = left.join(hits, left[left_col] == hits["_nin_key"], "left")
-    keep = (n == 0) | (F.col(left_col).isNotNull() & ~has_null & F.col("_nin_hit").isNull())
-    return joined.withColumn(out, keep).drop("_nin_key", "_nin_hit")
+    keys = right.select(F.col(right_col).alias("_nin_key")).distinct()
+    facts = keys.select(F.struct(F.count(F.lit(1)).alias("n"),
+                                 F.coalesce(F.bool_or(F.col("_nin_key").isNull()), F.lit(False)).alias("null"))).scalar()
+    hits = keys.select("_nin_key", F.lit(0).alias("_nin_hit"))
+    salt = F.when(F.col(left_col).isNull(), F.lit(1) + F.pmod(F.monotonically_increasing_id(), F.lit(997))).otherwise(0)
+    salted = left.withColumn("_nin_salt", salt.cast("int")).withColumn("_nin_facts", facts)
+    joined = salted.join(hits, (salted[left_col] == hits["_nin_key"]) & (salted["_nin_salt"] == hits["_nin_hit"]), "left")
+    keep = ((F.col("_nin_facts.n") == 0)
+            | (F.col(left_col).isNotNull() & ~F.col("_nin_facts.null") & F.col("_nin_hit").isNull()))
+    return joined.withColumn(out, keep).drop("_nin_key", "_nin_hit", "_nin_salt", "_nin_facts")

@@ -5,7 +5,8 @@ group per user, as a window partition would.  Attribution is a ``groupBy``
 with ``min`` over ``struct(event_timestamp, value)`` instead of a window: the
 aggregate combines map-side, so a session holding a huge share of the events
 never has to sit in one task.  Ties on the timestamp resolve to the smallest
-value, deterministically.
+value, deterministically.  An event without a time counts only where its
+source has no event with one in that session; such a source sorts first.
 """
 
 from __future__ import annotations
@@ -65,15 +66,6 @@ def filter_sessions(first_source: DataFrame, sources: Iterable[str] = STORE_SOUR
     return first_source.where(member if include else ~member).select(*SESSION_KEY)
 
 
-def source_sessions(events: DataFrame, period: Period, source: str) -> DataFrame | None:
-    """Selected sessions for a data-source mode: 'all' (None), 'store' or 'online'."""
-    if source == "all":
-        return None
-    if source not in ("store", "online"):
-        raise ValueError(f"unknown source mode {source!r}; expected all, store or online")
-    return filter_sessions(session_first_source(events, period), STORE_SOURCES, include=source == "store")
-
-
 def channel_source() -> Column:
     return F.lower(blank_to_null(F.col("ts_source")))
 

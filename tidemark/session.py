@@ -49,13 +49,10 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """For tests, the bench and scripts: the checkpoint folder, made only when unset.
+    """The folder named by ``spark.checkpoint.dir``, used as it is.
 
-    Return the shared folder named by ``spark.checkpoint.dir``.
-
-    On a cluster that setting names a shared (distributed) folder and is used
-    as is.  Only when it is unset (local tests) a fresh scratch folder is made
-    and registered as the checkpoint directory.
+    Where it is unset, a local session (tests, the bench) gets a fresh scratch
+    folder as its checkpoint directory; on a cluster that is an error.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir")
@@ -66,6 +63,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    path = tempfile.mkdtemp(prefix="tidemark-ckpt-")
-    sc.setCheckpointDir(path)
-    return sc.getCheckpointDir() or path
+    if not sc.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-ckpt-"))
+    return sc.getCheckpointDir()

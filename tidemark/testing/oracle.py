@@ -105,12 +105,12 @@ def repair_pred(alias: str = "") -> str:
 
 
 def first_source_cte(name: str, src: str) -> str:
-    expr = "lower(coalesce(param_source, ts_source, '(direct)'))"
+    """Source of the events at a session's first time (ties: the smallest)."""
     return f"""{name} AS (
-  SELECT user_pseudo_id, sid, first_source FROM (
-    SELECT user_pseudo_id, sid, {expr} AS first_source,
-           row_number() OVER (PARTITION BY user_pseudo_id, sid ORDER BY event_timestamp, {expr}) AS rn
-    FROM {src}) t WHERE rn = 1)"""
+  SELECT e.user_pseudo_id, e.sid, min(lower(coalesce(e.param_source, e.ts_source, '(direct)'))) AS first_source
+  FROM {src} e JOIN (SELECT user_pseudo_id AS u, sid AS k, min(event_timestamp) AS t FROM {src} GROUP BY 1, 2) f
+    ON e.user_pseudo_id IS NOT DISTINCT FROM f.u AND e.sid IS NOT DISTINCT FROM f.k AND e.event_timestamp = f.t
+  GROUP BY 1, 2)"""
 
 
 def _kpi_body(base: str) -> str:
@@ -233,25 +233,33 @@ def _trimmed(c: str) -> str:
     return f"lower(NULLIF(regexp_replace(COALESCE({c}, ''), '^\\s+|\\s+$', '', 'g'), ''))"
 
 
-CHANNEL_BODY = f"""b AS (
-  SELECT *, {_trimmed('ts_source')} AS raw_source, {_trimmed('ts_medium')} AS raw_medium
+def _earliest_label(name: str, label: str) -> str:
+    """Per session the value of ``label`` at the first time that has one."""
+    return f"""{name} AS (
+  SELECT c.user_pseudo_id AS u, c.sid AS k, min(c.{label}) AS v
+  FROM labels_of c JOIN (SELECT user_pseudo_id AS u, sid AS k, min(event_timestamp) AS t FROM labels_of
+                         WHERE {label} IS NOT NULL GROUP BY 1, 2) m
+    ON c.user_pseudo_id IS NOT DISTINCT FROM m.u AND c.sid IS NOT DISTINCT FROM m.k AND c.event_timestamp = m.t
+  WHERE c.{label} IS NOT NULL GROUP BY 1, 2)"""
+
+
+CHANNEL_BODY = f"""labels_of AS (
+  SELECT *, {_trimmed('ts_source')} AS src_label, {_trimmed('ts_medium')} AS med_label
   FROM ev WHERE event_date BETWEEN '{LO}' AND '{HI}'),
-s AS (
-  SELECT *,
-    COALESCE(first_value(raw_source IGNORE NULLS) OVER (PARTITION BY user_pseudo_id, sid
-        ORDER BY event_timestamp, raw_source ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING),
-      '(direct)') AS final_source,
-    COALESCE(first_value(raw_medium IGNORE NULLS) OVER (PARTITION BY user_pseudo_id, sid
-        ORDER BY event_timestamp, raw_medium ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING),
-      '(none)') AS final_medium
-  FROM b),
+{_earliest_label('src_of', 'src_label')},
+{_earliest_label('med_of', 'med_label')},
+in_channel AS (
+  SELECT l.*, coalesce(x.v, '(direct)') || ' / ' || coalesce(y.v, '(none)') AS channel
+  FROM labels_of l
+  LEFT JOIN src_of x ON l.user_pseudo_id IS NOT DISTINCT FROM x.u AND l.sid IS NOT DISTINCT FROM x.k
+  LEFT JOIN med_of y ON l.user_pseudo_id IS NOT DISTINCT FROM y.u AND l.sid IS NOT DISTINCT FROM y.k),
 chan_agg AS (
-  SELECT final_source || ' / ' || final_medium AS channel,
+  SELECT channel,
     SUM(CASE WHEN {IN_C} AND {PURCHASE} THEN COALESCE(purchase_revenue, 0) ELSE 0 END) AS c_rev,
     SUM(CASE WHEN {IN_P} AND {PURCHASE} THEN COALESCE(purchase_revenue, 0) ELSE 0 END) AS p_rev,
     COUNT(DISTINCT CASE WHEN {IN_C} THEN user_pseudo_id || '-' || CAST(sid AS VARCHAR) END) AS c_ses,
     COUNT(DISTINCT CASE WHEN {IN_P} THEN user_pseudo_id || '-' || CAST(sid AS VARCHAR) END) AS p_ses
-  FROM s GROUP BY 1),
+  FROM in_channel GROUP BY 1),
 chan AS ({_session_breakdown_select('chan_agg', 'channel',
                                     'WHERE c_rev > 0 OR p_rev > 0 OR c_ses > 0 OR p_ses > 0', 10)})"""
 
@@ -322,9 +330,9 @@ def _pp(a: str, b: str, c: str, d: str) -> str:
             WHEN ({d}) > 0 THEN {rnd(f'-({c})', d, 100, 2)} ELSE 0.0 END"""
 
 
-def _kpi_cte() -> str:
-    """The all-sources KPI summary as CTE ``summ`` plus period values ``pv`` (c_*, p_*)."""
-    body = kpi_sql("all")
+def _kpi_cte(source: str = "all") -> str:
+    """The KPI summary of a source mode as CTE ``summ`` plus period values ``pv`` (c_*, p_*)."""
+    body = kpi_sql(source)
     inner = body[len("WITH "):]
     cols = ["users", "new_users", "sessions", "signups", "orders", "revenue", "bulk_orders", "bulk_revenue",
             "filtered_orders", "filtered_revenue"]
@@ -378,10 +386,10 @@ def _alert(src: str, rule: str, rank: str, subject: str, change: str, pct: str,
             f"CAST({pct} AS DOUBLE) AS change_pct FROM {src} WHERE {where}")
 
 
-def alerts_sql() -> str:
+def alerts_sql(source: str = "all") -> str:
     t = THRESHOLDS
     n = t.top_n
-    ctes = [_kpi_cte(), PRODUCT_BODY, f"pp AS ({PRODUCT_POST_SELECT})", CHANNEL_BODY, DEMO_BODY, GEO_BODY]
+    ctes = [_kpi_cte(source), PRODUCT_BODY, f"pp AS ({PRODUCT_POST_SELECT})", CHANNEL_BODY, DEMO_BODY, GEO_BODY]
     rank_by_rev = lambda lab: f"row_number() OVER (ORDER BY current_revenue DESC NULLS LAST, {lab} NULLS FIRST)"
     ctes += [
         f"pr AS (SELECT *, {rank_by_rev('product_name')} AS r FROM pp)",
@@ -438,6 +446,8 @@ def oracle_sql() -> dict[str, str]:
                   "JOIN items_x i ON i.order_key = b.event_id WHERE b.has_items)")
     repair = (f"repair AS (SELECT transaction_id FROM base_items WHERE {PURCHASE} "
               f"GROUP BY transaction_id HAVING bool_and({repair_pred()}))")
+    null_safe = DEVICE_BODY.replace("ON c.k = p.k", "ON c.k IS NOT DISTINCT FROM p.k")
+    filled = lambda src, *cols: (f"\nSELECT * REPLACE ({', '.join(f'COALESCE({c}, 0) AS {c}' for c in cols)}) FROM {src}")
     demo_cols = DEMO_EXPR.split("\n       || ' / ' ||")[0]
     return {
         "q1_kpi_summary": kpi_sql("all"),
@@ -474,7 +484,18 @@ def oracle_sql() -> dict[str, str]:
         "q17_kpi_derived": kpi_derived_sql(),
         "q18_revenue_share_bulk": with_flat(BULK_BODY) + "\n" + share_select("bulk", "product_name", "item_revenue"),
         "q18_revenue_share_geo": with_flat(GEO_BODY) + "\n" + share_select("geo", "location", "current_revenue"),
+        "q18_revenue_share_channel": with_flat(CHANNEL_BODY) + "\n" + share_select("chan", "channel", "current_revenue"),
+        "q18_revenue_share_device": with_flat(null_safe) + "\n" + share_select("dev", "device", "current_revenue"),
+        "q18_revenue_share_demographic": with_flat(DEMO_BODY) + "\n"
+        + share_select("demo", "demographic", "current_revenue"),
+        "q11_channel_performance_filled": with_flat(CHANNEL_BODY) + filled("chan", "revenue_change_pct", "sessions_change_pct"),
+        "q12_geo_performance_filled": with_flat(GEO_BODY) + filled("geo", "revenue_change_pct"),
+        "q13_device_performance_filled": with_flat(null_safe) + filled("dev", "revenue_change_pct"),
+        "q14_demographic_performance_filled": with_flat(DEMO_BODY)
+        + filled("demo", "revenue_change_pct", "sessions_change_pct"),
         "q19_change_alerts": alerts_sql(),
+        "q19_change_alerts_online": alerts_sql("online"),
+        "s1_double_money_bulk_items": with_flat(BULK_BODY) + "\nSELECT * FROM bulk",
         "p2_param_lookup": with_flat() .rstrip(",")
         + "\nSELECT event_timestamp, user_pseudo_id, sid, s_num, param_source FROM ev",
         "p3_multi_key_lookup": with_flat().rstrip(",")
@@ -493,5 +514,5 @@ def oracle_sql() -> dict[str, str]:
           f"FROM ev_items "
           f"WHERE {IN_C} AND {PURCHASE}",
         "w2_session_channels": with_flat(CHANNEL_BODY)
-        + "\nSELECT DISTINCT user_pseudo_id, sid, final_source || ' / ' || final_medium AS channel FROM s",
+        + "\nSELECT DISTINCT user_pseudo_id, sid, channel FROM in_channel",
     }

@@ -30,10 +30,19 @@ def _summary(ev: DataFrame, source: str = "all") -> DataFrame:
     return kpi.kpi_summary(ev, CUR, PREV, source, BULK_MIN, PATTERNS)
 
 
-def _q_alerts(spark: SparkSession, d: str) -> DataFrame:
+def _q_double_money(spark: SparkSession, d: str) -> DataFrame:
+    """Bulk items of events whose money is DOUBLE, as real exports have it."""
+    ev = _ev(spark, d)
+    ev = (ev.withColumn("ecommerce", F.col("ecommerce").withField(
+              "purchase_revenue", F.col("ecommerce.purchase_revenue").cast("double")))
+          .withColumn("items", F.transform("items", lambda x: x.withField("price", x["price"].cast("double")))))
+    return bulk.bulk_order_items(ev, CUR, float(BULK_MIN))
+
+
+def _q_alerts(spark: SparkSession, d: str, source: str = "all") -> DataFrame:
     ev = _ev(spark, d)
     return alerts.change_alerts(
-        _summary(ev),
+        _summary(ev, source),
         breakdowns.product_post(breakdowns.product_performance(ev, CUR, PREV)),
         breakdowns.channel_performance(ev, CUR, PREV),
         breakdowns.demographic_performance(ev, CUR, PREV),
@@ -105,7 +114,22 @@ def registry() -> dict[str, Query]:
             bulk.bulk_order_items(_ev(s, d), CUR, BULK_MIN), "product_name", "item_revenue"),
         "q18_revenue_share_geo": lambda s, d: alerts.revenue_share(
             breakdowns.geo_performance(_ev(s, d), CUR, PREV), "location"),
+        "q18_revenue_share_channel": lambda s, d: alerts.revenue_share(
+            breakdowns.channel_performance(_ev(s, d), CUR, PREV), "channel"),
+        "q18_revenue_share_device": lambda s, d: alerts.revenue_share(
+            breakdowns.device_performance(_ev(s, d), CUR, PREV, null_safe=True), "device", k=100),
+        "q18_revenue_share_demographic": lambda s, d: alerts.revenue_share(
+            breakdowns.demographic_performance(_ev(s, d), CUR, PREV), "demographic"),
+        "q11_channel_performance_filled": lambda s, d: breakdowns.channel_performance(
+            _ev(s, d), CUR, PREV, fill_zero=True),
+        "q12_geo_performance_filled": lambda s, d: breakdowns.geo_performance(_ev(s, d), CUR, PREV, fill_zero=True),
+        "q13_device_performance_filled": lambda s, d: breakdowns.device_performance(
+            _ev(s, d), CUR, PREV, null_safe=True, fill_zero=True),
+        "q14_demographic_performance_filled": lambda s, d: breakdowns.demographic_performance(
+            _ev(s, d), CUR, PREV, fill_zero=True),
         "q19_change_alerts": _q_alerts,
+        "q19_change_alerts_online": lambda s, d: _q_alerts(s, d, "online"),
+        "s1_double_money_bulk_items": _q_double_money,
         "p2_param_lookup": lambda s, d: prepare(_ev(s, d), "event_timestamp", "user_pseudo_id", "sid", "s_num",
                                                 "param_source"),
         "p3_multi_key_lookup": lambda s, d: prepare(_ev(s, d), "event_timestamp", "user_pseudo_id", "ep_gender",
