@@ -144,14 +144,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 counts = subwords(t.as_py() or "")
                 idx = np.flatnonzero(counts)
                 if len(idx):
-                    rows.append((i, idx.astype("<i4").tobytes(), counts[idx].astype("<f4").tobytes()))
+                    rows.append((i, idx.astype("<u2").tobytes(), counts[idx].astype("<f4").tobytes()))
             yield pa.record_batch([list(c) for c in zip(*rows)] if rows else [[], [], []],
                                   schema=pa.schema([("doc_id", pa.int64()), ("idx", pa.binary()), ("counts", pa.binary())]))
 
     chosen = shipped(d.where(F.col("doc_id").isin(list(ids))).select("doc_id", "text"))
     rows = chosen.mapInArrow(count, "doc_id long, idx binary, counts binary").limit(2 * sample).collect()
     rows = sorted(rows, key=lambda r: (r.doc_id, bytes(r.idx)))
-    return fit([(np.frombuffer(r.idx, "<i4"), np.frombuffer(r.counts, "<f4"), ids[r.doc_id]) for r in rows])
+    return fit([(np.frombuffer(r.idx, "<u2").astype(np.int64), np.frombuffer(r.counts, "<f4"), ids[r.doc_id]) for r in rows])
 
 
 def predictor(docs: DataFrame, model: Model):

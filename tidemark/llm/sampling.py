@@ -29,15 +29,11 @@ def sample_ids(labelled: DataFrame, size: int, seed: int = 0, max_classes: int =
     share = F.create_map(*[x for r in counts for x in (F.lit(r.label), F.lit(int(_STEPS * min(1.0, 2 * quota / r.n))))])
     rank = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(_STEPS))
     near = labelled.select("doc_id", "label", rank.alias("rank")).where(F.col("rank") <= share[F.col("label")])
+    # About twice the sample passes; the limit only bounds what rows that repeat an id could add.
     out: dict[int, object] = {}
-    for r in counts:
-        rows = near.where(F.col("label") == r.label) if len(counts) <= 8 else None
-        if rows is not None:
-            out |= {x.doc_id: x.label for x in rows.orderBy("rank", "doc_id").limit(quota).collect()}
-    if len(counts) > 8:  # many classes: one pass, little more than the sample in all
-        taken: dict[object, int] = {}
-        for x in near.orderBy("rank", "doc_id").limit(4 * size).collect():
-            if taken.get(x.label, 0) < quota:
-                taken[x.label] = taken.get(x.label, 0) + 1
-                out[x.doc_id] = x.label
+    taken: dict[object, int] = {}
+    for x in near.distinct().orderBy("rank", "doc_id", "label").limit(8 * size).collect():
+        if x.doc_id not in out and taken.get(x.label, 0) < quota:
+            taken[x.label] = taken.get(x.label, 0) + 1
+            out[x.doc_id] = x.label
     return out, {r.label: r.n for r in counts}
