@@ -20,7 +20,7 @@ from tidemark.sources.fixtures import build_events  # noqa: E402
 from tidemark.testing.params import BULK_MIN, CUR, PATTERNS, PREV, THRESHOLDS  # noqa: E402
 
 sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-spark = local_session()
+spark = local_session(cores="4")
 path = f"{ensure_checkpoint_dir(spark)}/plans-{uuid.uuid4().hex[:8]}"
 write_events(build_events(spark, sf_dir), path)
 ev = read_events(spark, path)
@@ -28,6 +28,7 @@ ev = read_events(spark, path)
 QUERIES = {
     "kpi_summary (all)": lambda: kpi_summary(ev, CUR, PREV, "all", BULK_MIN, PATTERNS),
     "kpi_summary (store)": lambda: kpi_summary(ev, CUR, PREV, "store", BULK_MIN, PATTERNS),
+    "kpi_summary (online)": lambda: kpi_summary(ev, CUR, PREV, "online", BULK_MIN, PATTERNS),
     "trend (daily)": lambda: trend(ev, CUR, "daily"),
     "product_performance": lambda: product_performance(ev, CUR, PREV),
     "channel_performance": lambda: channel_performance(ev, CUR, PREV),
@@ -68,9 +69,12 @@ for name, build in QUERIES.items():
     out.append(f"* shuffle exchanges: {shuffles}, broadcast exchanges: {broadcasts}, "
                f"reused exchanges: {len(re.findall(r'ReusedExchange \(', tree))}")
     out.append("* operators: " + ", ".join(f"{k} {v}" for k, v in counts.items() if v) or "none")
-    scans = sorted({re.sub(r", dynamicpruningexpression.*\]$", ", <dynamic pruning>]", line.strip())
-                    for line in p.splitlines()
-                    if line.strip().startswith(("ReadSchema", "PartitionFilters", "PushedFilters"))})
+    # Only nodes of the final plan: its tree names them by number, their details follow below.
+    own = set(re.findall(r"Scan parquet[^(\n]*\((\d+)\)", tree))
+    details = [d for d in re.split(r"\n\n(?=\(\d+\) )", p) if (m := re.match(r"\((\d+)\) Scan parquet", d)) and m[1] in own]
+    scans = [line.strip() for d in details for line in d.splitlines()
+             if line.strip().startswith(("ReadSchema", "PartitionFilters", "PushedFilters"))]
+    out.append(f"* scans of the events table: {len(details)}")
     out.append("* scans:")
     out += [f"  * `{re.sub(r'#[0-9]+', '', s)}`" for s in scans]
     out.append("")
