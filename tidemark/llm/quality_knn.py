@@ -34,13 +34,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import shipped
 from tidemark.llm.sampling import held_out, sample_ids
 
-TRIGRAMS, SHAPES = 1 << 12, 1 << 12
+TRIGRAMS, SHAPES = 1 << 11, 1 << 11
 FEATURES = TRIGRAMS + SHAPES + 2
 DIM, NEIGHBOURS, POWER = 48, 15, 4
 #: Weight of the two repetition features among thousands of others.
 REPEAT_WEIGHT = 4
 #: Most labelled documents that are learned from.
-SAMPLE = 4000
+SAMPLE = 3000
 #: Documents and labelled vectors multiplied at a time.
 DOC_BLOCK, LABEL_BLOCK = 256, 1024
 THRESHOLD = 0.3
@@ -153,10 +153,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chosen = shipped(d.where(F.col("doc_id").isin(list(ids))))
-    got = chosen.mapInArrow(count, "doc_id long, x binary").limit(2 * sample).collect()
-    got.sort(key=lambda r: (r.doc_id, bytes(r.x)))
-    x = np.array([np.frombuffer(r.x, "<f2") for r in got], np.float32).reshape(-1, FEATURES)
-    return fit(x, np.array([ids[r.doc_id] for r in got]), rows)
+    got = sorted(map(tuple, chosen.mapInArrow(count, "doc_id long, x binary").limit(2 * sample).collect()))
+    y = np.array([ids[i] for i, _ in got])
+    x = np.frombuffer(b"".join(v for _, v in got), "<f2").reshape(-1, FEATURES)
+    del got
+    return fit(x.astype(np.float32), y, rows)
 
 
 def score(docs: DataFrame, labels: DataFrame, model: Model | None = None, id_col: str = "doc_id",
