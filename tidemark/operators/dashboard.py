@@ -102,7 +102,7 @@ def dashboard(events: DataFrame, cur: Period, prev: Period, source: str = "all",
 
         # Threads that take over the caller's job group, so that a render can be cancelled as one.
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            list(pool.map(inheritable_thread_target(write), base))
+            list(pool.map(inheritable_thread_target(spark)(write), base))
         frames = {name: spark.read.parquet(f"{folder}/{name}").orderBy(*order) for name, (_, order) in base.items()}
     else:
         frames = {name: df for name, (df, _) in base.items()}
