@@ -29,13 +29,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id stays."""
-    return exact_dedup.keep_one(docs)
+    """Of equal texts the one with the largest id stays; rows without an id lose, and repeated rows stay once."""
+    return exact_dedup.keep_one(docs, null_ids=True)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id stays."""
-    return simhash.keep_one(docs)
+    """Of each component of near-duplicates the row with the smallest id stays; rows without an id lose."""
+    return simhash.keep_one(docs, null_ids=True)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

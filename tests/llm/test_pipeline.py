@@ -88,3 +88,46 @@ def test_odd_tables(make_docs, spark, rows):
         assert out.columns == docs.columns
         out.collect()
     assert cp.STAGES[-1][1](spark, docs, SF).count() == len(rows)
+
+
+TEXT_A, TEXT_B = "one of the long texts here", "quite another text that shares nothing"
+REPEATED = [
+    ([(5, "a"), (9, "a"), (5, "unique")], [(5, "unique"), (9, "a")]),
+    ([(1, "a"), (1, "a"), (1, "a")], [(1, "a")]),
+    ([(None, "a"), (None, "a"), (None, "b")], [(None, "a"), (None, "b")]),
+    ([(None, "a"), (3, "a"), (None, None), (None, "")], [(3, "a"), (None, "-")]),
+]
+
+
+def by_row(df):
+    return sorted([(r.doc_id, r.text or "-") for r in df.collect()], key=str)
+
+
+@pytest.mark.parametrize("rows, want", REPEATED)
+def test_exact_decides_by_row(spark, make_docs, rows, want):
+    docs = make_docs(rows, "7 AS __row").repartition(3)
+    out = cp.exact_stage(spark, docs, SF)
+    assert out.columns == docs.columns and by_row(out) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("rows, want", [
+    # Components {1, 2} and {0, 1}: the row 1 of the second must not end the first.
+    ([(1, TEXT_A), (2, TEXT_A), (0, TEXT_B), (1, TEXT_B)], [(0, TEXT_B), (1, TEXT_A)]),
+    # Two components of the same smallest id.
+    ([(1, TEXT_A), (2, TEXT_A), (1, TEXT_B), (3, TEXT_B)], [(1, TEXT_A), (1, TEXT_B)]),
+    ([(1, TEXT_A)] * 4, [(1, TEXT_A)]),
+    ([(None, TEXT_A), (None, TEXT_A.upper()), (4, TEXT_B), (None, TEXT_B)], [(4, TEXT_B), (None, "one")]),
+])
+def test_near_decides_by_row(spark, make_docs, rows, want):
+    docs = make_docs(rows, "7 AS __row").repartition(3)
+    out = cp.near_stage(spark, docs, SF)
+    got = [(i, t if i else "one") for i, t in by_row(out)] if (None, "one") in want else by_row(out)
+    assert out.columns == docs.columns and sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_rows_linked_by_bits_stay_once(spark, make_docs):
+    """A chain of near texts under repeated and NULL ids is one component and leaves one row."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(None if i % 3 else 8, " ".join(words[:-1] + [f"e{i}"])) for i in range(12)]
+    assert len({c for _, _, c in slow_near(rows)}) == 1
+    assert [i for i, _ in by_row(cp.near_stage(spark, make_docs(rows).repartition(3), SF))] == [8]

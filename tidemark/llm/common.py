@@ -59,6 +59,14 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """``docs`` written once with a unique number on each row, and the name of that column."""
+    row = "__row"
+    while row in map(str.lower, docs.columns):
+        row += "_"
+    return save(docs.withColumn(row, F.monotonically_increasing_id()), tag), row
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; NULL gives no words."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES + "+"), "")

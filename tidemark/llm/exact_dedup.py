@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import save, shipped
+from tidemark.llm.common import numbered, save, shipped
 
 MIN_CHUNK, AVG_CHUNK, MAX_CHUNK = 512, 2048, 8192
 WINDOW = 32
@@ -129,8 +129,9 @@ def clashes(distinct: DataFrame) -> dict[bytes, dict[bytes, int]]:
 
 def recipes(docs: DataFrame, variants: dict[bytes, dict[bytes, int]] | None = None,
             digest_bytes: int = DIGEST_BYTES) -> DataFrame:
-    """Per row: ``doc_id``, ``text_sha256`` and ``recipe``, the chunk identifiers in order."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_sha256", pa.string()), ("recipe", pa.binary())])
+    """Per row: the columns but ``text`` (all of them long), ``text_sha256`` and ``recipe``, the chunk identifiers in order."""
+    longs = [c for c in docs.columns if c != "text"]
+    schema = pa.schema([*((c, pa.int64()) for c in longs), ("text_sha256", pa.string()), ("recipe", pa.binary())])
     known = docs.sparkSession.sparkContext.broadcast(variants or {})
 
     def read(batches):
@@ -144,9 +145,9 @@ def recipes(docs: DataFrame, variants: dict[bytes, dict[bytes, int]] | None = No
                     ids.append(d + of[d][c].to_bytes(4, "big") if d in of else d + bytes(4) if of else d)
                 sha.append(hashlib.sha256(data).hexdigest())
                 lists.append(b"".join(ids))
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), sha, lists], schema=schema)
+            yield pa.record_batch([*(batch.column(c).cast(pa.int64()) for c in longs), sha, lists], schema=schema)
 
-    return shipped(docs.select("doc_id", "text")).mapInArrow(read, "doc_id long, text_sha256 string, recipe binary")
+    return shipped(docs).mapInArrow(read, "".join(f"{c} long, " for c in longs) + "text_sha256 string, recipe binary")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -164,7 +165,18 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                          F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that lose; rows without an id cannot be named and stay."""
-    lost = exact_duplicates(docs, id_col, text_col).where(~F.col("kept") & F.col("doc_id").isNotNull())
-    return docs.join(lost.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti").select(*docs.columns)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", null_ids: bool = False) -> DataFrame:
+    """``docs`` with one row of each group of equal texts, the largest id; of rows that repeat that id, any one.
+
+    The verdict is on rows, not on ids: another text under the same id has its
+    own.  Rows without an id stay, all of them; with ``null_ids`` they take part
+    like others and lose to any id.
+    """
+    docs_, row = numbered(docs, "exact-rows")
+    d = docs_.select(F.col(id_col).cast("long").alias("doc_id"), F.col(row).alias("row"), F.col(text_col).alias("text"))
+    each = save(recipes(d, clashes(distinct_chunks(d))), "recipes")
+    # A NULL id is smaller than any other.
+    kept = each.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("best")).select("best.row")
+    if not null_ids:
+        kept = kept.union(each.where("doc_id IS NULL").select("row"))
+    return docs_.join(kept.withColumnRenamed("row", row), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

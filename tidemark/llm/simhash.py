@@ -23,7 +23,8 @@ rounds, each written as a table.
 
 Cases: NULL and blank texts have fingerprint zero and are linked like others;
 a NULL ``doc_id`` takes part but never names a component that has an id;
-repeated rows get equal results; an empty table gives an empty result.
+repeated rows get equal results (``keep_one`` numbers the rows and keeps
+one); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,10 +32,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import save, shipped
+from tidemark.llm.common import numbered, save, shipped
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -67,15 +68,18 @@ def fingerprint(text: str | None, k: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, fp`` with the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS,
+                 row_col: str | None = None) -> DataFrame:
+    """``doc_id, fp`` with the fingerprint as a signed long; with a ``row_col`` also ``row``, its number."""
+    ids = {"doc_id": id_col} | ({"row": row_col} if row_col else {})
+
     def run(batches):
         for batch in batches:
             fp = np.array([fingerprint(t.as_py(), k) for t in batch.column("text")], np.uint64)
-            yield pa.record_batch([batch.column("doc_id"), fp.view(np.int64)], names=["doc_id", "fp"])
+            yield pa.record_batch([*(batch.column(c) for c in ids), fp.view(np.int64)], names=[*ids, "fp"])
 
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return shipped(d).mapInArrow(run, "doc_id long, fp long")
+    d = docs.select(*[F.col(c).cast("long").alias(name) for name, c in ids.items()], F.col(text_col).alias("text"))
+    return shipped(d).mapInArrow(run, "".join(f"{c} long, " for c in ids) + "fp long")
 
 
 # ---------------------------------------------------------------- the index under one top node
@@ -288,23 +292,40 @@ def components(links_: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS,
-                    max_bits: int = MAX_BITS, max_group: int = MAX_GROUP) -> DataFrame:
-    """Per row: ``doc_id, fingerprint, component_id``."""
-    each = save(fingerprints(docs, id_col, text_col, k), "fingerprints")
-    nodes = save(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-nodes")
+def _members(each: DataFrame, first: Column, max_bits: int, max_group: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct fingerprints ``fp, first`` of ``each``, and those that are linked: ``fp, root, first``."""
+    nodes = save(each.groupBy("fp").agg(F.min(first).alias("first")), "fingerprint-nodes")
     found = None
     for rows in top_nodes(nodes.select("fp"), max_bits, max_group):
         part = forest(rows, max_bits)
         found = part if found is None else found.union(part)
-    member = save(components(found).withColumnRenamed("node", "fp").join(nodes, "fp"), "fingerprint-members")
+    return nodes, save(components(found).withColumnRenamed("node", "fp").join(nodes, "fp"), "fingerprint-members")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS,
+                    max_bits: int = MAX_BITS, max_group: int = MAX_GROUP) -> DataFrame:
+    """Per row: ``doc_id, fingerprint, component_id``."""
+    each = save(fingerprints(docs, id_col, text_col, k), "fingerprints")
+    nodes, member = _members(each, F.col("doc_id"), max_bits, max_group)
     ids = member.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = member.join(ids, "root").select("fp", "component_id")
     of = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return each.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, the smallest id; rows without an id stay."""
-    lost = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(lost.distinct(), id_col, "left_anti").select(*docs.columns)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", null_ids: bool = False) -> DataFrame:
+    """``docs`` with one row of each component, the smallest id; of rows that repeat that id, any one.
+
+    The verdict is on rows, not on ids: a row in another component has its own,
+    whatever its id.  Rows without an id stay, all of them; with ``null_ids``
+    they take part like others and lose to any id.
+    """
+    docs_, row = numbered(docs, "near-rows")
+    each = save(fingerprints(docs_, id_col, text_col, row_col=row), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    nodes, member = _members(each, first, MAX_BITS, MAX_GROUP)
+    group = nodes.join(member.select("fp", "root"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
+    kept = group.agg(F.min("first").alias("first")).select("first.row")
+    if not null_ids:
+        kept = kept.union(each.where("doc_id IS NULL").select("row"))
+    return docs_.join(kept.withColumnRenamed("row", row), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
