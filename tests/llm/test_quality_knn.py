@@ -58,3 +58,12 @@ def test_edge_cases(spark, labels):
     assert len({r.score for r in rows if r.doc_id in (20, 21, 22)}) == 1
     assert not next(r for r in rows if r.doc_id is None).held_out
     assert q.score(docs.limit(0), known).count() == 0
+
+
+def test_size_of_what_is_learned(spark):
+    """The full feature space, and as many labelled rows as it was laid out for."""
+    n = 12_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('some words ', id, ' and more') AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality")
+    model = q.train(docs, labels)
+    assert model.project.shape == (4096 + 4096 + 2, q.DIM) and len(model.vectors) == 4000

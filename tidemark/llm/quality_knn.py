@@ -34,13 +34,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import shipped
 from tidemark.llm.sampling import held_out, sample_ids
 
-TRIGRAMS, SHAPES = 1 << 11, 1 << 11
+TRIGRAMS, SHAPES = 1 << 12, 1 << 12
 FEATURES = TRIGRAMS + SHAPES + 2
 DIM, NEIGHBOURS, POWER = 48, 15, 4
 #: Weight of the two repetition features among thousands of others.
 REPEAT_WEIGHT = 4
 #: Most labelled documents that are learned from.
-SAMPLE = 3000
+SAMPLE = 4000
 #: Documents and labelled vectors multiplied at a time.
 DOC_BLOCK, LABEL_BLOCK = 256, 1024
 THRESHOLD = 0.3
