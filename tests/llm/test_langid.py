@@ -54,3 +54,17 @@ def test_many_languages(spark):
     df = spark.createDataFrame([(i, w * 4, x) for i, (x, w) in enumerate(list(words.items()) * 20)], "doc_id long, text string, lang string")
     rows = langid.identify(df).join(df, "doc_id").collect()
     assert np.mean([r.lang_pred == r.lang for r in rows]) > 0.95
+
+
+def test_an_id_repeated_often_leaves_room_for_the_others(spark):
+    words = {"aa": "one two three four", "bb": "eins zwei drei vier", "cc": "uno dos tres cuatro"}
+    rows = [(i, f"{w} {i}", x) for i, (x, w) in enumerate(list(words.items()) * 20)]
+    df = spark.createDataFrame([rows[0]] * 2000 + rows, "doc_id long, text string, lang string").coalesce(1)
+    got = []
+    fit, langid.fit = langid.fit, lambda examples: got.extend(examples) or fit(examples)
+    try:
+        langid.train(df, sample=60)
+    finally:
+        langid.fit = fit
+    learned = df.where("crc32(CAST(CAST(doc_id AS string) AS binary)) % 4 <> 2").select("doc_id").distinct()
+    assert len(got) == learned.count() and {x for *_, x in got} == set(words)

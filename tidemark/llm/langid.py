@@ -14,7 +14,7 @@ broadcast model has ``BUCKETS`` x languages floats.
 
 Cases: NULL texts and texts without a letter are ``und`` with score 0 and are
 rejected; without anything to learn from, every text is; a NULL id is neither
-held out nor learned from; repeated rows and ties get equal results (the
+held out nor learned from; of an id's rows one is learned from; repeated rows and ties get equal results (the
 alphabetically first of equally likely languages).
 """
 
@@ -149,8 +149,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                                   schema=pa.schema([("doc_id", pa.int64()), ("idx", pa.binary()), ("counts", pa.binary())]))
 
     chosen = shipped(d.where(F.col("doc_id").isin(list(ids))).select("doc_id", "text"))
-    rows = chosen.mapInArrow(count, "doc_id long, idx binary, counts binary").limit(2 * sample).collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, bytes(r.idx)))
+    # One row for each id, however often it is repeated.
+    rows = chosen.mapInArrow(count, "doc_id long, idx binary, counts binary").groupBy("doc_id")
+    rows = rows.agg(F.min(F.struct("idx", "counts")).alias("x")).select("doc_id", "x.idx", "x.counts").collect()
+    rows = sorted(rows, key=lambda r: r.doc_id)
     return fit([(np.frombuffer(r.idx, "<u2").astype(np.int64), np.frombuffer(r.counts, "<f4"), ids[r.doc_id]) for r in rows])
 
 

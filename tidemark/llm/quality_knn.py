@@ -16,7 +16,8 @@ that the even sample does not shift the result.
 Cases: an empty, NULL or blank text has no direction, and its score is the
 share of label 1 among the labelled rows, as is any score without a near
 neighbour; without labels it is 0.5; a NULL id is neither held out nor learned
-from; of contradicting labels of one id the smaller counts; equally near
+from; of contradicting labels of one id the smaller counts, and of its texts
+the one whose features come first; equally near
 neighbours are taken in the order of their ids.
 """
 
@@ -153,7 +154,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chosen = shipped(d.where(F.col("doc_id").isin(list(ids))))
-    got = sorted(map(tuple, chosen.mapInArrow(count, "doc_id long, x binary").limit(2 * sample).collect()))
+    # One row for each id, however often it is repeated.
+    got = chosen.mapInArrow(count, "doc_id long, x binary").groupBy("doc_id").agg(F.min("x"))
+    got = sorted(map(tuple, got.collect()))
     y = np.array([ids[i] for i, _ in got])
     x = np.frombuffer(b"".join(v for _, v in got), "<f2").reshape(-1, FEATURES)
     del got

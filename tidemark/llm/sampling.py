@@ -18,21 +18,24 @@ def sample_ids(labelled: DataFrame, size: int, seed: int = 0, max_classes: int =
 
     An id belongs to the sample by the hash of the id alone.  The counts are
     read first, so that a threshold on the hash leaves little more than the
-    sample; only those few rows are sorted and reach the driver.  Of more than
+    sample; only those few rows are sorted and reach the driver.  The threshold
+    goes by a label's ids, not its rows, so that an id repeated often takes no
+    place from others; of an id's labels the smallest counts.  Of more than
     ``max_classes`` labels the most frequent are learned.
     """
-    counts = (labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    counts = (labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("doc_id").alias("ids"))
               .orderBy(F.desc("n"), "label").limit(max_classes).collect())
     if not counts:
         return {}, {}
     quota = max(1, size // len(counts))
-    share = F.create_map(*[x for r in counts for x in (F.lit(r.label), F.lit(int(_STEPS * min(1.0, 2 * quota / r.n))))])
+    share = F.create_map(*[x for r in counts for x in (F.lit(r.label), F.lit(int(_STEPS * min(1.0, 2 * quota / max(1, r.ids)))))])
     rank = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(_STEPS))
     near = labelled.select("doc_id", "label", rank.alias("rank")).where(F.col("rank") <= share[F.col("label")])
-    # About twice the sample passes; the limit only bounds what rows that repeat an id could add.
+    near = near.groupBy("doc_id", "rank").agg(F.min("label").alias("label"))
+    # About twice the sample passes; the limit is far above it.
     out: dict[int, object] = {}
     taken: dict[object, int] = {}
-    for x in near.distinct().orderBy("rank", "doc_id", "label").limit(8 * size).collect():
+    for x in near.orderBy("rank", "doc_id").limit(8 * size).collect():
         if x.doc_id not in out and taken.get(x.label, 0) < quota:
             taken[x.label] = taken.get(x.label, 0) + 1
             out[x.doc_id] = x.label
