@@ -68,3 +68,15 @@ def test_an_id_repeated_often_leaves_room_for_the_others(spark):
         langid.fit = fit
     learned = df.where("crc32(CAST(CAST(doc_id AS string) AS binary)) % 4 <> 2").select("doc_id").distinct()
     assert len(got) == learned.count() and {x for *_, x in got} == set(words)
+
+
+def test_many_rare_labels_starve_no_language(spark):
+    from tidemark.llm.sampling import LEAST_PER_LABEL, sample_ids
+    rows = [(i, "big" if i % 2 else "large") for i in range(4000)] + [(10_000 + i, f"junk{i % 300}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, label string")
+    ids, n = sample_ids(df, 1000)
+    taken = {x: sum(v == x for v in ids.values()) for x in n}
+    assert len(n) == 302 and min(taken.values()) == 1 and taken["big"] > 300 < taken["large"] and len(ids) <= 1010
+    # Many labels of some size: each has its least number.
+    ids, n = sample_ids(spark.range(6000).selectExpr("id AS doc_id", "concat('x', id % 100) AS label"), 200)
+    assert all(sum(v == x for v in ids.values()) == LEAST_PER_LABEL for x in n) and len(n) == 100

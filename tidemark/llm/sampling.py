@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _STEPS = 1 << 30
+#: Every label may have so many sampled rows, however many labels there are.
+LEAST_PER_LABEL = 20
 
 
 def held_out(id_col: Column, mod: int, remainder: int) -> Column:
@@ -13,8 +15,21 @@ def held_out(id_col: Column, mod: int, remainder: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(mod)) == remainder, F.lit(False))
 
 
+def _quota(ids: list[int], size: int) -> int:
+    """The largest number of ids to take from each label, so that all labels together give ``size`` where they have it."""
+    left, ids = size, sorted(ids)
+    for k, n in enumerate(ids):
+        if n * (len(ids) - k) > left:
+            return max(LEAST_PER_LABEL, left // (len(ids) - k))
+        left -= n
+    return max(LEAST_PER_LABEL, size)
+
+
 def sample_ids(labelled: DataFrame, size: int, seed: int = 0, max_classes: int = 1000) -> tuple[dict[int, object], dict]:
-    """At most ``size`` ids of ``doc_id, label`` with their labels, evenly over the labels, and all labels' row counts.
+    """About ``size`` ids of ``doc_id, label`` with their labels, evenly over the labels, and all labels' row counts.
+
+    Labels with few ids leave their places to the others, and with many labels
+    the sample grows, to at most ``LEAST_PER_LABEL`` ids for each of them.
 
     An id belongs to the sample by the hash of the id alone.  The counts are
     read first, so that a threshold on the hash leaves little more than the
@@ -27,7 +42,8 @@ def sample_ids(labelled: DataFrame, size: int, seed: int = 0, max_classes: int =
               .orderBy(F.desc("n"), "label").limit(max_classes).collect())
     if not counts:
         return {}, {}
-    quota = max(1, size // len(counts))
+    quota = _quota([max(1, r.ids) for r in counts], size)
+    size = max(size, LEAST_PER_LABEL * len(counts))
     share = F.create_map(*[x for r in counts for x in (F.lit(r.label), F.lit(int(_STEPS * min(1.0, 2 * quota / max(1, r.ids)))))])
     rank = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(_STEPS))
     near = labelled.select("doc_id", "label", rank.alias("rank")).where(F.col("rank") <= share[F.col("label")])
