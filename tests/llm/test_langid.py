@@ -80,3 +80,22 @@ def test_many_rare_labels_starve_no_language(spark):
     # Many labels of some size: each has its least number.
     ids, n = sample_ids(spark.range(6000).selectExpr("id AS doc_id", "concat('x', id % 100) AS label"), 200)
     assert all(sum(v == x for v in ids.values()) == LEAST_PER_LABEL for x in n) and len(n) == 100
+
+
+def test_foreign_texts_are_rejected(spark):
+    """With one, two or three languages learned, texts in another are rejected and their own are not."""
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    for learned in (["en"], ["de", "en"], ["de", "en", "fr"]):
+        examples = []
+        for i, t, x in rows:
+            counts = langid.subwords(t or "")
+            idx = np.flatnonzero(counts)
+            if i % 2 and x in learned and len(idx):
+                examples.append((idx, counts[idx], x))
+        m = langid.fit(examples[:400])
+        lost = lambda t: m.predict(t)[0] == "und" or m.predict(t)[1] < m.threshold
+        foreign = [t for i, t, x in rows if x == "es" and len(t or "") > 40][:50]
+        own = [t for i, t, x in rows if not i % 2 and x in learned and len(t or "") > 40][:200]
+        assert np.mean([lost(t) for t in foreign]) > 0.95, learned
+        assert np.mean([lost(t) for t in own]) < 0.02, learned
+        assert lost("これは日本語の文章です。今日は天気がいいですね。") and lost("Это предложение на русском языке.")

@@ -9,8 +9,15 @@ counts, never texts).  A part of the sample that is not trained on calibrates
 the scores: one temperature for the probabilities, and a score below which a
 document is rejected.
 
+The probabilities only weigh the learned languages against each other.  So each
+language also keeps how usual every subword is in its training part, and the
+score is the probability times how usual the text is: 1 down to the least usual
+rightly labelled calibration texts, less by the factor e for each further unit
+of the mean log share.  Texts in languages that were not learned fall far below,
+also where one or two languages are learned.
+
 Scoring reads every whole text once, in place; nothing is shuffled.  The
-broadcast model has ``BUCKETS`` x languages floats.
+broadcast model has twice ``BUCKETS`` x languages floats.
 
 Cases: NULL texts and texts without a letter are ``und`` with score 0 and are
 rejected; without anything to learn from, every text is; a NULL id is neither
@@ -40,6 +47,8 @@ SAMPLE, CALIBRATION = 3000, 0.2
 EPOCHS, STEPS, RATE = 6, 15_000, 0.5
 #: Share of rightly labelled calibration texts that may fall under the rejection score, and that score's upper limit.
 REJECT_SHARE, REJECT_MOST = 0.001, 0.4
+#: Documents that an unseen subword counts for, and subwords of middling use added to every text: a few say little.
+UNSEEN, USUAL = 1e-4, 10
 _SIZES = (2, 3, 4)
 _LETTER = regex.compile(r"\p{L}")
 #: ASCII letters and bytes of other characters stay, the rest separates words.
@@ -70,6 +79,9 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    habit: np.ndarray | None = None  # log shares of the subwords: languages x BUCKETS
+    middle: float = 0.0  # mean log share of the middle calibration text, and of the least usual ones
+    least: float = -np.inf
 
     def logits(self, counts: np.ndarray) -> np.ndarray:
         return counts @ self.table / max(1.0, counts.sum()) + self.bias
@@ -77,9 +89,15 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.langs or not text or not _LETTER.search(text):
             return UNKNOWN, 0.0
-        p = _softmax(self.logits(subwords(text)) / self.temperature)
+        counts = subwords(text)
+        p = _softmax(self.logits(counts) / self.temperature)
         k = int(p.argmax())
-        return self.langs[k], float(p[k])
+        log_share = 0.0 if self.habit is None else counts @ self.habit[k] / max(1.0, counts.sum())
+        return self.langs[k], float(p[k] * self.usual(log_share, counts.sum()))
+
+    def usual(self, log_share: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """How usual texts are, 0 to 1, by the mean log share of their ``n`` subwords."""
+        return np.exp(np.minimum(0, (log_share * n + self.middle * USUAL) / (n + USUAL) - self.least))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -114,16 +132,26 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 1) -> Mo
             out -= rate * np.outer(hidden, grad)
             bias -= rate * 0.1 * grad
             done += 1
-    model = Model(langs, table @ out, bias)
+    habit = np.full((len(langs), BUCKETS), UNSEEN, np.float32)
+    for i in train:
+        idx, counts, _ = examples[i]
+        habit[target[i], idx] += counts / counts.sum()
+    habit = np.log(habit / habit.sum(axis=1, keepdims=True))
+    model = Model(langs, table @ out, bias, habit=habit)
     if len(cal):
         z = np.array([examples[i][1] @ model.table[examples[i][0]] / examples[i][1].sum() + bias for i in cal])
         y = target[cal]
         loss = lambda t: -np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean()
         model.temperature = float(min(np.geomspace(0.05, 5, 60), key=loss))
         p = _softmax(z / model.temperature)
-        right = p.max(axis=1)[p.argmax(axis=1) == y]
-        if len(right):
-            model.threshold = float(min(REJECT_MOST, np.quantile(right, REJECT_SHARE)))
+        right = p.argmax(axis=1) == y
+        if right.any():
+            n = np.array([examples[i][1].sum() for i in cal])[right]
+            log_share = np.array([examples[i][1] @ habit[target[i], examples[i][0]] for i in cal])[right] / n
+            model.middle = float(np.median(log_share))
+            model.least = float(np.quantile((log_share * n + model.middle * USUAL) / (n + USUAL), REJECT_SHARE))
+            score = p.max(axis=1)[right] * model.usual(log_share, n)
+            model.threshold = float(min(REJECT_MOST, np.quantile(score, REJECT_SHARE)))
     return model
 
 
