@@ -65,3 +65,11 @@ def test_lazy_dashboard_equals_materialised(spark, ev):
         a = sorted(map(tuple, getattr(lazy, name).collect()), key=str)
         b = sorted(map(tuple, getattr(done, name).collect()), key=str)
         assert a == b, name
+
+
+def test_registered_device_share_has_every_device(spark, monkeypatch):
+    from tidemark.testing import queries
+    frame = spark.range(150).selectExpr("concat('d', id) AS device", "CAST(id AS double) AS current_revenue")
+    monkeypatch.setattr(queries, "_ev", lambda s, d: None)
+    monkeypatch.setattr(queries.breakdowns, "device_performance", lambda *a, **k: frame)
+    assert queries.registry()["q18_revenue_share_device"](spark, "").count() == 150

@@ -117,7 +117,7 @@ def registry() -> dict[str, Query]:
         "q18_revenue_share_channel": lambda s, d: alerts.revenue_share(
             breakdowns.channel_performance(_ev(s, d), CUR, PREV), "channel"),
         "q18_revenue_share_device": lambda s, d: alerts.revenue_share(
-            breakdowns.device_performance(_ev(s, d), CUR, PREV, null_safe=True), "device", k=100),
+            breakdowns.device_performance(_ev(s, d), CUR, PREV, null_safe=True), "device"),
         "q18_revenue_share_demographic": lambda s, d: alerts.revenue_share(
             breakdowns.demographic_performance(_ev(s, d), CUR, PREV), "demographic"),
         "q11_channel_performance_filled": lambda s, d: breakdowns.channel_performance(
