@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import (
-    bpe_trie, exact_dedup, langid, packing, quality_knn, quality_rules, simhash, sql, token_counts, url_filter, warc)
+    bpe_trie, exact_dedup, langid, lexical, packing, quality_knn, quality_rules, simhash, sql, token_counts, url_filter, warc)
 from tidemark.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,11 +54,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def registry() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_url_filter, op2_simhash, op3_quality_knn, op4_language_id, op5_packing, op6_token_counts, op7_exact_dedup,
-        op8_bpe, op9_warc, op10_quality_rules)}
+        op8_bpe, op9_warc, op10_quality_rules, op13_lexical)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": sql.EXACT_DEDUP, "op9_warc": sql.WARC, "op10_quality_rules": sql.QUALITY_RULES}
+    return {"op7_exact_dedup": sql.EXACT_DEDUP, "op9_warc": sql.WARC, "op10_quality_rules": sql.QUALITY_RULES,
+            "op13_lexical": sql.LEXICAL}
