@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    bpe_trie, conversation, exact_dedup, langid, lexical, packing, quality_knn, quality_rules, simhash, sql, token_counts, url_filter, warc)
+    bpe_trie, conversation, exact_dedup, langid, lbl, lexical, packing, quality_knn, quality_rules, simhash, sql, token_counts, url_filter, warc)
 from tidemark.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_lbl_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl.score(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversation.damaged(table(spark, sf_dir, "conversations"))
     return conversation.digests(conversation.repair(rows, gone=F.col("gone")))
@@ -68,7 +72,7 @@ def registry() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_url_filter, op2_simhash, op3_quality_knn, op4_language_id, op5_packing, op6_token_counts, op7_exact_dedup,
         op8_bpe, op9_warc, op10_quality_rules,
-        op12_conversation_repair, op13_lexical)}
+        op11_lbl_scoring, op12_conversation_repair, op13_lexical)}
 
 
 def oracle_sql() -> dict[str, str]:
