@@ -63,7 +63,7 @@ def test_probabilities_of_all_tokens_add_up_to_one():
 
 
 def test_log_probabilities_against_one_softmax_for_each_token(monkeypatch):
-    monkeypatch.setattr(m, "BATCH", 7)
+    monkeypatch.setattr(m, "PRODUCT", 7)
     rng = np.random.default_rng(2)
     model = m.Model(rng.normal(0, 0.5, (2 * m.CLASSES + 1 + m.CONTEXT, m.DIM + 1)).astype(np.float32))
     cls, ends = rng.integers(0, 9, 200), np.array([1, 60, 61, 200])
