@@ -1,6 +1,7 @@
 import numpy as np
+import pytest
 
-from tidemark.llm import langid, queries
+from tidemark.llm import langid, queries, sampling
 
 SF = "/root/testdata/sf0.01"
 
@@ -99,3 +100,10 @@ def test_foreign_texts_are_rejected(spark):
         assert np.mean([lost(t) for t in foreign]) > 0.95, learned
         assert np.mean([lost(t) for t in own]) < 0.02, learned
         assert lost("これは日本語の文章です。今日は天気がいいですね。") and lost("Это предложение на русском языке.")
+
+
+def test_more_labels_than_allowed_are_an_error(spark):
+    df = spark.createDataFrame([(i, f"l{i}") for i in range(9)], "doc_id long, label string")
+    assert len(sampling.sample_ids(df, 100, max_classes=9)[0]) == 9
+    with pytest.raises(ValueError, match="more than 8 labels"):
+        sampling.sample_ids(df, 100, max_classes=8)

@@ -29,7 +29,8 @@ def test_votes_match_all_products():
     rng = np.random.default_rng(0)
     x = rng.random((2500, q.FEATURES), np.float32) * (rng.random((2500, q.FEATURES)) < 0.02)
     y = (rng.random(2500) < 0.7).astype(int)
-    m = q.fit(x, y, {0: 900, 1: 4000})
+    x = x.astype(np.float16).astype(np.float32)
+    m = q.fit(q.Rows([q.Rows.pack(r) for r in x]), y, {0: 900, 1: 4000})
     new = x[:40] + x[50:90]
     z = m.place(new)
     cos = (z @ m.vectors.T).astype(np.float64)
@@ -67,3 +68,21 @@ def test_size_of_what_is_learned(spark):
     labels = spark.range(n).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality")
     model = q.train(docs, labels)
     assert model.project.shape == (4096 + 4096 + 2, q.DIM) and len(model.vectors) == 4000
+
+
+def test_fit_by_blocks_matches_one_matrix():
+    """The latent space from blocks of packed rows against a decomposition of the whole weighted matrix."""
+    rng = np.random.default_rng(1)
+    group = rng.integers(0, 5, 700)
+    x = (rng.random((700, q.FEATURES)) < 0.01) * 1.0
+    for g in range(5):
+        x[np.ix_(group == g, rng.choice(q.FEATURES, 60))] += 3
+    rows = q.Rows([q.Rows.pack(r) for r in x])
+    assert np.array_equal(np.concatenate(list(rows.blocks(97))), x)
+    model = q.fit(rows, (group < 2).astype(int), {0: 10, 1: 10})
+    rarity = np.log(701 / (1 + (x > 0).sum(axis=0))) + 1
+    a = x * rarity / np.linalg.norm(x * rarity, axis=1, keepdims=True)
+    top = np.linalg.svd(a, full_matrices=False)[2][:5]
+    share = np.linalg.norm(a @ (model.project / rarity[:, None].astype(np.float32)), axis=1)
+    assert np.allclose(np.linalg.norm(model.vectors, axis=1), 1, atol=1e-4)
+    assert (share >= np.linalg.norm(a @ top.T, axis=1) - 0.02).all()

@@ -113,24 +113,63 @@ class Model:
         return np.where(total > 0, (weight * self.labels[who]).sum(axis=1) / np.where(total > 0, total, 1), self.prior)
 
 
-def fit(x: np.ndarray, y: np.ndarray, rows: dict[int, int], seed: int = 3) -> Model:
-    """The latent-semantic space of the labelled rows ``x``; ``rows`` has all rows of each label."""
+class Rows:
+    """Feature rows kept as numbers (uint16) and values (float16) of the features that are not zero."""
+
+    def __init__(self, packed: list[bytes]):
+        self.packed = packed
+
+    def __len__(self) -> int:
+        return len(self.packed)
+
+    @staticmethod
+    def pack(x: np.ndarray) -> bytes:
+        at = np.flatnonzero(x)
+        return at.astype("<u2").tobytes() + x[at].astype("<f2").tobytes()
+
+    def blocks(self, size: int = DOC_BLOCK):
+        """The rows as dense blocks, one at a time."""
+        for at in range(0, len(self.packed), size):
+            part = self.packed[at:at + size]
+            x = np.zeros((len(part), FEATURES), np.float32)
+            for row, data in zip(x, part):
+                n = len(data) // 4
+                row[np.frombuffer(data, "<u2", n)] = np.frombuffer(data, "<f2", n, 2 * n)
+            yield x
+
+
+def fit(x: Rows, y: np.ndarray, rows: dict[int, int], seed: int = 3) -> Model:
+    """The latent-semantic space of the labelled rows ``x``; ``rows`` has all rows of each label.
+
+    Every product over the rows goes block by block, so no matrix of all rows and features exists.
+    """
     prior = rows.get(1, 0) / sum(rows.values()) if rows else 0.5
     if not len(x):
         return Model(prior, np.zeros((FEATURES, DIM), np.float32), np.zeros((0, DIM), np.float32), y, y)
-    rarity = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
-    a = x * rarity
-    a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
+    held = np.zeros(FEATURES, np.int64)
+    for b in x.blocks():
+        held += (b > 0).sum(axis=0)
+    rarity = np.log((1 + len(x)) / (1 + held)).astype(np.float32) + 1
+
+    def weighted():
+        for b in x.blocks():
+            b *= rarity
+            b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
+            yield b
+
     # Randomised range finder with power steps, then an exact decomposition of the small matrix.
-    q = np.random.default_rng(seed).standard_normal((a.shape[1], DIM + 16)).astype(np.float32)
+    q = np.random.default_rng(seed).standard_normal((FEATURES, DIM + 16)).astype(np.float32)
     for _ in range(4):
-        q = np.linalg.qr(a.T @ (a @ q))[0]
-    _, _, vt = np.linalg.svd(a @ q, full_matrices=False)
+        z = np.zeros_like(q)
+        for a in weighted():
+            z += a.T @ (a @ q)
+        q = np.linalg.qr(z)[0]
+    _, _, vt = np.linalg.svd(np.concatenate([a @ q for a in weighted()]), full_matrices=False)
     project = np.zeros((FEATURES, DIM), np.float32)
     space = (q @ vt.T)[:, :DIM]
     project[:, :space.shape[1]] = rarity[:, None] * space
     model = Model(prior, project, np.zeros((0, DIM), np.float32), y.astype(np.float64), np.ones(len(y)))
-    model.vectors = model.place(x).astype(np.float32)
+    model.vectors = np.concatenate([model.place(b) for b in x.blocks()]).astype(np.float32)
     n = {k: int((y == k).sum()) for k in (0, 1)}
     model.votes = np.array([rows.get(int(k), 0) / max(1, n[int(k)]) for k in y])
     return model
@@ -145,22 +184,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
     ids, rows = sample_ids(known, sample)
     if not ids:
-        return fit(np.zeros((0, FEATURES), np.float32), np.zeros(0), rows)
+        return fit(Rows([]), np.zeros(0), rows)
 
     def count(batches):
         for batch in batches:
-            x = [features(t.as_py()).astype("<f2").tobytes() for t in batch.column("text")]
+            x = [Rows.pack(features(t.as_py())) for t in batch.column("text")]
             yield pa.record_batch([batch.column("doc_id"), pa.array(x, pa.binary())], names=["doc_id", "x"])
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chosen = shipped(d.where(F.col("doc_id").isin(list(ids))))
     # One row for each id, however often it is repeated.
     got = chosen.mapInArrow(count, "doc_id long, x binary").groupBy("doc_id").agg(F.min("x"))
-    got = sorted(map(tuple, got.collect()))
-    y = np.array([ids[i] for i, _ in got])
-    x = np.frombuffer(b"".join(v for _, v in got), "<f2").reshape(-1, FEATURES)
-    del got
-    return fit(x.astype(np.float32), y, rows)
+    got = sorted((r[0], bytes(r[1])) for r in got.collect())
+    return fit(Rows([x for _, x in got]), np.array([ids[i] for i, _ in got]), rows)
 
 
 def score(docs: DataFrame, labels: DataFrame, model: Model | None = None, id_col: str = "doc_id",

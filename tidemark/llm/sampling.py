@@ -35,13 +35,15 @@ def sample_ids(labelled: DataFrame, size: int, seed: int = 0, max_classes: int =
     read first, so that a threshold on the hash leaves little more than the
     sample; only those few rows are sorted and reach the driver.  The threshold
     goes by a label's ids, not its rows, so that an id repeated often takes no
-    place from others; of an id's labels the smallest counts.  Of more than
-    ``max_classes`` labels the most frequent are learned.
+    place from others; of an id's labels the smallest counts.  More than
+    ``max_classes`` labels are an error: none is left out silently.
     """
     counts = (labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("doc_id").alias("ids"))
-              .orderBy(F.desc("n"), "label").limit(max_classes).collect())
+              .orderBy(F.desc("n"), "label").limit(max_classes + 1).collect())
     if not counts:
         return {}, {}
+    if len(counts) > max_classes:
+        raise ValueError(f"more than {max_classes} labels; join rare ones, or raise max_classes")
     quota = _quota([max(1, r.ids) for r in counts], size)
     size = max(size, LEAST_PER_LABEL * len(counts))
     share = F.create_map(*[x for r in counts for x in (F.lit(r.label), F.lit(int(_STEPS * min(1.0, 2 * quota / max(1, r.ids)))))])
