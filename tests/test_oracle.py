@@ -5,8 +5,8 @@ import pytest
 import __spark_entry__ as entry
 from tidemark.testing import oracle, queries
 from tidemark.testing.compare import compare, duckdb_connection
+from tidemark.testing.params import SF_SMALL
 
-from conftest import SF_SMALL
 
 NAMES = sorted(queries.registry())
 

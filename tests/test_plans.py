@@ -13,9 +13,8 @@ from tidemark import (change_alerts, channel_performance, demographic_performanc
                       read_events, revenue_share, trend, write_events)
 from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources.fixtures import build_events
-from tidemark.testing.params import BULK_MIN, CUR, PATTERNS, PREV, THRESHOLDS
+from tidemark.testing.params import BULK_MIN, CUR, PATTERNS, PREV, SF_SMALL, THRESHOLDS
 
-from conftest import SF_SMALL
 
 
 @pytest.fixture(scope="module")

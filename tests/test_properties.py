@@ -6,9 +6,8 @@ import pytest
 
 from tidemark import kpi_summary, product_performance, product_post, trend
 from tidemark.sources.fixtures import build_events
-from tidemark.testing.params import BULK_MIN, CUR, PATTERNS, PREV
+from tidemark.testing.params import BULK_MIN, CUR, PATTERNS, PREV, SF_MID
 
-from conftest import SF_MID
 
 
 @pytest.fixture(scope="module")

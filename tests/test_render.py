@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from tidemark import Period, dashboard, kpi_derived, kpi_summary, not_in_null_aware
 from tidemark.sources.fixtures import build_events
 from tidemark.testing.frames import event, events_frame
-from tidemark.testing.params import BULK_MIN, CUR, PATTERNS, PREV
+from tidemark.testing.params import BULK_MIN, CUR, PATTERNS, PREV, SF_SMALL
 
-from conftest import SF_SMALL
 
 
 @pytest.fixture(scope="module")

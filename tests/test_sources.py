@@ -8,8 +8,8 @@ from tidemark import EVENTS_SCHEMA, Period, bulk_order_items, kpi_summary, read_
 from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources.fixtures import build_events
 from tidemark.testing.frames import event, events_frame
+from tidemark.testing.params import SF_SMALL
 
-from conftest import SF_SMALL
 
 
 def test_fixture_schema_and_rows(spark):

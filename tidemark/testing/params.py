@@ -9,6 +9,8 @@ from tidemark.operators.alerts import AlertThresholds
 from tidemark.operators.orders import RepairPatterns
 from tidemark.plans.periods import Period
 
+SF_SMALL, SF_MID = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+
 CUR = Period("20240116", "20240130")
 PREV = Period("20240101", "20240114")  # 20240115 is a gap day
 BULK_MIN = 400_000
