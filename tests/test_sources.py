@@ -4,11 +4,12 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from tidemark import EVENTS_SCHEMA, Period, bulk_order_items, kpi_summary, read_events, write_events
-from tidemark.session import ensure_checkpoint_dir
+from tidemark import EVENTS_SCHEMA, Period, bulk_order_items, geo_performance, kpi_summary, read_events, write_events, write_shards
+from tidemark.session import ensure_checkpoint_dir, scratch_folder
 from tidemark.sources.fixtures import build_events
 from tidemark.testing.frames import event, events_frame
-from tidemark.testing.params import SF_SMALL
+from tidemark.sources.days import day_folders
+from tidemark.testing.params import CUR, PREV, SF_SMALL
 
 
 
@@ -73,3 +74,91 @@ def test_writing_one_day_keeps_the_others(spark):
     assert back.select("event_date").distinct().count() == ev.select("event_date").distinct().count()
     assert back.where("event_date = '20240103'").count() == 1
     assert back.where("event_date <> '20240103'").count() == ev.where("event_date <> '20240103'").count()
+
+
+def _changing(spark, layout):
+    """Three days: DOUBLE money and no city; as the schema has them; wider money, INT quantity and a column of its own."""
+    path = scratch_folder(spark, "test-changing")
+    for date, kind in (("20240109", "double"), ("20240110", None), ("20240111", "decimal(20,3)")):
+        rows = [event(date, i, name="purchase", tx=f"{date}{i}", rev=10, items=[("p", "n", "c", 2, 3)]) for i in range(3)]
+        df = events_frame(spark, rows)
+        if kind:
+            df = _with_money(df, kind)
+        if kind == "double":
+            df = df.withColumn("geo", F.col("geo").dropFields("city")).drop("user_properties")
+        if kind == "decimal(20,3)":
+            df = df.withColumn("items", F.transform("items", lambda x: x.withField("quantity", x["quantity"].cast("int")))).withColumn("new", F.lit(1))
+        if layout == "shards":
+            write_shards(df, path)
+        else:
+            write_events(df, path, mode="append")
+    return path
+
+
+@pytest.mark.parametrize("layout", ["partitions", "shards"])
+def test_days_of_different_schema_are_read_together(spark, layout):
+    ev = read_events(spark, _changing(spark, layout), layout=layout)
+    assert ev.columns == EVENTS_SCHEMA.fieldNames() and dict(ev.dtypes)["event_date"] == "string"
+    rows = ev.select("event_date", "geo.city", "user_properties", "ecommerce.purchase_revenue", F.col("items")[0]["price"].alias("price"),
+                     F.col("items")[0]["quantity"].alias("n")).collect()
+    assert len(rows) == 9 and {float(r.purchase_revenue) for r in rows} == {10.0}
+    assert {float(r.price) for r in rows} == {2.0} and {r.n for r in rows} == {3}
+    assert all(r.city is None and r.user_properties is None for r in rows if r.event_date == "20240109")
+    assert {r.event_date for r in rows} == {"20240109", "20240110", "20240111"}
+    s = {r.type: r for r in kpi_summary(ev, Period("20240110", "20240111"), Period("20240109", "20240109")).collect()}
+    assert (s["Current"].revenue, s["Previous"].revenue) == (60.0, 30.0)
+
+
+@pytest.mark.parametrize("layout", ["partitions", "shards"])
+def test_only_the_period_s_folders_are_listed_and_dates_prune_files(spark, layout):
+    path = scratch_folder(spark, "test-shards")
+    ev = build_events(spark, SF_SMALL)
+    if layout == "shards":
+        write_shards(ev, path, partitions=2)
+    else:
+        write_events(ev, path, partitions=2)
+    few = read_events(spark, path, Period("20240103", "20240104"), layout)
+    assert {f.split("/")[-2][-8:] for f in few.inputFiles()} == {"20240103", "20240104"}
+    assert few.count() == ev.where("event_date BETWEEN '20240103' AND '20240104'").count()
+    everything = read_events(spark, path, layout=layout)
+    day = everything.where("event_date = '20240105'").select("event_timestamp")
+    tree = day._jdf.queryExecution().executedPlan()
+    day.collect()
+    scan = next(n for n in _leaves(tree) if "Scan" in n.nodeName())
+    assert scan.metrics().apply("numFiles").value() < len(everything.inputFiles()) / 10
+    assert "event_params" not in scan.toString()
+    got = geo_performance(everything, CUR, PREV).collect()
+    assert got == geo_performance(ev, CUR, PREV).collect()
+
+
+def _leaves(plan):
+    if plan.nodeName().startswith("AdaptiveSparkPlan"):
+        plan = plan.executedPlan()
+    if plan.children().isEmpty():
+        return [plan]
+    return [x for i in range(plan.children().size()) for x in _leaves(plan.children().apply(i))]
+
+
+def test_shards_beside_other_tables(spark):
+    path = scratch_folder(spark, "test-shards")
+    day = events_frame(spark, [event("20240110", 1)])
+    write_shards(day, path)
+    day.drop("event_date").write.parquet(f"{path}/events_intraday_20240111")
+    day.drop("event_date").write.parquet(f"{path}/pseudonymous_users_20240110")
+    assert list(day_folders(spark, path, "shards")) == ["20240110"]
+    assert read_events(spark, path, layout="shards").count() == 1
+    with pytest.raises(FileExistsError, match="events_20240110"):
+        write_shards(day, path)
+    write_shards(day.unionAll(day), path, overwrite=True)
+    assert read_events(spark, path, layout="shards").count() == 2
+    assert read_events(spark, path, Period("20250101", "20250102"), "shards").count() == 0
+    with pytest.raises(ValueError, match="unknown layout"):
+        read_events(spark, path, layout="other")
+
+
+def test_a_type_that_does_not_fit_names_the_day(spark):
+    path = scratch_folder(spark, "test-types")
+    write_events(events_frame(spark, [event("20240110", 1)]), path)
+    write_events(events_frame(spark, [event("20240112", 1)]).withColumn("event_name", F.lit(5)), path, mode="append")
+    with pytest.raises(ValueError, match="event_name: int instead of string on 20240112"):
+        read_events(spark, path)

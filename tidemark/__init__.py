@@ -7,7 +7,7 @@ Catalyst and AQE plan the whole thing.
 """
 
 from tidemark.plans.periods import Period
-from tidemark.sources.events import EVENTS_SCHEMA, read_events, scan, write_events
+from tidemark.sources.events import EVENTS_SCHEMA, read_events, scan, write_events, write_shards
 from tidemark.operators.kpi import kpi_summary, trend, trend_conversion, kpi_derived
 from tidemark.operators.sessions import session_first_source, filter_sessions, session_channels
 from tidemark.operators.orders import not_in_null_aware, repair_only_orders, RepairPatterns
@@ -26,7 +26,7 @@ from tidemark.operators.alerts import revenue_share, change_alerts, AlertThresho
 from tidemark.operators.dashboard import Dashboard, dashboard
 
 __all__ = [
-    "Period", "EVENTS_SCHEMA", "read_events", "scan", "write_events",
+    "Period", "EVENTS_SCHEMA", "read_events", "scan", "write_events", "write_shards",
     "kpi_summary", "trend", "trend_conversion", "kpi_derived",
     "session_first_source", "filter_sessions", "session_channels",
     "repair_only_orders", "RepairPatterns", "not_in_null_aware",

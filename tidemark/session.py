@@ -7,6 +7,7 @@ is given.  ``local_session`` is for tests and the bench.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -67,3 +68,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-ckpt-"))
     return sc.getCheckpointDir()
+
+
+def scratch_folder(spark: SparkSession, tag: str) -> str:
+    """A fresh folder under the shared checkpoint folder, deleted when the driver's JVM ends."""
+    path = f"{ensure_checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path

@@ -7,10 +7,13 @@ range filters on it prune partitions.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tidemark.plans.periods import Period
+from tidemark.sources.days import PARTITIONS, SHARDS, common_type, day_folders, hadoop_path, put_shards, read_days
 
 _PARAM_VALUE = T.StructType([
     T.StructField("string_value", T.StringType()),
@@ -52,38 +55,21 @@ EVENTS_SCHEMA = T.StructType([
 ])
 
 
-_AMOUNT = (T.DecimalType, T.DoubleType, T.FloatType, T.LongType, T.IntegerType)
-
-
-def _as_found(want: T.DataType, found: T.DataType, path: str, missing: list[str]) -> T.DataType:
-    """``want``, narrowed to its own fields, with amounts of the type that the table has."""
-    if isinstance(want, T.ArrayType):
-        if not isinstance(found, T.ArrayType):
-            raise ValueError(f"{path}: {found.simpleString()} instead of an array")
-        return T.ArrayType(_as_found(want.elementType, found.elementType, path, missing))
-    if isinstance(want, T.StructType):
-        if not isinstance(found, T.StructType):
-            raise ValueError(f"{path}: {found.simpleString()} instead of a struct")
-        fields, there = [], {f.name: f.dataType for f in found.fields}
-        for f in want.fields:
-            name = f"{path}.{f.name}".lstrip(".")
-            if f.name in there:
-                fields.append(T.StructField(f.name, _as_found(f.dataType, there[f.name], name, missing)))
-            else:
-                missing.append(name)
-        return T.StructType(fields)
-    return found if isinstance(want, T.DecimalType) and isinstance(found, _AMOUNT) else want
-
-
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Read a Parquet events table partitioned by ``event_date``.
+def read_events(spark: SparkSession, path: str, period: Period | None = None, layout: str = PARTITIONS,
+                prefix: str = "events_") -> DataFrame:
+    """Read a Parquet events table with a folder a day; with ``period``, only its folders are listed.
 
-    Money may be DECIMAL of any scale or DOUBLE; operators turn it into
-    DECIMAL(22,6).  A table that lacks a column is an error.
+    ``layout``: ``partitions`` (``event_date=yyyyMMdd``) or ``shards`` (``<prefix>yyyyMMdd``;
+    the date comes from the folder).  Money may be DECIMAL of any scale or
+    DOUBLE, and whole numbers of any width, also by days; a column that only
+    some days have is NULL on the others.  A table that lacks a column on all
+    days is an error.  One file of every day is looked at for its schema.
     """
-    found = spark.read.parquet(path).schema
+    folders = day_folders(spark, path, layout, prefix, period)
+    if folders or period or layout == SHARDS:
+        return read_days(spark, path, folders, EVENTS_SCHEMA, layout, prefix)
     missing: list[str] = []
-    schema = _as_found(EVENTS_SCHEMA, found, "", missing)
+    schema = common_type(EVENTS_SCHEMA, [("", spark.read.parquet(path).schema)], "", missing)
     if missing:
         raise ValueError(f"{path} lacks {', '.join(missing)}")
     return spark.read.schema(schema).parquet(path)
@@ -128,3 +114,20 @@ def write_events(events: DataFrame, path: str, mode: str = "errorifexists",
         spread = events.repartitionByRange(partitions, *order)
     (spread.sortWithinPartitions(*order).write.mode(mode).option("partitionOverwriteMode", "dynamic")
      .partitionBy("event_date").parquet(path))
+
+
+def write_shards(events: DataFrame, path: str, prefix: str = "events_", overwrite: bool = False,
+                 partitions: int | None = None) -> None:
+    """Write events as one Parquet folder ``<prefix>yyyyMMdd`` a day.
+
+    One job writes all days beside their places, then each folder gets its
+    name, so a day is there whole or not at all.  A day that exists is an error,
+    unless ``overwrite`` replaces it.
+    """
+    spark, staged = events.sparkSession, f"{path}/_writing-{uuid.uuid4().hex}"
+    try:
+        write_events(events, staged, partitions=partitions)
+        put_shards(spark, staged, path, prefix, overwrite)
+    finally:
+        p, fs = hadoop_path(spark, staged)
+        fs.delete(p, True)

@@ -10,7 +10,7 @@ is plain SQL over that.  Rounded values use exact integer arithmetic
 from __future__ import annotations
 
 from tidemark.operators.sessions import STORE_SOURCES
-from tidemark.testing.params import BULK_MIN, CUR, PATTERNS, PREV, THRESHOLDS
+from tidemark.testing.params import BULK_MIN, CHANGED, CUR, PATTERNS, PREV, THRESHOLDS
 
 LO, HI = min(CUR.start, PREV.start), max(CUR.end, PREV.end)
 IN_C = f"event_date BETWEEN '{CUR.start}' AND '{CUR.end}'"
@@ -440,6 +440,19 @@ def _covering_base() -> str:
     return f"base AS (SELECT * FROM ev WHERE event_date BETWEEN '{LO}' AND '{HI}')"
 
 
+def dashboard_sql(null_safe: str) -> str:
+    """Breakdowns and bulk items with rank, share and zero-filled percentages, one below the other."""
+    def shown(frame: str, src: str, label: str, revenue: str = "current_revenue", more: str = "") -> str:
+        cols = more or "previous_revenue, COALESCE(revenue_change_pct, 0) AS revenue_change_pct"
+        return (f"SELECT '{frame}' AS frame, {label} AS label, rank, {revenue} AS current_revenue, {cols}, revenue_share "
+                f"FROM ({share_select(src, label, revenue)})")
+
+    none = "CAST(NULL AS DOUBLE) AS previous_revenue, CAST(NULL AS DOUBLE) AS revenue_change_pct"
+    return with_flat(GEO_BODY, CHANNEL_BODY, null_safe, DEMO_BODY, BULK_BODY) + "\n" + "\nUNION ALL\n".join([
+        shown("regions", "geo", "location"), shown("channels", "chan", "channel"), shown("devices", "dev", "device"),
+        shown("demographics", "demo", "demographic"), shown("bulk_items", "bulk", "product_name", "item_revenue", none)])
+
+
 def oracle_sql() -> dict[str, str]:
     base = _covering_base()
     base_items = ("base_items AS (SELECT b.*, i.item_id, i.item_name, i.item_category FROM base b "
@@ -496,6 +509,12 @@ def oracle_sql() -> dict[str, str]:
         "q19_change_alerts": alerts_sql(),
         "q19_change_alerts_online": alerts_sql("online"),
         "s1_double_money_bulk_items": with_flat(BULK_BODY) + "\nSELECT * FROM bulk",
+        "s1_changing_partitions_geo": with_flat(GEO_BODY, flat=FLAT.replace(
+            "n.n_name AS city", f"CASE WHEN strftime(e.ts, '%Y%m%d') >= '{CHANGED[0]}' THEN n.n_name END AS city"))
+        + "\nSELECT * FROM geo",
+        "s1_shards_kpi_summary": kpi_sql("all"),
+        "s4_shards_events_per_day": with_flat(base) + "\nSELECT event_date, COUNT(*) AS events FROM base GROUP BY 1",
+        "e1_dashboard_breakdowns": dashboard_sql(DEVICE_BODY),
         "p2_param_lookup": with_flat() .rstrip(",")
         + "\nSELECT event_timestamp, user_pseudo_id, sid, s_num, param_source FROM ev",
         "p3_multi_key_lookup": with_flat().rstrip(",")

@@ -13,6 +13,7 @@ SF_SMALL, SF_MID = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 CUR = Period("20240116", "20240130")
 PREV = Period("20240101", "20240114")  # 20240115 is a gap day
+CHANGED = ("20240108", "20240122")  # days from which the changing table has other columns and types
 BULK_MIN = 400_000
 PATTERNS = RepairPatterns(upper_pattern="PRO.O", name_pattern="ring|bolt|gear|rod|widget")
 THRESHOLDS = AlertThresholds(

@@ -7,6 +7,7 @@ Every query derives the nested events table from the driver's tables in
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +16,11 @@ from tidemark.operators import alerts, breakdowns, bulk, kpi, orders, sessions
 from tidemark.plans.periods import covering
 from tidemark.functions.dates import GRAINS, grain_start, parse_yyyymmdd
 from tidemark.plans.prepare import item_fields, prepare
-from tidemark.sources.events import scan
+from tidemark.operators.dashboard import dashboard
+from tidemark.session import scratch_folder
+from tidemark.sources.events import read_events, scan, write_events, write_shards
 from tidemark.sources.fixtures import build_events
-from tidemark.testing.params import BULK_MIN, CUR, PATTERNS, PREV, THRESHOLDS
+from tidemark.testing.params import BULK_MIN, CHANGED, CUR, PATTERNS, PREV, THRESHOLDS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +42,49 @@ def _q_double_money(spark: SparkSession, d: str) -> DataFrame:
     return bulk.bulk_order_items(ev, CUR, float(BULK_MIN))
 
 
+def _changing_days(ev: DataFrame) -> list[DataFrame]:
+    """The events in three runs of days: DOUBLE money and no city, as they are, then wider money and narrow counts."""
+    def money(df: DataFrame, kind: str) -> DataFrame:
+        return (df.withColumn("ecommerce", F.col("ecommerce").withField(
+                    "purchase_revenue", F.col("ecommerce.purchase_revenue").cast(kind)))
+                .withColumn("items", F.transform("items", lambda x: x.withField("price", x["price"].cast(kind)))))
+
+    day = F.col("event_date")
+    early = money(ev.where(day < CHANGED[0]), "double").withColumn("geo", F.col("geo").dropFields("city"))
+    late = money(ev.where(day >= CHANGED[1]), "decimal(20,3)")
+    late = late.withColumn("items", F.transform("items", lambda x: x.withField("quantity", x["quantity"].cast("int"))))
+    return [early, ev.where((day >= CHANGED[0]) & (day < CHANGED[1])), late]
+
+
+def _q_changing_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """Locations over a table whose days differ in types and columns, written and read again."""
+    path = scratch_folder(spark, "changing-events")
+    for part in _changing_days(_ev(spark, d)):
+        write_events(part, path, mode="append")
+    return breakdowns.geo_performance(read_events(spark, path, covering(CUR, PREV)), CUR, PREV)
+
+
+def _q_shards(spark: SparkSession, d: str, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """An operator over one table a day, whose days differ, written and read again."""
+    path = scratch_folder(spark, "event-shards")
+    for part in _changing_days(_ev(spark, d)):
+        write_shards(part, path)
+    return operator(read_events(spark, path, covering(CUR, PREV), layout="shards"))
+
+
+def _q_dashboard(spark: SparkSession, d: str) -> DataFrame:
+    """The breakdowns of one render, one below the other."""
+    shown = dashboard(_ev(spark, d), CUR, PREV, "all", "daily", BULK_MIN, PATTERNS, THRESHOLDS)
+    names = {"regions": "location", "channels": "channel", "devices": "device", "demographics": "demographic"}
+    frames = [getattr(shown, n).select(F.lit(n).alias("frame"), F.col(label).alias("label"), "rank", "current_revenue",
+                                       "previous_revenue", "revenue_change_pct", "revenue_share") for n, label in names.items()]
+    bulk_items = shown.bulk_items.select(F.lit("bulk_items").alias("frame"), F.col("product_name").alias("label"), "rank",
+                                         F.col("item_revenue").alias("current_revenue"),
+                                         *[F.lit(None).cast("double").alias(c) for c in ("previous_revenue", "revenue_change_pct")],
+                                         "revenue_share")
+    return reduce(DataFrame.unionByName, [*frames, bulk_items])
+
+
 def _q_alerts(spark: SparkSession, d: str, source: str = "all") -> DataFrame:
     ev = _ev(spark, d)
     return alerts.change_alerts(
@@ -130,6 +176,11 @@ def registry() -> dict[str, Query]:
         "q19_change_alerts": _q_alerts,
         "q19_change_alerts_online": lambda s, d: _q_alerts(s, d, "online"),
         "s1_double_money_bulk_items": _q_double_money,
+        "s1_changing_partitions_geo": _q_changing_partitions,
+        "s1_shards_kpi_summary": lambda s, d: _q_shards(s, d, _summary),
+        "s4_shards_events_per_day": lambda s, d: _q_shards(
+            s, d, lambda ev: ev.groupBy("event_date").agg(F.count(F.lit(1)).alias("events"))),
+        "e1_dashboard_breakdowns": _q_dashboard,
         "p2_param_lookup": lambda s, d: prepare(_ev(s, d), "event_timestamp", "user_pseudo_id", "sid", "s_num",
                                                 "param_source"),
         "p3_multi_key_lookup": lambda s, d: prepare(_ev(s, d), "event_timestamp", "user_pseudo_id", "ep_gender",
