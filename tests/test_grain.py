@@ -1,0 +1,86 @@
+"""The daily grain: equal answers, merged partials, days computed again, no scan of the events."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark import (
+    Period, RepairPatterns, daily_grain, grain_kpi_summary, grain_trend, kpi_summary, read_grain, refresh_grain, trend)
+from tidemark.operators.kpi import _FromGrain
+from tidemark.session import scratch_folder
+from tidemark.sources.days import day_folders
+from tidemark.sources.fixtures import build_events
+from tidemark.testing.frames import event, events_frame
+from tidemark.testing.params import BULK_MIN, CUR, PATTERNS, PREV, SF_SMALL
+
+WHOLE = Period("20240101", "20240130")
+
+
+@pytest.fixture(scope="module")
+def events(spark):
+    return build_events(spark, SF_SMALL)
+
+
+@pytest.fixture(scope="module")
+def path(spark, events):
+    folder = scratch_folder(spark, "test-grain")
+    refresh_grain(events, folder, WHOLE, BULK_MIN, PATTERNS)
+    return folder
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+@pytest.mark.parametrize("mode", ["all", "store", "online"])
+def test_any_pair_of_periods(spark, events, path, mode):
+    """Periods that were not thought of when the grain was written, with and without their gap."""
+    cur, prev = Period("20240111", "20240119"), Period("20240102", "20240108")
+    grain = read_grain(spark, path, Period("20240102", "20240119"))
+    for gap in (True, False):
+        assert rows(grain_kpi_summary(grain, cur, prev, mode, BULK_MIN, PATTERNS, gap_as_previous=gap)) == rows(
+            kpi_summary(events, cur, prev, mode, BULK_MIN, PATTERNS, gap_as_previous=gap))
+    assert rows(grain_trend(grain, cur, "weekly", mode)) == rows(trend(events, cur, "weekly", mode))
+
+
+def test_the_events_are_not_read(spark, path):
+    df = grain_kpi_summary(read_grain(spark, path), CUR, PREV, "store", BULK_MIN, PATTERNS)
+    files = df.inputFiles()
+    assert files and all("test-grain" in f for f in files)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "event_params" not in plan and "PartitionFilters: [isnotnull(event_date" in plan
+
+
+def test_a_day_is_computed_again_alone(spark):
+    day = lambda d, n, rev: [event(d, i, name="purchase", tx=f"{d}-{i}", rev=rev) for i in range(n)]
+    folder, one = scratch_folder(spark, "test-grain"), Period("20240110", "20240112")
+    refresh_grain(events_frame(spark, day("20240110", 2, 5) + day("20240111", 3, 7) + day("20240112", 1, 9)), folder, one)
+    before = {d: f for d, f in day_folders(spark, folder).items()}
+    refresh_grain(events_frame(spark, day("20240111", 1, 100) + day("20240112", 5, 100)), folder, Period("20240111", "20240111"))
+    revenue = {r.event_date: float(r.r) for r in read_grain(spark, folder).groupBy("event_date").agg(F.sum("revenue").alias("r")).collect()}
+    assert revenue == {"20240110": 10.0, "20240111": 100.0, "20240112": 9.0} and set(before) == set(revenue)
+    refresh_grain(events_frame(spark, day("20240110", 1, 1)), folder, Period("20240110", "20240111"))
+    assert list(day_folders(spark, folder)) == ["20240110", "20240112"]  # the 11th has no events any more
+    assert read_grain(spark, folder, Period("20250101", "20250102")).count() == 0
+
+
+def test_other_rules_are_refused(spark, events, path):
+    grain = read_grain(spark, path)
+    with pytest.raises(ValueError, match="made with"):
+        grain_kpi_summary(grain, CUR, PREV, "all", BULK_MIN + 1, PATTERNS)
+    with pytest.raises(ValueError, match="made with"):
+        refresh_grain(events, path, CUR, BULK_MIN, RepairPatterns())
+    with pytest.raises(FileNotFoundError):
+        read_grain(spark, scratch_folder(spark, "test-none").rsplit("/", 1)[0])
+
+
+def test_null_keys_and_repeated_events(spark):
+    data = [event("20240110", i, user=u, sid=s, name=n, tx=t, rev=r)
+            for i, (u, s, n, t, r) in enumerate([(None, 1, "purchase", "a", 5), ("u", None, "purchase", None, 6), ("u", 1, "purchase", "a", None),
+                                                 ("u", 1, "purchase", "a", 5), ("u", 1, "sign_up", None, None), ("v", 2, None, None, 3)] * 2)]
+    ev = events_frame(spark, data)
+    cur, prev = Period("20240110", "20240110"), Period("20240109", "20240109")
+    grain = daily_grain(ev)
+    assert grain.count() < len(data)
+    for mode in ("all", "store", "online"):
+        assert rows(grain_kpi_summary(grain, cur, prev, mode)) == rows(kpi_summary(ev, cur, prev, mode))
+    assert daily_grain(ev.limit(0)).count() == 0 and _FromGrain(grain).commerce(cur, F.lit("x"), "all").count() == 2

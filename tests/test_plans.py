@@ -11,6 +11,7 @@ import pytest
 
 from tidemark import (change_alerts, channel_performance, demographic_performance, geo_performance, kpi_summary, product_performance, product_post,
                       read_events, revenue_share, trend, write_events)
+from tidemark.operators.dashboard import derived_frames, event_frames
 from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources.fixtures import build_events
 from tidemark.testing.params import BULK_MIN, CUR, PATTERNS, PREV, SF_SMALL, THRESHOLDS
@@ -124,3 +125,19 @@ def test_rank_of_an_uncut_frame_sorts_only_the_top(events):
     tree = plan(revenue_share(frame, "channel", k=5)).split("== Initial Plan ==")[0].split("\n\n")[0]
     window = tree.index("Window")
     assert "TakeOrdered" in tree[window:] or "GlobalLimit" in tree[window:], tree
+
+
+def test_a_render_reads_the_events_six_times(events):
+    """Whatever the source mode; the label breakdowns share one scan and the grain is one."""
+    frames = event_frames(events, CUR, PREV, BULK_MIN, PATTERNS, 20, 10, 20)
+    scans = {name: final_nodes(df)["FileScan"] for name, df in frames.items()}
+    assert scans["grain"] == scans["labels"] == 1 and sum(scans.values()) <= 6, scans
+    assert not final_nodes(frames["labels"])["Expand"] and final_nodes(frames["labels"])["Exchange"] <= 2
+
+
+def test_devices_of_a_render_are_ranked_without_a_window_over_all(events):
+    frames = event_frames(events, CUR, PREV, BULK_MIN, PATTERNS, 20, 10, 20)
+    derived = derived_frames(frames["grain"], frames["labels"], CUR, PREV, "all", "daily", BULK_MIN, PATTERNS, 10, ())
+    tree = derived["devices"]._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in tree.splitlines() if "Window [" in line]
+    assert windows and all("_bucket" in line for line in windows)

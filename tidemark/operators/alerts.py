@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.arith import exact, share_pct
+from tidemark.operators.ranks import by_value, ranks_of_first, with_rank
 from tidemark.plans.periods import CURRENT, PREVIOUS
 
 ALERT_COLUMNS = ["rule", "rank", "subject", "direction", "change", "change_pct"]
@@ -35,15 +36,22 @@ class AlertThresholds:
     top_n: int = 3
 
 
-def revenue_share(frame: DataFrame, label: str, revenue: str = "current_revenue", k: int | None = None) -> DataFrame:
+def revenue_share(frame: DataFrame, label: str, revenue: str = "current_revenue", k: int | None = None,
+                  uncut: bool = False) -> DataFrame:
     """Add ``rank`` (1.. by revenue desc, ties by label) and ``revenue_share`` of the frame's total.
 
     The share is ``round(revenue / total * 100, 1)`` over the rows of the
     frame, 0 when the total is not positive.  Without ``k`` the frame must be
     a display frame (already cut): ranks and total are windows over it.  With
-    ``k`` it may have any size: the total is a one-row aggregate of all its
-    rows, and only the top ``k`` are ranked and returned.
+    ``k`` or ``uncut`` it may have any size: the total is a one-row aggregate of
+    all its rows; ``k`` ranks and returns the top ``k`` only, ``uncut`` all rows,
+    by positions that are counted bucket by bucket (the frame is then read a few
+    times, so it should be a written table).
     """
+    if uncut:
+        total = frame.select(F.sum(exact(F.col(revenue)))).scalar()
+        ranked = with_rank(frame, by_value(F.col(revenue), F.col(label)))
+        return ranked.withColumn("revenue_share", share_pct(F.col(revenue), total)).orderBy("rank")
     by_revenue = (F.col(revenue).desc_nulls_last(), F.col(label).asc_nulls_first())
     if k is None:
         total = F.sum(exact(F.col(revenue))).over(Window.partitionBy())
@@ -92,8 +100,8 @@ def _is_unknown(label: str) -> Column:
 
 
 def _frame_alerts(frame: DataFrame, label: str, n: int, revenue: tuple[str, float],
-                  sessions: tuple[str, float] | None = None, drop_unknown: bool = False) -> DataFrame:
-    """The alerts of one breakdown, which is read once.
+                  sessions: tuple[str, float] | None = None, drop_unknown: bool = False, uncut: bool = False) -> DataFrame:
+    """The alerts of one breakdown, which is read once (a few times if it is ``uncut``).
 
     Every row stands once for each rule; the rules then number their rows in
     one window keyed by the rule, which keeps at most ``n`` rows of a task
@@ -113,7 +121,12 @@ def _frame_alerts(frame: DataFrame, label: str, n: int, revenue: tuple[str, floa
     rows = frame.select(F.col(label).alias("subject"), _is_unknown(label).alias("unknown"), F.explode(F.array(*rules)).alias("r"))
     order = Window.partitionBy("r.rule").orderBy(F.col("r.k1").desc_nulls_last(), F.col("r.k2").desc_nulls_last(),
                                                  F.col("subject").asc_nulls_first())
-    if drop_unknown:
+    if drop_unknown and uncut:
+        of_revenue = F.col("r.rule") == revenue[0]
+        top = ranks_of_first(rows.where(of_revenue), by_value(F.col("r.k1"), F.col("subject")), ~F.col("unknown"), n)
+        others = rows.where(~F.col("unknown") & ~of_revenue).withColumn("rank", F.row_number().over(order))
+        rows = top.unionByName(others.where(F.col("rank") <= n))
+    elif drop_unknown:
         rows = rows.where(~F.col("unknown") | (F.col("r.rule") == revenue[0]))
         rows = rows.withColumn("rank", F.row_number().over(order)).where(~F.col("unknown"))
         known = Window.partitionBy("r.rule").orderBy("rank")
@@ -127,13 +140,14 @@ def _frame_alerts(frame: DataFrame, label: str, n: int, revenue: tuple[str, floa
 
 def change_alerts(summary: DataFrame, products: DataFrame | None = None, channels: DataFrame | None = None,
                   demographics: DataFrame | None = None, regions: DataFrame | None = None,
-                  thresholds: AlertThresholds = AlertThresholds()) -> DataFrame:
+                  thresholds: AlertThresholds = AlertThresholds(), uncut: bool = False) -> DataFrame:
     """Alert rows ``rule, rank, subject, direction, change, change_pct``; empty when nothing fires.
 
     Breakdown frames are in display order (current revenue desc).  Ranks are
     positions before the threshold test, so they can have holes; the
     demographic revenue rule keeps positions from before 'Unknown' labels are
-    dropped, the two session rules number their own top rows.
+    dropped, the two session rules number their own top rows.  With ``uncut``
+    the demographics may have any size: no window sees more than a few of them.
     """
     t = thresholds
     pv = _period_values(summary, ["revenue", "bulk_revenue", "orders", "sessions"])
@@ -158,7 +172,8 @@ def change_alerts(summary: DataFrame, products: DataFrame | None = None, channel
                                             ("channel_sessions", t.channel_sessions)))
     if demographics is not None:
         out = out.unionByName(_frame_alerts(demographics, "demographic", n, ("demographic_revenue", t.demographic_revenue),
-                                            ("demographic_sessions", t.demographic_sessions), drop_unknown=True))
+                                            ("demographic_sessions", t.demographic_sessions), drop_unknown=True,
+                                            uncut=uncut))
     if regions is not None:
         out = out.unionByName(_frame_alerts(regions, "location", 1, ("top_region", t.region_revenue)))
     return out

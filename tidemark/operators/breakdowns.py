@@ -238,7 +238,11 @@ def _check_strategy(strategy: str) -> None:
         raise ValueError(f"unknown strategy {strategy!r}; expected one of {STRATEGIES}")
 
 
-def geo_performance(events: DataFrame, cur: Period, prev: Period, k: int = 10,
+def location_label() -> Column:
+    return F.concat(F.coalesce(F.col("country"), F.lit(UNKNOWN)), F.lit(" / "), F.coalesce(F.col("city"), F.lit(UNKNOWN)))
+
+
+def geo_performance(events: DataFrame, cur: Period, prev: Period, k: int | None = 10,
                     strategy: str = "conditional", fill_zero: bool = False) -> DataFrame:
     """Purchase revenue per ``country / city`` ('Unknown' for missing parts), top ``k`` by |change|.
 
@@ -247,8 +251,7 @@ def geo_performance(events: DataFrame, cur: Period, prev: Period, k: int = 10,
     aggregate per period, full outer join on the location); same result.
     """
     _check_strategy(strategy)
-    loc = F.concat(F.coalesce(F.col("country"), F.lit(UNKNOWN)), F.lit(" / "),
-                   F.coalesce(F.col("city"), F.lit(UNKNOWN)))
+    loc = location_label()
     if strategy == "outer_join":
         agg = _purchase_revenue_outer_join(events, cur, prev, loc, "location", null_safe=False)
     else:
@@ -269,7 +272,11 @@ def device_performance(events: DataFrame, cur: Period, prev: Period, null_safe:
     if strategy == "outer_join":
         agg = _purchase_revenue_outer_join(events, cur, prev, F.col("device"), "device", null_safe)
         return _top_then_resort(_revenue_changes(agg, "device"), "device", None, fill_zero=fill_zero)
-    agg = _purchase_revenue_by(events, cur, prev, F.col("device"), "device")
+    return _device_frame(_purchase_revenue_by(events, cur, prev, F.col("device"), "device"), null_safe, fill_zero)
+
+
+def _device_frame(agg: DataFrame, null_safe: bool, fill_zero: bool) -> DataFrame:
+    """Device rows from revenue and row counts of both periods; NULL is split in two unless ``null_safe``."""
     if not null_safe:
         split = F.when(F.col("device").isNull(), F.array(F.lit("c"), F.lit("p"))).otherwise(F.array(F.lit("b")))
         side = F.col("_side")
@@ -312,7 +319,7 @@ def normalize_demographics(events: DataFrame, period: Period | None = None) -> D
                        d["gender"].alias("gender"), d["age"].alias("age"), d["demographic"].alias("demographic"))
 
 
-def demographic_performance(events: DataFrame, cur: Period, prev: Period, k: int = 10,
+def demographic_performance(events: DataFrame, cur: Period, prev: Period, k: int | None = 10,
                             fill_zero: bool = False) -> DataFrame:
     """Per ``gender / age`` label: purchase revenue and sessions in both periods, top ``k`` by |change|."""
     rng = covering(cur, prev)
@@ -332,3 +339,60 @@ def demographic_performance(events: DataFrame, cur: Period, prev: Period, k: int
         F.count_if(F.col("c_any") & known).alias("c_ses"),
         F.count_if(F.col("p_any") & known).alias("p_ses"))
     return _top_then_resort(_with_session_changes(agg, "demographic"), "demographic", k, fill_zero=fill_zero)
+
+
+# ---------------------------------------------------------------- all label breakdowns in one scan
+
+#: Dimensions of ``label_breakdowns``.
+GEO, DEVICE, DEMOGRAPHIC = "geo", "device", "demographic"
+
+
+def label_breakdowns(events: DataFrame, cur: Period, prev: Period) -> DataFrame:
+    """Figures of every (dimension, label) for geography, device and demographics from one scan.
+
+    Every event stands for its demographic label and session, a purchase of one
+    of the periods also for its location and device (few of all events).  One
+    aggregate by dimension, label and session, then one by dimension and label;
+    both combine map-side.  ``geo_of``, ``device_of`` and ``demographic_of`` make
+    the breakdowns from the result, which has a row per label.
+    """
+    rng, in_c, in_p = covering(cur, prev), cur.contains("event_date"), prev.contains("event_date")
+    flat = prepare(scan(events, rng), "event_date", "user_pseudo_id", "sid", "event_name", "purchase_revenue", "country",
+                   "city", "device", "ep_gender", "up_gender", "ep_age", "up_age")
+    nobody = [F.lit(None).cast("string").alias("user_pseudo_id"), F.lit(None).cast("bigint").alias("sid")]
+    person = F.struct(F.lit(DEMOGRAPHIC).alias("dimension"), demographic_columns()["demographic"].alias("label"), *SESSION_KEY)
+    place = F.struct(F.lit(GEO).alias("dimension"), location_label().alias("label"), *nobody)
+    device = F.struct(F.lit(DEVICE).alias("dimension"), F.col("device").alias("label"), *nobody)
+    bought = F.coalesce(_is_purchase(), F.lit(False))
+    paid = F.when(bought, F.coalesce(F.col("purchase_revenue"), F.lit(0))).otherwise(0)
+    rows = flat.select(in_c.alias("in_c"), in_p.alias("in_p"), paid.alias("paid"), F.explode(
+        F.when(bought & (in_c | in_p), F.array(person, place, device)).otherwise(F.array(person))).alias("of"))
+    grain = rows.select("in_c", "in_p", "paid", "of.*").groupBy("dimension", "label", *SESSION_KEY).agg(
+        F.sum(F.when(F.col("in_c"), F.col("paid")).otherwise(0)).alias("c_rev"),
+        F.sum(F.when(F.col("in_p"), F.col("paid")).otherwise(0)).alias("p_rev"),
+        F.bool_or("in_c").alias("c_any"), F.bool_or("in_p").alias("p_any"))
+    known = F.col("user_pseudo_id").isNotNull() & F.col("sid").isNotNull()
+    return grain.groupBy("dimension", "label").agg(
+        F.sum("c_rev").alias("c_rev"), F.sum("p_rev").alias("p_rev"),
+        F.count_if(F.col("c_any") & known).alias("c_ses"), F.count_if(F.col("p_any") & known).alias("p_ses"),
+        F.count_if("c_any").alias("c_n"), F.count_if("p_any").alias("p_n"))
+
+
+def _of(labels: DataFrame, dimension: str, label: str) -> DataFrame:
+    return labels.where(F.col("dimension") == dimension).drop("dimension").withColumnRenamed("label", label)
+
+
+def geo_of(labels: DataFrame, k: int | None = 10, fill_zero: bool = False) -> DataFrame:
+    """``geo_performance`` from ``label_breakdowns``."""
+    return _top_then_resort(_revenue_changes(_of(labels, GEO, "location"), "location"), "location", k, fill_zero=fill_zero)
+
+
+def device_of(labels: DataFrame, null_safe: bool = False, fill_zero: bool = False) -> DataFrame:
+    """``device_performance`` from ``label_breakdowns``."""
+    return _device_frame(_of(labels, DEVICE, "device"), null_safe, fill_zero)
+
+
+def demographic_of(labels: DataFrame, k: int | None = 10, fill_zero: bool = False) -> DataFrame:
+    """``demographic_performance`` from ``label_breakdowns``."""
+    agg = _of(labels, DEMOGRAPHIC, "demographic")
+    return _top_then_resort(_with_session_changes(agg, "demographic"), "demographic", k, fill_zero=fill_zero)

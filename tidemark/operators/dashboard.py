@@ -1,8 +1,11 @@
 """One dashboard render: every result of a period comparison, alerts derived from the others.
 
-The summary, trend and breakdown results are tiny (two rows, one row per
-period bucket, at most k rows), so each is computed once and written as a
-small Parquet table in a fresh folder under the cluster's shared checkpoint
+A render reads the events in six scans: the daily grain (summary and trend of
+any source mode), the figures of all labels (regions, devices, demographics),
+channels, products (two) and bulk items.  These are written first; summary,
+trend and the label breakdowns are made from the written grain and figures.
+The results are tiny (two rows, one row per period bucket, at most k rows), so
+each is computed once and written as a small Parquet table in a fresh folder under the cluster's shared checkpoint
 folder (``spark.checkpoint.dir``); the derived KPIs and alerts then read those
 tables instead of recomputing every breakdown, and a lost executor never
 forces a recomputation from the events.  (An eager ``checkpoint()`` of an
@@ -17,18 +20,21 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, fields
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.alerts import AlertThresholds, change_alerts, revenue_share
-from tidemark.operators.breakdowns import (channel_performance, demographic_performance, device_performance,
-                                           geo_performance, product_performance, product_post)
+from tidemark.operators.breakdowns import (
+    channel_performance, demographic_of, demographic_performance, device_of, device_performance, geo_of, geo_performance,
+    label_breakdowns, product_performance, product_post)
 from tidemark.operators.bulk import bulk_order_items
-from tidemark.operators.kpi import BULK_MIN_REVENUE, kpi_derived, kpi_summary, trend, trend_conversion
+from tidemark.operators.grain import BULK_MIN_REVENUE, daily_grain
+from tidemark.operators.kpi import grain_kpi_summary, grain_trend, kpi_derived, kpi_summary, trend, trend_conversion
 from tidemark.operators.orders import RepairPatterns
 from tidemark.operators.sessions import STORE_SOURCES
-from tidemark.plans.periods import Period
+from tidemark.plans.periods import Period, covering
 from tidemark.session import checkpoint_dir
+from tidemark.sources.events import scan
 
 
 @dataclass
@@ -57,6 +63,53 @@ class Dashboard:
             self.folder = None
 
 
+#: Label column of each breakdown.
+LABELS = {"products": "product_name", "channels": "channel", "regions": "location", "devices": "device",
+          "demographics": "demographic"}
+
+
+def _shown(frame: DataFrame, name: str, uncut: bool = False) -> DataFrame:
+    return revenue_share(frame, LABELS[name], uncut=uncut)
+
+
+def event_frames(events: DataFrame, cur: Period, prev: Period, bulk_min: float, patterns: RepairPatterns, product_k: int,
+                 breakdown_k: int, bulk_k: int) -> dict[str, DataFrame]:
+    """All that a render reads from the events: six scans, whatever the source mode."""
+    return {
+        "grain": daily_grain(scan(events, covering(cur, prev)), bulk_min, patterns),
+        "labels": label_breakdowns(events, cur, prev),
+        "products": _shown(product_post(product_performance(events, cur, prev, product_k)), "products"),
+        "channels": _shown(channel_performance(events, cur, prev, breakdown_k, fill_zero=True), "channels"),
+        "bulk_items": revenue_share(bulk_order_items(events, cur, bulk_min, bulk_k), "product_name", "item_revenue"),
+    }
+
+
+def derived_frames(daily: DataFrame, labels: DataFrame, cur: Period, prev: Period, source: str, grain: str, bulk_min: float,
+                   patterns: RepairPatterns, breakdown_k: int, store_sources: Iterable[str]) -> dict[str, DataFrame]:
+    """What a render makes from the written grain and label figures; devices are not cut, so their ranks are counted."""
+    return {
+        "summary": grain_kpi_summary(daily, cur, prev, source, bulk_min, patterns, store_sources),
+        "trend": trend_conversion(grain_trend(daily, cur, grain, source, store_sources)),
+        "regions": _shown(geo_of(labels, breakdown_k, fill_zero=True), "regions"),
+        "devices": _shown(device_of(labels, fill_zero=True), "devices", uncut=True),
+        "demographics": _shown(demographic_of(labels, breakdown_k, fill_zero=True), "demographics"),
+    }
+
+
+def lazy_frames(events: DataFrame, cur: Period, prev: Period, source: str, grain: str, bulk_min: float,
+                patterns: RepairPatterns, product_k: int, breakdown_k: int, bulk_k: int,
+                store_sources: Iterable[str]) -> dict[str, DataFrame]:
+    """The same frames straight from the events, nothing written."""
+    from_events = event_frames(events, cur, prev, bulk_min, patterns, product_k, breakdown_k, bulk_k)
+    return {n: from_events[n] for n in ("products", "channels", "bulk_items")} | {
+        "summary": kpi_summary(events, cur, prev, source, bulk_min, patterns, store_sources),
+        "trend": trend_conversion(trend(events, cur, grain, source, store_sources)),
+        "regions": _shown(geo_performance(events, cur, prev, breakdown_k, fill_zero=True), "regions"),
+        "devices": _shown(device_performance(events, cur, prev, fill_zero=True), "devices", uncut=True),
+        "demographics": _shown(demographic_performance(events, cur, prev, breakdown_k, fill_zero=True), "demographics"),
+    }
+
+
 def dashboard(events: DataFrame, cur: Period, prev: Period, source: str = "all", grain: str = "daily",
               bulk_min: float = BULK_MIN_REVENUE, patterns: RepairPatterns = RepairPatterns(),
               thresholds: AlertThresholds = AlertThresholds(), materialize: bool = True,
@@ -72,40 +125,31 @@ def dashboard(events: DataFrame, cur: Period, prev: Period, source: str = "all",
     ``parallelism`` of them concurrently on the shared session), and everything
     derived reads them until ``close()``; without it every frame stays lazy.
     """
-    by_revenue = lambda label: (F.col("current_revenue").desc_nulls_last(), F.col(label).asc_nulls_first())
-    shown = lambda frame, label, revenue="current_revenue": revenue_share(frame, label, revenue)
-    base: dict[str, tuple[DataFrame, tuple[Column, ...]]] = {
-        "summary": (kpi_summary(events, cur, prev, source, bulk_min, patterns, store_sources), (F.col("type"),)),
-        "trend": (trend_conversion(trend(events, cur, grain, source, store_sources)), (F.col("period_label"),)),
-        "products": (shown(product_post(product_performance(events, cur, prev, product_k)), "product_name"),
-                     by_revenue("product_name")),
-        "channels": (shown(channel_performance(events, cur, prev, breakdown_k, fill_zero=True), "channel"),
-                     by_revenue("channel")),
-        "regions": (shown(geo_performance(events, cur, prev, breakdown_k, fill_zero=True), "location"),
-                    by_revenue("location")),
-        "devices": (shown(device_performance(events, cur, prev, fill_zero=True), "device"), by_revenue("device")),
-        "demographics": (shown(demographic_performance(events, cur, prev, breakdown_k, fill_zero=True), "demographic"),
-                         by_revenue("demographic")),
-        "bulk_items": (shown(bulk_order_items(events, cur, bulk_min, bulk_k), "product_name", "item_revenue"),
-                       (F.col("item_revenue").desc_nulls_last(), F.col("product_name").asc_nulls_first())),
-    }
-    folder = None
-    if materialize:
-        shared = checkpoint_dir(events.sparkSession)
+    order = {"summary": (F.col("type"),), "trend": (F.col("period_label"),),
+             "bulk_items": (F.col("item_revenue").desc_nulls_last(), F.col("product_name").asc_nulls_first()),
+             **{n: (F.col("current_revenue").desc_nulls_last(), F.col(label).asc_nulls_first()) for n, label in LABELS.items()}}
+    if not materialize:
+        frames = lazy_frames(events, cur, prev, source, grain, bulk_min, patterns, product_k, breakdown_k, bulk_k, store_sources)
+        folder = None
+    else:
+        spark, shared = events.sparkSession, checkpoint_dir(events.sparkSession)
         if not shared:
             raise RuntimeError("spark.checkpoint.dir is not set; use materialize=False for lazy frames")
-        spark = events.sparkSession
         folder = f"{shared}/tidemark-render-{uuid.uuid4().hex}"
 
-        def write(name: str) -> None:
-            base[name][0].write.parquet(f"{folder}/{name}")
+        def written(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+            def write(name: str) -> None:
+                frames[name].write.parquet(f"{folder}/{name}")
 
-        # Threads that take over the caller's job group, so that a render can be cancelled as one.
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            list(pool.map(inheritable_thread_target(spark)(write), base))
-        frames = {name: spark.read.parquet(f"{folder}/{name}").orderBy(*order) for name, (_, order) in base.items()}
-    else:
-        frames = {name: df for name, (df, _) in base.items()}
+            # Threads that take over the caller's job group, so that a render can be cancelled as one.
+            with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+                list(pool.map(inheritable_thread_target(spark)(write), frames))
+            return {name: spark.read.parquet(f"{folder}/{name}") for name in frames}
+
+        base = written(event_frames(events, cur, prev, bulk_min, patterns, product_k, breakdown_k, bulk_k))
+        frames = {n: base[n] for n in ("products", "channels", "bulk_items")} | written(
+            derived_frames(base["grain"], base["labels"], cur, prev, source, grain, bulk_min, patterns, breakdown_k, store_sources))
+        frames = {name: df.orderBy(*order[name]) for name, df in frames.items()}
     return Dashboard(
         derived=kpi_derived(frames["summary"]),
         alerts=change_alerts(frames["summary"], frames["products"], frames["channels"], frames["demographics"],

@@ -27,18 +27,17 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.arith import MONEY, exact, money, ratio, threshold
+from tidemark.functions.arith import exact, money, ratio
 from tidemark.functions.dates import grain_start, parse_yyyymmdd
-from tidemark.operators.orders import PURCHASE, RepairPatterns, purchase_item_flags, repair_only_flag
+from tidemark.operators.grain import (
+    BULK_MIN_REVENUE, COMMERCE_INPUTS, COMMERCE_MEASURES, SESSION_INPUTS, SESSION_MEASURES, check_rules, event_measures,
+    item_inputs, merged_measures)
+from tidemark.operators.orders import RepairPatterns, repair_only_flag
 from tidemark.operators.sessions import SESSION_KEY, STORE_SOURCES, source_of_event
 from tidemark.plans.periods import CURRENT, PREVIOUS, Period, covering, period_type
-from tidemark.plans.prepare import item_fields, prepare
+from tidemark.plans.prepare import prepare
 from tidemark.sources.events import scan
 
-SIGN_UP = "sign_up"
-# Fixed value: event-level purchase revenue at or above which an order is "bulk".
-BULK_MIN_REVENUE = 1_500_000
-
 KPI_COLUMNS = ["type", "users", "new_users", "sessions", "signups", "orders", "revenue",
                "bulk_orders", "bulk_revenue", "filtered_orders", "filtered_revenue"]
 
@@ -80,42 +79,46 @@ def _source_columns(mode: str) -> list[str]:
     return [] if mode == "all" else [*SESSION_KEY, "event_timestamp", "param_source", "ts_source"]
 
 
-def _earliest_time(mode: str) -> list[Column]:
-    return [] if mode == "all" else [F.min("event_timestamp").alias("_t")]
-
-
-def _session_grain(events: DataFrame, period: Period, bucket: Column, mode: str,
-                   store_sources: Iterable[str]) -> DataFrame:
-    cols = dict.fromkeys(["event_date", "user_pseudo_id", "sid", "s_num", *_source_columns(mode)])
-    flat = _with_source(prepare(scan(events, period), *cols), mode)
-    g = (flat.withColumn("bucket", bucket)
-         .groupBy(*_grain_keys(mode, *SESSION_KEY))
-         .agg(F.bool_or(F.col("s_num") == 1).alias("is_new"), *_earliest_time(mode)))
-    return _selected(g, mode, store_sources)
-
-
-def _commerce_grain(events: DataFrame, period: Period, bucket: Column, mode: str, store_sources: Iterable[str],
-                    bulk_min: float, patterns: RepairPatterns) -> DataFrame:
-    cols = dict.fromkeys(["event_date", "event_name", "purchase_revenue", "transaction_id", *_source_columns(mode)])
-    named = item_fields("item_name", "item_category")
-    flat = _with_source(prepare(scan(events, period), *cols, items=named), mode)
-    is_purchase = F.col("event_name") == PURCHASE
-    rev = F.col("purchase_revenue")
-    is_bulk = is_purchase & (rev >= threshold(bulk_min, MONEY))
-    no_false, any_true = purchase_item_flags(patterns)
-    g = (flat.withColumn("bucket", bucket)
-         .groupBy(*_grain_keys(mode, "transaction_id"))
-         .agg(F.count(F.lit(1)).alias("n_events"),
-              F.count_if(F.col("event_name") == SIGN_UP).alias("signups"),
-              F.sum(F.coalesce(rev, F.lit(0))).alias("revenue"),
-              F.bool_or(is_purchase).alias("p_any"),
-              F.sum(F.when(is_purchase, rev)).alias("p_rev"),
-              F.count_if(is_purchase & rev.isNull()).alias("p_null_rev"),
-              F.bool_or(is_bulk).alias("b_any"),
-              F.sum(F.when(is_bulk, rev).otherwise(F.lit(0))).alias("b_rev"),
-              F.bool_and(no_false).alias("no_false"),
-              F.bool_or(any_true).alias("any_true"), *_earliest_time(mode)))
-    return _selected(g, mode, store_sources)
+class _FromEvents:
+    """The two grains of a summary or trend, each aggregated from the events by its own scan."""
+
+    def __init__(self, events: DataFrame, bulk_min: float = BULK_MIN_REVENUE, patterns: RepairPatterns = RepairPatterns()):
+        self.rows, self.measures = events, event_measures(bulk_min, patterns)
+
+    def _grain(self, period: Period, bucket: Column, mode: str, inputs: Iterable[str], keys: Iterable[str],
+               names: Iterable[str], **items: Column) -> DataFrame:
+        cols = dict.fromkeys(["event_date", *inputs, *_source_columns(mode)])
+        flat = _with_source(prepare(scan(self.rows, period), *cols, **items), mode)
+        names = [*names, *([] if mode == "all" else ["_t"])]
+        return flat.withColumn("bucket", bucket).groupBy(*_grain_keys(mode, *keys)).agg(
+            *[self.measures[n].alias(n) for n in names])
+
+    def sessions(self, period: Period, bucket: Column, mode: str) -> DataFrame:
+        return self._grain(period, bucket, mode, [*SESSION_KEY, *SESSION_INPUTS], SESSION_KEY, SESSION_MEASURES)
+
+    def commerce(self, period: Period, bucket: Column, mode: str) -> DataFrame:
+        return self._grain(period, bucket, mode, ["transaction_id", *COMMERCE_INPUTS], ["transaction_id"],
+                           COMMERCE_MEASURES, items=item_inputs())
+
+
+class _FromGrain:
+    """The same two grains, merged from rows of the daily grain."""
+
+    def __init__(self, grain: DataFrame):
+        self.rows = grain
+
+    def _grain(self, period: Period, bucket: Column, mode: str, keys: Iterable[str], names: Iterable[str]) -> DataFrame:
+        rows = scan(self.rows, period)
+        if mode != "all":
+            rows = rows.where(F.col("user_pseudo_id").isNotNull() & F.col("sid").isNotNull())
+        names = [*names, *([] if mode == "all" else ["_t"])]
+        return rows.withColumn("bucket", bucket).groupBy(*_grain_keys(mode, *keys)).agg(*merged_measures(names))
+
+    def sessions(self, period: Period, bucket: Column, mode: str) -> DataFrame:
+        return self._grain(period, bucket, mode, SESSION_KEY, SESSION_MEASURES)
+
+    def commerce(self, period: Period, bucket: Column, mode: str) -> DataFrame:
+        return self._grain(period, bucket, mode, ["transaction_id"], COMMERCE_MEASURES)
 
 
 def kpi_summary(events: DataFrame, cur: Period, prev: Period, source: str = "all",
@@ -129,17 +132,30 @@ def kpi_summary(events: DataFrame, cur: Period, prev: Period, source: str = "all
     or ``online`` (sessions whose first source over the same range is, or is
     not, one of ``store_sources``).
     """
-    rng = covering(cur, prev)
-    bucket = period_type(cur)
     if not gap_as_previous:
         events = scan(events, cur, prev)
-    user = F.col("user_pseudo_id")
-    per_type = (_session_grain(events, rng, bucket, source, store_sources)
+    return _summary(_FromEvents(events, bulk_min, patterns), cur, prev, source, store_sources)
+
+
+def grain_kpi_summary(grain: DataFrame, cur: Period, prev: Period, source: str = "all",
+                      bulk_min: float = BULK_MIN_REVENUE, patterns: RepairPatterns = RepairPatterns(),
+                      store_sources: Iterable[str] = STORE_SOURCES, gap_as_previous: bool = True) -> DataFrame:
+    """``kpi_summary`` from the daily grain (``read_grain``), which must have been made with the same threshold and patterns."""
+    check_rules(grain, bulk_min, patterns)
+    if not gap_as_previous:
+        grain = scan(grain, cur, prev)
+    return _summary(_FromGrain(grain), cur, prev, source, store_sources)
+
+
+def _summary(grains: _FromEvents | _FromGrain, cur: Period, prev: Period, source: str,
+             store_sources: Iterable[str]) -> DataFrame:
+    rng, bucket, user = covering(cur, prev), period_type(cur), F.col("user_pseudo_id")
+    per_type = (_selected(grains.sessions(rng, bucket, source), source, store_sources)
                 .groupBy(F.col("bucket").alias("type"))
                 .agg(F.count_distinct(user).alias("users"),
                      F.count_distinct(F.when(F.col("is_new"), user)).alias("new_users"),
                      F.count_distinct(session_key(user, F.col("sid"))).alias("sessions")))
-    commerce = _commerce_metrics(_commerce_grain(events, rng, bucket, source, store_sources, bulk_min, patterns))
+    commerce = _commerce_metrics(_selected(grains.commerce(rng, bucket, source), source, store_sources))
     all_null = F.col("_n_events") == F.col("_f_null_rev")
     return per_type.join(commerce, "type", "left").select(
         *KPI_COLUMNS[:-2],
@@ -214,12 +230,22 @@ def trend(events: DataFrame, cur: Period, grain: str = "daily", source: str = "a
 
     In a source mode the sessions are attributed over the current period only.
     """
+    return _trend(_FromEvents(events), cur, grain, source, store_sources)
+
+
+def grain_trend(daily: DataFrame, cur: Period, grain: str = "daily", source: str = "all",
+                store_sources: Iterable[str] = STORE_SOURCES) -> DataFrame:
+    """``trend`` from the daily grain."""
+    return _trend(_FromGrain(daily), cur, grain, source, store_sources)
+
+
+def _trend(grains: _FromEvents | _FromGrain, cur: Period, grain: str, source: str, store_sources: Iterable[str]) -> DataFrame:
     bucket = grain_start(parse_yyyymmdd(F.col("event_date")), grain).cast("string")
     user, tx = F.col("user_pseudo_id"), F.col("transaction_id")
-    s = (_session_grain(events, cur, bucket, source, store_sources)
+    s = (_selected(grains.sessions(cur, bucket, source), source, store_sources)
          .groupBy(F.col("bucket").alias("period_label"))
          .agg(F.count_distinct(session_key(user, F.col("sid"))).alias("sessions")))
-    c = (_commerce_grain(events, cur, bucket, source, store_sources, BULK_MIN_REVENUE, RepairPatterns())
+    c = (_selected(grains.commerce(cur, bucket, source), source, store_sources)
          .groupBy(F.col("bucket").alias("period_label"))
          .agg(money(F.sum("revenue")).alias("revenue"),
               F.count_distinct(F.when(F.col("p_any"), tx)).alias("orders")))

@@ -165,16 +165,21 @@ def _group(spark: SparkSession, path: str, own: T.StructType, common: T.StructTy
     return df if own == common else df.select(*cols, DATE)
 
 
-def put_shards(spark: SparkSession, staged: str, path: str, prefix: str, overwrite: bool) -> None:
-    """Give the day folders of a partitioned table under ``staged`` their places as shards."""
-    days = day_folders(spark, staged)
-    root, fs = hadoop_path(spark, path)
-    there = day_folders(spark, path, SHARDS, prefix) if fs.exists(root) else {}
+def put_days(spark: SparkSession, staged: str, path: str, layout: str = PARTITIONS, prefix: str = "events_",
+             overwrite: bool = False, period: Period | None = None) -> None:
+    """Give the day folders of a partitioned table under ``staged`` their places under ``path``.
+
+    With ``overwrite`` they replace the folders of their days, and days of
+    ``period`` that ``staged`` does not have are removed.
+    """
+    days, (root, fs) = day_folders(spark, staged), hadoop_path(spark, path)
+    there = day_folders(spark, path, layout, prefix) if fs.exists(root) else {}
+    name = folder_name(layout, prefix)
     if not overwrite and (taken := sorted(days.keys() & there.keys())):
-        raise FileExistsError(f"{path} has {prefix}{taken[0]} already")
+        raise FileExistsError(f"{path} has {name}{taken[0]} already")
+    gone = {d for d in there if period and period.start <= d <= period.end} - days.keys()
+    for day in sorted(days.keys() & there.keys() | gone):
+        fs.delete(hadoop_path(spark, there[day])[0], True)
     for day, folder in days.items():
-        to = hadoop_path(spark, f"{path}/{prefix}{day}")[0]
-        if day in there:
-            fs.delete(to, True)
-        if not fs.rename(hadoop_path(spark, folder)[0], to):
-            raise OSError(f"cannot place {to}")
+        if not fs.rename(hadoop_path(spark, folder)[0], hadoop_path(spark, f"{path}/{name}{day}")[0]):
+            raise OSError(f"cannot place {name}{day} in {path}")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tidemark.plans.periods import Period
-from tidemark.sources.days import PARTITIONS, SHARDS, common_type, day_folders, hadoop_path, put_shards, read_days
+from tidemark.sources.days import PARTITIONS, SHARDS, common_type, day_folders, hadoop_path, put_days, read_days
 
 _PARAM_VALUE = T.StructType([
     T.StructField("string_value", T.StringType()),
@@ -127,7 +127,7 @@ def write_shards(events: DataFrame, path: str, prefix: str = "events_", overwrit
     spark, staged = events.sparkSession, f"{path}/_writing-{uuid.uuid4().hex}"
     try:
         write_events(events, staged, partitions=partitions)
-        put_shards(spark, staged, path, prefix, overwrite)
+        put_days(spark, staged, path, SHARDS, prefix, overwrite)
     finally:
         p, fs = hadoop_path(spark, staged)
         fs.delete(p, True)

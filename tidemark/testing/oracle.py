@@ -515,6 +515,19 @@ def oracle_sql() -> dict[str, str]:
         "s1_shards_kpi_summary": kpi_sql("all"),
         "s4_shards_events_per_day": with_flat(base) + "\nSELECT event_date, COUNT(*) AS events FROM base GROUP BY 1",
         "e1_dashboard_breakdowns": dashboard_sql(DEVICE_BODY),
+        "e2_labels_geo": with_flat(GEO_BODY) + "\nSELECT * FROM geo",
+        "e2_labels_device": with_flat(DEVICE_BODY) + "\nSELECT * FROM dev",
+        "e2_labels_demographic": with_flat(DEMO_BODY) + "\nSELECT * FROM demo",
+        "w3_rank_uncut_channels": with_flat(CHANNEL_BODY.replace("LIMIT 10", "")) + "\n"
+        + share_select("chan", "channel", "current_revenue"),
+        "q19_change_alerts_uncut": alerts_sql(),
+        "r2_grain_kpi_summary": kpi_sql("all"),
+        "r2_grain_kpi_summary_store": kpi_sql("store"),
+        "r2_grain_kpi_summary_online": kpi_sql("online"),
+        "r2_grain_trend_daily": trend_sql("daily"),
+        "r2_grain_trend_monthly": trend_sql("monthly"),
+        "r2_grain_trend_store_daily": trend_sql("daily", "store"),
+        "r2_grain_trend_online_weekly": trend_sql("weekly", "online"),
         "p2_param_lookup": with_flat() .rstrip(",")
         + "\nSELECT event_timestamp, user_pseudo_id, sid, s_num, param_source FROM ev",
         "p3_multi_key_lookup": with_flat().rstrip(",")

@@ -17,6 +17,7 @@ from tidemark.plans.periods import covering
 from tidemark.functions.dates import GRAINS, grain_start, parse_yyyymmdd
 from tidemark.plans.prepare import item_fields, prepare
 from tidemark.operators.dashboard import dashboard
+from tidemark.operators.grain import read_grain, refresh_grain
 from tidemark.session import scratch_folder
 from tidemark.sources.events import read_events, scan, write_events, write_shards
 from tidemark.sources.fixtures import build_events
@@ -72,6 +73,14 @@ def _q_shards(spark: SparkSession, d: str, operator: Callable[[DataFrame], DataF
     return operator(read_events(spark, path, covering(CUR, PREV), layout="shards"))
 
 
+def _q_grain(spark: SparkSession, d: str, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """An answer from the daily grain, written and read again; a part of its days is computed twice."""
+    ev, path = _ev(spark, d), scratch_folder(spark, "grain")
+    for period in (covering(CUR, PREV), CUR):
+        refresh_grain(ev, path, period, BULK_MIN, PATTERNS)
+    return answer(read_grain(spark, path))
+
+
 def _q_dashboard(spark: SparkSession, d: str) -> DataFrame:
     """The breakdowns of one render, one below the other."""
     shown = dashboard(_ev(spark, d), CUR, PREV, "all", "daily", BULK_MIN, PATTERNS, THRESHOLDS)
@@ -85,7 +94,7 @@ def _q_dashboard(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [*frames, bulk_items])
 
 
-def _q_alerts(spark: SparkSession, d: str, source: str = "all") -> DataFrame:
+def _q_alerts(spark: SparkSession, d: str, source: str = "all", uncut: bool = False) -> DataFrame:
     ev = _ev(spark, d)
     return alerts.change_alerts(
         _summary(ev, source),
@@ -93,7 +102,7 @@ def _q_alerts(spark: SparkSession, d: str, source: str = "all") -> DataFrame:
         breakdowns.channel_performance(ev, CUR, PREV),
         breakdowns.demographic_performance(ev, CUR, PREV),
         breakdowns.geo_performance(ev, CUR, PREV),
-        THRESHOLDS)
+        THRESHOLDS, uncut)
 
 
 def _q_not_in(spark: SparkSession, d: str) -> DataFrame:
@@ -181,6 +190,18 @@ def registry() -> dict[str, Query]:
         "s4_shards_events_per_day": lambda s, d: _q_shards(
             s, d, lambda ev: ev.groupBy("event_date").agg(F.count(F.lit(1)).alias("events"))),
         "e1_dashboard_breakdowns": _q_dashboard,
+        "e2_labels_geo": lambda s, d: breakdowns.geo_of(breakdowns.label_breakdowns(_ev(s, d), CUR, PREV)),
+        "e2_labels_device": lambda s, d: breakdowns.device_of(breakdowns.label_breakdowns(_ev(s, d), CUR, PREV)),
+        "e2_labels_demographic": lambda s, d: breakdowns.demographic_of(breakdowns.label_breakdowns(_ev(s, d), CUR, PREV)),
+        "w3_rank_uncut_channels": lambda s, d: alerts.revenue_share(
+            breakdowns.channel_performance(_ev(s, d), CUR, PREV, k=None), "channel", uncut=True),
+        "q19_change_alerts_uncut": lambda s, d: _q_alerts(s, d, uncut=True),
+        **{f"r2_grain_{name}": (lambda s, d, m=mode: _q_grain(
+            s, d, lambda g: kpi.grain_kpi_summary(g, CUR, PREV, m, BULK_MIN, PATTERNS)))
+           for name, mode in (("kpi_summary", "all"), ("kpi_summary_store", "store"), ("kpi_summary_online", "online"))},
+        **{f"r2_grain_{name}": (lambda s, d, g=grain, m=mode: _q_grain(s, d, lambda t: kpi.grain_trend(t, CUR, g, m)))
+           for name, grain, mode in (("trend_daily", "daily", "all"), ("trend_monthly", "monthly", "all"),
+                                     ("trend_store_daily", "daily", "store"), ("trend_online_weekly", "weekly", "online"))},
         "p2_param_lookup": lambda s, d: prepare(_ev(s, d), "event_timestamp", "user_pseudo_id", "sid", "s_num",
                                                 "param_source"),
         "p3_multi_key_lookup": lambda s, d: prepare(_ev(s, d), "event_timestamp", "user_pseudo_id", "ep_gender",
