@@ -7,7 +7,9 @@ Catalyst and AQE plan the whole thing.
 """
 
 from tidemark.plans.periods import Period
-from tidemark.sources.events import EVENTS_SCHEMA, read_events, scan, write_events, write_shards
+from tidemark.sources.events import EVENTS_SCHEMA, read_events, scan, write_bucketed, write_events, write_shards
+from tidemark.operators.distinct import (
+    bitmap_counts, daily_sketches, daily_user_bitmaps, extend_users, read_users, sketch_counts)
 from tidemark.operators.grain import daily_grain, read_grain, refresh_grain
 from tidemark.operators.kpi import grain_kpi_summary, grain_trend, kpi_summary, trend, trend_conversion, kpi_derived
 from tidemark.operators.sessions import session_first_source, filter_sessions, session_channels
@@ -31,7 +33,8 @@ from tidemark.operators.alerts import revenue_share, change_alerts, AlertThresho
 from tidemark.operators.dashboard import Dashboard, dashboard
 
 __all__ = [
-    "Period", "EVENTS_SCHEMA", "read_events", "scan", "write_events", "write_shards",
+    "Period", "EVENTS_SCHEMA", "read_events", "scan", "write_events", "write_shards", "write_bucketed",
+    "daily_sketches", "sketch_counts", "extend_users", "read_users", "daily_user_bitmaps", "bitmap_counts",
     "daily_grain", "refresh_grain", "read_grain", "grain_kpi_summary", "grain_trend",
     "kpi_summary", "trend", "trend_conversion", "kpi_derived",
     "session_first_source", "filter_sessions", "session_channels",

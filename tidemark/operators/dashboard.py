@@ -20,7 +20,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, fields
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.operators.alerts import AlertThresholds, change_alerts, revenue_share
@@ -50,9 +50,11 @@ class Dashboard:
     bulk_items: DataFrame
     alerts: DataFrame
     folder: str | None = field(default=None, repr=False)
+    #: Events read and left out (see ``grain.accounting``), counted by the job that wrote the grain; None for lazy frames.
+    accounting: dict[str, int] | None = field(default=None, repr=False)
 
     def frames(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self) if f.name != "folder"}
+        return {f.name: getattr(self, f.name) for f in fields(self) if f.name not in ("folder", "accounting")}
 
     def close(self) -> None:
         """Delete the render's folder; its frames cannot be read afterwards."""
@@ -73,10 +75,10 @@ def _shown(frame: DataFrame, name: str, uncut: bool = False) -> DataFrame:
 
 
 def event_frames(events: DataFrame, cur: Period, prev: Period, bulk_min: float, patterns: RepairPatterns, product_k: int,
-                 breakdown_k: int, bulk_k: int) -> dict[str, DataFrame]:
+                 breakdown_k: int, bulk_k: int, counted: Observation | None = None) -> dict[str, DataFrame]:
     """All that a render reads from the events: six scans, whatever the source mode."""
     return {
-        "grain": daily_grain(scan(events, covering(cur, prev)), bulk_min, patterns),
+        "grain": daily_grain(scan(events, covering(cur, prev)), bulk_min, patterns, counted),
         "labels": label_breakdowns(events, cur, prev),
         "products": _shown(product_post(product_performance(events, cur, prev, product_k)), "products"),
         "channels": _shown(channel_performance(events, cur, prev, breakdown_k, fill_zero=True), "channels"),
@@ -130,7 +132,7 @@ def dashboard(events: DataFrame, cur: Period, prev: Period, source: str = "all",
              **{n: (F.col("current_revenue").desc_nulls_last(), F.col(label).asc_nulls_first()) for n, label in LABELS.items()}}
     if not materialize:
         frames = lazy_frames(events, cur, prev, source, grain, bulk_min, patterns, product_k, breakdown_k, bulk_k, store_sources)
-        folder = None
+        folder = counted = None
     else:
         spark, shared = events.sparkSession, checkpoint_dir(events.sparkSession)
         if not shared:
@@ -146,7 +148,8 @@ def dashboard(events: DataFrame, cur: Period, prev: Period, source: str = "all",
                 list(pool.map(inheritable_thread_target(spark)(write), frames))
             return {name: spark.read.parquet(f"{folder}/{name}") for name in frames}
 
-        base = written(event_frames(events, cur, prev, bulk_min, patterns, product_k, breakdown_k, bulk_k))
+        counted = Observation()
+        base = written(event_frames(events, cur, prev, bulk_min, patterns, product_k, breakdown_k, bulk_k, counted))
         frames = {n: base[n] for n in ("products", "channels", "bulk_items")} | written(
             derived_frames(base["grain"], base["labels"], cur, prev, source, grain, bulk_min, patterns, breakdown_k, store_sources))
         frames = {name: df.orderBy(*order[name]) for name, df in frames.items()}
@@ -155,5 +158,6 @@ def dashboard(events: DataFrame, cur: Period, prev: Period, source: str = "all",
         alerts=change_alerts(frames["summary"], frames["products"], frames["channels"], frames["demographics"],
                              frames["regions"], thresholds),
         folder=folder,
+        accounting=counted.get if counted else None,
         **frames,
     )

@@ -17,7 +17,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.arith import MONEY, threshold
@@ -78,11 +78,27 @@ def _rules(bulk_min: float, patterns: RepairPatterns) -> dict[str, str]:
     return {"bulk_min": str(bulk_min), "patterns": repr(patterns)}
 
 
-def daily_grain(events: DataFrame, bulk_min: float = BULK_MIN_REVENUE, patterns: RepairPatterns = RepairPatterns()) -> DataFrame:
-    """The grain of all days of ``events``; one scan, one hash aggregate with map-side combine."""
+def accounting() -> dict[str, Column]:
+    """Events read, and those that some figure leaves out, as aggregates over the grain's input rows."""
+    bought = F.col("event_name") == PURCHASE
+    return {"events": F.count(F.lit(1)), "without_user": F.count_if(F.col("user_pseudo_id").isNull()),
+            "without_session": F.count_if(F.col("sid").isNull()),
+            "purchases_without_transaction": F.count_if(bought & F.col("transaction_id").isNull()),
+            "purchases_without_revenue": F.count_if(bought & F.col("purchase_revenue").isNull()),
+            "purchases_without_items": F.count_if(bought & (F.coalesce(F.size("items"), F.lit(0)) <= 0))}
+
+
+def daily_grain(events: DataFrame, bulk_min: float = BULK_MIN_REVENUE, patterns: RepairPatterns = RepairPatterns(),
+                counted: Observation | None = None) -> DataFrame:
+    """The grain of all days of ``events``; one scan, one hash aggregate with map-side combine.
+
+    ``counted`` takes the figures of ``accounting`` in the same job that runs the grain.
+    """
     cols = dict.fromkeys([*GRAIN_KEY[:3], "transaction_id", "event_timestamp", "param_source", "ts_source",
                           *SESSION_INPUTS, *COMMERCE_INPUTS])
     flat = prepare(events, *cols, items=item_inputs()).withColumn("_src", source_of_event())
+    if counted is not None:
+        flat = flat.observe(counted, *[c.alias(n) for n, c in accounting().items()])
     measures = event_measures(bulk_min, patterns)
     return (flat.groupBy(*GRAIN_KEY).agg(*[c.alias(n) for n, c in measures.items()])
             .withMetadata("b_rev", {"grain": _rules(bulk_min, patterns)}))

@@ -56,19 +56,30 @@ def _with_source(flat: DataFrame, mode: str) -> DataFrame:
     return flat.where(known).withColumn("_src", source_of_event())
 
 
-def _selected(grain: DataFrame, mode: str, store_sources: Iterable[str]) -> DataFrame:
+def _selected(grain: DataFrame, mode: str, store_sources: Iterable[str], salts: int = 1) -> DataFrame:
     """The grain's rows of sessions whose first source the mode selects.
 
     The grain holds each source of a session with its earliest time, so the
-    window sees the few pre-aggregated rows of a session, not its events.
+    window sees the few pre-aggregated rows of a session, not its events.  With
+    ``salts`` a session is dealt over so many parts: a minimum of each part, a
+    minimum of a session's parts, handed back to the parts by a join; no task
+    then holds all rows of a session with very many transactions.
     """
     if mode == "all":
         return grain
     if mode not in ("store", "online"):
         raise ValueError(f"unknown source mode {mode!r}; expected all, store or online")
-    first = F.min(F.struct("_t", "_src")).over(Window.partitionBy(*SESSION_KEY))
+    earliest = F.min(F.struct("_t", "_src"))
     member = F.col("_first._src").isin(*list(store_sources))
-    return grain.withColumn("_first", first).where(member if mode == "store" else ~member)
+    if salts <= 1:
+        grain = grain.withColumn("_first", earliest.over(Window.partitionBy(*SESSION_KEY)))
+    else:
+        rest = [c for c in grain.columns if c in ("bucket", "transaction_id", "_src")]
+        grain = grain.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(salts)))
+        parts = grain.groupBy(*SESSION_KEY, "_salt").agg(earliest.alias("_part"))
+        first = F.min("_part").over(Window.partitionBy(*SESSION_KEY))
+        grain = grain.join(parts.select(*SESSION_KEY, "_salt", first.alias("_first")), [*SESSION_KEY, "_salt"]).drop("_salt")
+    return grain.where(member if mode == "store" else ~member)
 
 
 def _grain_keys(mode: str, *keys: str) -> list[str]:
@@ -93,6 +104,11 @@ class _FromEvents:
         return flat.withColumn("bucket", bucket).groupBy(*_grain_keys(mode, *keys)).agg(
             *[self.measures[n].alias(n) for n in names])
 
+    def visits(self, period: Period, bucket: Column) -> DataFrame:
+        """The events as they are, for sketches that need no grain."""
+        flat = prepare(scan(self.rows, period), "event_date", *SESSION_KEY, *SESSION_INPUTS)
+        return flat.withColumn("bucket", bucket).withColumn("is_new", F.col("s_num") == 1)
+
     def sessions(self, period: Period, bucket: Column, mode: str) -> DataFrame:
         return self._grain(period, bucket, mode, [*SESSION_KEY, *SESSION_INPUTS], SESSION_KEY, SESSION_MEASURES)
 
@@ -114,6 +130,9 @@ class _FromGrain:
         names = [*names, *([] if mode == "all" else ["_t"])]
         return rows.withColumn("bucket", bucket).groupBy(*_grain_keys(mode, *keys)).agg(*merged_measures(names))
 
+    def visits(self, period: Period, bucket: Column) -> DataFrame:
+        return scan(self.rows, period).withColumn("bucket", bucket)
+
     def sessions(self, period: Period, bucket: Column, mode: str) -> DataFrame:
         return self._grain(period, bucket, mode, SESSION_KEY, SESSION_MEASURES)
 
@@ -123,39 +142,51 @@ class _FromGrain:
 
 def kpi_summary(events: DataFrame, cur: Period, prev: Period, source: str = "all",
                 bulk_min: float = BULK_MIN_REVENUE, patterns: RepairPatterns = RepairPatterns(),
-                store_sources: Iterable[str] = STORE_SOURCES, gap_as_previous: bool = True) -> DataFrame:
+                store_sources: Iterable[str] = STORE_SOURCES, gap_as_previous: bool = True, approx: bool = False,
+                session_salts: int = 1) -> DataFrame:
     """One row per period type (Current / Previous) with the eleven KPI columns.
 
     The scan covers ``min(starts)..max(ends)``; every date outside the current
     period, gap days included, counts as Previous; without ``gap_as_previous``
     only the dates of the two periods count.  ``source`` is ``all``, ``store``
     or ``online`` (sessions whose first source over the same range is, or is
-    not, one of ``store_sources``).
+    not, one of ``store_sources``).  ``approx`` counts users, new users and
+    sessions by HLL with a relative standard error of ``APPROX_ERROR``, without
+    a grain of sessions in mode ``all``; other figures stay exact.
+    ``session_salts`` deals the rows of a session over so many tasks in the
+    source modes, for sessions with a large share of all transactions.
     """
     if not gap_as_previous:
         events = scan(events, cur, prev)
-    return _summary(_FromEvents(events, bulk_min, patterns), cur, prev, source, store_sources)
+    return _summary(_FromEvents(events, bulk_min, patterns), cur, prev, source, store_sources, approx, session_salts)
 
 
 def grain_kpi_summary(grain: DataFrame, cur: Period, prev: Period, source: str = "all",
                       bulk_min: float = BULK_MIN_REVENUE, patterns: RepairPatterns = RepairPatterns(),
-                      store_sources: Iterable[str] = STORE_SOURCES, gap_as_previous: bool = True) -> DataFrame:
+                      store_sources: Iterable[str] = STORE_SOURCES, gap_as_previous: bool = True, approx: bool = False,
+                      session_salts: int = 1) -> DataFrame:
     """``kpi_summary`` from the daily grain (``read_grain``), which must have been made with the same threshold and patterns."""
     check_rules(grain, bulk_min, patterns)
     if not gap_as_previous:
         grain = scan(grain, cur, prev)
-    return _summary(_FromGrain(grain), cur, prev, source, store_sources)
+    return _summary(_FromGrain(grain), cur, prev, source, store_sources, approx, session_salts)
+
+
+#: Relative standard error of the approximate counts.
+APPROX_ERROR = 0.01
 
 
-def _summary(grains: _FromEvents | _FromGrain, cur: Period, prev: Period, source: str,
-             store_sources: Iterable[str]) -> DataFrame:
+def _summary(grains: _FromEvents | _FromGrain, cur: Period, prev: Period, source: str, store_sources: Iterable[str],
+             approx: bool, salts: int) -> DataFrame:
     rng, bucket, user = covering(cur, prev), period_type(cur), F.col("user_pseudo_id")
-    per_type = (_selected(grains.sessions(rng, bucket, source), source, store_sources)
-                .groupBy(F.col("bucket").alias("type"))
-                .agg(F.count_distinct(user).alias("users"),
-                     F.count_distinct(F.when(F.col("is_new"), user)).alias("new_users"),
-                     F.count_distinct(session_key(user, F.col("sid"))).alias("sessions")))
-    commerce = _commerce_metrics(_selected(grains.commerce(rng, bucket, source), source, store_sources))
+    count = (lambda c: F.approx_count_distinct(c, APPROX_ERROR)) if approx else F.count_distinct
+    ungrouped = approx and source == "all"
+    sessions = grains.visits(rng, bucket) if ungrouped else _selected(grains.sessions(rng, bucket, source), source, store_sources, salts)
+    per_type = (sessions.groupBy(F.col("bucket").alias("type"))
+                .agg(count(user).alias("users"),
+                     count(F.when(F.col("is_new"), user)).alias("new_users"),
+                     count(session_key(user, F.col("sid"))).alias("sessions")))
+    commerce = _commerce_metrics(_selected(grains.commerce(rng, bucket, source), source, store_sources, salts))
     all_null = F.col("_n_events") == F.col("_f_null_rev")
     return per_type.join(commerce, "type", "left").select(
         *KPI_COLUMNS[:-2],

@@ -521,6 +521,10 @@ def oracle_sql() -> dict[str, str]:
         "w3_rank_uncut_channels": with_flat(CHANNEL_BODY.replace("LIMIT 10", "")) + "\n"
         + share_select("chan", "channel", "current_revenue"),
         "q19_change_alerts_uncut": alerts_sql(),
+        "j1_bucketed_first_source": with_flat(base, first_source_cte("sfs", "base")) + "\nSELECT * FROM sfs",
+        "a2_bitmap_users": f"SELECT type, users, new_users FROM ({kpi_sql('all')})",
+        "r4_approx_counts": f"SELECT type, users, new_users, sessions, true AS hll_near, true AS sketch_near FROM ({kpi_sql('all')})",
+        "q2_kpi_summary_store_salted": kpi_sql("store"),
         "r2_grain_kpi_summary": kpi_sql("all"),
         "r2_grain_kpi_summary_store": kpi_sql("store"),
         "r2_grain_kpi_summary_online": kpi_sql("online"),

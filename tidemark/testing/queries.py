@@ -12,14 +12,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import alerts, breakdowns, bulk, kpi, orders, sessions
+from tidemark.operators import alerts, breakdowns, bulk, distinct, kpi, orders, sessions
 from tidemark.plans.periods import covering
 from tidemark.functions.dates import GRAINS, grain_start, parse_yyyymmdd
 from tidemark.plans.prepare import item_fields, prepare
 from tidemark.operators.dashboard import dashboard
 from tidemark.operators.grain import read_grain, refresh_grain
 from tidemark.session import scratch_folder
-from tidemark.sources.events import read_events, scan, write_events, write_shards
+from tidemark.sources.events import read_events, scan, write_bucketed, write_events, write_shards
 from tidemark.sources.fixtures import build_events
 from tidemark.testing.params import BULK_MIN, CHANGED, CUR, PATTERNS, PREV, THRESHOLDS
 
@@ -81,6 +81,35 @@ def _q_grain(spark: SparkSession, d: str, answer: Callable[[DataFrame], DataFram
     return answer(read_grain(spark, path))
 
 
+def _q_bitmaps(spark: SparkSession, d: str) -> DataFrame:
+    """Users and new users from daily bitmaps; the dictionary is made in two steps."""
+    ev, path = _ev(spark, d), scratch_folder(spark, "users")
+    for part in (scan(ev, PREV), ev):
+        users = distinct.extend_users(part, path)
+    return distinct.bitmap_counts(distinct.daily_user_bitmaps(ev, users), CUR, PREV)
+
+
+def _q_approx(spark: SparkSession, d: str) -> DataFrame:
+    """Exact counts, and whether both kinds of approximate ones are within four standard errors (and one) of them."""
+    ev, names = _ev(spark, d), ("users", "new_users", "sessions")
+    exact = _summary(ev).select("type", *names)
+    out = exact
+    for tag, other, error in (("hll", kpi.kpi_summary(ev, CUR, PREV, "all", BULK_MIN, PATTERNS, approx=True), kpi.APPROX_ERROR),
+                              ("sketch", distinct.sketch_counts(distinct.daily_sketches(ev), CUR, PREV), distinct.relative_error())):
+        near = [F.abs(F.col(n) - F.col(f"a_{n}")) <= 4 * error * F.col(n) + 1 for n in names]
+        other = other.select("type", *[F.col(n).alias(f"a_{n}") for n in names])
+        out = out.join(other, "type").withColumn(f"{tag}_near", reduce(lambda a, b: a & b, near)).drop(*[f"a_{n}" for n in names])
+    return out
+
+
+def _q_bucketed(spark: SparkSession, d: str) -> DataFrame:
+    """First sources over a table bucketed by user, written and read again."""
+    path = scratch_folder(spark, "bucketed")
+    name = "events_" + path.rsplit("-", 1)[1]
+    write_bucketed(_ev(spark, d), name, path, 4)
+    return sessions.session_first_source(spark.table(name), covering(CUR, PREV))
+
+
 def _q_dashboard(spark: SparkSession, d: str) -> DataFrame:
     """The breakdowns of one render, one below the other."""
     shown = dashboard(_ev(spark, d), CUR, PREV, "all", "daily", BULK_MIN, PATTERNS, THRESHOLDS)
@@ -196,6 +225,10 @@ def registry() -> dict[str, Query]:
         "w3_rank_uncut_channels": lambda s, d: alerts.revenue_share(
             breakdowns.channel_performance(_ev(s, d), CUR, PREV, k=None), "channel", uncut=True),
         "q19_change_alerts_uncut": lambda s, d: _q_alerts(s, d, uncut=True),
+        "a2_bitmap_users": _q_bitmaps,
+        "j1_bucketed_first_source": _q_bucketed,
+        "r4_approx_counts": _q_approx,
+        "q2_kpi_summary_store_salted": lambda s, d: kpi.kpi_summary(_ev(s, d), CUR, PREV, "store", BULK_MIN, PATTERNS, session_salts=8),
         **{f"r2_grain_{name}": (lambda s, d, m=mode: _q_grain(
             s, d, lambda g: kpi.grain_kpi_summary(g, CUR, PREV, m, BULK_MIN, PATTERNS)))
            for name, mode in (("kpi_summary", "all"), ("kpi_summary_store", "store"), ("kpi_summary_online", "online"))},
