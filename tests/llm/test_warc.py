@@ -75,7 +75,7 @@ def read(spark, tmp_path, data):
     for r in rows:
         if not r.gap:
             assert bytes(r.payload).decode() == BODIES[int(r.record_id.rpartition(":")[2])]
-    spans = sorted((r.offset, r.offset + r.length) for r in rows)
+    spans = sorted((r.offset, r.offset + r.length) for r in rows if r.length is not None)
     assert spans[0][0] == 0 and spans[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
     return found, [(r.offset, r.length) for r in rows if r.gap]
 
@@ -92,7 +92,8 @@ def test_salvage(spark, tmp_path, packed, damage):
         want, gaps = {0, 2, 3, 4}, [(size[0], size[1])]
     elif damage == "cut_end":
         parts[4] = parts[4][:-7]
-        want, gaps = {0, 1, 2, 3}, [(sum(size[:4]), size[4] - 7)]
+        # A member without its checksum still holds a whole record; a plain record without its end is none.
+        want, gaps = {0, 1, 2, 3, 4} if packed else {0, 1, 2, 3}, [(sum(size[:4]), size[4] - 7)]
     elif damage == "cut_middle":
         parts[3] = parts[3][:-900]
         want, gaps = {0, 1, 2, 4}, [(sum(size[:3]), size[3] - 900)]
@@ -114,6 +115,72 @@ def test_salvage(spark, tmp_path, packed, damage):
     assert read(spark, tmp_path, b"".join(parts)) == (want, gaps)
 
 
+def one_member(bodies, break_at=None):
+    parts = [warc.page_record(i, f"http://x/{i}", b.encode(), None) for i, b in enumerate(bodies)]
+    if break_at is not None:
+        parts[break_at] = parts[break_at].replace(bodies[break_at][:9].encode(), b"#damaged#", 1)
+    return warc.member(b"".join(parts))
+
+
+MANY = [f"<p>{i} {rnd.random()} " + rnd.randbytes(rnd.randrange(500, 1500)).hex() for i in range(20)]
+
+
+def numbers(found):
+    return [int(r.headers["warc-record-id"].strip("<>").rpartition(":")[2]) for _, _, _, r in found if r]
+
+
+def salvaged(data, tmp_path):
+    path = tmp_path / "m.warc.gz"
+    path.write_bytes(data)
+    with warc.pafs.LocalFileSystem().open_input_file(str(path)) as f:
+        return list(warc.salvage(warc._Bytes(f, 0, len(data))))
+
+
+def test_records_before_a_cut_and_beside_a_bad_record_are_recovered(tmp_path):
+    whole = one_member(MANY)
+    assert numbers(salvaged(whole, tmp_path)) == list(range(20))
+    found = salvaged(whole[:-9], tmp_path)
+    assert numbers(found) == list(range(20)) and [(a, n, g) for a, n, g, _ in found if g] == [(0, len(whole) - 9, "member cut off")]
+    bad = one_member(MANY, break_at=7)
+    found = salvaged(bad + one_member(MANY[:2]), tmp_path)
+    assert numbers(found) == [i for i in range(20) if i != 7] + [0, 1]
+    assert [(a, n, g) for a, n, g, _ in found if g] == [(0, len(bad), "block digest")]
+
+
+@pytest.mark.parametrize("share", [0.1, 0.5, 0.9])
+def test_records_before_damaged_data_of_a_member_are_recovered(tmp_path, share):
+    """Noise inside a member: what was written before it comes back whole, and the reader goes on behind the member."""
+    whole, after = one_member(MANY), one_member(MANY[:3])
+    k = int(len(whole) * share)
+    found = salvaged(whole[:k] + bytes(rnd.randrange(256) for _ in range(300)) + whole[k + 300:] + after, tmp_path)
+    got = numbers(found)
+    first = len(got) - 3
+    assert got[first:] == [0, 1, 2] and got[:first] == sorted(set(got[:first])) and len(got[:first]) >= int(20 * share) - 4
+    assert [(a, n) for a, n, g, _ in found if g] == [(0, len(whole))]
+
+
+def test_a_member_is_unpacked_as_a_stream(tmp_path):
+    """Of a long member no more than a few records are held."""
+    data, most = one_member(MANY * 40), 0
+    path = tmp_path / "m.warc.gz"
+    path.write_bytes(data)
+    with warc.pafs.LocalFileSystem().open_input_file(str(path)) as f:
+        m = warc._Member(warc._Bytes(f, 0, len(data)), 0)
+        for _ in m.records():
+            most = max(most, len(m.held))
+    assert m.reason is None and m.end == len(data) and most < 100_000 < sum(map(len, MANY)) * 40
+
+
+def test_damage_is_an_error_for_pages(spark, tmp_path):
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(one_member(MANY)[:-9])
+    files = warc.whole_files(spark, [str(path)])
+    with pytest.raises(Exception, match="damaged archive"):
+        warc.read_pages(files).count()
+    assert warc.read_pages(files, skip_gaps=True).count() == 20
+    assert [tuple(r)[1:] for r in warc.gaps(files).collect()] == [(0, path.stat().st_size, "member cut off")]
+
+
 def test_search_crosses_blocks(spark, tmp_path, monkeypatch):
     parts = archive()
     junk = bytes(3 * warc._BLOCK - len(parts[0]) - 1)

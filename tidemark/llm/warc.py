@@ -8,17 +8,22 @@ name when it is complete and counts only once Spark has committed the task's
 manifest row, so a lost executor or a second attempt leaves no half record.
 
 Reader: works through segments (path, first byte, end) that begin at a record.
-A record counts when its member unpacks with a right checksum (or its version
-line begins a plain record), its header parses, its length and closing line
-breaks hold and its digests match.  After a failed check the reader searches
-for the next member or version line that passes all of these, goes on from
-there, and reports the bytes between as a quarantined gap.  A task holds one
-record and a few blocks of one file.
+A record counts when its header parses, its length and closing line breaks
+hold and its digests match.  Members are unpacked as a stream: a member that is
+cut off or fails its checksum still gives the valid records before the damage,
+and after a bad record the reader looks for the next version line in the
+unpacked bytes.  Where a member's end is unknown, or a plain record fails, it
+searches the file for the next member or version line that begins a valid
+record and goes on from there.  Damaged members and skipped bytes are reported
+as quarantined gaps, and ``read_pages`` fails on them unless told otherwise.  A
+task holds one record and a few blocks of one file.
 
 Cases: NULL html is an empty payload; NULL urls have no target header; of
 equal payloads without any id all are responses, and a NULL id never becomes
 the response of a group that has one; rows that repeat an id and payload are
-written as often as they occur; an empty table gives an empty archive.
+written as often as they occur; a page of any length is one record, which its
+task holds whole; an empty table gives an empty archive; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -215,21 +220,80 @@ class _Bytes:
         return b"".join(parts)
 
 
-def _unpack(src: _Bytes, at: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at ``at``."""
-    z, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while not z.eof:
-            data = src.get(pos, 1 << 16)
-            if not data:
-                raise Damaged("member cut off")
-            out.append(z.decompress(data))
-            if pos == at and out[0] and not out[0].startswith(_VERSION[:len(out[0])]):
-                raise Damaged("member without version line")
-            pos += len(data)
-    except zlib.error as e:
-        raise Damaged("member checksum or data") from e
-    return b"".join(out), pos - len(z.unused_data)
+class _Member:
+    """The content of the gzip member at ``at``, unpacked as it is asked for; what lies before the current record is let go."""
+
+    def __init__(self, src: _Bytes, at: int):
+        self.src, self.pos, self.unpack = src, at, zlib.decompressobj(31)
+        self.base, self.held, self.over = 0, bytearray(), False
+        self.reason: str | None = None
+
+    @property
+    def end(self) -> int | None:
+        """Where the member ends; None if its data do not tell."""
+        return self.pos - len(self.unpack.unused_data) if self.unpack.eof else None
+
+    def _feed(self, data: bytes) -> None:
+        """Unpack a piece of the member; of a piece with an error all that comes before it."""
+        before = self.unpack.copy()
+        try:
+            self.held += self.unpack.decompress(data)
+        except zlib.error:
+            self.unpack = before
+            if len(data) == 1:
+                self.over, self.reason = True, self.reason or "member checksum or data"
+                return
+            half = len(data) // 2
+            self._feed(data[:half])
+            if not self.over:
+                self._feed(data[half:])
+
+    def _more(self) -> None:
+        data = self.src.get(self.pos, 1 << 14)
+        self.pos += len(data)
+        if data:
+            self._feed(data)
+            self.over |= self.unpack.eof
+        else:
+            self.over, self.reason = True, self.reason or "member cut off"
+
+    def get(self, at: int, n: int) -> bytes:
+        """Up to ``n`` bytes of the content at ``at``, fewer only at its end or where it cannot be unpacked."""
+        while not self.over and self.base + len(self.held) < at + n:
+            self._more()
+        return bytes(self.held[at - self.base:at - self.base + n])
+
+    def _find(self, what: bytes, at: int) -> int | None:
+        while True:
+            found = self.held.find(what, at - self.base)
+            if found >= 0:
+                return self.base + found
+            if self.over:
+                return None
+            at = max(at, self.base + len(self.held) - len(what) + 1)
+            self._let_go(at)
+            self._more()
+
+    def _let_go(self, at: int) -> None:
+        del self.held[:at - self.base]
+        self.base = at
+
+    def records(self) -> Iterator[Record]:
+        """Valid records; after a failed check, those from the next version line on.  ``reason`` then has the first failure."""
+        at, failed, found = 0, None, False
+        while self.get(at, 1):
+            try:
+                record, at = parse(self.get, at)
+            except Damaged as e:
+                failed = failed or str(e)
+                at = self._find(_VERSION, at + 1)
+                if at is None:
+                    break
+            else:
+                found = True
+                yield record
+            self._let_go(at)
+        self.reason = self.reason or failed or (None if found else "empty member")
 
 
 def parse(get, at: int) -> tuple[Record, int]:
@@ -266,45 +330,50 @@ def _check(what: str, named: str | None, data: bytes) -> None:
         raise Damaged(what)
 
 
-def _at(src: _Bytes, at: int) -> tuple[list[Record], int]:
-    """The records of the member, or the plain record, at ``at``, and the end."""
-    if src.get(at, 3) != _GZIP:
-        found, end = parse(src.get, at)
-        return [found], end
-    data, end = _unpack(src, at)
-    records, pos = [], 0
-    while pos < len(data):
-        found, pos = parse(lambda a, n: data[a:a + n], pos)
-        records.append(found)
-    if not records:
-        raise Damaged("empty member")
-    return records, end
+def _next(src: _Bytes, at: int) -> int:
+    """The first place from ``at`` on where a member or plain record begins with a valid record, or the end."""
+    while at < src.end:
+        data = src.get(at, _BLOCK)
+        m = _START.search(data)
+        if not m:
+            at += max(1, len(data) - len(_VERSION) + 1)
+            continue
+        at += m.start()
+        try:
+            parse(_Member(src, at).get if m[0] == _GZIP else src.get, 0 if m[0] == _GZIP else at)
+            return at
+        except Damaged:
+            at += 1
+    return src.end
 
 
-def salvage(src: _Bytes) -> Iterator[tuple[int, int, str | None, list[Record]]]:
-    """``(offset, end, reason, records)``: valid members or records, and gaps, which have a reason and no records."""
+def salvage(src: _Bytes) -> Iterator[tuple[int, int | None, str | None, Record | None]]:
+    """``(offset, length, reason, record)``: valid records, and gaps, which have a reason and no record.
+
+    The bytes of a member belong to its last record, or to a gap if the member
+    is damaged; its other records have no length.
+    """
     at = src.start
     while at < src.end:
-        try:
-            records, end = _at(src, at)
-        except Damaged as e:
-            reason, probe = str(e), at + 1
-            while probe < src.end:
-                data = src.get(probe, _BLOCK)
-                m = _START.search(data)
-                if not m:
-                    probe += max(1, len(data) - len(_VERSION) + 1)
-                    continue
-                probe += m.start()
-                try:
-                    _at(src, probe)
-                    break
-                except Damaged:
-                    probe += 1
-            end, records = min(probe, src.end), []
-            yield at, end, reason, records
+        if src.get(at, len(_GZIP)) == _GZIP:
+            member, last = _Member(src, at), None
+            for record in member.records():
+                if last:
+                    yield at, None, None, last
+                last = record
+            reason, end = member.reason, member.end
+            if last:
+                yield at, end - at if not reason else None, None, last
         else:
-            yield at, end, None, records
+            try:
+                record, end = parse(src.get, at)
+                reason = None
+                yield at, end - at, None, record
+            except Damaged as e:
+                reason, end = str(e), None
+        if reason:
+            end = end or _next(src, at + 1)
+            yield at, end - at, reason, None
         at = end
 
 
@@ -325,17 +394,16 @@ def read_archives(segments: DataFrame, with_payload: bool = True) -> DataFrame:
     def rows(path: str, start: int, end: int):
         fs, name = filesystem(path)
         with fs.open_input_file(name) as file:
-            for offset, stop, gap, records in salvage(_Bytes(file, start, end)):
-                where = (path, offset, stop - offset)
+            for offset, length, gap, r in salvage(_Bytes(file, start, end)):
                 if gap:
-                    yield *where, gap, *[None] * 7
-                for r in records:
-                    h, body = r.headers, r.payload()
-                    bare = lambda k: h[k].strip("<>") if k in h else None
-                    named = h.get("warc-payload-digest", "").removeprefix("sha1:")
-                    yield (*where, None, h["warc-type"], bare("warc-record-id"), h.get("warc-target-uri"),
-                           bare("warc-refers-to"), r.full_length(), named if body is None else digest(body),
-                           body if with_payload else None)
+                    yield path, offset, length, gap, *[None] * 7
+                    continue
+                h, body = r.headers, r.payload()
+                bare = lambda k: h[k].strip("<>") if k in h else None
+                named = h.get("warc-payload-digest", "").removeprefix("sha1:")
+                yield (path, offset, length, None, h["warc-type"], bare("warc-record-id"), h.get("warc-target-uri"),
+                       bare("warc-refers-to"), r.full_length(), named if body is None else digest(body),
+                       body if with_payload else None)
 
     def read(batches):
         out, held = [], 0
@@ -355,9 +423,22 @@ def read_archives(segments: DataFrame, with_payload: bool = True) -> DataFrame:
     return shipped(segments.repartition(n)).mapInArrow(read, ", ".join(f"{c} {types[t]}" for c, t in _READ))
 
 
-def read_pages(segments: DataFrame) -> DataFrame:
-    """The page records read back: ``page_id, payload_bytes, payload_digest, record_type, refers_to``."""
+def gaps(segments: DataFrame) -> DataFrame:
+    """The quarantined bytes: ``path, offset, length, gap`` (the failed check)."""
+    return read_archives(segments, with_payload=False).where(F.col("gap").isNotNull()).select("path", "offset", "length", "gap")
+
+
+def read_pages(segments: DataFrame, skip_gaps: bool = False) -> DataFrame:
+    """The page records read back: ``page_id, payload_bytes, payload_digest, record_type, refers_to``.
+
+    A damaged segment is an error, as its pages would be missing; with
+    ``skip_gaps`` the pages that were salvaged are returned (see ``gaps``).
+    """
     number = lambda c: F.regexp_extract(c, r"^urn:x-page:(-?\d+)$", 1).try_cast("long")
-    rows = read_archives(segments, with_payload=False).where(F.col("record_id").startswith("urn:x-page:"))
+    page = F.col("record_id").startswith("urn:x-page:")
+    if not skip_gaps:
+        told = F.concat_ws(" ", F.lit("damaged archive:"), "path", "offset", "length", "gap")
+        page = F.when(F.col("gap").isNotNull(), F.raise_error(told).cast("boolean")).otherwise(page)
+    rows = read_archives(segments, with_payload=False).where(page)
     return rows.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                        number("refers_to").alias("refers_to"))
