@@ -47,6 +47,32 @@ def test_verdicts(judged):
     assert not any(judged[i].base_failed for i in (8, 10))  # rejected for what their lines lose
 
 
+SCRIPTS = {  # words of clean sentences and the mark that ends them
+    "hi": ("यह एक साफ वाक्य है जिसमें शब्द", "।"), "ur": ("یہ ایک صاف جملہ ہے جس میں الفاظ", "۔"),
+    "ar": ("هل هذه جملة نظيفة فيها كلمات", "؟"), "th": ("นี่คือ ประโยค ที่ สะอาด และ มี คำ", " ครับ"),
+    "hy": ("սա մաքուր նախադասություն է բառերով", "։"), "am": ("ይህ ንጹህ ዓረፍተ ነገር ነው", "።"), "my": ("ဒါက သန့်ရှင်းတဲ့ စာကြောင်း", "။"),
+}
+
+
+@pytest.mark.parametrize("lang", SCRIPTS)
+def test_clean_texts_of_other_scripts_are_kept(spark, lang):
+    words, end = SCRIPTS[lang]
+    lines = [" ".join(f"{x}{i}" for x in words.split()) + f" {words.split()[i % 4]}{end}" for i in range(20)]
+    rows = [(1, "\n".join(lines)), (2, " ".join(lines)), (3, "\n".join(x + " #" for x in lines) if lang != "th" else None)]
+    r = {x.doc_id: x for x in q.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert r[1].kept and r[1].kept_chars == r[1].word_chars and r[2].kept and not r[3].kept
+
+
+def test_long_lines_are_judged_by_shares(spark):
+    long = " ".join(f"Sentence{i} number {i * 3} says that thing{i} number {i * 7} holds." for i in range(200))
+    texts = {1: long, 2: long[:-1], 3: long + " | and | on.", 4: long + " See our privacy policy and terms of use.",
+             5: long.replace(".", ""), 6: long.replace(" ", " | "), 7: "click here to " * 5 + long[:200] + "."}
+    kept = {r.doc_id for r in q.judge(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect() if r.kept}
+    assert kept == {1, 2, 3, 4}
+    lines = spark.createDataFrame([(1, GOOD + "\nHome > Shop > Tea.\nRead our privacy policy.\nHome • About us."), ], "doc_id long, text string")
+    assert q.clean(lines).first().text == GOOD
+
+
 def test_clean_drops_failing_lines_and_keeps_columns(make_docs):
     docs = make_docs([(i, CASES[i]) for i in (1, 2, 8, 9)], "1 AS __q").selectExpr("*", "2 AS kept", "3 AS __doc")
     out = {r.doc_id: r for r in q.clean(docs).collect()}

@@ -1,8 +1,8 @@
 """Line-first cleaning (built-in expressions only).
 
-Every line is judged alone: it fails when it lacks closing punctuation, looks
-like a navigation bar, holds boilerplate, is shouted, is mostly symbols or
-repeats few words.  Failing lines are removed; a document then fails when it
+Every line is judged alone, by shares of its words: it fails when it does not
+end like a sentence, looks like a navigation bar, holds boilerplate, is
+shouted, is mostly symbols or repeats few words.  Failing lines are removed; a document then fails when it
 has lost more than ``MAX_LOSS`` of its word characters, or when the plain
 length and repetition limits reject it.
 
@@ -11,9 +11,13 @@ arrays of the document, so nothing is shuffled and a hot source or a group of
 copies makes no difference.  Repeated windows are found by sorting the 64-bit
 window hashes of one text (n log n), never by comparing all pairs.
 
+A document of one long line is judged by that line: a stray separator, one
+phrase or a missing last mark among many words does not fail it.
+
 Cases: NULL text counts as empty (no words, ``base_failed``); rows are judged
 one by one, so ties and repeated rows get equal results; extra columns are
-ignored by ``judge`` and kept by ``clean``.
+ignored by ``judge`` and kept by ``clean``; texts of any length are judged
+whole, as arrays of one row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,15 +37,29 @@ MAX_LOSS = 0.5
 BOILERPLATE = ("accept cookies", "all rights reserved", "cookie policy", "click here to", "enable javascript",
                "log in to", "lorem ipsum", "privacy policy", "sign up for", "skip to content",
                "subscribe to our", "terms of use")
-#: A line ends well with sentence punctuation, perhaps closed by quotes or brackets.
-CLOSED = r"""[.!?:;…。！？]["'”’»)\]]{0,7}$"""
-#: Two cells of a menu or a bread-crumb trail.
-NAVIGATION = r"(^|\s)[|»>•·](\s|$)"
+#: Sentence marks: Latin and CJK, Arabic and Urdu, Devanagari, Armenian, Ethiopic, Tibetan, Burmese, Khmer.
+ENDS = ".!?:;…。！？｡؟۔؛।॥։።།။។"
+#: Thai and Lao have no mark for the end of a sentence, so any of their letters may end a line.
+UNMARKED = "฀-໿"
+#: A line ends well with a sentence mark, perhaps closed by quotes or brackets.
+CLOSED = rf"""[{ENDS}{UNMARKED}]["'”’»)\]]{{0,7}}$"""
+#: A line of so many words may lack the last mark, if it has one inside for each so many words.
+LONG_LINE = 40
+SENTENCE = rf"[{ENDS}]\s"
+#: Separators of a menu or a bread-crumb trail, as words of their own: one for each so many words at most.
+NAVIGATION, NAVIGATION_WORDS = ("|", "»", ">", "•", "·"), 8
+#: Words that a line needs for each boilerplate phrase in it.
+PHRASE_WORDS = 20
 SYMBOLS = "[#*$%&|<>]"
 #: Any character that the navigation or symbol rules ask for.
 MARKS = "[#*$%&|<>»•·]"
 
 
+def _phrases(lowered: Column) -> Column:
+    """How many of the phrases a text has."""
+    return reduce(lambda a, b: a + b, (F.contains(lowered, F.lit(p)).cast("int") for p in BOILERPLATE))
+
+
 def _any_phrase(lowered: Column) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(p)) for p in BOILERPLATE))
 
@@ -55,10 +73,11 @@ def line_ok(line: Column, w: Column, marked: Column, phrased: Column) -> Column:
     """
     n = F.size(w)
     closed = F.substring(F.rtrim(line, F.lit(" \t\n\x0b\f\r")), -8, 8).rlike(CLOSED)
+    closed = closed | ((n >= LONG_LINE) & (F.regexp_count(line, F.lit(SENTENCE)) * LONG_LINE >= n))
     shouted = (n >= 2) & (line == F.upper(line)) & (line != F.lower(line))
-    navigation = marked & line.rlike(NAVIGATION)
+    navigation = marked & (F.size(F.filter(w, lambda x: x.isin(*NAVIGATION))) * NAVIGATION_WORDS > n)
     symbols = marked & (F.regexp_count(line, F.lit(SYMBOLS)) * 4 > n)
-    boilerplate = phrased & _any_phrase(F.lower(line))
+    boilerplate = phrased & (_phrases(F.lower(line)) * PHRASE_WORDS > n)
     monotone = (n >= 8) & (F.size(F.array_distinct(w)) * 2 < n)
     return closed & ~shouted & ~navigation & ~symbols & ~boilerplate & ~monotone
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from tidemark.llm import quality_rules as _q
 
-_PHRASES = " OR ".join(f"contains(lower(line), '{p}')" for p in _q.BOILERPLATE)
+_PHRASES = " + ".join(f"contains(lower(line), '{p}')::INT" for p in _q.BOILERPLATE)
+_SEPARATORS = ", ".join(f"'{x}'" for x in _q.NAVIGATION)
 _CLOSED = _q.CLOSED.replace("'", "''")
 
 EXACT_DEDUP = """
@@ -42,12 +43,13 @@ ln AS (
   FROM (SELECT rid, unnest(string_split(body, chr(10))) AS line FROM docs)),
 judged AS (
   SELECT rid, line, list_sum(list_transform(w, lambda x: length(x))) AS n,
-    regexp_matches(right(rtrim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 8), '{_CLOSED}')
-    AND NOT regexp_matches(line, '{_q.NAVIGATION}')
+    (regexp_matches(right(rtrim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 8), '{_CLOSED}')
+      OR len(w) >= {_q.LONG_LINE} AND len(regexp_extract_all(line, '{_q.SENTENCE}')) * {_q.LONG_LINE} >= len(w))
+    AND NOT (len(list_filter(w, lambda x: x IN ({_SEPARATORS}))) * {_q.NAVIGATION_WORDS} > len(w))
     AND NOT (len(w) >= 2 AND line = upper(line) AND line <> lower(line))
     AND NOT (len(regexp_extract_all(line, '{_q.SYMBOLS}')) * 4 > len(w))
     AND NOT (len(w) >= 8 AND len(list_distinct(w)) * 2 < len(w))
-    AND NOT ({_PHRASES}) AS good
+    AND NOT (({_PHRASES}) * {_q.PHRASE_WORDS} > len(w)) AS good
   FROM ln WHERE len(w) > 0),
 line_sums AS (
   SELECT rid, count(*) - count(DISTINCT line) AS dup, sum(n) AS chars, sum(n) FILTER (WHERE good) AS kept_chars
