@@ -64,7 +64,7 @@ def test_clean_texts_of_other_scripts_are_kept(spark, lang):
 
 
 def test_long_lines_are_judged_by_shares(spark):
-    long = " ".join(f"Sentence{i} number {i * 3} says that thing{i} number {i * 7} holds." for i in range(200))
+    long = " ".join(f"Sentence{i} number{i * 3} says{i} that thing{i} holds{i}." for i in range(200))
     texts = {1: long, 2: long[:-1], 3: long + " | and | on.", 4: long + " See our privacy policy and terms of use.",
              5: long.replace(".", ""), 6: long.replace(" ", " | "), 7: "click here to " * 5 + long[:200] + "."}
     kept = {r.doc_id for r in q.judge(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect() if r.kept}
