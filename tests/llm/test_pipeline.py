@@ -18,9 +18,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def slow_line_ok(line):
     w = re.findall(r"[^\x20\x09-\x0D]+", line)
-    return (bool(re.search(q.CLOSED, line.rstrip(" \t\n\x0b\f\r"))) and not re.search(q.NAVIGATION, line)
+    ends = bool(re.search(q.CLOSED, line.rstrip(" \t\n\x0b\f\r"))) or (
+        len(w) >= q.LONG_LINE and len(re.findall(q.SENTENCE, line, re.ASCII)) * q.LONG_LINE >= len(w))
+    return (ends and sum(x in q.NAVIGATION for x in w) * q.NAVIGATION_WORDS <= len(w)
             and not (len(w) >= 2 and line == line.upper() != line.lower()) and len(re.findall(q.SYMBOLS, line)) * 4 <= len(w)
-            and not (len(w) >= 8 and 2 * len(set(w)) < len(w)) and not any(p in line.lower() for p in q.BOILERPLATE))
+            and not (len(w) >= 8 and 2 * len(set(w)) < len(w))
+            and sum(p in line.lower() for p in q.BOILERPLATE) * q.PHRASE_WORDS <= len(w))
 
 
 def slow_quality(text):
