@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidemark.llm import queries, simhash as sh
+from tidemark.llm import common, queries, simhash as sh
 
 SF = "/root/testdata/sf0.001"
 rnd = random.Random(11)
@@ -104,6 +104,52 @@ def test_gray_index_finds_every_component(fps):
     assert grouping(index.fps.tolist(), got) == grouping(fps, all_components(fps))
 
 
+@pytest.mark.parametrize("part", range(4))
+def test_gray_index_of_a_field(part):
+    """Every pair that agrees in the field is in one component; no component holds texts that all pairs leave apart."""
+    field = sh.fields(0, 4)[part]
+    fps = np.array(sorted(set(cluster(700, 9) + cluster(300, 4) + [rnd.getrandbits(64) for _ in range(500)])), np.uint64)
+    index = sh.GrayIndex(fps, field)
+    rank = sh.gray_rank(index.fps & np.uint64(field))
+    assert (np.diff(rank.astype(float)) >= 0).all()  # top nodes lie together
+    label = index.components(3)
+    x, y = np.triu_indices(len(fps), 1)
+    bits = index.fps[x] ^ index.fps[y]
+    near = (np.bitwise_count(bits) <= 3) & (bits & np.uint64(field) == 0)
+    assert near.any() and (label[x[near]] == label[y[near]]).all()
+    whole = dict(zip(fps.tolist(), all_components(fps)))
+    assert all(whole[a] == whole[b] for a, b in zip(index.fps.tolist(), index.fps[label].tolist()))
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_the_index_decides_on_the_given_tables(spark, sf):
+    """The four Gray orders find every link of all pairs, with few leaves compared."""
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    fps = np.array([r.fp for r in sh.fingerprints(docs).select("fp").distinct().collect()], np.int64).view(np.uint64)
+    label, at = np.arange(len(fps)), {int(f): i for i, f in enumerate(fps)}
+    for field in sh.fields(0, 4):
+        index = sh.GrayIndex(fps, field)
+        own = index.components(3)
+        label = sh._join(label, *(np.array([at[int(f)] for f in x]) for x in (index.fps, index.fps[own])))
+        leaves = len(index.levels[0][0])
+        assert all(index.seen.values()) and index.seen["compared"] < 8 * leaves
+        assert index.seen["pruned"] > index.seen["visited"] / 2
+    true = np.arange(len(fps))
+    for i in range(0, len(fps), 500):
+        x, y = np.nonzero(np.bitwise_count(fps[i:i + 500, None] ^ fps[None, :]) <= 3)
+        true = sh._join(true, x + i, y)
+    assert grouping(fps.tolist(), label) == grouping(fps.tolist(), true)
+
+
+@pytest.mark.parametrize("max_index", [1, 300])
+def test_ranges_of_the_order_in_small_indexes(spark, max_index):
+    fps = sorted(set(cluster(500, 6) + cluster(200, 9)))
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    (rows,) = sh.top_nodes(spark.createDataFrame([(f,) for f in signed], "fp long"))
+    root = {r.node: r.root for r in sh.components(sh.forest(rows, max_index=max_index)).collect()}
+    assert grouping(signed, [root.get(f, f) for f in signed]) == grouping(signed, all_components(fps))
+
+
 @pytest.mark.parametrize("max_group", [1 << 16, 256])
 def test_divided_top_nodes_lose_no_link(spark, max_group):
     """Hot top nodes are divided again; the components stay those of all pairs."""
@@ -127,6 +173,16 @@ def test_components_of_a_long_chain(spark):
     assert root == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
 
 
+def test_documents_are_not_shuffled(make_docs, monkeypatch):
+    docs = make_docs([(i, f"text number {i % 40} of some words") for i in range(200)])
+    for most, moved in ((1 << 20, False), (0, True)):
+        monkeypatch.setattr(common, "MAX_BROADCAST_ROWS", most)
+        out = sh.keep_one(docs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert ("SortMergeJoin" in plan) == moved and ("BroadcastHashJoin" in plan) != moved
+        assert len({r.text for r in out.collect()}) == out.count() <= 40
+
+
 def test_keep_one_and_empty_table(make_docs):
     docs = make_docs([(1, "a b c"), (2, "A b c"), (3, "other words here"), (None, "a b c")], "1 AS component_id")
     out = sh.keep_one(docs)

@@ -67,6 +67,35 @@ def numbered(docs: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return save(docs.withColumn(row, F.monotonically_increasing_id()), tag), row
 
 
+#: Row numbers that are broadcast at most (8 bytes each); more of them are joined by a shuffle.
+MAX_BROADCAST_ROWS = 1 << 20
+
+
+def without_rows(docs: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows numbered in ``dropped`` (a column ``row``).
+
+    The documents stay where they are while the numbers are at most
+    ``MAX_BROADCAST_ROWS``; beyond, they are shuffled once.
+    """
+    dropped = save(dropped, "dropped-rows")
+    few = dropped.count() <= MAX_BROADCAST_ROWS
+    dropped = dropped.withColumnRenamed("row", row)
+    return docs.join(F.broadcast(dropped) if few else dropped.hint("merge"), row, "left_anti")
+
+
+def join_by_key(rows: DataFrame, of: DataFrame, key: str, total: int, how: str = "inner", small: Column | None = None) -> DataFrame:
+    """``rows`` (``total`` at most) joined with ``of``, which has at most one row for a key, with ``n``, its number of rows.
+
+    A key with more than a thousandth of all rows would fill one task; there
+    are fewer than a thousand of these, so they are broadcast (but for those
+    not ``small``, where keys have no fixed size), and the others shuffled.
+    """
+    hot = (F.col("n") * 1000 > total) & (F.lit(True) if small is None else small)
+    few = F.broadcast(of.where(hot))
+    cold = rows.join(F.broadcast(of.where(hot).select(key)), key, "left_anti")
+    return rows.join(few, key).unionByName(cold.join(of.where(~hot), key, how)).drop("n")
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; NULL gives no words."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES + "+"), "")

@@ -10,13 +10,16 @@
    recipes (16 bytes for about 2 KiB) and no document is moved again.
 
 Copies are combined before each shuffle, so a group of copies holding a third
-of all rows ends in one small row per task; the join that hands the group's
-result back is an equi-join that AQE splits.
+of all rows ends in one small row per task; the join that hands a group's
+result back broadcasts the groups that hold more than a thousandth of all rows
+(fewer than a thousand) and shuffles the others.
 
 Cases: NULL text counts as empty, and all empty texts are equal.  The row with
 the largest ``doc_id`` stays; a NULL ``doc_id`` loses to any other, and in a
 group without ids ``keep_id`` is NULL and every row is kept.  Rows that repeat
-both id and text are the same document and share the flag.
+both id and text are the same document and share the flag.  A very long text
+is cut and compared whole; an empty table gives an empty result; extra columns
+are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,13 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import numbered, save, shipped
+from tidemark.llm.common import join_by_key, numbered, save, shipped, without_rows
 
 MIN_CHUNK, AVG_CHUNK, MAX_CHUNK = 512, 2048, 8192
 WINDOW = 32
 DIGEST_BYTES = 16
 #: Most bytes of chunks with a clashing digest that the driver hands to the tasks (none are expected).
 MAX_CLASH_BYTES = 64 << 20
+#: Longest recipe of a large group that is broadcast, in bytes (a text of about 1 MB).
+MAX_HOT_RECIPE = 8192
 #: Chunks of a task are sent on when so many bytes have gathered.
 _BATCH_BYTES = 4 << 20
 
@@ -156,9 +161,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     variants = clashes(distinct_chunks(d, digest_bytes))
     each = save(recipes(d, variants, digest_bytes), "recipes")
-    groups = (each.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-              .where("group_size > 1"))
-    joined = each.join(groups, "recipe", "left")
+    groups = each.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = save(groups.where("group_size > 1").withColumn("n", F.col("group_size")), "recipe-groups")
+    joined = join_by_key(each, groups, "recipe", each.count(), "left", F.octet_length("recipe") <= MAX_HOT_RECIPE)
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -176,7 +181,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nu
     d = docs_.select(F.col(id_col).cast("long").alias("doc_id"), F.col(row).alias("row"), F.col(text_col).alias("text"))
     each = save(recipes(d, clashes(distinct_chunks(d))), "recipes")
     # A NULL id is smaller than any other.
-    kept = each.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("best")).select("best.row")
+    best = each.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = save(best.select("recipe", "n", F.col("best.row").alias("best")), "recipe-groups")
+    small = F.octet_length("recipe") <= MAX_HOT_RECIPE
+    dropped = join_by_key(each, groups, "recipe", each.count(), small=small).where("row <> best")
     if not null_ids:
-        kept = kept.union(each.where("doc_id IS NULL").select("row"))
-    return docs_.join(kept.withColumnRenamed("row", row), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+        dropped = dropped.where("doc_id IS NOT NULL")
+    return without_rows(docs_, row, dropped.select("row")).select(*[F.col(f"`{c}`") for c in docs.columns])

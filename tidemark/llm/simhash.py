@@ -5,26 +5,33 @@ word shingles.  Equal fingerprints are combined first, so a group of exact
 copies is one entry.
 
 Index: two fingerprints that differ in at most ``max_bits`` bits agree in at
-least one of ``max_bits + 1`` bit fields.  The top nodes of the index are those
-fields' values: each holds the fingerprints that share it (a masked pattern
-with no difference yet).  Below a top node the fingerprints are sorted by Gray
-rank, runs of neighbours form leaves, runs of leaves form upper nodes, and each
-node keeps the bits that all its members share.  The search walks pairs of
-nodes downwards, adding up the differences of the bits that a level newly
-fixes, and drops a pair, that is two whole groups, as soon as the sum passes
-``max_bits``.  Only what is left is compared one by one.
+least one of ``max_bits + 1`` bit fields.  So there is one Gray order for each
+field, with that field's bits first: fingerprints that agree in the field (a
+top node) lie together, and neighbouring top nodes differ in few bits.  Tasks
+take ranges of that order.  In a task, runs of neighbours form leaves and runs
+of leaves form upper nodes, across top nodes, and each node keeps the bits
+that all its members share.  The search walks pairs of nodes downwards from
+the root, adding up the differences of the bits that a level newly fixes, and
+drops a pair, that is two whole groups, as soon as the sum passes ``max_bits``
+or a bit of the field differs.  Only leaves that are left are compared one by
+one; ``GrayIndex.seen`` counts the pairs of nodes visited, pruned and compared.
 
 A top node with more than ``MAX_GROUP`` members is divided again: its free
 bits form new fields, by the same argument, so no pair is lost.  With 16 free
-bits left a node has at most 65,536 members, so the division ends and a task
-never holds more.  Each top node hands on a spanning forest of its links, not
-its pairs; connected components are then found by large-star and small-star
-rounds, each written as a table.
+bits left a node has at most 65,536 members, so the division ends; a task
+indexes whole top nodes until it holds ``MAX_INDEX`` fingerprints, then starts
+the next index.  Each index hands on a spanning forest of its links, not its
+pairs; connected components are then found by large-star and small-star
+rounds, each written as a table.  Keys with more than a thousandth of all rows
+(empty texts, exact copies, the hub of a component) are joined by broadcast;
+there are fewer than a thousand of them.
 
 Cases: NULL and blank texts have fingerprint zero and are linked like others;
 a NULL ``doc_id`` takes part but never names a component that has an id;
 repeated rows get equal results (``keep_one`` numbers the rows and keeps
-one); an empty table gives an empty result.
+one); a very long text is hashed whole, shingle by shingle, and its votes are
+added up in blocks; ties of a vote leave the bit unset; an empty table gives
+an empty result; extra columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,13 +42,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import numbered, save, shipped
+from tidemark.llm.common import join_by_key, numbered, save, shipped, without_rows
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
 SEED = 42
 #: Most fingerprints under one top node.
 MAX_GROUP = 1 << 16
+#: Fingerprints from which a task closes one index and starts the next; the last top node comes in whole.
+MAX_INDEX = 1 << 16
 LEAF, FANOUT = 16, 8
 #: Node pairs and fingerprint pairs looked at together, and shingles voted on together.
 _NODE_PAIRS, _PAIRS, _VOTES = 1 << 14, 1 << 18, 1 << 16
@@ -82,7 +91,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return shipped(d).mapInArrow(run, "".join(f"{c} long, " for c in ids) + "fp long")
 
 
-# ---------------------------------------------------------------- the index under one top node
+# ---------------------------------------------------------------- the index of a range of top nodes
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
     """Position of each fingerprint in the Gray code's order."""
@@ -91,11 +100,24 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
     return fp
 
 
+def gray_order(fps: np.ndarray, field: int = 0) -> np.ndarray:
+    """The order of fingerprints in the Gray code that has the bits of ``field`` first."""
+    mask = np.uint64(field)
+    first, rest = fps & mask, gray_rank(fps & ~mask)
+    # Under every other value of the field the code runs through the other bits backwards.
+    return np.lexsort((np.where(np.bitwise_count(first) & 1, ~rest, rest), gray_rank(first)))
+
+
 class GrayIndex:
-    """Nodes over Gray-sorted fingerprints; ``levels[0]`` are the leaves, the last level is the root."""
+    """Nodes over Gray-sorted fingerprints; ``levels[0]`` are the leaves, the last level is the root.
+
+    Finds the pairs that agree in the bits of ``field`` (and maybe others).
+    """
 
-    def __init__(self, fps: np.ndarray):
-        self.fps = fps[np.argsort(gray_rank(fps))]
+    def __init__(self, fps: np.ndarray, field: int = 0):
+        self.fps = fps[gray_order(fps, field)]
+        self.field = np.uint64(field)
+        self.seen = dict(visited=0, pruned=0, compared=0)
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
         starts, width = np.arange(0, len(fps), LEAF), LEAF
         while True:
@@ -136,9 +158,11 @@ class GrayIndex:
         known, differ = np.repeat(mask[a] & mask[b], len(i)), np.repeat(differ, len(i))
         there = (x <= y) & (y < len(below))
         x, y, known, differ = x[there], y[there], known[there], differ[there]
-        new = below[x] & below[y] & ~known
-        differ = differ + np.bitwise_count((pattern[x] ^ pattern[y]) & new)
-        near = differ <= max_bits
+        apart = (pattern[x] ^ pattern[y]) & below[x] & below[y] & ~known
+        differ = differ + np.bitwise_count(apart)
+        near = (differ <= max_bits) & (apart & self.field == 0)
+        self.seen["visited"] += len(x)
+        self.seen["pruned"] += len(x) - int(near.sum())
         return x[near], y[near], differ[near]
 
     def _compare(self, a, b, label, max_bits):
@@ -147,6 +171,7 @@ class GrayIndex:
         low, high = np.minimum.reduceat(label, starts), np.maximum.reduceat(label, starts)
         open_ = ~((low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b]))
         a, b = a[open_], b[open_]
+        self.seen["compared"] += len(a)
         i, j = np.divmod(np.arange(LEAF * LEAF), LEAF)
         step = max(1, _PAIRS // len(i))
         for s in range(0, len(a), step):
@@ -175,9 +200,9 @@ def _join(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return label
 
 
-def links(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among distinct fingerprints."""
-    index = GrayIndex(fps)
+def links(fps: np.ndarray, max_bits: int, field: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among distinct fingerprints that agree in ``field``."""
+    index = GrayIndex(fps, field)
     label = index.components(max_bits)
     at = np.flatnonzero(label != np.arange(len(label)))
     return index.fps[at], index.fps[label[at]]
@@ -219,45 +244,46 @@ def top_nodes(fps: DataFrame, max_bits: int = MAX_BITS, max_group: int = MAX_GRO
         rows = rows.join(large, ["mask", "value"], "left_semi").select("mask", "fp")
 
 
-def forest(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Links ``u, v`` within each top node of ``mask, value, fp``."""
+def gray_rank_of(x: Column) -> Column:
+    """``gray_rank`` of a column of signed longs."""
+    for s in (1, 2, 4, 8, 16, 32):
+        x = x.bitwiseXOR(F.shiftrightunsigned(x, s))
+    return x
+
+
+def forest(rows: DataFrame, max_bits: int = MAX_BITS, max_index: int = MAX_INDEX) -> DataFrame:
+    """Links ``u, v`` within the top nodes of ``mask, value, fp``."""
     def run(batches):
         held: list[np.ndarray] = []
+        size = 0
 
-        def settle(mask, value, fp):
-            """Links of whole nodes, given in order."""
-            ends = np.append(np.flatnonzero((mask[1:] != mask[:-1]) | (value[1:] != value[:-1])) + 1, len(fp))
-            group = np.repeat(np.arange(len(ends)), np.diff(np.append(0, ends)))
-            size = np.diff(np.append(0, ends))
-            u, v = [], []
-            small = size[group] <= LEAF
-            at, g = fp[small], group[small]
-            for s in range(1, LEAF):  # all pairs of nodes too small for an index
-                near = (g[s:] == g[:-s]) & (np.bitwise_count(at[s:] ^ at[:-s]) <= max_bits)
-                u.append(at[s:][near])
-                v.append(at[:-s][near])
-            for k in np.flatnonzero(size > LEAF):
-                x, y = links(fp[ends[k] - size[k]:ends[k]], max_bits)
-                u.append(x)
-                v.append(y)
-            return pa.record_batch([np.concatenate(u).view(np.int64), np.concatenate(v).view(np.int64)], names=["u", "v"])
+        def settle(mask, fp):
+            """Links of whole top nodes, given in order of the mask."""
+            ends = np.append(np.flatnonzero(mask[1:] != mask[:-1]) + 1, len(mask))
+            found = [links(part.view(np.uint64), max_bits, int(mask[e - 1]) & (1 << 64) - 1)
+                     for part, e in zip(np.split(fp, ends[:-1]), ends)]
+            u, v = (np.concatenate(x).view(np.int64) for x in zip(*found))
+            return pa.record_batch([u, v], names=["u", "v"])
 
         for batch in batches:
             held.append(np.stack([batch.column(c).to_numpy() for c in ("mask", "value", "fp")]))
-            last = held[-1][:2, -1:]
-            whole = np.flatnonzero((held[-1][:2] != last).any(axis=0))
+            size += batch.num_rows
+            if size < max_index:
+                continue
+            all_ = np.concatenate(held, axis=1)
+            whole = np.flatnonzero((all_[:2] != all_[:2, -1:]).any(axis=0))
             if len(whole):  # all but the last node are complete
-                rest = held[-1][:, whole[-1] + 1:].copy()
-                held[-1] = held[-1][:, :whole[-1] + 1]
-                m, val, fp = np.concatenate(held, axis=1)
-                yield settle(m, val, fp.view(np.uint64))
-                held = [rest]
-        if held:
-            m, val, fp = np.concatenate(held, axis=1)
-            yield settle(m, val, fp.view(np.uint64))
+                cut = whole[-1] + 1
+                yield settle(all_[0, :cut], np.ascontiguousarray(all_[2, :cut]))
+                all_ = all_[:, cut:].copy()
+            held, size = [all_], all_.shape[1]
+        if size:
+            all_ = np.concatenate(held, axis=1)
+            yield settle(all_[0], np.ascontiguousarray(all_[2]))
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "mask", "value").sortWithinPartitions("mask", "value")
+    order = ["mask", gray_rank_of(F.col("value"))]
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     return shipped(rows).mapInArrow(run, "u long, v long")
 
 
@@ -271,17 +297,20 @@ def components(links_: DataFrame) -> DataFrame:
     def mark(df):
         return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
+    def least(df):
+        return df.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+
     edges = save(tidy(links_), "components")
     seen = mark(edges)
     while seen[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
         # Large star: larger neighbours move to the smallest node around.
-        edges = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        edges = join_by_key(both.where("v > u"), save(least(both), "components-least"), "u", 2 * seen[0])
+        edges = edges.select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         edges = save(tidy(edges), "components")
         # Small star: smaller neighbours, and the node itself, move to the smallest of them.
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(low, "u")
+        low = save(least(edges), "components-least")
+        moved = join_by_key(edges, low, "u", seen[0])
         edges = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         edges = save(tidy(edges), "components")
         now = mark(edges)
@@ -293,8 +322,8 @@ def components(links_: DataFrame) -> DataFrame:
 
 
 def _members(each: DataFrame, first: Column, max_bits: int, max_group: int) -> tuple[DataFrame, DataFrame]:
-    """The distinct fingerprints ``fp, first`` of ``each``, and those that are linked: ``fp, root, first``."""
-    nodes = save(each.groupBy("fp").agg(F.min(first).alias("first")), "fingerprint-nodes")
+    """The distinct fingerprints ``fp, first, n`` (rows) of ``each``, and those that are linked: ``fp, root, first``."""
+    nodes = save(each.groupBy("fp").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")), "fingerprint-nodes")
     found = None
     for rows in top_nodes(nodes.select("fp"), max_bits, max_group):
         part = forest(rows, max_bits)
@@ -309,8 +338,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes, member = _members(each, F.col("doc_id"), max_bits, max_group)
     ids = member.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = member.join(ids, "root").select("fp", "component_id")
-    of = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return each.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of = nodes.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id"))
+    out = join_by_key(each, save(of, "fingerprint-components"), "fp", each.count())
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", null_ids: bool = False) -> DataFrame:
@@ -324,8 +354,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nu
     each = save(fingerprints(docs_, id_col, text_col, row_col=row), "fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
     nodes, member = _members(each, first, MAX_BITS, MAX_GROUP)
-    group = nodes.join(member.select("fp", "root"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
-    kept = group.agg(F.min("first").alias("first")).select("first.row")
+    roots = nodes.join(member.select("fp", "root"), "fp", "left")
+    roots = roots.select("fp", "n", F.coalesce("root", "fp").alias("root"), "first")
+    best = roots.groupBy("root").agg(F.min("first").alias("first"))
+    of = save(roots.select("fp", "n", "root").join(best, "root").select("fp", "n", F.col("first.row").alias("best")), "fingerprint-best")
+    dropped = join_by_key(each, of, "fp", each.count()).where("row <> best")
     if not null_ids:
-        kept = kept.union(each.where("doc_id IS NULL").select("row"))
-    return docs_.join(kept.withColumnRenamed("row", row), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+        dropped = dropped.where("doc_id IS NOT NULL")
+    return without_rows(docs_, row, dropped.select("row")).select(*[F.col(f"`{c}`") for c in docs.columns])
