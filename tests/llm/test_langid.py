@@ -1,9 +1,17 @@
+import math
+import string
+import unicodedata
+import zlib
+
 import numpy as np
 import pytest
 
 from tidemark.llm import langid, queries, sampling
 
 SF = "/root/testdata/sf0.01"
+SMALL = "/root/testdata/sf0.001"
+#: A model's tables as lists.
+tables = []
 
 
 def test_held_out_accuracy(spark):
@@ -15,6 +23,44 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.rejected for r in rows]) < 0.01
 
 
+def slow_prediction(model, text):
+    """Language and score from the definition, subword by subword, in plain Python."""
+    if not any(unicodedata.category(c)[0] == "L" for c in text or ""):
+        return "und", 0.0
+    # Bytes of other scripts and ASCII letters stay.
+    data = "".join(c if ord(c) > 127 or c in string.ascii_lowercase else " " for c in text.lower())
+    data = f" {' '.join(w for w in data.split(' ') if w)} ".encode()
+    z, habit, n = [0.0] * len(model.langs), [0.0] * len(model.langs), 0
+    for size in (2, 3, 4):
+        for i in range(len(data) - size + 1):
+            code = data[i]
+            for b in data[i + 1:i + size]:
+                code = (code * 0x01000193 & 0xFFFFFFFF) ^ b
+            bucket = (code * 0x9E3779B1 + size & 0xFFFFFFFF) >> 17
+            n += 1
+            for k in range(len(z)):
+                z[k] += tables[0][bucket][k]
+                habit[k] += tables[1][k][bucket]
+    z = [(a / n + b) / model.temperature for a, b in zip(z, model.bias.tolist())]
+    e = [math.exp(a - max(z)) for a in z]
+    k = e.index(max(e))
+    unusual = min(0.0, (habit[k] + model.middle * langid.USUAL) / (n + langid.USUAL) - model.least)
+    return model.langs[k], e[k] / sum(e) * math.exp(unusual)
+
+
+def test_whole_table_against_a_slow_version(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = langid.train(docs)
+    tables[:] = model.table.tolist(), model.habit.tolist()
+    got = {r.doc_id: r for r in queries.op4_language_id(spark, SMALL).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        lang, score = slow_prediction(model, text)
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(score, rel=1e-3, abs=1e-6)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
 def test_held_out_rows_are_never_learned_from(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     turned = docs.selectExpr("doc_id", "text", "'x' AS source",

@@ -1,3 +1,5 @@
+import zlib
+
 import pytest
 
 from tidemark.llm import queries, url_filter as u
@@ -59,3 +61,16 @@ def test_model_on_hosts_it_has_not_seen(model):
     good = ["www.theatre-news.org", "blog.mountain-hiking.com", "city-library.example.net", "weather-report.info", "m.thande.org"]
     assert all(model.block(h, "/en/12") >= u.THRESHOLD for h in bad)
     assert all(model.block(h, "/en/12") < u.THRESHOLD for h in good)
+
+
+def test_names_that_were_held_out():
+    """Names of one fifth are in no training url: few false alarms, and a part of what should be blocked is found."""
+    held = lambda name: zlib.crc32(name.encode()) % 5 == 4
+    m = u.train(u.labelled_urls(lambda name: not held(name)))
+    got = [(m.block(*u.split_url(url)) >= u.THRESHOLD, label) for url, label in u.labelled_urls(held)]
+    caught = sum(b and y for b, y in got)
+    assert caught / sum(b for b, _ in got) > 0.95 and caught / sum(y for _, y in got) > 0.2
+
+
+def test_path_changes_the_verdict_of_a_host(model):
+    assert model.block("foobar.net", "/en/1") < u.THRESHOLD <= model.block("foobar.net", "/bonus/7")

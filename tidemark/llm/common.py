@@ -5,6 +5,9 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,16 +23,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh folder under the shared checkpoint folder, removed when the driver's JVM ends."""
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+def scratch(spark: SparkSession, tag: str, lasting: bool = False) -> str:
+    """A fresh folder under the shared checkpoint folder, removed when the driver's JVM ends.
+
+    Inside ``temporary`` it is removed at the end of that block, unless it is ``lasting``.
+    """
     ensure_checkpoint_dir(spark)
     jvm, sc = spark.sparkContext._jvm, spark.sparkContext
     path = f"{sc.getCheckpointDir()}/{tag}-{uuid.uuid4().hex}"
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(p)
+    made = _made.get()
+    if made is not None and not lasting:
+        made.append(path)
     return path
 
 
+def free(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside are deleted at the end: by then, results must be written to a ``lasting`` folder."""
+    before = _made.set([])
+    try:
+        yield
+    finally:
+        made = _made.get()
+        _made.reset(before)
+        for path in made:
+            free(spark, path)
+
+
 _shipped: set[str] = set()
 
 
@@ -42,7 +73,7 @@ def shipped(df: DataFrame) -> DataFrame:
         with zipfile.ZipFile(data, "w") as z:
             for f in sorted(root.rglob("*.py")):
                 z.write(f, f.relative_to(root.parent))
-        path = sc._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark, 'package')}/tidemark.zip")
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark, 'package', lasting=True)}/tidemark.zip")
         out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
         out.write(bytearray(data.getvalue()))
         out.close()

@@ -16,6 +16,7 @@ to the host as written; repeated rows and ties get equal results.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import count, cycle
 
@@ -66,9 +67,11 @@ _HOSTS = ["www.{}.com", "{}.net", "{}.org", "blog.{}.com", "m.{}.info", "{}.exam
           "m.{}.example.org", "blog.{}.example.com", "{}.example.org"]
 
 
-def labelled_urls() -> list[tuple[str, int]]:
+def labelled_urls(names: Callable[[str], bool] = lambda name: True) -> list[tuple[str, int]]:
     """The labelled table, 1 for urls to block: every name under hosts and paths of several forms.
 
+    ``names`` chooses among the names, so that a part of them can be held out.
+
     Both labels go through the same hosts and paths, so that these carry no
     weight; the spam paths come with block words alone.
     """
@@ -77,7 +80,7 @@ def labelled_urls() -> list[tuple[str, int]]:
     hosts, paths, spam, number = cycle(_HOSTS), cycle(_PATHS), cycle(_SPAM_PATHS), count(1)
     out = []
     for words, label, times in ((BLOCK_WORDS, 1, 12), (ALLOW_WORDS, 0, 6), (neutral, 0, 2)):
-        for w in words:
+        for w in filter(names, words):
             for k in range(times):
                 path = next(spam) if label and k % 4 == 3 else next(paths)
                 out.append((f"https://{next(hosts).format(w)}{path.format(next(number) * 97 % 10007)}", label))
