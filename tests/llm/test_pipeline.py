@@ -10,7 +10,7 @@ from test_simhash import brute as slow_near
 
 import corpus_pipeline as cp
 from tidemark.llm import langid, quality_rules as q
-from tidemark.llm.common import save
+from tidemark.llm.common import save, scratch, temporary
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -49,6 +49,32 @@ def texts(df):
     return {r.doc_id: r.text for r in df.collect()}
 
 
+def folders(spark):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {f.getPath().getName() for f in fs.listStatus(path)}
+
+
+def test_scratch_tables_go_with_their_block(spark):
+    before = folders(spark)
+    lasting = scratch(spark, "lasting", lasting=True)
+    with pytest.raises(ValueError), temporary(spark):
+        kept = save(spark.range(3), "short")
+        assert len(folders(spark) - before) == 1
+        kept.write.parquet(lasting)
+        raise ValueError
+    assert folders(spark) - before == {lasting.rsplit("/", 1)[1]}
+    outside = save(spark.range(3), "outside")
+    assert outside.count() == 3 == spark.read.parquet(lasting).count()
+
+
+def test_run_leaves_its_result_alone(spark, stages):
+    before = folders(spark)
+    out = cp.run(spark, SF)
+    assert [f.rsplit("-", 1)[0] for f in folders(spark) - before] == ["pipeline-packing"]
+    assert sorted(out.collect()) == sorted(stages["packing"][1].select(out.columns).collect())
+
+
 def test_names_and_columns(stages):
     assert [n for n, _ in cp.STAGES] == ["quality_rules", "language_id", "exact_dedup", "simhash_near_dedup", "packing"]
     assert all(after.columns == COLUMNS for n, (_, after) in stages.items() if n != "packing")
