@@ -2,7 +2,8 @@
 
 Every stage calls one operator of ``tidemark.llm`` on all that the stage before
 it kept; its result is written as Parquet and read again as the next one's
-input.  Nulls, empty and long texts, ties, repeated rows, empty tables and
+input.  A stage's own scratch tables and its input (but for the given table)
+are deleted as soon as its result is written.  Nulls, empty and long texts, ties, repeated rows, empty tables and
 extra columns are handled as the operators say.
 """
 
@@ -13,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import exact_dedup, langid, packing, quality_rules, simhash
-from tidemark.llm.common import save, table
+from tidemark.llm.common import free, scratch, table, temporary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -57,7 +58,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, over the whole ``documents`` table."""
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch(spark, f"pipeline-{name}", lasting=True)
+        with temporary(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        if last:
+            free(spark, last)
+        docs, last = spark.read.schema(out.schema).parquet(path), path
     return docs
