@@ -92,19 +92,27 @@ def product_performance(events: DataFrame, cur: Period, prev: Period, k: int | N
     by_revenue = (F.col("c_rev").desc(), F.col("item_id"))
     if k is not None:
         top = top.orderBy(*by_revenue).limit(k)
-    # The join carries the figures along (one value per item), so that purchases are summed once.
-    figures = ["item_id", "c_rev", "p_rev", "c_qty", "p_qty"]
     seen = (prepare(scan(events, rng), "event_date", "user_pseudo_id", "sid", it=item_fields("item_id", "item_name"))
             .select("event_date", session_key(F.col("user_pseudo_id"), F.col("sid")).alias("skey"), F.explode("it").alias("it"))
-            .select("event_date", "skey", "it.item_id", "it.item_name")
-            .join(top, "item_id"))
-    # One row per item, name and session before anything is counted.
-    grain = seen.groupBy(*figures, "item_name", "skey").agg(
+            .select("event_date", "skey", "it.item_id", "it.item_name"))
+    # With a cut, the join with at most k rows carries the figures along, so that purchases are summed once; without
+    # one, the items' history is grouped by id alone and meets the figures when it is one row per item.
+    if k is None:
+        keys = ["item_id"]
+        seen = seen.where(F.col("item_id").isNotNull())
+    else:
+        keys = top.columns
+        seen = seen.join(top, "item_id")
+    # One row per item, name and session, then one per item and session: sessions are counted as rows.
+    named = seen.groupBy(*keys, "item_name", "skey").agg(
         F.max(F.col("event_date").cast("int")).alias("_d"), F.bool_or(in_c).alias("c_any"), F.bool_or(in_p).alias("p_any"))
-    kept = grain.groupBy(*figures).agg(
-        F.count_distinct(F.when(F.col("c_any"), F.col("skey"))).alias("c_ses"),
-        F.count_distinct(F.when(F.col("p_any"), F.col("skey"))).alias("p_ses"),
-        F.max_by("item_name", F.struct("_d", "item_name")).alias("product_name")).orderBy(*by_revenue)
+    sessions = named.groupBy(*keys, "skey").agg(
+        F.max(F.struct("_d", "item_name")).alias("_last"), F.bool_or("c_any").alias("c_any"), F.bool_or("p_any").alias("p_any"))
+    known = F.col("skey").isNotNull()
+    counted = sessions.groupBy(*keys).agg(
+        F.count_if(F.col("c_any") & known).alias("c_ses"), F.count_if(F.col("p_any") & known).alias("p_ses"),
+        F.max("_last").getField("item_name").alias("product_name"))
+    kept = (top.join(counted, "item_id") if k is None else counted).orderBy(*by_revenue)
     kept = kept if k is None else kept.limit(k)  # planned as one top-k, not as a range sort
     out = kept.select(
         "product_name",
