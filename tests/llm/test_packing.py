@@ -64,3 +64,31 @@ def test_empty_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(1, "a b", 9), (1, "a b", 9), (None, None, 9)], "doc_id long, text string, part int")
     rows = packing.pack(df).collect()
     assert sorted((r.doc_id or 0, r.length) for r in rows) == [(0, 1), (1, 3), (1, 3)]
+
+
+@pytest.mark.parametrize("window, parts", [(1024, 4), (7, 3), (1, 2), (100_000, 5)])
+def test_sequences_are_the_stream_that_pack_cuts(spark, window, parts):
+    docs = dict(enumerate([*TEXTS, None, *TEXTS]))
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(parts, "doc_id")
+    got = {r.sequence_id: r.ids for r in packing.sequences(df, window=window).collect()}
+    assert sorted(got) == list(range(len(got)))
+    assert all(len(ids) == window for s, ids in got.items() if s != max(got))
+    # Each document's ids lie where its pieces say.
+    stream = [i for s in sorted(got) for i in got[s]]
+    ids = {i: [*ids_of(t), 0] for i, t in docs.items()}
+    assert len(stream) == sum(map(len, ids.values()))
+    for r in packing.pack(df, window=window).collect():
+        want = ids[r.doc_id][r.start:r.start + r.length]
+        assert got[r.sequence_id][r.offset:r.offset + r.length] == want
+
+
+def test_sequences_of_the_whole_table_padded(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    n = sum(len(ids_of(r.text)) + 1 for r in docs.select("text").collect())
+    rows = packing.sequences(docs, pad_id=0).collect()
+    assert sorted(r.sequence_id for r in rows) == list(range(-(-n // 1024)))
+    assert {len(r.ids) for r in rows} == {1024}
+
+
+def test_sequences_of_an_empty_table(spark):
+    assert packing.sequences(spark.createDataFrame([], "text string")).count() == 0

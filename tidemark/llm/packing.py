@@ -5,7 +5,8 @@ ids with the running total of tokens in that partition.  The partitions'
 totals (one number for each) are summed into global offsets.  Pass 2 reads
 the ids back and cuts every document where its global span crosses a multiple
 of the window; a document over a boundary leaves one record on each side.
-The stream has no gaps, so only the last sequence is padded.
+The stream has no gaps, so only the last sequence is padded.  ``pack`` gives
+the pieces, ``sequences`` the training sequences themselves.
 
 Work and memory follow the documents of a task; nothing is shuffled by a key,
 so hot sources and groups of copies make no difference.  What reaches the
@@ -90,6 +91,66 @@ def cut(ids: DataFrame, starts: dict[int, int], window: int = WINDOW) -> DataFra
     return shipped(ids).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
+def runs(ids: DataFrame, starts: dict[int, int], window: int = WINDOW) -> DataFrame:
+    """The stream in pieces ``sequence_id, offset, ids``: neighbours that a task reads together are one piece.
+
+    A task holds one sequence and one batch; most pieces are whole sequences.
+    """
+    schema = pa.schema([("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    known = ids.sparkSession.sparkContext.broadcast(starts)
+
+    def run(batches):
+        begun, held, parts = 0, 0, []  # where the piece in work begins, its length and its ids
+        for batch in batches:
+            out = []
+            for data, part, before in zip(*(batch.column(c) for c in ("ids", "part", "before"))):
+                values, at = np.frombuffer(data.as_buffer(), "<u4"), known.value[part.as_py()] + before.as_py()
+                if held and at != begun + held:
+                    out.append((begun, np.concatenate(parts)))
+                    held, parts = 0, []
+                while len(values):
+                    if not held:
+                        begun = at
+                    values, piece = values[(n := min(window - at % window, len(values))):], values[:n]
+                    at, held = at + n, held + n
+                    parts.append(piece)
+                    if at % window == 0:
+                        out.append((begun, np.concatenate(parts)))
+                        held, parts = 0, []
+            parts = [np.concatenate(parts)] if parts else []  # no view of this batch is kept
+            yield piece_rows(out)
+        if held:
+            yield piece_rows([(begun, parts[0])])
+
+    def piece_rows(out):
+        return pa.record_batch([[at // window for at, _ in out], [at % window for at, _ in out],
+                                pa.array([v.astype("<i4") for _, v in out], pa.list_(pa.int32()))], schema=schema)
+
+    return shipped(ids).mapInArrow(run, "sequence_id long, offset long, ids array<int>")
+
+
+def sequences(docs: DataFrame, text_col: str = "text", window: int = WINDOW, tokenizer: str = tokens.TOKENIZER,
+              end_id: int = END_ID, pad_id: int | None = None) -> DataFrame:
+    """The packed training sequences ``sequence_id, ids``, numbered as in ``pack``.
+
+    All have ``window`` ids but the last, which is filled up with ``pad_id``
+    if one is given.  Whole sequences stay where they were read; only the
+    pieces at the ends of what a task reads are shuffled, at most ``window``
+    of them for a sequence.  An empty table gives no sequence.
+    """
+    d = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    ids = save(encoded(d, tokenizer, end_id), "packing-ids")
+    pieces = save(runs(ids, offsets(ids), window), "packing-runs")
+    whole = F.size("ids") == window
+    joined = pieces.where(~whole).groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"))
+    out = pieces.where(whole).select("sequence_id", "ids").unionByName(
+        joined.select("sequence_id", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids")))
+    if pad_id is None:
+        return out
+    fill = F.array_repeat(F.lit(pad_id).cast("int"), F.lit(window) - F.size("ids"))
+    return out.select("sequence_id", F.concat("ids", fill).alias("ids"))
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
          tokenizer: str = tokens.TOKENIZER, end_id: int = END_ID) -> DataFrame:
     """Pieces ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` of the packed documents."""
