@@ -35,7 +35,7 @@ EPOCHS, RATE, DECAY = 40, 0.5, 1e-5
 THRESHOLD = 0.6
 
 #: Fixed rules of the registered query.
-RULES = [("org", "/", ALLOW), ("example.org", "/es/", BLOCK), ("example.org", "/en/1", ALLOW), ("com", "/fr/", ALLOW),
+RULES = [("org", "/", ALLOW), ("example.org", "/es/", BLOCK), ("example.org", "/en/1", BLOCK), ("com", "/fr/", ALLOW),
          ("com", "/de/", BLOCK)]
 
 #: Words that name sites to block (gambling, adult, drugs and spam, advertising, piracy, fraud) and sites to keep.
