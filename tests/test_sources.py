@@ -1,4 +1,5 @@
 import uuid
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import EVENTS_SCHEMA, Period, bulk_order_items, geo_performance, kpi_summary, read_events, write_events, write_shards
 from tidemark.session import ensure_checkpoint_dir, scratch_folder
-from tidemark.sources.fixtures import build_events
+from tidemark.sources.fixtures import build_events, items_by_order
 from tidemark.testing.frames import event, events_frame
 from tidemark.sources.days import day_folders
 from tidemark.testing.params import CUR, PREV, SF_SMALL
@@ -19,6 +20,18 @@ def test_fixture_schema_and_rows(spark):
     assert ev.count() == spark.read.parquet(f"{SF_SMALL}/events.parquet").count()
 
 
+def test_only_orders_with_shown_items_are_nested(spark):
+    """Lines of orders that no event shows are gone before the nesting; the others' arrays are whole and in order."""
+    wanted = spark.createDataFrame([(i,) for i in [1, 2, 2, 7, None]], "id long")
+    got = {r.l_orderkey: [tuple(x) for x in r["items"]] for r in items_by_order(spark, SF_SMALL, wanted).collect()}
+    part = {r.p_partkey: (r.p_name, r.p_type) for r in spark.read.parquet(f"{SF_SMALL}/part.parquet").collect()}
+    want = {}
+    for r in spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").where("l_orderkey IN (1, 2, 7)").collect():
+        price = Decimal(str(r.l_extendedprice)).quantize(Decimal("0.01"), ROUND_HALF_UP)
+        want.setdefault(r.l_orderkey, []).append((f"P{r.l_partkey}", *part[r.l_partkey], price, int(r.l_quantity)))
+    assert want and got == {k: sorted(v) for k, v in want.items()}
+
+
 def test_write_read_roundtrip_keeps_string_partition(spark):
     ev = build_events(spark, SF_SMALL)
     for parts in (None, 3):

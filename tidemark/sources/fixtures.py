@@ -8,9 +8,9 @@ input tables.
 
 The dimension joins are left to the planner: AQE turns them into broadcast
 joins from the measured size of nation/region/customer and keeps sort-merge
-joins when a side is large.  Line items are nested per order; an order's line
-count is bounded by the source (at most a few dozen lines), so each ``items``
-array is small.
+joins when a side is large.  Line items are nested per order, only for orders
+whose events show items; an order's line count is bounded by the source (at
+most a few dozen lines), so each ``items`` array is small.
 """
 
 from __future__ import annotations
@@ -45,9 +45,13 @@ def _case(c: Column, mapping: dict[int, str | None]) -> Column:
     return out
 
 
-def items_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(l_orderkey, items)``: line items of each order as a sorted item array."""
+def items_by_order(spark: SparkSession, sf_dir: str, order_ids: DataFrame) -> DataFrame:
+    """``(l_orderkey, items)``: line items of each order in ``order_ids`` (one column) as a sorted item array.
+
+    Lines of other orders go before they take their part's names and are nested.
+    """
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_quantity")
+    lines = lines.join(order_ids.toDF("_wanted"), F.col("l_orderkey") == F.col("_wanted"), "left_semi")
     part = _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     item = F.struct(
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("item_id"),
@@ -58,7 +62,7 @@ def items_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return (lines.join(part, lines.l_partkey == part.p_partkey)
             .groupBy("l_orderkey")
-            .agg(F.array_sort(F.collect_list(item)).alias("items")))
+            .agg(F.sort_array(F.collect_list(item)).alias("items")))
 
 
 def build_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,9 +78,11 @@ def build_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .select("c_custkey", "n_name", "r_name"))
     base = (ev.join(orders, ev.event_id == orders.o_orderkey)
             .join(cust_geo, orders.o_custkey == cust_geo.c_custkey))
-    with_items = base.join(items_by_order(spark, sf_dir), base.event_id == F.col("l_orderkey"), "left")
-
     eid, uid, etype = F.col("event_id"), F.col("user_id"), F.col("event_type")
+    has_items = etype.isin("purchase", "view")
+    items = items_by_order(spark, sf_dir, ev.where(has_items).select("event_id"))
+    with_items = base.join(items, base.event_id == F.col("l_orderkey"), "left")
+
     micros_sql = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
     micros = F.expr(micros_sql)
     is_purchase = etype == "purchase"
@@ -95,7 +101,6 @@ def build_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(uid % 3 != 2, _entry("age_group", string_value=_case(uid % 3, {0: "20-29", 1: "30-39"}))),
     )
     not_null = lambda x: x.isNotNull()
-    has_items = etype.isin("purchase", "view")
     empty_items = F.array().cast("array<struct<item_id:string,item_name:string,item_category:string,"
                                  "price:decimal(18,2),quantity:bigint>>")
 
