@@ -11,6 +11,7 @@ from tidemark import (
 from tidemark.operators import distinct
 from tidemark.operators.kpi import APPROX_ERROR, _selected
 from tidemark.session import scratch_folder
+from tidemark.sources import events as event_tables
 from tidemark.sources.fixtures import build_events
 from tidemark.testing.frames import event, events_frame
 from tidemark.testing.params import BULK_MIN, CUR, PATTERNS, PREV, SF_SMALL
@@ -132,6 +133,25 @@ def test_bucketed_sessions_need_no_exchange(spark, events):
     spark.sql(f"DROP TABLE {name}")
 
 
+def test_a_larger_table_gets_more_buckets(spark, events, monkeypatch):
+    """A bucket is read by one task: its events are bounded, not their number."""
+    monkeypatch.setattr(event_tables, "ROWS_PER_BUCKET", 200)
+    odd = events.unionByName(events.limit(50).withColumn("user_pseudo_id", F.lit(None).cast("string")))
+    odd = spark.createDataFrame(odd.collect(), odd.schema)
+    name, path = f"events_{uuid.uuid4().hex[:8]}", scratch_folder(spark, "test-bucketed")
+    write_bucketed(odd, name, path, 2)
+    n = int(spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Num Buckets'").first()["data_type"])
+    assert n > 2 and n % 2 == 0 and 200 * (n - 2) < odd.count() <= 200 * n
+    df = session_first_source(spark.table(name))
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(map(tuple, session_first_source(odd).collect()), key=str)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    write_bucketed(odd, name, path, 2, mode="append")
+    monkeypatch.setattr(event_tables, "ROWS_PER_BUCKET", 1 << 20)
+    write_bucketed(odd.limit(1), name, path, 2, mode="append")
+    assert spark.table(name).count() == 2 * odd.count() + 1
+    spark.sql(f"DROP TABLE {name}")
+
+
 def test_the_render_counts_what_it_leaves_out(spark):
     rows = [event("20240110", 1, user=None), event("20240110", 2, sid=None), event("20240109", 3, name="purchase", tx=None, rev=4),
             event("20240110", 4, name="purchase", tx="a", rev=None, items=[("p", "n", "c", 1, 1)]), event("20240115", 5, user=None)]

@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.plans.periods import Period
@@ -133,6 +134,20 @@ def write_shards(events: DataFrame, path: str, prefix: str = "events_", overwrit
         fs.delete(p, True)
 
 
+#: Events of a bucket: one task reads a bucket, so larger tables get more of them.
+ROWS_PER_BUCKET = 1 << 20
+
+
+def _bucket_count(events: DataFrame, table: str, buckets: int, mode: str) -> int:
+    """The least multiple of ``buckets`` that holds the events; a table that is added to keeps its number."""
+    spark = events.sparkSession
+    if mode == "append" and spark.catalog.tableExists(table):
+        said = spark.sql(f"DESCRIBE EXTENDED {table}").where("col_name = 'Num Buckets'").collect()
+        has = int(said[0]["data_type"]) if said else buckets
+        return buckets if has % buckets else has
+    return buckets * max(1, -(-events.count() // (buckets * ROWS_PER_BUCKET)))
+
+
 def write_bucketed(events: DataFrame, table: str, path: str, buckets: int, mode: str = "errorifexists") -> None:
     """Write events as a catalog table at ``path``, partitioned by date and bucketed by user.
 
@@ -140,8 +155,15 @@ def write_bucketed(events: DataFrame, table: str, path: str, buckets: int, mode:
     first sources, channels and other figures by (user, session) need no shuffle of their rows.  All events of
     a user are read by one task, so this suits tables where no user holds a
     large share of the events; others keep ``write_events``.
+
+    The table gets ``buckets`` buckets, or the least multiple of that with at
+    most ``ROWS_PER_BUCKET`` events each on average, so a task that reads one
+    needs no more memory on a larger table.  A bucket's day is the unit of
+    writing (REBALANCE hint: AQE splits large ones over tasks and merges small
+    ones), and Spark's writer sorts each task's rows by day, bucket, user and time.
     """
-    order = ["user_pseudo_id", "event_timestamp"]
-    (events.repartition(buckets, "user_pseudo_id").sortWithinPartitions("event_date", *order)
-     .write.mode(mode).partitionBy("event_date").bucketBy(buckets, "user_pseudo_id").sortBy(*order)
+    n = _bucket_count(events, table, buckets, mode)
+    bucket = F.pmod(F.hash("user_pseudo_id"), F.lit(n))  # as Spark numbers buckets
+    (events.withColumn("_bucket", bucket).hint("rebalance", "event_date", "_bucket").drop("_bucket")
+     .write.mode(mode).partitionBy("event_date").bucketBy(n, "user_pseudo_id").sortBy("user_pseudo_id", "event_timestamp")
      .option("path", path).format("parquet").saveAsTable(table))
