@@ -58,6 +58,27 @@ def test_whole_table(spark):
     check(queries.op5_packing(spark, SF).collect(), docs, 1024)
 
 
+def test_cut_of_long_documents_needs_no_python(spark):
+    """Pass 2 stays in Spark's expressions: no batch of ids goes to a Python worker."""
+    sizes, rows, at = [1, 1023, 1, 1024, 2048, 5, 300_000, 7], [], 0
+    for i, n in enumerate(sizes):
+        rows.append((i, np.arange(at, at + n).astype("<u4").tobytes(), 3, at))
+        at += n
+    df = packing.cut(spark.createDataFrame([(i, bytearray(v), p, b) for i, v, p, b in rows],
+                                           "doc_id long, ids binary, part int, before long"), {2: 0, 3: 700})
+    got = sorted((r.sequence_id, r.offset, r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in df.collect())
+    want = []
+    for i, v, _, before in rows:
+        start, n = 0, len(v) // 4
+        while start < n:
+            place = 700 + before + start
+            length = min(1024 - place % 1024, n - start)
+            want.append((place // 1024, place % 1024, i, start, length, zlib.crc32(v[4 * start:4 * (start + length)]), n))
+            start += length
+    assert got == sorted(want)
+    assert "MapInArrow" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_empty_repeated_and_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(empty).count() == 0

@@ -4,7 +4,8 @@ Pass 1 encodes every document once, on its input partition, and writes its
 ids with the running total of tokens in that partition.  The partitions'
 totals (one number for each) are summed into global offsets.  Pass 2 reads
 the ids back and cuts every document where its global span crosses a multiple
-of the window; a document over a boundary leaves one record on each side.
+of the window, in Spark's own expressions: no batch of ids is copied to a
+Python worker again; a document over a boundary leaves one record on each side.
 The stream has no gaps, so only the last sequence is padded.  ``pack`` gives
 the pieces, ``sequences`` the training sequences themselves.
 
@@ -18,8 +19,6 @@ repeated ids are packed like any other; an empty table gives no piece.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,26 +68,18 @@ def offsets(ids: DataFrame) -> dict[int, int]:
 
 
 def cut(ids: DataFrame, starts: dict[int, int], window: int = WINDOW) -> DataFrame:
-    """One row for each piece of a document inside one window."""
-    names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
-    schema = pa.schema([(n, pa.int64()) for n in names])
-    known = ids.sparkSession.sparkContext.broadcast(starts)
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for doc_id, data, part, before in zip(*(batch.column(c) for c in ("doc_id", "ids", "part", "before"))):
-                doc_id, view = doc_id.as_py(), memoryview(data.as_buffer())
-                n, at, start = len(view) // 4, known.value[part.as_py()] + before.as_py(), 0
-                while start < n:
-                    offset = (at + start) % window
-                    length = min(window - offset, n - start)
-                    crc = zlib.crc32(view[4 * start:4 * (start + length)])
-                    out.append((doc_id, start, length, crc, n, (at + start) // window, offset))
-                    start += length
-            yield pa.record_batch([list(c) for c in zip(*out)] if out else [[]] * len(names), schema=schema)
-
-    return shipped(ids).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    """One row for each piece of a document inside one window; built-in expressions only, no Python worker."""
+    table = pa.table({"part": pa.array(starts.keys(), pa.int32()), "first": pa.array(starts.values(), pa.int64())})
+    known = ids.sparkSession.createDataFrame(table)
+    n, at = (F.octet_length("ids") / 4).cast("long"), F.col("first") + F.col("before")
+    d = ids.join(F.broadcast(known), "part").select("doc_id", "ids", n.alias("n"), at.alias("at")).where("n > 0")
+    d = d.select("*", F.explode(F.expr(f"sequence(at div {window}, (at + n - 1) div {window})")).alias("sequence_id"))
+    begin = F.col("sequence_id") * window - F.col("at")  # of the window, in the document
+    start = F.greatest(F.lit(0).cast("long"), begin)
+    length = F.least(F.col("n"), begin + window) - start
+    own = F.substring("ids", (4 * start + 1).cast("int"), (4 * length).cast("int"))
+    return d.select("doc_id", start.alias("start"), length.alias("length"), F.crc32(own).alias("ids_crc32"),
+                    F.col("n").alias("doc_tokens"), "sequence_id", ((F.col("at") + start) % window).alias("offset"))
 
 
 def runs(ids: DataFrame, starts: dict[int, int], window: int = WINDOW) -> DataFrame:
